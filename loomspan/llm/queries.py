@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from loomspan.llm import pieces
 from loomspan.llm.near_duplicates import near_duplicates
 
 
@@ -18,6 +19,16 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def piece_model() -> pieces.PieceModel:
+    return pieces.PieceModel.load(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = piece_model()
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
+    return pieces.digests(pieces.decode(coded, model)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
 OP4_SQL = rf"""
@@ -35,6 +46,11 @@ SELECT d.doc_id, coalesce(n.k, 0)::BIGINT AS n_shingles, c.component_id, c.compo
 FROM d JOIN c ON c.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_minhash_near_dedup": op4_minhash_near_dedup}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op7_sentencepiece": op7_sentencepiece,
+}
 
-ORACLES: dict[str, str] = {"op4_minhash_near_dedup": OP4_SQL}
+ORACLES: dict[str, str] = {
+    "op4_minhash_near_dedup": OP4_SQL,
+}
