@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from loomspan.llm import text as T
 
@@ -234,7 +235,7 @@ def _repaired(raw: bytes) -> str:
 def encode(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with a column of the ids of each whole text. A column of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.drop(ids).schema.add(ids, "array<int>")
+    schema = docs.drop(ids).schema.add(ids, ArrayType(IntegerType()))
     docs = docs.drop(ids)
     at = docs.columns.index(text)
 
