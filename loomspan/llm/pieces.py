@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from loomspan.llm import text as T
 
@@ -235,8 +235,8 @@ def _repaired(raw: bytes) -> str:
 def encode(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with a column of the ids of each whole text. A column of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.drop(ids).schema.add(ids, ArrayType(IntegerType()))
     docs = docs.drop(ids)
+    schema = StructType([*docs.schema.fields, StructField(ids, ArrayType(IntegerType()))])
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +255,7 @@ def decode(coded: DataFrame, model: PieceModel, ids: str = "ids", text: str = "d
     """coded with a column of the texts that its ids stand for. A column of that name is replaced."""
     shared = coded.sparkSession.sparkContext.broadcast(model)
     coded = coded.drop(text)
-    schema = coded.schema.add(text, "string")
+    schema = StructType([*coded.schema.fields, StructField(text, StringType())])
     at = coded.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
