@@ -103,6 +103,11 @@ def sketch(docs: DataFrame, options: NearDuplicateOptions) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, key binary, n_shingles long, bands array<long>")
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the given documents, written once: what follows shuffles these texts only, not the corpus."""
+    return durable(docs.join(ids.distinct(), "doc_id", "left_semi").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "texts")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, options: NearDuplicateOptions) -> DataFrame:
     """The pairs (a, b) of documents whose full shingle sets are similar enough."""
 
@@ -122,7 +127,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, options: NearDuplicateOptions) ->
                 good.append(high > 0 and 100 * both >= options.similar * (low + high - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts_of(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))))
     return (
         pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -148,7 +153,7 @@ def compare_tiles(docs: DataFrame, members: DataFrame, options: NearDuplicateOpt
         .withColumn("low", F.least("tile", "other"))
         .withColumn("high", F.greatest("tile", "other"))
     )
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts_of(docs, members.select("doc_id"))
 
     def run(table: pa.Table) -> pa.Table:
         ids, tiles, comps = (table.column(c).to_numpy() for c in ("doc_id", "tile", "component"))
@@ -197,7 +202,7 @@ def near_duplicates(docs: DataFrame, options: NearDuplicateOptions = NearDuplica
     stars = bands.groupBy("h").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("centre < last").select("h", "centre")
     shared = durable(bands.join(stars, "h"), "shared")
     pairs = shared.where("centre < doc_id").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = confirm(pairs, docs, options)
+    links = confirm(durable(pairs, "pairs"), docs, options)
     found = durable(components(links), "found")
     # buckets that still hold two components: the documents they tie together are compared across components
     placed = shared.join(found, shared.doc_id == found.node, "left").select("h", "centre", "doc_id", F.coalesce("component", "doc_id").alias("component"))
