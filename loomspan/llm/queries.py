@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomspan.llm import pieces
 from loomspan.llm.near_duplicates import near_duplicates
+from loomspan.llm.near_vectors import near_vectors
 from loomspan.llm.top_products import top_products
 
 
@@ -35,6 +36,10 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
 OP4_SQL = rf"""
@@ -61,13 +66,28 @@ r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+OP10_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x,
+  embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS able FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE a.able AND b.able AND list_cosine_similarity(a.x, b.x) >= 0.93),
+r AS (SELECT vec_id AS node, vec_id AS root FROM v UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node WHERE r.root < l.b),
+c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, c.component_id = v.vec_id AS kept
+FROM v JOIN c ON c.node = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_exact_top_k": op8_exact_top_k,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op4_minhash_near_dedup": OP4_SQL,
     "op8_exact_top_k": OP8_SQL,
+    "op10_embedding_near_dedup": OP10_SQL,
 }
