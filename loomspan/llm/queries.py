@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import pieces
+from loomspan.llm import pieces, toxicity
 from loomspan.llm.near_duplicates import near_duplicates
 from loomspan.llm.near_vectors import near_vectors
 from loomspan.llm.top_products import top_products
@@ -22,6 +22,14 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    options = toxicity.ToxicityOptions()
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), toxicity.crc_part(4) != 2, options)
+    predicted = F.when(F.col("score") >= options.predicted, 1).otherwise(0)
+    return toxicity.score(docs, model, options).select("doc_id", (toxicity.crc_part(4) == 2).alias("held_out"), "score", predicted.alias("predicted"), "offending")
+
+
 def piece_model() -> pieces.PieceModel:
     return pieces.PieceModel.load(public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -81,6 +89,7 @@ FROM v JOIN c ON c.node = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_toxicity": op5_toxicity,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_exact_top_k": op8_exact_top_k,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
