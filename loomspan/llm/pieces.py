@@ -16,9 +16,11 @@ Defined results: a null or empty text has no ids; decoding null gives an empty t
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
+from itertools import groupby
 
 import ahocorasick
 import numpy as np
@@ -32,7 +34,7 @@ from loomspan.llm import text as T
 
 MARK = "▁"  #: stands for a space
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-REMEMBERED = 1 << 17  #: cuts and pairs that a task remembers at most
+REMEMBERED = 1 << 18  #: cuts and pairs that a task remembers at most
 
 
 @dataclass
@@ -100,9 +102,18 @@ class PieceModel:
         automaton.make_automaton()
         return automaton
 
+    @cached_property
+    def _known(self) -> set[str]:
+        """Characters that are pieces."""
+        return {p for p in self._ids if len(p) == 1}
+
     @cached_property
     def _cut(self) -> re.Pattern:
-        return re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+        """Cuts where no piece goes on: before marks, at line ends, and between letters and some punctuation."""
+        inside = {p[i : i + 2] for p in self._ids for i in range(len(p) - 1)}
+        closing = "".join(c for c in ",.;:!?)" if not any(pair[1] == c and re.match(r"[^\W\d_]", pair) for pair in inside))
+        word = f" *[^\\W\\d_]+(?=[{re.escape(closing)}])|" if closing else ""
+        return re.compile(f"{word} *[^ \n]+| +|\n")
 
     def merged(self, text: str) -> list[str]:
         """Merge the characters of a short text: always the neighbours whose piece has the highest score, leftmost first."""
@@ -128,57 +139,59 @@ class PieceModel:
 
     def split(self, text: str) -> list[str]:
         """The pieces of a text of known characters."""
-        longest = [0] * len(text)
+        n = len(text)
+        longest = [0] * n
         for end, length in self._automaton.iter(text):
             longest[end - length + 1] = length
-        failed = bytearray(len(text) // 8 + 1)  # one bit for each position
+        pairs, compatible, shorter = self._pairs.get, self.compatible, self._shorter
+        failed: bytearray | None = None  # one bit for each position, made when the first fails
         taken: list[str] = []
-        at, piece = 0, text[: longest[0]]
+        last, at = "", 0
+        piece = text[: longest[0]]
         while True:
             end = at + len(piece)
-            if not failed[end >> 3] >> (end & 7) & 1 and (not taken or self.compatible(taken[-1], piece)):
+            if (failed is None or not failed[end >> 3] >> (end & 7) & 1) and (not last or pairs((last, piece)) or compatible(last, piece)):
                 taken.append(piece)
-                if end == len(text):
+                if end == n:
                     return taken
-                at, piece = end, text[end : end + longest[end]]
+                last, at, piece = piece, end, text[end : end + longest[end]]
                 continue
-            shorter = self._shorter[piece]
-            while shorter is None:  # nothing fits here: go back, and never come here again
+            piece = shorter[piece]
+            while piece is None:  # nothing fits here: go back, and never come here again
+                if failed is None:
+                    failed = bytearray(n // 8 + 1)
                 failed[at >> 3] |= 1 << (at & 7)
                 back = taken.pop()
                 at -= len(back)
-                shorter = self._shorter[back]
-            piece = shorter
+                last = taken[-1] if taken else ""
+                piece = shorter[back]
 
     def cut_ids(self, cut: str) -> bytes:
-        """Ids of one cut as little-endian 32-bit numbers."""
-        known = self._cuts.get(cut)
-        if known is not None:
-            return known
-        ids, run = [], []
-        for c in cut:
-            if c in self._ids:
-                run.append(c)
-                continue
-            if run:
-                ids += [self._ids[p] for p in self.split("".join(run))]
-                run = []
-            ids += [self._bytes[b] for b in c.encode()]
-        if run:
-            ids += [self._ids[p] for p in self.split("".join(run))]
-        out = np.array(ids, "<i4").tobytes()
+        """Ids of one cut as native 32-bit numbers."""
+        plain, cut = cut, cut.replace(" ", MARK)
+        number = self._ids.__getitem__
+        if self._known.issuperset(cut):
+            ids = list(map(number, self.split(cut)))
+        else:
+            ids = []
+            for known, run in groupby(cut, self._known.__contains__):
+                if known:
+                    ids += map(number, self.split("".join(run)))
+                else:
+                    ids += [self._bytes[b] for b in "".join(run).encode()]
+        out = array("i", ids).tobytes()
         if len(cut) <= 64:
             if len(self._cuts) >= REMEMBERED:
                 self._cuts.clear()
-            self._cuts[cut] = out
+            self._cuts[plain] = out
         return out
 
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
         known, make = self._cuts.get, self.cut_ids
-        cuts = self._cut.findall(MARK + text.replace(" ", MARK))
-        return np.frombuffer(b"".join([known(c) or make(c) for c in cuts]), "<i4")
+        cuts = self._cut.findall(" " + text.replace(MARK, " "))  # both are the same to the model
+        return np.frombuffer(b"".join([known(c) or make(c) for c in cuts]), "i4")
 
     @cached_property
     def _surfaces(self) -> pa.Array:
