@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import pieces, toxicity
+from loomspan.llm import licenses, pieces, toxicity
 from loomspan.llm.mixing import mix
 from loomspan.llm.near_duplicates import near_duplicates
 from loomspan.llm.near_vectors import near_vectors
+from loomspan.llm.quotations import conversations
 from loomspan.llm.sharding import Tree, sharded
 from loomspan.llm.top_products import top_products
 
@@ -45,6 +46,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, options).select("doc_id", (toxicity.crc_part(4) == 2).alias("held_out"), "score", predicted.alias("predicted"), "offending")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row")
+
+
 def piece_model() -> pieces.PieceModel:
     return pieces.PieceModel.load(public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -59,6 +64,10 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
 
 
+def op9_chat_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
@@ -107,13 +116,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_license_scan": op6_license_scan,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_exact_top_k": op8_exact_top_k,
+    "op9_chat_quotations": op9_chat_quotations,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op4_minhash_near_dedup": OP4_SQL,
+    "op6_license_scan": licenses.scan_sql(),
     "op8_exact_top_k": OP8_SQL,
     "op10_embedding_near_dedup": OP10_SQL,
 }
