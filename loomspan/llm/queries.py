@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import licenses, pieces, toxicity
+from loomspan.llm import language_model, licenses, pieces, toxicity
 from loomspan.llm.mixing import mix
 from loomspan.llm.near_duplicates import near_duplicates
 from loomspan.llm.near_vectors import near_vectors
@@ -21,6 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        proto = file.read()
+    model, counts = language_model.train(docs, toxicity.crc_part(7) != 2, proto)
+    scored = language_model.score(docs, model, counts, proto)
+    return scored.select("doc_id", (toxicity.crc_part(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "attention_score")
+
+
 TREE = Tree.regular(3, 2, 4)
 
 
@@ -112,6 +121,7 @@ FROM v JOIN c ON c.node = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_sharding": op2_sharding,
     "op3_mixing": op3_mixing,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from loomspan.llm import text as T
 
@@ -194,9 +195,17 @@ def score(docs: DataFrame, model: ToxicityModel, options: ToxicityOptions = Toxi
 
     Their first and end count characters of the text from 0; end is after the last word.
     """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return with_score(rows, model, options).select("doc_id", F.col("_score").alias("score"), F.col("_offending").alias("offending"))
+
+
+def with_score(docs: DataFrame, model: ToxicityModel, options: ToxicityOptions = ToxicityOptions()) -> DataFrame:
+    """docs with _score and _offending, see score."""
     o = options
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
+    span = StructType([StructField("first", IntegerType()), StructField("end", IntegerType()), StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField("_score", DoubleType()), StructField("_offending", ArrayType(span))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -213,10 +222,9 @@ def score(docs: DataFrame, model: ToxicityModel, options: ToxicityOptions = Toxi
             begin = chars[at[s.row[hot]]]
             parts = pa.StructArray.from_arrays([pa.array((chars[s.first[hot]] - begin).astype(np.int32)), pa.array((chars[s.end[hot]] - begin).astype(np.int32)), pa.array(p[hot])], ["first", "end", "score"])
             lists = pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), parts).cast(kind)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores), lists], ["doc_id", "score", "offending"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), lists], [*batch.schema.names, "_score", "_offending"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, score double, offending array<struct<first:int,end:int,score:double>>")
+    return docs.mapInArrow(run, schema)
 
 
 def crc_part(parts: int) -> Column:
