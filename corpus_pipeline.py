@@ -1,3 +1,72 @@
-"""The stages of a corpus run: placeholder list until all of its operations are in."""
+"""The stages of a corpus run over documents: reject toxic texts, keep one of each near-duplicate group, mix, encode.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read again as the
+next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomspan.llm import pieces, toxicity
+from loomspan.llm.mixing import training_rows
+from loomspan.llm.near_duplicates import near_duplicates
+from loomspan.llm.queries import piece_model, table
+from loomspan.session import durable
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score stays below the threshold. Only labels of the training part are learned from.
+
+    Rows go by their own score: equal rows of one doc_id are scored alike.
+    """
+    options = toxicity.ToxicityOptions()
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), toxicity.crc_part(4) != 2, options)
+    scored = toxicity.with_score(docs, model, options)
+    return scored.where(F.col("_score") < options.predicted).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicate documents the one with the smallest doc_id; of equal rows of that id, one.
+
+    A document without words is linked with nothing and stays; so does one without doc_id.
+    """
+    marked = near_duplicates(docs).where("kept").select("doc_id").distinct()
+    known = docs.where("doc_id is not null").join(marked, "doc_id", "left_semi")
+    twice = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    once = known.join(twice, "doc_id", "left_anti")
+    first = known.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.select(*docs.columns).union(first.select(*docs.columns)).union(docs.where("doc_id is null"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, once for each time it takes them, in training order."""
+    return training_rows(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row's ids, and digests of the ids and of the text that they decode to."""
+    model = piece_model()
+    coded = pieces.encode(docs.select("doc_id", "source", "text"), model).drop("text")
+    return pieces.digests(pieces.decode(coded, model)).select("doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("sentencepiece", encode_pieces),
+]
+
+ORACLE_SQL = None  # trained scores and hashes of whole texts: tests compare each stage with a brute-force version
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = durable(docs, name)
+    return docs
