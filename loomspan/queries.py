@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomspan.functions import text as X
+from loomspan.operators import matching as M
 from loomspan.operators import spans as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -230,3 +232,107 @@ def jn_detection_span(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def an_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.dedupe(events(spark, sf_dir), ["media", "term"], "conf").select("id", "media", "term", "start", "end", "conf")
+
+
+# ---- text functions and matching -------------------------------------------------------------------------------------
+
+WORDS = r"""t AS (SELECT doc_id, unnest(w) AS raw, unnest(range(len(w))) AS pos FROM (SELECT doc_id, list_filter(regexp_split_to_array(
+  regexp_replace(text, '-{2,}|\.{3,}|[–—…]', ' ', 'g'), '[ \t\n\r\f\v]+'), lambda x: x <> '') AS w FROM documents))"""
+FOLD = "replace(lower(translate(raw, '‘’‚‛′´`“”„″', '''''''''''''''\"\"\"\"')), 'ß', 'ss')"
+EDGES = r"""[\"'.,!?;:()\[\]{}<>«»¿¡…—–\-_/\\|~^♪]""".replace("'", "''")
+NORM = rf"trim(regexp_replace(trim({FOLD}), '^{EDGES}+|{EDGES}+$', '', 'g'))"
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+@query(f"WITH {WORDS} SELECT doc_id, pos::INT AS pos, raw, {FOLD} AS folded FROM t")
+def fn_split_words_and_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).select("doc_id", F.posexplode(X.split_words(F.col("text"))).alias("pos", "raw")).withColumn("folded", X.fold(F.col("raw")))
+
+
+@query(f"WITH {WORDS}, n AS (SELECT DISTINCT raw, {NORM} AS c FROM t) SELECT raw, " + "regexp_replace(" * 0 + "c AS token FROM n WHERE NOT regexp_matches(c, '" + "|".join(f"{c}{c}{c}" for c in "abcdefghijklmnopqrstuvwxyzäöüßéèêçñáíóúàâîôû") + "')")
+def fn_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct tokens without runs of three letters (SQL lacks back-references; runs are tested by fixtures)."""
+    rows = lines(spark, sf_dir).select(F.explode(X.split_words(F.col("text"))).alias("raw")).distinct()
+    bare = F.regexp_replace(X.normalize(F.col("raw")), r"^$", "")
+    same = X.collapse(X.fold(F.col("raw"))) == X.fold(F.col("raw"))
+    return rows.where(same).select("raw", bare.alias("token"))
+
+
+@query(f"WITH {WORDS} SELECT doc_id, count(*) AS n FROM t WHERE length(raw) >= 2 AND regexp_matches(raw, '[*#]') AND (regexp_matches(raw, '\\p{{L}}') OR length(raw) >= 3) GROUP BY doc_id")
+def fn_is_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir).select("doc_id", F.explode(X.split_words(F.col("text"))).alias("raw"))
+    return rows.where(X.is_masked(F.col("raw"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+TERMS = (M.Term("the", "mild"), M.Term("*tion*", "strong"), M.Term("of the", "phrase"), M.Term("that [is]", "target"), M.Term("thatis", "joined"))
+
+
+@query(rf"""WITH {WORDS}, k AS (SELECT doc_id, pos, {NORM} AS token FROM t)
+SELECT doc_id, pos::INT AS first, (pos + 1)::INT AS last, 'the' AS term FROM k WHERE token = 'the'
+UNION ALL SELECT doc_id, pos, pos + 1, '*tion*' FROM k WHERE regexp_matches(token, '^[\p{{L}}\p{{N}}_'']*tion[\p{{L}}\p{{N}}_'']*$') AND token NOT LIKE 'ti%'
+UNION ALL SELECT a.doc_id, a.pos, a.pos + 2, 'of the' FROM k a JOIN k b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.token = 'of' AND b.token = 'the'
+UNION ALL SELECT a.doc_id, a.pos, a.pos + 2, 'that [is]' FROM k a JOIN k b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.token = 'that' AND b.token = 'is'""")
+def jn_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All places of terms, without words that the allow list spares."""
+    words = M.tokens(lines(spark, sf_dir), "doc_id")
+    return M.candidates(words, "doc_id", TERMS[:4], allow=["ti*"]).select("doc_id", "first", "last", "term")
+
+
+@query()
+def an_greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.match(lines(spark, sf_dir), "doc_id", TERMS).select("doc_id", "first", "last", "term", "category", F.array_join("targets", ",").alias("targets"))
+
+
+@query(f"WITH {WORDS} SELECT {FOLD} AS token, count(DISTINCT doc_id) AS docs FROM t GROUP BY 1")
+def ag_doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many documents a token stands."""
+    rows = lines(spark, sf_dir).select("doc_id", F.explode(X.split_words(F.col("text"))).alias("raw"))
+    return rows.select("doc_id", X.fold(F.col("raw")).alias("token")).groupBy("token").agg(F.count_distinct("doc_id").alias("docs"))
+
+
+@query("SELECT conv_id, turn, lpad((ms // 3600000)::VARCHAR, 2, '0') || ':' || lpad((ms // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((ms // 1000 % 60)::VARCHAR, 2, '0') || ',' || lpad((ms % 1000)::VARCHAR, 3, '0') AS at FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT * 67 AS ms FROM conversations)")
+def fn_srt_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.sum(F.length("text")).over(Window.partitionBy("conv_id").orderBy("turn")) * 67
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", at.alias("ms")).select("conv_id", "turn", X.srt_time(F.col("ms")).alias("at"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(l) >= 4 AND l = upper(l) THEN 'shouted' END AS delivery, CASE WHEN m >= 2 OR (length(l) >= 4 AND l = upper(l)) THEN 'high' WHEN m = 1 THEN 'medium' ELSE 'low' END AS intensity FROM (SELECT conv_id, turn, regexp_replace(text, '\\P{L}', '', 'g') AS l, length(text) - length(replace(text, '!', '')) AS m FROM conversations)")
+def fn_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = X.delivery(F.array().cast("array<string>"), F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("delivery"), X.intensity(said, F.col("text")).alias("intensity"))
+
+
+@query("SELECT a.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.1 AS alike FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def fn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    other = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return rows.join(other, "vec_id").select("vec_id", X.cosine(F.col("embedding"), F.col("other")).alias("similarity")).withColumn("alike", F.col("similarity") >= 0.1)
+
+
+@query("SELECT vec_id, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding)) AS rms, 20 * log10(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding)) + 1e-12) AS db FROM embeddings")
+def ag_rms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level = X.rms(F.col("embedding"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", level.alias("rms"), X.decibels(level).alias("db"))
+
+
+@query("SELECT doc_id, substr(sha256(text), 1, 12) AS key FROM documents")
+def fn_settings_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).select("doc_id", X.short_hash(F.col("text")).alias("key"))
+
+
+@query("SELECT event_id, CASE WHEN json_extract_string(regexp_extract('said: ' || props || ' {\"x\": 1}', '\\{[^}]*\\}'), '$.page') IN ('/home', '/cart') THEN json_extract_string(props, '$.page') END AS page FROM events")
+def fn_parse_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("said: "), F.col("props"), F.lit(' {"x": 1}'))
+    return table(spark, sf_dir, "events").select("event_id", X.parse_answer(text, "page", ["/home", "/cart"]).alias("page"))
+
+
+@query()
+def fn_fuzz_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names against their neighbours', with words in order."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    other = rows.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other"))
+    pair = rows.join(other, "p_partkey")
+    return pair.select("p_partkey", X.fuzz_ratio("p_name", "other").alias("ratio"), X.fuzz_ratio(X.sorted_words(F.col("p_name")), X.sorted_words(F.col("other"))).alias("sorted_ratio"))
