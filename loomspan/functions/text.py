@@ -63,7 +63,8 @@ def clean_text(text: Column) -> Column:
     """A subtitle's words: no tags, overrides, bracketed descriptions, song marks, dashes or speaker labels."""
     plain = F.regexp_replace(text, r"<[^>]*>|\{[^}]*\}", "")
     plain = F.regexp_replace(plain, r"\[[^\]]*\]|\([^)]*\)", "")
-    lines = F.transform(F.split(plain, "\n"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"^[\s#♪]+|[\s#♪]+$", ""), r"^[-–—]\s*|^\p{Lu}[\p{Lu}\d .']{1,30}:\s*", "")))
+    without = lambda x, *patterns: x if not patterns else without(F.regexp_replace(x, patterns[0], ""), *patterns[1:])
+    lines = F.transform(F.split(plain, "\n"), lambda x: F.trim(without(x, r"^[\s#♪]+|[\s#♪]+$", r"^[-–—]\s*", r"^\p{Lu}[\p{Lu}\d .']{1,30}:\s*")))
     return F.trim(F.regexp_replace(F.array_join(F.filter(lines, lambda x: x != ""), " "), r"\s+", " "))
 
 

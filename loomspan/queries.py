@@ -12,8 +12,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import text as X
+from loomspan.operators import context as C
 from loomspan.operators import matching as M
+from loomspan.operators import ranking as R
 from loomspan.operators import spans as S
+from loomspan.operators import sync as A
+from loomspan.sources import sinks as K
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -336,3 +340,137 @@ def fn_fuzz_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = rows.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other"))
     pair = rows.join(other, "p_partkey")
     return pair.select("p_partkey", X.fuzz_ratio("p_name", "other").alias("ratio"), X.fuzz_ratio(X.sorted_words(F.col("p_name")), X.sorted_words(F.col("other"))).alias("sorted_ratio"))
+
+
+# ---- alignment, ranking, decisions, evaluation, sinks ----------------------------------------------------------------
+
+CUES = """c AS (SELECT conv_id AS media, turn::INT AS cue, b - n AS a, b, role = 'system' AS lyrics, w, text FROM (SELECT *, length(text) AS n, len(list_filter(regexp_split_to_array(text, '[ \\n\\r\\t]+'), lambda x: x <> '')) AS w,
+  sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS b FROM conversations))"""
+
+
+def cue_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(media, cue, start, end, lyrics, n_words, text): turns on a timeline of their characters."""
+    rows = table(spark, sf_dir, "conversations")
+    end = F.sum(F.length("text")).over(Window.partitionBy("conv_id").orderBy("turn"))
+    words = F.size(F.filter(F.split("text", "[ \n\r\t]+"), lambda w: w != ""))
+    return rows.select(F.col("conv_id").alias("media"), F.col("turn").cast("int").alias("cue"), (end - F.length("text")).alias("start"), end.alias("end"), (F.col("role") == "system").alias("lyrics"), words.alias("n_words"), "text")
+
+
+@query(f"""WITH {CUES}, r AS (SELECT *, b / 100.0::DOUBLE - a / 100.0::DOUBLE AS len FROM c), f AS (SELECT *, NOT lyrics AND len BETWEEN 1 AND 7 AND w >= 4 AS s, NOT lyrics AND len BETWEEN 0.5 AND 10 AND w >= 2 AS x,
+  min(a / 100.0::DOUBLE) OVER (PARTITION BY media) AS lo, max(b / 100.0::DOUBLE) OVER (PARTITION BY media) AS hi FROM r), g AS (SELECT *, bool_or(s) OVER (PARTITION BY media) AS strict FROM f),
+k AS (SELECT *, least(2, floor((a / 100.0::DOUBLE - lo) / ((hi - lo) / 3)))::INT AS stretch FROM g WHERE CASE WHEN strict THEN s ELSE x END),
+o AS (SELECT *, row_number() OVER (PARTITION BY media, stretch ORDER BY w % 3 DESC, w DESC, cue) AS n FROM k) SELECT media, stretch, cue FROM o WHERE n = 1""")
+def an_anchor_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cue_rows(spark, sf_dir).withColumns({"start": F.col("start") / 100.0, "end": F.col("end") / 100.0, "n_rare": F.col("n_words") % 3})
+    return A.anchors(rows, 3).select("media", "stretch", "cue")
+
+
+@query(f"""WITH s AS (SELECT unnest([0,1,2,3,4,5,6,7,8]) AS i, unnest([{", ".join(map(repr, A.RATIOS))}]::DOUBLE[]) AS scale),
+p AS (SELECT l_suppkey AS k, l_linenumber * 50.0::DOUBLE AS x, l_linenumber * 52.135::DOUBLE + (l_partkey % 7) AS y FROM lineitem),
+q AS (SELECT *, count(*) OVER (PARTITION BY k) >= 3 AND max(x) OVER (PARTITION BY k) - min(x) OVER (PARTITION BY k) >= 60 AS free FROM p),
+r AS (SELECT k, i, scale, y - scale * x AS res FROM q JOIN s ON i = 0 OR free), o AS (SELECT k, i, scale, median(res) AS o FROM r GROUP BY 1, 2, 3),
+e AS (SELECT r.k, r.i, any_value(r.scale) AS scale, any_value(o.o) AS o, median(abs(res - o.o)) AS e FROM r JOIN o ON r.k = o.k AND r.i = o.i GROUP BY r.k, r.i),
+t AS (SELECT k, list_reduce(list(struct_pack(i := i, scale := scale, o := o, e := e) ORDER BY i), lambda b, c: CASE WHEN c.e < b.e - 0.05 THEN c ELSE b END) AS b FROM e GROUP BY k)
+SELECT k AS l_suppkey, round(b.scale, 6) AS scale, round(b.o, 4) AS "offset", round(b.e, 4) AS error FROM t""")
+def an_fit_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two noisy clocks: y runs 1.0427 times x; the nearest standard scale is found."""
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_linenumber") * 50.0).alias("x"), (F.col("l_linenumber") * 52.135 + F.col("l_partkey") % 7).alias("y"))
+    return A.fit(rows, ["l_suppkey"], "x", "y").select("l_suppkey", F.round("scale", 6).alias("scale"), F.round("offset", 4).alias("offset"), F.round("error", 4).alias("error"))
+
+
+@query("SELECT o_custkey, o_orderkey, k::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k <= 3")
+def srt_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.ranked(table(spark, sf_dir, "orders"), ["o_custkey"], F.desc("o_totalprice"), F.col("o_orderkey"), most=3).select("o_custkey", "o_orderkey", "rank")
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS k FROM orders WHERE o_orderstatus = 'F') WHERE k = 1")
+def srt_first_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").withColumn("cost", -F.col("o_totalprice"))
+    return R.first_usable(rows, ["o_custkey"], F.col("o_orderstatus") == "F", "o_orderpriority", "cost", "o_orderkey").select("o_custkey", "o_orderkey")
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey ROWS UNBOUNDED PRECEDING) AS s FROM orders) WHERE s <= 500000")
+def an_lru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders")
+    return R.keep_newest(rows, ["o_custkey"], "o_totalprice", 500000, F.desc("o_orderdate"), F.col("o_orderkey")).select("o_custkey", "o_orderkey")
+
+
+@query("SELECT p_partkey, (CASE WHEN p_size = 1 THEN 40 ELSE 0 END + p_size / 10.0 + CASE WHEN p_partkey % 100 = 0 THEN 5 ELSE 0 END + least(5.0, log10(1 + p_retailprice)))::DOUBLE AS score FROM part")
+def srt_score_online(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = R.online_score(F.col("p_size") == 1, F.col("p_size") / 10.0, F.col("p_partkey") % 100, F.col("p_retailprice"))
+    return table(spark, sf_dir, "part").select("p_partkey", score.cast("double").alias("score"))
+
+
+@query(f"WITH {CUES}, d AS (SELECT media, cue, CASE WHEN cue % 3 = 0 THEN '' ELSE text END AS t FROM c) SELECT media, cue, last_value(nullif(t, '') IGNORE NULLS) OVER (PARTITION BY media ORDER BY cue ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous, first_value(nullif(t, '') IGNORE NULLS) OVER (PARTITION BY media ORDER BY cue ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS following FROM d")
+def an_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cue_rows(spark, sf_dir).withColumn("text", F.when(F.col("cue") % 3 == 0, "").otherwise(F.col("text")))
+    return C.neighbours(rows, ["media"], "cue", "text").select("media", "cue", "previous", "following")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(lower(text), '[ \n\r\t]+'), lambda x: x <> '')) AS w FROM conversations),
+a AS (SELECT conv_id, w, count(*) AS n FROM t WHERE turn % 2 = 0 GROUP BY 1, 2), b AS (SELECT conv_id, w, count(*) AS n FROM t WHERE turn % 2 = 1 GROUP BY 1, 2)
+SELECT a.conv_id, sum(least(a.n, coalesce(b.n, 0))) / sum(a.n) AS share FROM a LEFT JOIN b ON a.conv_id = b.conv_id AND a.w = b.w GROUP BY a.conv_id""")
+def jn_heard_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of the even turns' words is in the odd turns."""
+    words = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.filter(F.split(F.lower("text"), "[ \n\r\t]+"), lambda w: w != "")).alias("w"))
+    return C.share_of(words.where("turn % 2 = 0"), words.where("turn % 2 = 1"), ["conv_id"], "w")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size = 50 THEN 'profane' WHEN p_size % 2 = 0 THEN 'profane' WHEN p_size % 7 = 0 THEN 'unsure' WHEN p_size % 11 = 0 THEN 'unsure' WHEN r >= 0.5 THEN 'profane' WHEN p_size % 13 = 0 THEN 'unsure' WHEN p_size % 5 = 0 THEN 'unsure'
+ WHEN p_size % 3 = 0 AND r < 0.3 THEN 'harmless' WHEN p_size % 3 = 0 THEN 'unsure' WHEN p_size % 3 = 1 THEN 'profane' ELSE 'unsure' END AS use FROM (SELECT *, (p_partkey % 10) / 10.0 AS r FROM part)""")
+def dt_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, rude = F.col("p_size"), (F.col("p_partkey") % 10) / 10.0
+    answer = F.when(n % 3 == 0, "harmless").when(n % 3 == 1, "profane").otherwise("unsure")
+    out = C.verdict(n == 50, n % 2 != 0, n % 7 != 0, n % 11 != 0, rude, n % 13 != 0, answer, F.lit(True), n % 5 != 0)
+    return table(spark, sf_dir, "part").select("p_partkey", out["use"].alias("use"))
+
+
+@query("SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size > 25 THEN 'classifier' END, CASE WHEN p_size % 2 = 0 THEN 'phrase' END, CASE WHEN p_size % 5 = 0 THEN 'sound' END], lambda x: x IS NOT NULL), ',') AS evidence FROM part")
+def dt_sexual_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_size")
+    signs = C.evidence(("classifier", n > 25), ("phrase", n % 2 == 0), ("sound", n % 5 == 0))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(signs, ",").alias("evidence"))
+
+
+@query("SELECT d.lang, count(*) AS n, count(*) FILTER (toxic = 1 AND quality = 1) / nullif(count(*) FILTER (quality = 1), 0) AS precision, count(*) FILTER (toxic = 1 AND quality = 1) / nullif(count(*) FILTER (toxic = 1), 0) AS recall, count(*) FILTER (quality = 1 AND toxic = 0) AS false_flags FROM labels l JOIN documents d ON d.doc_id = l.doc_id GROUP BY d.lang")
+def ag_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return C.confusion(rows, ["lang"], F.col("toxic") == 1, F.col("quality") == 1)
+
+
+@query(f"""WITH {SIDES}, c AS (SELECT f.id, f.media, f.b - f.a AS len, sum(CASE WHEN d.id IS NULL THEN 0 ELSE least(f.b, d.b) - greatest(f.a, d.a) END) AS shared FROM f LEFT JOIN d ON d.media = f.media AND d.a < f.b AND f.a < d.b GROUP BY ALL)
+SELECT media, count(*) AS n, count(*) FILTER (len > 0 AND shared >= 0.95 * len) AS covered, count(*) FILTER (len > 0 AND shared >= 0.5 * len) AS partly, sum(len)::BIGINT AS seconds FROM c GROUP BY media""")
+def ag_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Truth spans covered by found ones, in full and by half."""
+    truth, found = two_sides(spark, sf_dir)
+    shared = S.overlap_join(truth, found, ["media"], BIN).groupBy("id").agg(F.sum(F.least("end", "r_end") - F.greatest("start", "r_start")).alias("shared"))
+    rows = truth.join(shared, "id", "left").withColumns({"len": F.col("end") - F.col("start"), "shared": F.coalesce("shared", F.lit(0))})
+    by = lambda part: F.count_if((F.col("len") > 0) & (F.col("shared") >= part * F.col("len")))
+    return rows.groupBy("media").agg(F.count(F.lit(1)).alias("n"), by(0.95).alias("covered"), by(0.5).alias("partly"), F.sum("len").alias("seconds"))
+
+
+@query(f"WITH {EV} SELECT term, median(b - a) AS middle, (quantile_disc(b - a, 0.5))::BIGINT AS low_middle, max_by(b - a, abs(conf - 30))::BIGINT AS worst, count(*) FILTER (conf > 50) AS strong FROM e GROUP BY term")
+def ag_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir).withColumn("d", F.col("end") - F.col("start"))
+    return rows.groupBy("term").agg(F.median("d").alias("middle"), F.expr("percentile_disc(0.5) within group (order by d)").cast("long").alias("low_middle"), F.max_by("d", F.abs(F.col("conf") - 30)).alias("worst"), F.count_if(F.col("conf") > 50).alias("strong"))
+
+
+@query(f"WITH {EV} SELECT media, sum(b - a)::BIGINT AS audio, sum(b - a) / 2592000000000.0 AS coverage, count(*) FILTER (term = 'click') AS click, count(*) FILTER (term = 'view') AS viewed, 2 * count(*) FILTER (term = 'purchase') < count(*) AND count(*) >= 3 AS escalate FROM e GROUP BY media")
+def ag_audio_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length, coverage and counts by reason of each media's spans, and whether too few are confirmed."""
+    n = F.count(F.lit(1))
+    of = lambda term: F.count_if(F.col("term") == term)
+    total = F.sum(F.col("end") - F.col("start"))
+    return events(spark, sf_dir).groupBy("media").agg(total.alias("audio"), (total / 2592000000000.0).alias("coverage"), of("click").alias("click"), of("view").alias("viewed"), ((2 * of("purchase") < n) & (n >= 3)).alias("escalate"))
+
+
+@query(f"""WITH {EV}, p AS (SELECT *, (a // 1000) / 1000.0 AS s, (b // 1000) / 1000.0 AS t FROM e WHERE media < 20 AND b > a) SELECT media, string_agg(printf('%.3f', s::DOUBLE) || chr(9) || printf('%.3f', t::DOUBLE) || chr(9) || '1' || chr(10), '' ORDER BY s, t) AS content FROM p GROUP BY media""")
+def snk_edl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir).where("media < 20 and end > start").select("media", (F.expr("start div 1000") / 1e3).alias("start"), (F.expr("end div 1000") / 1e3).alias("end"))
+    return K.edit_list(rows)
+
+
+@query(f"""WITH {EV} SELECT id, a / 1000000.0::DOUBLE AS start, coalesce(lag(b) OVER (PARTITION BY media ORDER BY a, b, id), 0) / 1000000.0::DOUBLE AS previous, least(0.01, (b - a) / 3000000.0::DOUBLE) AS fade FROM e""")
+def an_command_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir).select("id", "media", (F.col("start") / 1e6).alias("start"), (F.col("end") / 1e6).alias("end"))
+    return K.mute_commands(rows).select("id", "start", "previous", "fade")
