@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import text as X
 from loomspan.operators import context as C
+from loomspan.operators import lines as L
 from loomspan.operators import matching as M
+from loomspan.operators import media as D
 from loomspan.operators import ranking as R
 from loomspan.operators import spans as S
 from loomspan.operators import sync as A
@@ -474,3 +476,123 @@ def snk_edl(spark: SparkSession, sf_dir: str) -> DataFrame:
 def an_command_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).select("id", "media", (F.col("start") / 1e6).alias("start"), (F.col("end") / 1e6).alias("end"))
     return K.mute_commands(rows).select("id", "start", "previous", "fade")
+
+
+# ---- lines, cached spans, media --------------------------------------------------------------------------------------
+
+
+@query(f"WITH {EV}, p AS (SELECT id, a - (SELECT min(a) FROM e) AS a, b - (SELECT min(a) FROM e) AS b FROM e), g AS (SELECT id, 1.001::DOUBLE * a + 2500000.0::DOUBLE AS x, 1.001::DOUBLE * b + 2500000.0::DOUBLE AS y FROM p) SELECT id, round(x)::BIGINT AS start, round(y)::BIGINT AS \"end\" FROM g")
+def prj_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir)
+    first = rows.agg(F.min("start").alias("zero"))
+    rows = rows.join(F.broadcast(first))  # one row
+    at = lambda c: F.round(L.to_media(F.col(c) - F.col("zero"), F.lit(1.001), F.lit(2500000.0))).cast("long")
+    return rows.select("id", at("start").alias("start"), at("end").alias("end"))
+
+
+@query(f"WITH {EV}, m AS (SELECT id, a % 1000 AS lo, a % 1000 + (b - a) % 500 AS hi FROM e), g AS (SELECT *, lo - greatest(300 - (hi - lo), 0) / 2.0::DOUBLE AS l1, greatest(hi - lo, 300) AS n FROM m), h AS (SELECT id, greatest(l1, 0) AS l2, l1 + n + greatest(-l1, 0) AS h2 FROM g) SELECT id, greatest(l2 - greatest(h2 - 1100, 0), 0)::DOUBLE AS start, least(h2, 1100)::DOUBLE AS \"end\" FROM h")
+def prj_grow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of a least length, shifted at the edges."""
+    rows = events(spark, sf_dir).select("id", (F.col("start") % 1000).alias("lo"), ((F.col("end") - F.col("start")) % 500).alias("n"))
+    low, high = L.grow(F.col("lo"), F.col("lo") + F.col("n"), 300, F.lit(1100))
+    return rows.select("id", low.cast("double").alias("start"), high.cast("double").alias("end"))
+
+
+@query(f"WITH {EV}, d AS (SELECT * FROM e WHERE term = 'click'), f AS (SELECT media, a - 60000000 AS a, b + 60000000 AS b FROM e WHERE term = 'purchase') SELECT id FROM d WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.media = d.media AND f.a <= (d.a + d.b) / 2.0 AND (d.a + d.b) / 2.0 <= f.b)")
+def jn_uncovered_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir)
+    return L.uncovered_words(rows.where("term = 'click'"), rows.where("term = 'purchase'"), ["media"], "id", 60 * SECOND, BIN).select("id")
+
+
+@query(f"WITH {EV}, f AS (SELECT * FROM e WHERE term = 'purchase'), w AS (SELECT media, a, b, (a + b) / 2.0 AS m FROM e WHERE term = 'click'), g AS (SELECT f.id, min(w.a) AS x, max(w.b) AS y FROM f JOIN w ON w.media = f.media AND w.m BETWEEN f.a - 60000000 AND f.b + 60000000 GROUP BY f.id) SELECT f.id, g.x IS NOT NULL AS heard, coalesce(g.x, f.a) AS start, coalesce(g.y, f.b) AS \"end\" FROM f LEFT JOIN g ON g.id = f.id")
+def jn_line_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir)
+    return L.line_words(rows.where("term = 'purchase'"), rows.where("term = 'click'"), ["media"], "id", 60 * SECOND, BIN).select("id", "heard", "start", "end")
+
+
+@query(f"WITH {SIDES}, s AS (SELECT f.id, list_distinct(list(d.id::VARCHAR)) AS l FROM f JOIN d ON d.media = f.media AND d.a < f.b AND f.a < d.b GROUP BY f.id) SELECT f.id, coalesce(len(s.l), 0)::INT AS n FROM f LEFT JOIN s ON s.id = f.id UNION ALL SELECT NULL, 1 FROM d WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.media = d.media AND d.a < f.b AND f.a < d.b)")
+def jn_cue_sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cues, found = two_sides(spark, sf_dir)
+    cues = cues.withColumns({c: F.col(c).cast("double") for c in ("start", "end")})
+    sounds = found.select("media", F.col("r_id").alias("sound_id"), F.col("r_start").cast("double").alias("r_start"), F.col("r_end").cast("double").alias("r_end"), F.col("r_id").cast("string").alias("sound"))
+    return L.with_sounds(cues, sounds, ["media"], "id", BIN).select("id", F.size("sounds").alias("n"))
+
+
+@query(f"WITH {EV}, w AS (SELECT *, lag(b) OVER (PARTITION BY media ORDER BY a, b, id) AS l, lag(term) OVER (PARTITION BY media ORDER BY a, b, id) AS t FROM e), g AS (SELECT *, sum((l IS NULL OR a - l >= {86400 * SECOND} OR t LIKE '%e')::INT) OVER (PARTITION BY media ORDER BY a, b, id ROWS UNBOUNDED PRECEDING) AS s FROM w) SELECT media, min(a) AS start, arg_max(b, (a, b, id)) AS \"end\", string_agg(term, ' ' ORDER BY a, b, id) AS text, count(*) AS n FROM g GROUP BY media, s")
+def m11_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences end after words that end in e, or with a day's pause."""
+    return L.sentences(events(spark, sf_dir).withColumnRenamed("term", "text"), ["media"], 86400 * SECOND, "id", r"e$")
+
+
+@query(f"WITH {EV} SELECT id, (lag(b) OVER w + a) / 2.0::DOUBLE AS keep_from, (b + lead(a) OVER w) / 2.0::DOUBLE AS keep_to FROM e WHERE b > a WINDOW w AS (PARTITION BY media ORDER BY a, b)")
+def an_overlap_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.middles(events(spark, sf_dir).where("end > start"), ["media"]).select("id", "keep_from", "keep_to")
+
+
+@query(f"WITH {EV}, w AS (SELECT * FROM e WHERE term = 'view' AND b > a), s AS (SELECT * FROM e WHERE term <> 'view') SELECT w.id, greatest(w.a, s.a) AS start, least(w.b, s.b) AS \"end\" FROM w JOIN s ON s.media = w.media AND w.a < s.b AND s.a < w.b")
+def jn_cache_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir)
+    return L.cached(rows.where("term = 'view' and end > start"), rows.where("term <> 'view'"), ["media"], "id", BIN)[0].select("id", "start", "end")
+
+
+@query(f"WITH {EV}, w AS (SELECT * FROM e WHERE term = 'view'), s AS (SELECT * FROM e WHERE term <> 'view') SELECT w.id, (SELECT min(s.id) FROM s WHERE s.media = w.media AND s.a <= w.a + 1000 AND s.b >= w.b - 1000 AND s.a <= w.b AND w.a <= s.b) AS source FROM w")
+def jn_cache_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir)
+    return L.containing(rows.where("term = 'view'"), rows.where("term <> 'view'"), ["media"], "id", BIN, 1000, "id").select("id", "source")
+
+
+@query("WITH n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) SELECT o_custkey, o_orderkey FROM n WHERE n <= 5 OR list_contains(list_transform(range(5), lambda k: round_even(k * (n - 1) / 4.0::DOUBLE, 0)), i::DOUBLE)")
+def an_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.evenly(table(spark, sf_dir, "orders"), ["o_custkey"], 5, "o_orderkey").select("o_custkey", "o_orderkey")
+
+
+@query(merged_sql("a - reached >= 50000").replace(f"WITH {EV}", f"WITH {EV.replace('e AS (', 'e0 AS (')}, e AS (SELECT id, media, a, greatest(b, a + 60000) AS b FROM e0)"))
+def m7_normalize_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.normalized(events(spark, sf_dir), ["media"], 50000, 60000)
+
+
+@query("SELECT c_custkey, CASE WHEN c_nationkey % 4 <> 0 THEN CASE WHEN c_nationkey % 5 = 0 THEN 50 WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 100 END + CASE WHEN c_nationkey % 3 = 0 THEN 10 ELSE 0 END + 1 END AS score FROM customer")
+def flt_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("c_nationkey")
+    language = F.when(n % 5 != 0, F.col("c_mktsegment"))
+    score = D.candidate_score(language, ["BUILDING", "MACHINERY"], n % 4 == 0, n % 3 == 0, True, F.lit(1))
+    return table(spark, sf_dir, "customer").select("c_custkey", score.alias("score"))
+
+
+@query("SELECT p_partkey, (CASE WHEN lower(p_brand) = lower(b) THEN 10 ELSE 0 END + CASE WHEN lower(p_type) = lower(t) THEN 5 ELSE 0 END)::INT AS score FROM (SELECT *, lead(p_brand) OVER (ORDER BY p_partkey) AS b, lead(p_type) OVER (ORDER BY p_partkey) AS t FROM part)")
+def ag_release_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part")
+    other = rows.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_brand").alias("b"), F.col("p_type").alias("t"))
+    score = D.release_similarity([(F.col("p_brand"), F.col("b"), 10), (F.col("p_type"), F.col("t"), 5)])
+    return rows.join(other, "p_partkey", "left").select("p_partkey", score.alias("score"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'size' WHEN o_orderstatus <> 'F' THEN 'hash' WHEN o_orderpriority LIKE '1%' THEN 'duration' END AS differs FROM orders")
+def flt_report_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = D.mismatch(("size", F.col("o_totalprice") > 200000), ("hash", F.col("o_orderstatus") != "F"), ("duration", F.col("o_orderpriority").startswith("1")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", found.alias("differs"))
+
+
+@query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) > 1 AS clash FROM orders")
+def jn_clash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws("/", "o_custkey", "o_orderpriority").alias("output"), F.col("o_orderkey").alias("order"))
+    return D.clashes(rows).select("o_orderkey", "clash")
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, c_acctbal + 1 FROM customer WHERE c_custkey % 3 = 0")
+def set_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    return R.upsert(rows, rows.where("c_custkey % 3 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1), ["c_custkey"])
+
+
+@query("SELECT DISTINCT n_name AS name FROM nation EXCEPT SELECT upper(r_name) FROM region")
+def set_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
+    return names.subtract(table(spark, sf_dir, "region").select(F.upper("r_name").alias("name")))
+
+
+@query(f"WITH {EV} SELECT media, array_to_string(list_sort(list_distinct(list(term))), ',') AS reasons, count(*) FILTER (term IN ('click', 'view')) > 0 AS strong FROM e GROUP BY media")
+def flt_strong(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sorted distinct reasons of each media, and whether a strong one is among them."""
+    rows = events(spark, sf_dir).groupBy("media").agg(F.array_sort(F.collect_set("term")).alias("r"))
+    return rows.select("media", F.array_join("r", ",").alias("reasons"), F.arrays_overlap("r", F.array(F.lit("click"), F.lit("view"))).alias("strong"))
