@@ -30,6 +30,9 @@ from loomspan.llm.graph import components
 from loomspan.session import durable
 
 
+CHUNK = 1 << 20  #: bytes of text that a task works on at once
+
+
 @dataclass(frozen=True)
 class NearDuplicateOptions:
     shingle_words: int = 5
@@ -92,7 +95,7 @@ def sketch(docs: DataFrame, options: NearDuplicateOptions) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(options)
-        for batch in T.chunks(batches):
+        for batch in T.chunks(batches, CHUNK):
             sets, digests = shingle_sets(batch.column("text"), options.shingle_words)
             bands = [signer.bands(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -104,15 +107,18 @@ def sketch(docs: DataFrame, options: NearDuplicateOptions) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) of the given documents, written once: what follows shuffles these texts only, not the corpus."""
-    return durable(docs.join(ids.distinct(), "doc_id", "left_semi").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "texts")
+    """(doc_id, text) of the given documents, written once: what follows shuffles these texts only, not the corpus.
+
+    The ids are the built side of a hashed join, so the corpus is not sorted. Nothing is broadcast, at any size.
+    """
+    return durable(docs.join(ids.distinct().hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "texts")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, options: NearDuplicateOptions) -> DataFrame:
     """The pairs (a, b) of documents whose full shingle sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in T.chunks(batches, column="text_b"):
+        for batch in T.chunks(batches, CHUNK, "text_b"):
             code = batch.column("text_a").dictionary_encode()  # the rows of one centre stand together; its set is made once
             distinct, _ = shingle_sets(code.dictionary, options.shingle_words)
             first = [distinct[i] for i in code.indices.to_pylist()]
@@ -129,8 +135,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, options: NearDuplicateOptions) ->
 
     texts = texts_of(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))))
     return (
-        pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+        pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
+        .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
         .select("a", "b", "text_a", "text_b")
         .mapInArrow(run, "a long, b long")
         .distinct()
