@@ -103,3 +103,61 @@ def detections(matches: DataFrame, words: DataFrame, keys: Sequence[str]) -> Dat
     return rows.groupBy(*keys, "first", "term", "category", "run").agg(
         F.min_by("start", "pos").alias("start"), F.greatest(F.max_by("end", "pos"), F.min_by("start", "pos")).alias("end"), heard.alias("heard"), F.min("probability").alias("confidence")
     ).drop("run")
+
+
+#: fixed values: endings tried when a masked token is compared with a listed word
+ENDINGS = ("", "s", "es", "ed", "er", "ers", "ing", "in", "y", "ty", "head", "hole")
+
+
+def samples(terms: Sequence[Term]) -> list[tuple[int, str, str]]:
+    """(category order, category, sample) of single-word terms: their letters with each ending."""
+    order = {c: i for i, c in enumerate(dict.fromkeys(t.category for t in terms))}
+    cores = {(order[t.category], t.category, t.text.strip("*[]").lower()) for t in terms if " " not in t.text}
+    return sorted({(i, c, core + end) for i, c, core in cores if core for end in ENDINGS})
+
+
+def masked_categories(words: DataFrame, terms: Sequence[Term], marks: str = "[*#]", unknown: str = "masked") -> DataFrame:
+    """(token, category) of distinct masked tokens: the first category with a word that the token may hide.
+
+    A mask stands for as many letters as it has marks; where no sample fits so, for any number. Tokens of marks alone, and
+    those that fit no sample, get the category for unknown words.
+    """
+    spark = words.sparkSession
+    tokens = words.select("token").where(T.is_masked(F.col("token"), marks)).distinct()
+    quoted = F.regexp_replace("token", r"([^\p{L}\p{N}*#])", r"\\$1")
+    exact = F.concat(F.lit("^"), F.regexp_replace(quoted, r"[*#]", r"[\\p{L}\\p{N}_']"), F.lit("$"))
+    loose = F.concat(F.lit("^"), F.regexp_replace(quoted, r"[*#]+", r"[\\p{L}\\p{N}_']*"), F.lit("$"))
+    known = F.broadcast(spark.createDataFrame(samples(terms), "category_order int, category string, sample string"))  # a word list
+    named = tokens.where(F.rlike("token", F.lit(r"\p{L}"))).withColumns({"_exact": exact, "_loose": loose})
+    hits = named.join(known, F.substr("sample", F.lit(1), F.lit(1)) == F.substr("token", F.lit(1), F.lit(1)))
+    lead = named.where(~F.rlike("token", F.lit(r"^\p{L}"))).join(known, F.rlike("sample", F.col("_loose")))
+    fits = hits.where(F.rlike("sample", F.col("_loose"))).unionByName(lead)
+    rank = F.struct(~F.rlike("sample", F.col("_exact")), "category_order")
+    best = fits.groupBy("token").agg(F.min_by("category", rank).alias("category"))
+    return tokens.join(best, "token", "left").select("token", F.coalesce("category", F.lit(unknown)).alias("category"))
+
+
+def hints(words: DataFrame, id: str, patterns: Sequence[str]) -> DataFrame:
+    """(id, pos): where a hint stands, each place once."""
+    found = candidates(words, id, [Term(p, "hint") for p in patterns])
+    return found.select(id, F.col("first").alias("pos")).distinct()
+
+
+def flag_cues(lines: DataFrame, id: str, terms: Sequence[Term], hint_words: Sequence[str], text: str = "text") -> DataFrame:
+    """(id, reasons): lines with a listed, masked or hint word; sorted distinct reasons."""
+    words = tokens(lines, id, text)
+    listed = greedy(candidates(words, id, terms), id).select(id, F.lit("lexicon").alias("reason"))
+    masked = words.where(T.is_masked(F.col("token"))).select(id, F.lit("masked").alias("reason"))
+    hinted = hints(words, id, hint_words).select(id, F.lit("hint").alias("reason"))
+    return listed.union(masked).union(hinted).groupBy(id).agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
+
+
+def substitutes(found: DataFrame, replacements: DataFrame, crowded: Column) -> DataFrame:
+    """found (term, ...) with substitute and reason: the first rule that fails says why there is none.
+
+    replacements: (term, substitute), one row a term, in small letters.
+    """
+    known = replacements.select(F.lower("term").alias("_term"), "substitute")
+    rows = found.withColumn("_term", F.lower("term")).join(known, "_term", "left").drop("_term")
+    reason = F.when(F.col("substitute").isNull(), "no substitute").when(crowded, "another word in the span")
+    return rows.withColumn("reason", reason).withColumn("substitute", F.when(reason.isNull(), F.col("substitute")))

@@ -57,3 +57,51 @@ def fit(pairs: DataFrame, keys: Sequence[str], x: str, y: str, span: float = 60,
 def decision(matched: Column, tried: Column, error: Column, fidelity: Column, least: float = 0.5, most: float = 0.5, faithful: float = 0.6) -> Column:
     """Null if a candidate passes, else the first reason why not."""
     return F.when(matched < least * tried, "unmatched").when(error > most, "timing").when(fidelity < faithful, "wording")
+
+
+def best_window(anchors_: DataFrame, words: DataFrame, keys: Sequence[str], id: str, most: int = 12) -> DataFrame:
+    """(keys, id, score, heard_at): the run of heard words most like each anchor's text.
+
+    anchors_: keys, id, text, low, high (search span), n_words; words: keys, pos, start, token. Runs have the anchor's
+    number of words, give or take one, and begin in its span; the first of the best wins.
+    """
+    from loomspan.functions.text import fuzz_ratio
+
+    ahead = Window.partitionBy(*keys).orderBy("pos").rowsBetween(0, most - 1)
+    runs = words.withColumn("_run", F.collect_list("token").over(ahead)).select(*keys, "pos", F.col("start").alias("_at"), "_run")
+    size = 30
+    left = anchors_.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("low") / size), F.floor(F.col("high") / size))))
+    right = runs.withColumn("_bin", F.floor(F.col("_at") / size))
+    pairs = left.join(right, [*keys, "_bin"]).where((F.col("_at") >= F.col("low")) & (F.col("_at") <= F.col("high")))
+    pairs = pairs.withColumn("_n", F.explode(F.array(*(F.least(F.greatest(F.col("n_words") + k, F.lit(1)), F.lit(most)) for k in (0, -1, 1)))))
+    said = F.array_join(F.slice("_run", 1, F.col("_n")), " ")
+    scored = pairs.withColumn("score", fuzz_ratio(F.col("text"), said))
+    best = scored.groupBy(*keys, id).agg(F.max_by(F.struct("score", F.col("_at").alias("heard_at")), F.struct("score", -F.col("pos"))).alias("_b"))
+    return best.select(*keys, id, "_b.score", "_b.heard_at")
+
+
+def track(anchors_: DataFrame, runs: DataFrame, key: str, reach: float, tightened: float, threshold: float = 75) -> DataFrame:
+    """(key, cue, heard_at): anchors in order of time, each searched around where the offset so far puts it.
+
+    anchors_: key, cue, start; runs: key, cue, at, score: how like each cue the words at a time are. One group is one
+    candidate file: a few anchors and their runs, so it fits in a task. The search narrows after the first match.
+    """
+    import pandas as pd
+
+    both = anchors_.select(key, "cue", "start", F.lit(None).cast("double").alias("at"), F.lit(None).cast("double").alias("score")).unionByName(runs.select(key, "cue", F.lit(None).cast("double").alias("start"), "at", "score"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        offset, span, out = 0.0, reach, []
+        marks = rows[rows.start.notna()].sort_values(["start", "cue"])
+        for cue, start in marks[["cue", "start"]].itertuples(index=False):
+            near = rows[(rows.cue == cue) & rows["at"].notna() & ((rows["at"] - start - offset).abs() <= span) & (rows.score >= threshold)]
+            if near.empty:
+                continue
+            hit = near.sort_values(["score", "at"], ascending=[False, True]).iloc[0]
+            out.append((rows[key].iloc[0], cue, hit["at"]))
+            gaps = sorted(at - marks.loc[marks.cue == c, "start"].iloc[0] for _, c, at in out)
+            offset, span = float(pd.Series(gaps).median()), tightened
+        return pd.DataFrame(out, columns=[key, "cue", "heard_at"])
+
+    kind = anchors_.schema[key].dataType.simpleString()
+    return both.groupBy(key).applyInPandas(run, f"{key} {kind}, cue int, heard_at double")

@@ -106,3 +106,30 @@ def test_streams(spark, tmp_path):
     for part in ("x", "y"):
         append_missing(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", "start", f"{tmp_path}/c{part}").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 4
+
+
+def test_masked_categories_and_flags(spark):
+    terms = (M.Term("damn", "mild"), M.Term("*fuck*", "strong"), M.Term("hell", "mild"))
+    words = spark.createDataFrame([("d**n",), ("f***ing",), ("h***",), ("***",), ("hello",), ("z**",)], "token string")
+    got = {r.token: r.category for r in M.masked_categories(words, terms).collect()}
+    assert got == {"d**n": "mild", "f***ing": "strong", "h***": "mild", "***": "masked", "z**": "masked"}
+    lines = spark.createDataFrame([(1, "what the hell"), (2, "oh f***"), (3, "freaking hell"), (4, "fine")], "id int, text string")
+    flags = {r.id: r.reasons for r in M.flag_cues(lines, "id", terms, ["freak*"]).collect()}
+    assert flags == {1: ["lexicon"], 2: ["masked"], 3: ["hint", "lexicon"]}
+    swaps = spark.createDataFrame([("hell", "heck")], "term string, substitute string")
+    found = spark.createDataFrame([("Hell", False), ("hell", True), ("damn", False)], "term string, crowded boolean")
+    got = sorted((r.term, r.substitute, r.reason) for r in M.substitutes(found, swaps, F.col("crowded")).collect())
+    assert got == [("Hell", "heck", None), ("damn", None, "no substitute"), ("hell", None, "another word in the span")]
+
+
+def test_anchor_search_and_track(spark):
+    from loomspan.operators import sync as A
+
+    said = "one two three four five six seven".split()
+    words = spark.createDataFrame([("m", i, 10.0 + i, w) for i, w in enumerate(said)], "media string, pos int, start double, token string")
+    asked = spark.createDataFrame([("m", 1, "three four five", 0.0, 40.0, 3)], "media string, cue int, text string, low double, high double, n_words int")
+    best = A.best_window(asked, words, ["media"], "cue").first()
+    assert (best.score, best.heard_at) == (100.0, 12.0)
+    anchors = spark.createDataFrame([("m", 1, 0.0), ("m", 2, 100.0), ("m", 3, 200.0)], "media string, cue int, start double")
+    runs = spark.createDataFrame([("m", 1, 15.0, 90.0), ("m", 2, 114.0, 80.0), ("m", 2, 100.0, 99.0), ("m", 3, 216.0, 70.0)], "media string, cue int, at double, score double")
+    assert sorted((r.cue, r.heard_at) for r in A.track(anchors, runs, "media", 20, 3).collect()) == [(1, 15.0), (2, 114.0)]
