@@ -11,15 +11,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomspan.functions import masking as W
 from loomspan.functions import text as X
 from loomspan.operators import context as C
 from loomspan.operators import lines as L
 from loomspan.operators import matching as M
 from loomspan.operators import media as D
 from loomspan.operators import ranking as R
+from loomspan.operators import signals as G
 from loomspan.operators import spans as S
 from loomspan.operators import sync as A
+from loomspan.plans.scan import scan
 from loomspan.sources import sinks as K
+from loomspan.sources import subtitles as Q
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -596,3 +600,124 @@ def flt_strong(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sorted distinct reasons of each media, and whether a strong one is among them."""
     rows = events(spark, sf_dir).groupBy("media").agg(F.array_sort(F.collect_set("term")).alias("r"))
     return rows.select("media", F.array_join("r", ",").alias("reasons"), F.arrays_overlap("r", F.array(F.lit("click"), F.lit("view"))).alias("strong"))
+
+
+# ---- more of matching, masking, sources and signals ------------------------------------------------------------------
+
+
+@query(rf"WITH {WORDS}, k AS (SELECT doc_id, pos, {NORM} AS token FROM t) SELECT DISTINCT doc_id, pos::INT AS pos FROM k WHERE regexp_matches(token, '^th[\p{{L}}\p{{N}}_'']*$') OR token = 'of'")
+def jn_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.hints(M.tokens(lines(spark, sf_dir), "doc_id"), "doc_id", ["th*", "of"]).select("doc_id", "pos")
+
+
+@query()
+def jn_masked_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which listed word a masked token may stand for."""
+    return M.masked_categories(M.tokens(lines(spark, sf_dir), "doc_id"), TERMS)
+
+
+@query()
+def dt_flag_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = M.flag_cues(lines(spark, sf_dir), "doc_id", TERMS[:2], ["whnt*"])
+    return rows.select("doc_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("SELECT page_id, trim(regexp_replace(list_aggregate(list_filter(list_transform(string_split(regexp_replace(regexp_replace(html, '<[^>]*>|\\{[^}]*\\}', '', 'g'), '\\[[^\\]]*\\]|\\([^)]*\\)', '', 'g'), chr(10)), lambda x: trim(regexp_replace(regexp_replace(regexp_replace(x, '^[\\s#♪]+|[\\s#♪]+$', '', 'g'), '^[-–—]\\s*', ''), '^\\p{Lu}[\\p{Lu}\\d .'']{1,30}:\\s*', ''))), lambda x: x <> ''), 'string_agg', ' '), '\\s+', ' ', 'g')) AS text FROM pages")
+def fn_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of marked-up pages, line by line."""
+    return table(spark, sf_dir, "pages").select("page_id", F.nullif(X.clean_text(F.col("html")), F.lit("")).alias("text"))
+
+
+@query()
+def fn_mask_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).select("doc_id", W.mask_words(F.col("text"), ["the", "of the", "and"]).alias("text"))
+
+
+@query()
+def fn_mask_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns whose first visible word is masked."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    first = F.length(F.regexp_extract("text", r"^\S+", 0))
+    spans = rows.where(first > 0).select("conv_id", "turn", F.lit(0).alias("first"), first.alias("last"))
+    return W.mask_lines(rows, spans, ["conv_id", "turn"], "first_letter")
+
+
+def cue_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cue_rows(spark, sf_dir).where("text <> ''")
+    flat = F.trim(F.regexp_replace("text", r"\s+", " "))
+    return rows.select(F.col("media").cast("string").alias("media"), (F.col("start") / 10).alias("start"), (F.col("end") / 10).alias("end"), flat.alias("text"))
+
+
+@query(f"WITH {CUES}, k AS (SELECT media, a, b, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM c WHERE text <> '') SELECT media::VARCHAR AS media, row_number() OVER (PARTITION BY media ORDER BY a, b)::INT AS cue, a / 10.0::DOUBLE AS start, b / 10.0::DOUBLE AS \"end\" FROM k")
+def src_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns written as subtitles and parsed again."""
+    files = K.subtitles(cue_seconds(spark, sf_dir))
+    return Q.cues(files).select("media", "cue", "start", "end")
+
+
+@query(f"WITH {EV} SELECT media::VARCHAR AS media, round(a / 1000000.0::DOUBLE, 3) AS start, round(b / 1000000.0::DOUBLE, 3) AS \"end\" FROM e WHERE round(b / 1000000.0::DOUBLE, 3) > round(a / 1000000.0::DOUBLE, 3)")
+def src_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans written as reports and read again."""
+    rows = events(spark, sf_dir).select(F.col("media").cast("string").alias("media"), (F.col("start") / 1e6).alias("start"), (F.col("end") / 1e6).alias("end"))
+    return Q.report_intervals(K.reports(rows))
+
+
+@query()
+def jn_anchor_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark beginnings searched in the documents' words, a word each 0.3 s."""
+    words = M.tokens(lines(spark, sf_dir), "doc_id").where("doc_id < 40").select(F.lit(1).alias("one"), "doc_id", "pos", (F.col("pos") * 0.3).alias("start"), "token")
+    asked = words.where("pos between 20 and 24").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), " ").alias("text"))
+    asked = asked.select("doc_id", F.lit(1).alias("cue"), "text", F.lit(0.0).alias("low"), F.lit(30.0).alias("high"), F.lit(5).alias("n_words"))
+    return A.best_window(asked, words.drop("one"), ["doc_id"], "cue").select("doc_id", "score", "heard_at")
+
+
+@query()
+def fn_xcorr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likeness of neighbouring vectors as samples, within a lag of 8."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    other = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return rows.join(other, "vec_id").select("vec_id", G.likeness("embedding", "other", F.lit(8)).alias("likeness"))
+
+
+@query()
+def fn_quietest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", G.quietest("embedding", F.lit(8)).alias("frame"))
+
+
+@query()
+def plan_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole scan of documents, a word each 0.3 s."""
+    rows = lines(spark, sf_dir).select(F.col("doc_id").cast("string").alias("media"), F.posexplode(X.split_words(F.col("text"))).alias("pos", "text"))
+    words = rows.select("media", "pos", "text", (F.col("pos") * 0.3).alias("start"), (F.col("pos") * 0.3 + 0.25).alias("end"), F.lit(1.0).alias("probability"))
+    return scan(words, TERMS[:3])[1]
+
+
+@query("SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL")
+def ag_verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_custkey, CASE WHEN count(*) FILTER (o_orderstatus = 'F') = count(*) THEN 'all' WHEN count(*) FILTER (o_orderstatus = 'F') = 0 THEN 'none' ELSE 'some' END AS cached FROM orders GROUP BY o_custkey")
+def ag_from_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.count_if(F.col("o_orderstatus") == "F")
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.when(n == F.count(F.lit(1)), "all").when(n == 0, "none").otherwise("some").alias("cached"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 10 < 5 THEN 'unmatched' WHEN s_acctbal > 5000 THEN 'timing' WHEN s_nationkey < 6 THEN 'wording' END AS problem FROM supplier")
+def dt_sync_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    problem = A.decision(F.col("s_suppkey") % 10, F.lit(10), F.col("s_acctbal") / 10000, F.col("s_nationkey") / 10)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", problem.alias("problem"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_nationkey % 3 = 0 THEN '/v/' || c_custkey || '.clean.mkv' ELSE '/v/' || c_custkey || '.mkv' END AS output, CASE WHEN c_nationkey % 3 = 1 THEN '/v/' || c_custkey || '.original.mkv' END AS backup FROM customer")
+def dt_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("c_nationkey") % 3
+    path = F.concat(F.lit("/v/"), F.col("c_custkey").cast("string"), F.lit(".mkv"))
+    out = D.placement(F.when(n == 0, "new").when(n == 1, "backup").otherwise("in_place"), F.lit(None).cast("string"), path)
+    return table(spark, sf_dir, "customer").select("c_custkey", out["output"].alias("output"), out["backup"].alias("backup"))
+
+
+@query("SELECT p_partkey, CASE lower(split_part(p_type, ' ', 1)) WHEN 'english' THEN 'en' ELSE lower(split_part(p_type, ' ', 1)) END AS language, CASE WHEN p_size > 25 THEN '24000/1001' ELSE '25' END AS rate, round(CASE WHEN p_size > 25 THEN 24000 / 1001.0 ELSE 25 END, 6)::DOUBLE AS fps FROM part")
+def fn_lang_and_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = F.when(F.col("p_size") > 25, "24000/1001").otherwise("25")
+    return table(spark, sf_dir, "part").select("p_partkey", D.language_of(F.get(F.split("p_type", " "), F.lit(0))).alias("language"), shown.alias("rate"), F.round(X.rate(shown), 6).alias("fps"))
