@@ -721,3 +721,156 @@ def dt_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fn_lang_and_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.when(F.col("p_size") > 25, "24000/1001").otherwise("25")
     return table(spark, sf_dir, "part").select("p_partkey", D.language_of(F.get(F.split("p_type", " "), F.lit(0))).alias("language"), shown.alias("rate"), F.round(X.rate(shown), 6).alias("fps"))
+
+
+# ---- small projections, filters, joins and aggregates ----------------------------------------------------------------
+
+PART = "part"
+
+
+@query("SELECT p_partkey, p_retailprice + 3 * (p_size / 100.0::DOUBLE) AS padding FROM part")
+def prj_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search padding: what is set, and three times the fit's error."""
+    return table(spark, sf_dir, PART).select("p_partkey", (F.col("p_retailprice") + 3 * (F.col("p_size") / 100)).alias("padding"))
+
+
+@query(f"WITH {EV} SELECT id, least(10000, (b - a) / 3.0::DOUBLE) AS fade FROM e")
+def prj_fade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).select("id", F.least(F.lit(10000.0), (F.col("end") - F.col("start")) / 3).alias("fade"))
+
+
+@query(f"WITH {EV} SELECT id, a + 35000 AS start, b - 35000 AS \"end\" FROM e WHERE (b - 35000) - (a + 35000) >= 20000")
+def prj_verify_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans without their fades and margins, where something is left."""
+    core = events(spark, sf_dir).select("id", (F.col("start") + 35000).alias("start"), (F.col("end") - 35000).alias("end"))
+    return core.where(F.col("end") - F.col("start") >= 20000)
+
+
+@query("SELECT l_orderkey, l_linenumber, greatest(least(l_quantity, l_discount * 100), l_quantity - 0.5) AS start, least(greatest(l_quantity + 1, l_tax * 1000), l_quantity + 1.5) AS \"end\" FROM lineitem")
+def prj_widen_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligned times may only widen a word, by half a second at most."""
+    rows, start = table(spark, sf_dir, "lineitem"), F.col("l_quantity")
+    low, high = F.least(start, F.col("l_discount") * 100), F.greatest(start + 1, F.col("l_tax") * 1000)
+    return rows.select("l_orderkey", "l_linenumber", F.greatest(low, start - 0.5).alias("start"), F.least(high, start + 1.5).alias("end"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 25 / 23.976::DOUBLE WHEN p_size % 3 = 1 THEN 23.976::DOUBLE / 25 END AS ratio FROM part")
+def prj_frame_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratios of frame rates near a standard one."""
+    n = F.col("p_size") % 3
+    ratio = F.when(n == 0, F.lit(25.0) / 23.9761).when(n == 1, F.lit(23.976) / 25.0001).otherwise(1.5)
+    return table(spark, sf_dir, PART).select("p_partkey", A.snap(ratio).alias("ratio"))
+
+
+@query("WITH m AS (SELECT l_orderkey, l_linenumber, l_quantity AS a, l_quantity + 1 AS b FROM lineitem) SELECT l_orderkey, l_linenumber FROM m WHERE a >= 10.5 AND b <= 40")
+def flt_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of a window from 10 to 40, clean at its end only."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("start"), (F.col("l_quantity") + 1).alias("end"), F.lit(10.0).alias("ws"), F.lit(40.0).alias("we"))
+    return L.inner_words(rows, "ws", "we", 0.5, F.lit(False), F.lit(True)).select("l_orderkey", "l_linenumber")
+
+
+@query(f"WITH {EV}, m AS (SELECT id, (a % 100) / 10.0::DOUBLE AS g, (a % 100) / 10.0::DOUBLE + (b % 30) / 10.0::DOUBLE AS h FROM e), x AS (SELECT id, greatest(g - 2, 0) AS p, least(h + 2, 20) AS q FROM m), y AS (SELECT id, greatest(p - greatest(4 - (q - p), 0) / 2, 0) AS p, q FROM x), z AS (SELECT id, p, least(greatest(q, p + 4), 20) AS q FROM y) SELECT id, round(greatest(least(p, q - 4), 0), 6) AS start, round(q, 6) AS \"end\" FROM z")
+def prj_fill_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps of a window from 0 to 20 with margins and a least length."""
+    rows = events(spark, sf_dir).select("id", ((F.col("start") % 100) / 10).alias("g"), ((F.col("end") % 30) / 10).alias("n"))
+    low, high = L.fill_gap(F.col("g"), F.col("g") + F.col("n"), F.lit(0.0), F.lit(20.0), 2, 4)
+    return rows.select("id", F.round(low, 6).alias("start"), F.round(high, 6).alias("end"))
+
+
+@query(f"WITH {CUES}, f AS (SELECT *, length(regexp_extract(text, '^\\S+')) AS n FROM c WHERE text <> '') SELECT media, cue, round(a + (b - a) * 0 / length(text)::DOUBLE - 0.3, 6)::DOUBLE AS start, round(a + (b - a) * n / length(text)::DOUBLE + 0.3, 6)::DOUBLE AS \"end\", 0.2::DOUBLE AS confidence FROM f WHERE n > 0")
+def prj_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a line's first word would be said."""
+    n = F.length(F.regexp_extract("text", r"^\S+", 0))
+    rows = cue_rows(spark, sf_dir).where((F.col("text") != "") & (n > 0)).withColumn("words", F.array(F.struct(F.lit(0).alias("first"), n.alias("last"), F.lit("x").alias("term"))))
+    return L.estimates(rows, 0.3).select("media", "cue", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "confidence")
+
+
+@query(f"WITH {EV} SELECT id, max(b) OVER (PARTITION BY media ORDER BY a, b, id ROWS UNBOUNDED PRECEDING) AS reach, row_number() OVER (PARTITION BY media ORDER BY a, b, id)::INT AS number FROM e")
+def an_running_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("media").orderBy("start", "end", "id")
+    return events(spark, sf_dir).select("id", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("reach"), F.row_number().over(order).alias("number"))
+
+
+@query(f"WITH {WORDS}, f AS (SELECT DISTINCT doc_id, {FOLD} AS token FROM t), n AS (SELECT token, count(*) AS n FROM f GROUP BY token) SELECT doc_id, count(*) FILTER (n <= 2) AS rare FROM f JOIN n USING (token) GROUP BY doc_id")
+def ag_rare_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct tokens of a document that stand in two documents at most."""
+    rows = lines(spark, sf_dir).select("doc_id", F.explode(X.split_words(F.col("text"))).alias("raw")).select("doc_id", X.fold(F.col("raw")).alias("token")).distinct()
+    often = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(often, "token").groupBy("doc_id").agg(F.count_if(F.col("n") <= 2).alias("rare"))
+
+
+@query("SELECT source, count(*) AS files, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY source")
+def ag_cache_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.sum(F.octet_length("text")).alias("bytes"))
+
+
+@query("SELECT o.o_orderkey, l.n IS NOT NULL AS withdrawn FROM orders o LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) l ON l.l_orderkey = o.o_orderkey")
+def jn_withdraw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, sf_dir, "orders").join(failed, "o_orderkey", "left").select("o_orderkey", F.col("n").isNotNull().alias("withdrawn"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey FROM orders o WHERE o_orderpriority LIKE '1%' AND NOT EXISTS (SELECT 1 FROM orders x WHERE x.o_orderstatus = 'F' AND x.o_orderkey = o.o_orderkey)")
+def jn_cached_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is found online, and cached entries that are not among it."""
+    rows = table(spark, sf_dir, "orders")
+    online, known = rows.where("o_orderstatus = 'F'").select("o_orderkey"), rows.where("o_orderpriority like '1%'").select("o_orderkey")
+    return online.unionByName(known.join(online, "o_orderkey", "left_anti"))
+
+
+@query(f"WITH {SIDES} SELECT id FROM d WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.media = d.media AND f.a < d.b AND d.a < f.b)")
+def jn_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections that no interval covers (open)."""
+    flags, found = two_sides(spark, sf_dir)
+    return S.overlap_filter(found.withColumnRenamed("r_id", "id"), flags.select("media", "start", "end"), ["media"], BIN, "id", anti=True, a=("r_start", "r_end"), b=("start", "end")).select("id")
+
+
+@query(f"WITH {SIDES} SELECT id FROM d WHERE EXISTS (SELECT 1 FROM f WHERE f.media = d.media AND f.a < d.b AND d.a < f.b)")
+def jn_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags, found = two_sides(spark, sf_dir)
+    return S.overlap_filter(found.withColumnRenamed("r_id", "id"), flags.select("media", "start", "end"), ["media"], BIN, "id", a=("r_start", "r_end"), b=("start", "end")).select("id")
+
+
+@query(f"WITH {SIDES} SELECT id FROM f WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.media = f.media AND d.a < f.b AND f.a < d.b)")
+def jn_not_spliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags, found = two_sides(spark, sf_dir)
+    return S.overlap_filter(flags, found, ["media"], BIN, "id", anti=True).select("id")
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT (o_orderpriority LIKE '5%' OR o_orderpriority LIKE '4%')")
+def flt_machine_translated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    machine = F.col("o_orderpriority").startswith("5") | F.col("o_orderpriority").startswith("4")
+    return table(spark, sf_dir, "orders").where(~machine).select("o_orderkey")
+
+
+@query("SELECT o_orderkey, o_totalprice < 200000 - greatest(2, 0.01 * 200000) AS short FROM orders")
+def flt_output_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs shorter than they should be by two seconds or a hundredth."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") < 200000 - max(2, 0.01 * 200000)).alias("short"))
+
+
+@query("""WITH s AS (SELECT o_custkey AS media, o_orderkey AS i, o_orderstatus = 'P' AS other, CASE WHEN o_orderpriority LIKE '1%' THEN NULL WHEN o_orderpriority LIKE '2%' THEN 'ger' ELSE 'eng' END AS l, o_orderkey % 4 = 0 AS d, (o_orderkey % 3)::INT AS c FROM orders)
+SELECT media, i AS stream FROM (SELECT *, row_number() OVER (PARTITION BY media ORDER BY other, coalesce(l <> 'eng', true), NOT d, c DESC, i) AS k FROM s) WHERE k = 1""")
+def flt_dialogue_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as sound streams of their customers."""
+    rows, first = table(spark, sf_dir, "orders"), F.substr("o_orderpriority", F.lit(1), F.lit(1))
+    flag = lambda c: F.when(c, 1).otherwise(0)
+    streams = rows.select(
+        F.col("o_custkey").alias("media"), F.col("o_orderkey").alias("index"), F.lit("audio").alias("kind"), F.when(first == "1", None).when(first == "2", "ger").otherwise("eng").alias("language"), F.lit(None).cast("string").alias("title"),
+        (F.col("o_orderkey") % 3).cast("int").alias("channels"), F.create_map(F.lit("comment"), flag(F.col("o_orderstatus") == "P"), F.lit("default"), flag(F.col("o_orderkey") % 4 == 0)).alias("disposition"),
+    )
+    return D.dialogue_stream(streams, "english").select("media", F.col("index").alias("stream"))
+
+
+@query("SELECT o_custkey, sum(least(a, b))::BIGINT AS both FROM (SELECT o_custkey, o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS a, count(*) FILTER (o_orderstatus = 'O') AS b FROM orders GROUP BY 1, 2) GROUP BY o_custkey HAVING sum(least(a, b)) > 0")
+def set_intersect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size of the multiset intersection of priorities of finished and open orders."""
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority", "o_orderstatus")
+    pick = lambda s: rows.where(F.col("o_orderstatus") == s).select("o_custkey", "o_orderpriority")
+    return pick("F").intersectAll(pick("O")).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("both"))
+
+
+@query("SELECT lang, array_to_string(list_distinct(list(source ORDER BY source)), ',') IS NOT NULL AS found, count(DISTINCT source) AS sources FROM documents GROUP BY lang")
+def set_distinct_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = F.array_distinct(F.array_sort(F.collect_set("source")))
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.array_join(order, ",").isNotNull().alias("found"), F.count_distinct("source").alias("sources"))
