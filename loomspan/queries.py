@@ -874,3 +874,67 @@ def set_intersect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 def set_distinct_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = F.array_distinct(F.array_sort(F.collect_set("source")))
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.array_join(order, ",").isNotNull().alias("found"), F.count_distinct("source").alias("sources"))
+
+
+@query(f"WITH {SIDES}, g AS (SELECT media, a, b, id FROM f WHERE b > a), p AS (SELECT g.id, list_sort(list_distinct(list(d.conf > 30))) AS reasons, count(*) AS n FROM g JOIN d ON d.media = g.media AND d.a < g.b AND g.a < d.b GROUP BY g.id) SELECT id, len(reasons)::INT AS reasons, n FROM p")
+def jn_touching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reasons touch each piece."""
+    flags, found = two_sides(spark, sf_dir)
+    pairs = S.overlap_join(flags.where("end > start"), found, ["media"], BIN)
+    return pairs.groupBy("id").agg(F.size(F.collect_set(F.col("r_conf") > 30)).alias("reasons"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {CUES} SELECT media, cue, last_value(nullif(text, '') IGNORE NULLS) OVER (PARTITION BY media ORDER BY cue ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS heard FROM c WHERE cue % 2 = 1")
+def jn_neighbour_heard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spoken line before, among every other one."""
+    return C.neighbours(cue_rows(spark, sf_dir).where("cue % 2 = 1"), ["media"], "cue", "text").select("media", "cue", F.col("previous").alias("heard"))
+
+
+@query(merged_sql("a - reached >= 30000000", where="WHERE term = 'view'"))
+def m10_speech_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Speech joined over short pauses."""
+    return S.merge_spans(events(spark, sf_dir).where("term = 'view'"), ["media"], 30 * SECOND)
+
+
+@query(merged_sql("a > reached", where="WHERE b > a AND b > 0"))
+def m8_report_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.merge_spans(events(spark, sf_dir).where("end > start and end > 0"), ["media"], 0, closed=True)
+
+
+@query(f"WITH {EV}, w AS (SELECT * FROM e WHERE term = 'view' AND b > a), s AS (SELECT media, a, b FROM e WHERE term <> 'view'), q AS (SELECT media, a, b, max(b) OVER (PARTITION BY media ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM s), i AS (SELECT *, sum((r IS NULL OR a > r)::INT) OVER (PARTITION BY media ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM q), c AS (SELECT media, min(a) AS a, max(b) AS b FROM i GROUP BY media, k), p AS (SELECT w.id, greatest(w.a, c.a) AS x, least(w.b, c.b) AS y FROM w JOIN c ON c.media = w.media AND c.a < w.b AND w.a < c.b UNION ALL SELECT id, a, a FROM w UNION ALL SELECT id, b, b FROM w), g AS (SELECT id, y AS start, lead(x) OVER (PARTITION BY id ORDER BY x, y) AS \"end\" FROM p) SELECT id, start, \"end\" FROM g WHERE \"end\" - start > 1000")
+def m15_cache_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What cached spans leave to compute of each window."""
+    rows = events(spark, sf_dir)
+    gaps = L.cached(rows.where("term = 'view' and end > start"), rows.where("term <> 'view'"), ["media"], "id", BIN, 1001)[1]
+    return gaps.select("id", "start", "end")
+
+
+@query("WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '[ \n\r\t]+'), lambda x: x <> '')) AS w FROM documents) SELECT doc_id, count(*) FILTER (regexp_matches(w, '^[a-z]+$')) AS plain, count(*) FILTER (length(w) < 3) AS broad FROM t GROUP BY doc_id")
+def fn_warn_broad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words too short for a wildcard, by document."""
+    rows = lines(spark, sf_dir).select("doc_id", F.explode(F.filter(F.split("text", "[ \n\r\t]+"), lambda w: w != "")).alias("w"))
+    return rows.groupBy("doc_id").agg(F.count_if(F.rlike("w", F.lit("^[a-z]+$"))).alias("plain"), F.count_if(F.length("w") < 3).alias("broad"))
+
+
+@query("SELECT doc_id, l, p::INT AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS p FROM documents) WHERE regexp_matches(l, '(?i)licen[cs]e')")
+def flt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that a pattern of the user's matches."""
+    rows = lines(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "l"))
+    return rows.where(F.rlike("l", F.lit("(?i)licen[cs]e"))).select("doc_id", "l", "line")
+
+
+@query()
+def fn_fade_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What fades each vector into its reverse."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    return rows.select("vec_id", F.transform(G.change(F.col("x"), F.reverse("x"), G.fade_mask(64, 8)), lambda v: F.round(v, 6)).alias("change"))
+
+
+@query()
+def snk_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A review subtitle for each media: merged spans with the terms that they hold."""
+    rows = events(spark, sf_dir)
+    spans = S.merge_spans(rows.where("end > start"), ["media"], GAP, aggregates=[F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("start", "term"))), lambda x: x["term"])), " / ").alias("text")])
+    low = spans.groupBy("media").agg(F.min("start").alias("zero"))
+    seconds = lambda c: (F.col(c) - F.col("zero")) / 1e6
+    return K.subtitles(spans.join(low, "media").select(F.col("media").cast("string").alias("media"), seconds("start").alias("start"), seconds("end").alias("end"), "text"))
