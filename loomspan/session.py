@@ -47,3 +47,14 @@ def durable(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_folder(spark)}/loomspan/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches hold so many rows at most, for tables of long texts: tasks in Python then need little memory.
+
+    A setting of the session, read when a plan runs; a lower one is kept.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
