@@ -27,10 +27,7 @@ from pyspark.sql import functions as F
 
 from loomspan.llm import text as T
 from loomspan.llm.graph import components
-from loomspan.session import durable
-
-
-CHUNK = 1 << 20  #: bytes of text that a task works on at once
+from loomspan.session import durable, small_batches
 
 
 @dataclass(frozen=True)
@@ -95,7 +92,7 @@ def sketch(docs: DataFrame, options: NearDuplicateOptions) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(options)
-        for batch in T.chunks(batches, CHUNK):
+        for batch in T.chunks(batches):
             sets, digests = shingle_sets(batch.column("text"), options.shingle_words)
             bands = [signer.bands(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -118,7 +115,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, options: NearDuplicateOptions) ->
     """The pairs (a, b) of documents whose full shingle sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in T.chunks(batches, CHUNK, "text_b"):
+        for batch in T.chunks(batches, column="text_b"):
             code = batch.column("text_a").dictionary_encode()  # the rows of one centre stand together; its set is made once
             distinct, _ = shingle_sets(code.dictionary, options.shingle_words)
             first = [distinct[i] for i in code.indices.to_pylist()]
@@ -199,6 +196,7 @@ def compare_tiles(docs: DataFrame, members: DataFrame, options: NearDuplicateOpt
 
 def near_duplicates(docs: DataFrame, options: NearDuplicateOptions = NearDuplicateOptions()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row for each row of docs; see the module's text."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = durable(sketch(docs, options), "sketches")
     full = sketches.where("n_shingles > 0 and doc_id is not null")

@@ -31,10 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from loomspan.llm import text as T
+from loomspan.session import small_batches
 
 MARK = "▁"  #: stands for a space
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-REMEMBERED = 1 << 18  #: cuts and pairs that a task remembers at most
+REMEMBERED = 1 << 17  #: cuts and pairs of a generation; a task remembers two
 
 
 @dataclass
@@ -46,9 +47,11 @@ class PieceModel:
     kinds: list[int]
     _cuts: dict[str, bytes] = field(default_factory=dict, repr=False)
     _pairs: dict[tuple[str, str], bool] = field(default_factory=dict, repr=False)
+    _old_cuts: dict[str, bytes] = field(default_factory=dict, repr=False)  #: those before, of which the used ones come back
+    _old_pairs: dict[tuple[str, str], bool] = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
-        return {"pieces": self.pieces, "scores": self.scores, "kinds": self.kinds, "_cuts": {}, "_pairs": {}}
+        return {"pieces": self.pieces, "scores": self.scores, "kinds": self.kinds, "_cuts": {}, "_pairs": {}, "_old_cuts": {}, "_old_pairs": {}}
 
     @classmethod
     def load(cls, path: str) -> PieceModel:
@@ -109,7 +112,10 @@ class PieceModel:
 
     @cached_property
     def _cut(self) -> re.Pattern:
-        """Cuts where no piece goes on: before marks, at line ends, and between letters and some punctuation."""
+        """Cuts where no piece goes on: before marks, at line ends, and between letters and some punctuation.
+
+        Spaces stand for marks here.
+        """
         inside = {p[i : i + 2] for p in self._ids for i in range(len(p) - 1)}
         closing = "".join(c for c in ",.;:!?)" if not any(pair[1] == c and re.match(r"[^\W\d_]", pair) for pair in inside))
         word = f" *[^\\W\\d_]+(?=[{re.escape(closing)}])|" if closing else ""
@@ -130,12 +136,14 @@ class PieceModel:
         return parts
 
     def compatible(self, a: str, b: str) -> bool:
-        known = self._pairs.get((a, b))
-        if known is None:
-            if len(self._pairs) >= REMEMBERED:
-                self._pairs.clear()
-            known = self._pairs[a, b] = self.merged(a + b) == [a, b]
-        return known
+        """Whether merging two neighbours again keeps them; remembered in _pairs."""
+        if len(self._pairs) >= REMEMBERED:
+            self._old_pairs, self._pairs = self._pairs, {}
+        fits = self._old_pairs.get((a, b))
+        if fits is None:
+            fits = self.merged(a + b) == [a, b]
+        self._pairs[a, b] = fits
+        return fits
 
     def split(self, text: str) -> list[str]:
         """The pieces of a text of known characters."""
@@ -150,12 +158,16 @@ class PieceModel:
         piece = text[: longest[0]]
         while True:
             end = at + len(piece)
-            if (failed is None or not failed[end >> 3] >> (end & 7) & 1) and (not last or pairs((last, piece)) or compatible(last, piece)):
-                taken.append(piece)
-                if end == n:
-                    return taken
-                last, at, piece = piece, end, text[end : end + longest[end]]
-                continue
+            if failed is None or not failed[end >> 3] >> (end & 7) & 1:
+                fits = pairs((last, piece)) if last else True
+                if fits is None:
+                    fits = compatible(last, piece)
+                if fits:
+                    taken.append(piece)
+                    if end == n:
+                        return taken
+                    last, at, piece = piece, end, text[end : end + longest[end]]
+                    continue
             piece = shorter[piece]
             while piece is None:  # nothing fits here: go back, and never come here again
                 if failed is None:
@@ -168,6 +180,12 @@ class PieceModel:
 
     def cut_ids(self, cut: str) -> bytes:
         """Ids of one cut as native 32-bit numbers."""
+        if len(self._cuts) >= REMEMBERED:
+            self._old_cuts, self._cuts = self._cuts, {}
+        out = self._old_cuts.get(cut)
+        if out is not None:
+            self._cuts[cut] = out
+            return out
         plain, cut = cut, cut.replace(" ", MARK)
         number = self._ids.__getitem__
         if self._known.issuperset(cut):
@@ -181,8 +199,6 @@ class PieceModel:
                     ids += [self._bytes[b] for b in "".join(run).encode()]
         out = array("i", ids).tobytes()
         if len(cut) <= 64:
-            if len(self._cuts) >= REMEMBERED:
-                self._cuts.clear()
             self._cuts[plain] = out
         return out
 
@@ -247,6 +263,7 @@ def _repaired(raw: bytes) -> str:
 
 def encode(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with a column of the ids of each whole text. A column of that name is replaced."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop(ids)
     schema = StructType([*docs.schema.fields, StructField(ids, ArrayType(IntegerType()))])
@@ -266,6 +283,7 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "i
 
 def decode(coded: DataFrame, model: PieceModel, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """coded with a column of the texts that its ids stand for. A column of that name is replaced."""
+    small_batches(coded.sparkSession)
     shared = coded.sparkSession.sparkContext.broadcast(model)
     coded = coded.drop(text)
     schema = StructType([*coded.schema.fields, StructField(text, StringType())])

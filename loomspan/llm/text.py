@@ -109,7 +109,7 @@ def _piece(data: np.ndarray, at: np.ndarray, low: int, high: int, table: np.ndar
     return hashes, first + low, first + count + low
 
 
-def chunks(batches: Iterator[pa.RecordBatch], size: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], size: int = 1 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to about size bytes of text each, one row at least."""
     for batch in batches:
         _, at = buffers(batch.column(column))
