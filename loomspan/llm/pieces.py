@@ -35,7 +35,7 @@ from loomspan.session import small_batches
 
 MARK = "▁"  #: stands for a space
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-REMEMBERED = 1 << 17  #: cuts and pairs of a generation; a task remembers two
+REMEMBERED = 1 << 18  #: cuts and pairs that a task remembers at most
 
 
 @dataclass
@@ -47,11 +47,9 @@ class PieceModel:
     kinds: list[int]
     _cuts: dict[str, bytes] = field(default_factory=dict, repr=False)
     _pairs: dict[tuple[str, str], bool] = field(default_factory=dict, repr=False)
-    _old_cuts: dict[str, bytes] = field(default_factory=dict, repr=False)  #: those before, of which the used ones come back
-    _old_pairs: dict[tuple[str, str], bool] = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
-        return {"pieces": self.pieces, "scores": self.scores, "kinds": self.kinds, "_cuts": {}, "_pairs": {}, "_old_cuts": {}, "_old_pairs": {}}
+        return {"pieces": self.pieces, "scores": self.scores, "kinds": self.kinds, "_cuts": {}, "_pairs": {}}
 
     @classmethod
     def load(cls, path: str) -> PieceModel:
@@ -138,11 +136,8 @@ class PieceModel:
     def compatible(self, a: str, b: str) -> bool:
         """Whether merging two neighbours again keeps them; remembered in _pairs."""
         if len(self._pairs) >= REMEMBERED:
-            self._old_pairs, self._pairs = self._pairs, {}
-        fits = self._old_pairs.get((a, b))
-        if fits is None:
-            fits = self.merged(a + b) == [a, b]
-        self._pairs[a, b] = fits
+            self._pairs.clear()
+        fits = self._pairs[a, b] = self.merged(a + b) == [a, b]
         return fits
 
     def split(self, text: str) -> list[str]:
@@ -180,12 +175,6 @@ class PieceModel:
 
     def cut_ids(self, cut: str) -> bytes:
         """Ids of one cut as native 32-bit numbers."""
-        if len(self._cuts) >= REMEMBERED:
-            self._old_cuts, self._cuts = self._cuts, {}
-        out = self._old_cuts.get(cut)
-        if out is not None:
-            self._cuts[cut] = out
-            return out
         plain, cut = cut, cut.replace(" ", MARK)
         number = self._ids.__getitem__
         if self._known.issuperset(cut):
@@ -199,6 +188,8 @@ class PieceModel:
                     ids += [self._bytes[b] for b in "".join(run).encode()]
         out = array("i", ids).tobytes()
         if len(cut) <= 64:
+            if len(self._cuts) >= REMEMBERED:
+                self._cuts.clear()
             self._cuts[plain] = out
         return out
 
