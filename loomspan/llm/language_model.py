@@ -5,10 +5,11 @@ documents give the base score. The model reads the same words as subword ids of
 by one, in overlapping windows (module attention). The score's probability of a word is a mixture of the attention
 model's (the product over its subwords) and the add-one estimate; attention_score is the attention model's alone.
 
-Training: every training document gives windows of its tokens, by its length and at places that depend on a hash of its
-words; so the material grows with the corpus. Trainers, one for each so many windows, descend from common parameters on their own
-windows, and their parameters are averaged in Spark, for a few rounds. What reaches the driver has a fixed bound: counts
-by subword id, the model's parameters, and the frequent words.
+Training: every training document is cut into consecutive windows of subword tokens, each token being predicted in one
+of them, so the model learns from all tokens; which subwords get a unit of their own is counted over all of them too.
+Trainers, one for each so many windows, descend from common parameters on their own windows, and their parameters are
+averaged in Spark, for a few rounds. What reaches the driver has a fixed bound: counts by subword id, the model's
+parameters, and the frequent words.
 
 Scoring reads texts once. Frequent words are looked up in the broadcast table; the others are joined to their counts,
 which no key dominates, as they are rare.
@@ -42,7 +43,6 @@ END_ID = 2  #: its subword id
 class LanguageModelOptions:
     shape: attention.Shape = field(default_factory=attention.Shape)
     trainer: int = 65536  #: windows of a trainer, about
-    part: int = 512  #: a text gives a window, and one more for each so many words
     rounds: int = 3
     batch: int = 64  #: windows of a step
     steps: int = 400  #: steps of a trainer in a round at least
@@ -102,17 +102,45 @@ def spread(number: np.ndarray, ids: np.ndarray, places: np.ndarray) -> tuple[np.
     return ids[at], begin
 
 
-def gather(docs: DataFrame, training: Column, proto: bytes, o: LanguageModelOptions) -> DataFrame:
-    """(h, n, window) of the training documents: counts of words by hash, or windows of subword ids. Either is null.
+def number_type(pieces: int) -> type[np.signedinteger]:
+    """The type of subword ids in stored windows."""
+    return np.int16 if pieces <= 1 << 15 else np.int32
+
+
+def cut(tokens: np.ndarray, text_at: np.ndarray, size: int) -> np.ndarray:
+    """The windows of texts that stand at text_at[i]:text_at[i + 1], a row each: the token before, then size to predict.
+
+    A text's windows follow one another. -1 stands before its start and -2 after its end.
+    """
+    length = np.diff(text_at)
+    parts = -(-length // size)
+    text = np.repeat(np.arange(len(length)), parts)
+    low = text_at[text] + size * (np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts))
+    at = low[:, None] + np.arange(-1, size)
+    rows = np.where(at < text_at[text + 1][:, None], tokens[np.clip(at, 0, max(0, len(tokens) - 1))], -2)
+    rows[low == text_at[text], 0] = -1
+    return rows
 
-    A window begins with the token before the first that is predicted, or -1 at a text's start.
+
+def binary(rows: np.ndarray) -> pa.Array:
+    """Rows of a matrix as bytes."""
+    step = rows.shape[1] * rows.itemsize
+    places = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(step)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def gather(docs: DataFrame, training: Column, proto: bytes, o: LanguageModelOptions) -> DataFrame:
+    """(h, t, n, window) of the training documents: counts of words by hash, counts of subword ids, or windows as bytes of
+    number_type. The others are null.
     """
-    size = o.shape.window + 1
     small_batches(docs.sparkSession, 2000)
+    names = ["h", "t", "n", "window"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords = Subwords(proto)
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        seen = np.zeros(subwords.library.get_piece_size(), np.int64)
+        kind = number_type(len(seen))
 
         def settle() -> None:
             h, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
@@ -120,37 +148,28 @@ def gather(docs: DataFrame, training: Column, proto: bytes, o: LanguageModelOpti
 
         for batch in T.chunks(batches, o.chunk):
             w = Words.of(batch.column("text"))
-            held.append((w.hashes, np.bincount(w.number, minlength=len(w.hashes))))
+            count = np.bincount(w.number, minlength=len(w.hashes))
+            held.append((w.hashes, count))
             if sum(len(h) for h, _ in held) > 1 << 21:
                 settle()
-            # runs of words, one for each part of a text, at places that the text's own words decide
-            count = np.diff(w.places)
-            parts = 1 + count // o.part
-            text = np.repeat(np.arange(len(count)), parts)
-            part = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
-            mixed = np.add.reduceat(w.hashes[w.number], w.places[:-1]) if len(count) else np.zeros(0, np.uint64)
-            start = (T.mix(mixed[text] + part.astype(np.uint64)) % count[text].astype(np.uint64)).astype(np.int64)
-            low = w.places[text] + np.maximum(0, np.minimum(start, count[text] - size // 2))
-            take = np.minimum(w.places[text + 1] - low, size)
-            number = w.number[np.repeat(low, take) + np.arange(int(take.sum())) - np.repeat(np.cumsum(take) - take, take)]
-            distinct, number = np.unique(number, return_inverse=True)
-            words = distinct[distinct < len(w.first)]
-            ids, places = subwords.of(w.data, w.first[words], w.end[words])
-            if len(words) < len(distinct):
-                ids, places = np.append(ids, np.int32(END_ID)), np.append(places, places[-1] + 1)
-            tokens, word_at = spread(number, ids, places)
-            cuts = np.append(np.append(word_at, len(tokens))[np.cumsum(take) - take], len(tokens)) if len(take) else np.zeros(1, np.int64)
-            windows = [tokens[a : min(b, a + size)] if s else np.append(np.int32(-1), tokens[a : min(b, a + size - 1)]) for a, b, s in zip(cuts[:-1].tolist(), cuts[1:].tolist(), (low > w.places[text]).tolist(), strict=True)]
-            none = pa.nulls(len(windows), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(windows, pa.list_(pa.int32()))], ["h", "n", "window"])
+            ids, places = w.tokens(subwords)
+            np.add.at(seen, ids, np.repeat(count, np.diff(places)))
+            tokens, word_at = spread(w.number, ids, places)
+            rows = cut(tokens, np.append(word_at, len(tokens))[w.places], o.shape.window).astype(kind)
+            for a in range(0, len(rows), 1 << 16):
+                part = rows[a : a + (1 << 16)]
+                none = pa.nulls(len(part), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none.cast(pa.int32()), none, binary(part)], names)
         if held:
             settle()
             h, n = held[0]
             for a in range(0, len(h), 1 << 16):
                 part = h[a : a + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(n[a : a + (1 << 16)]), pa.nulls(len(part), pa.list_(pa.int32()))], ["h", "n", "window"])
+                yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.nulls(len(part), pa.int32()), pa.array(n[a : a + (1 << 16)]), pa.nulls(len(part), pa.binary())], names)
+            t = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(t), pa.int64()), pa.array(t.astype(np.int32)), pa.array(seen[t]), pa.nulls(len(t), pa.binary())], names)
 
-    return docs.where(training).select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, n long, window array<int>")
+    return docs.where(training).select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, t int, n long, window binary")
 
 
 @dataclass
@@ -180,21 +199,30 @@ def units(tokens: list[tuple[int, int]], starts: np.ndarray, shape: attention.Sh
     return unit
 
 
-def learner(shared: Broadcast, unit: np.ndarray, o: LanguageModelOptions, rate: float, seed: int) -> Callable[[pa.Table], pa.Table]:
-    """One trainer's work in a round: from the common parameters to its own, on its windows."""
-    shape = o.shape
+def deal(windows: DataFrame, trainers: int, shape: attention.Shape, kind: type[np.signedinteger]) -> DataFrame:
+    """(trainer, n, rows): the windows of each trainer, one after the other, in an order of their own."""
 
-    def learn(table: pa.Table) -> pa.Table:
-        lists = table.column("window").combine_chunks()
-        at, ids = lists.offsets.to_numpy(), lists.values.to_numpy()
-        row = np.full((len(lists), shape.window + 1), -2, np.int64)
-        row[np.repeat(np.arange(len(lists)), np.diff(at)), np.arange(at[0], at[-1]) - np.repeat(at[:-1], np.diff(at))] = ids[at[0] : at[-1]]
+    def pack(table: pa.Table) -> pa.Table:
+        row = np.frombuffer(b"".join(table.column("window").to_pylist()), kind).reshape(-1, shape.window + 1)
         row = row[np.lexsort(row.T[::-1])]  # the same in whatever order rows come
-        coded = np.where(row >= 0, unit[row.clip(0)], np.where(row == -1, shape.units, -1))
-        inputs, targets = np.where(coded[:, :-1] < 0, shape.units, coded[:, :-1]), coded[:, 1:]
-        steps = max(o.steps, len(row) // o.batch)
-        out = attention.descend(shared.value, shape, inputs, targets, o.batch, steps, rate, seed)
-        return pa.table({"flat": pa.array([out], pa.list_(pa.float32())), "weight": [float(len(row))]})
+        return pa.table({"trainer": table.column("trainer")[:1], "n": pa.array([len(row)], pa.int64()), "rows": pa.array([row.tobytes()], pa.binary())})
+
+    dealt = windows.select("window", F.pmod(F.xxhash64("window"), F.lit(trainers)).alias("trainer"))
+    return dealt.groupBy("trainer").applyInArrow(pack, "trainer long, n long, rows binary")
+
+
+def learner(shared: Broadcast, unit: np.ndarray, o: LanguageModelOptions, rate: float, seed: int, kind: type[np.signedinteger]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Trainers' work in a round: each from the common parameters to its own, on its windows."""
+    shape = o.shape
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for packed in (x for batch in batches for x in batch.column("rows")):
+            row = np.frombuffer(packed.as_buffer(), kind).reshape(-1, shape.window + 1)
+            coded = np.where(row >= 0, unit[row.clip(0)], np.where(row == -1, shape.units, -1))
+            inputs, targets = np.where(coded[:, :-1] < 0, shape.units, coded[:, :-1]), coded[:, 1:]
+            steps = max(o.steps, len(row) // o.batch)
+            out = attention.descend(shared.value, shape, inputs, targets, o.batch, steps, rate, seed)
+            yield pa.RecordBatch.from_arrays([pa.array([out], pa.list_(pa.float32())), pa.array([float(len(row))])], ["flat", "weight"])
 
     return learn
 
@@ -218,18 +246,19 @@ def train(docs: DataFrame, training: Column, proto: bytes, options: LanguageMode
     hashes, often = frequent.column("h").to_numpy().view(np.uint64), frequent.column("n").to_numpy()
     order = np.argsort(hashes)
     windows = got.where("window is not null").select("window")
-    tokens = windows.select(F.explode("window").alias("t")).where("t >= 0").groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()
+    tokens = got.where("t is not null").groupBy("t").agg(F.sum("n").alias("n")).collect()
     library = Subwords(proto).library
     starts = np.array([library.id_to_piece(i).startswith("▁") for i in range(library.get_piece_size())])
+    kind = number_type(len(starts))
     unit = units([(r.t, r.n) for r in tokens], starts, shape)
     flat = attention.initial(shape)
     many = windows.count()
     trainers = max(1, round(many / o.trainer))
-    dealt = windows.withColumn("trainer", F.pmod(F.xxhash64("window"), F.lit(trainers)))
+    dealt = durable(deal(windows, trainers, shape, kind), "dealt") if many else None
     for turn in range(o.rounds if many else 0):
         shared = docs.sparkSession.sparkContext.broadcast(flat)
-        learn = learner(shared, unit, o, o.rate / (1 + turn), turn)
-        made = durable(dealt.groupBy("trainer").applyInArrow(learn, "flat array<float>, weight double"), "trained")
+        learn = learner(shared, unit, o, o.rate / (1 + turn), turn, kind)
+        made = durable(dealt.select("rows").mapInArrow(learn, "flat array<float>, weight double"), "trained")
         mean = made.select("weight", F.posexplode("flat").alias("at", "x")).groupBy("at").agg((F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("x"))
         flat = mean.orderBy("at").toArrow().column("x").to_numpy().astype(np.float32)
     return LanguageModel(flat, unit, hashes[order], often[order], int(total), int(distinct), o), counts

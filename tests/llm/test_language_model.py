@@ -5,9 +5,10 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from loomspan.llm import attention
-from loomspan.llm.language_model import LanguageModelOptions, score, train
+from loomspan.llm.language_model import LanguageModelOptions, Subwords, gather, number_type, score, train
 from loomspan.llm.queries import op1_lm_scoring
 from loomspan.llm.toxicity import crc_part
 
@@ -86,3 +87,22 @@ def test_query(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     # the order of words matters to the model
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2) for r in out)
+
+
+def test_windows_hold_every_training_token_once(spark):
+    docs = [(1, None), (2, "The the  THE\nend"), (3, " ".join(f"word{i % 97} of{i}" for i in range(3000))), (4, "one two " * 12), (5, "é ü " * 300)]
+    o = LanguageModelOptions()
+    got = gather(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), F.lit(True), PROTO, o).collect()
+    library = Subwords(PROTO).library
+    size = o.shape.window
+    want, counts = Counter(), Counter()
+    for _, t in docs:
+        ids = [i for w in words(t)[:-1] for i in library.encode([w])[0]] + [2]
+        counts.update(ids)
+        want.update(tuple([ids[a - 1] if a else -1] + (ids[a : a + size] + [-2] * size)[:size]) for a in range(0, len(ids), size))
+    assert Counter(tuple(np.frombuffer(r.window, number_type(library.get_piece_size())).tolist()) for r in got if r.window is not None) == want
+    seen = Counter()
+    for r in got:
+        if r.t is not None:
+            seen[r.t] += r.n
+    assert seen == counts
