@@ -27,7 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,17 +130,18 @@ def binary(rows: np.ndarray) -> pa.Array:
 
 
 def gather(docs: DataFrame, training: Column, proto: bytes, o: LanguageModelOptions) -> DataFrame:
-    """(h, t, n, window) of the training documents: counts of words by hash, counts of subword ids, or windows as bytes of
-    number_type. The others are null.
+    """(h, t, n, window, place) of the training documents: counts of words by hash, counts of subword ids, or windows as
+    bytes of number_type with a number of their own. The others are null.
     """
     small_batches(docs.sparkSession, 2000)
-    names = ["h", "t", "n", "window"]
+    names = ["h", "t", "n", "window", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords = Subwords(proto)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         seen = np.zeros(subwords.library.get_piece_size(), np.int64)
         kind = number_type(len(seen))
+        place = TaskContext.get().partitionId() << 40
 
         def settle() -> None:
             h, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
@@ -159,17 +160,18 @@ def gather(docs: DataFrame, training: Column, proto: bytes, o: LanguageModelOpti
             for a in range(0, len(rows), 1 << 16):
                 part = rows[a : a + (1 << 16)]
                 none = pa.nulls(len(part), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none.cast(pa.int32()), none, binary(part)], names)
+                yield pa.RecordBatch.from_arrays([none, none.cast(pa.int32()), none, binary(part), pa.array(np.arange(place, place + len(part)))], names)
+                place += len(part)
         if held:
             settle()
             h, n = held[0]
             for a in range(0, len(h), 1 << 16):
                 part = h[a : a + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.nulls(len(part), pa.int32()), pa.array(n[a : a + (1 << 16)]), pa.nulls(len(part), pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.nulls(len(part), pa.int32()), pa.array(n[a : a + (1 << 16)]), pa.nulls(len(part), pa.binary()), pa.nulls(len(part), pa.int64())], names)
             t = np.flatnonzero(seen)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(t), pa.int64()), pa.array(t.astype(np.int32)), pa.array(seen[t]), pa.nulls(len(t), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(t), pa.int64()), pa.array(t.astype(np.int32)), pa.array(seen[t]), pa.nulls(len(t), pa.binary()), pa.nulls(len(t), pa.int64())], names)
 
-    return docs.where(training).select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, t int, n long, window binary")
+    return docs.where(training).select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, t int, n long, window binary, place long")
 
 
 @dataclass
@@ -200,14 +202,17 @@ def units(tokens: list[tuple[int, int]], starts: np.ndarray, shape: attention.Sh
 
 
 def deal(windows: DataFrame, trainers: int, shape: attention.Shape, kind: type[np.signedinteger]) -> DataFrame:
-    """(trainer, n, rows): the windows of each trainer, one after the other, in an order of their own."""
+    """(trainer, n, rows): the windows of each trainer, one after the other, in an order of their own.
+
+    They are dealt by their stored numbers, not by what they hold, so equal windows spread over all trainers.
+    """
 
     def pack(table: pa.Table) -> pa.Table:
         row = np.frombuffer(b"".join(table.column("window").to_pylist()), kind).reshape(-1, shape.window + 1)
         row = row[np.lexsort(row.T[::-1])]  # the same in whatever order rows come
         return pa.table({"trainer": table.column("trainer")[:1], "n": pa.array([len(row)], pa.int64()), "rows": pa.array([row.tobytes()], pa.binary())})
 
-    dealt = windows.select("window", F.pmod(F.xxhash64("window"), F.lit(trainers)).alias("trainer"))
+    dealt = windows.select("window", F.pmod(F.xxhash64("place"), F.lit(trainers)).alias("trainer"))
     return dealt.groupBy("trainer").applyInArrow(pack, "trainer long, n long, rows binary")
 
 
@@ -245,7 +250,7 @@ def train(docs: DataFrame, training: Column, proto: bytes, options: LanguageMode
     frequent = counts.where(F.col("n") >= least).orderBy("h").toArrow()
     hashes, often = frequent.column("h").to_numpy().view(np.uint64), frequent.column("n").to_numpy()
     order = np.argsort(hashes)
-    windows = got.where("window is not null").select("window")
+    windows = got.where("window is not null").select("window", "place")
     tokens = got.where("t is not null").groupBy("t").agg(F.sum("n").alias("n")).collect()
     library = Subwords(proto).library
     starts = np.array([library.id_to_piece(i).startswith("▁") for i in range(library.get_piece_size())])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from loomspan.llm import attention
-from loomspan.llm.language_model import LanguageModelOptions, Subwords, gather, number_type, score, train
+from loomspan.llm.language_model import LanguageModelOptions, Subwords, deal, gather, number_type, score, train
 from loomspan.llm.queries import op1_lm_scoring
 from loomspan.llm.toxicity import crc_part
 
@@ -106,3 +106,13 @@ def test_windows_hold_every_training_token_once(spark):
         if r.t is not None:
             seen[r.t] += r.n
     assert seen == counts
+
+
+def test_copies_spread_over_trainers(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame([(i, text if i % 2 else None) for i in range(2000)], "doc_id long, text string").repartition(3)
+    o = LanguageModelOptions()
+    windows = gather(docs, F.lit(True), PROTO, o).where("window is not null")
+    kind = number_type(Subwords(PROTO).library.get_piece_size())
+    held = [r.n for r in deal(windows, 8, o.shape, kind).select("n").collect()]
+    assert len(held) == 8 and sum(held) == windows.count() and max(held) < 1.5 * sum(held) / 8
