@@ -82,19 +82,20 @@ def clamp(x: Column, high: Column) -> Column:
     return F.greatest(F.lit(0).cast("long"), F.least(high, x))
 
 
-def mix(docs: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
+def mix(docs: DataFrame, options: MixOptions = MixOptions(), row: Column | None = None) -> DataFrame:
     """One row for each row of docs, sorted by position.
 
     Columns: doc_id, source, size, source_size, target, taken, position (of the first placement), placements, the hashes
-    that order a source's stream (_a, _b), and the row's number in docs (_row). placements: (epoch, words, position) for
-    each time that the mix takes words of the document. Where a source's stream ends inside a document, its first words
+    that order a source's stream (_a, _b), and the row's number (_row: row of docs if given, else a new one). placements:
+    (epoch, words, position) for each time that the mix takes words of the document. Where a source's stream ends inside a document, its first words
     are meant.
     """
     o = options
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"))
+    number = F.monotonically_increasing_id() if row is None else row
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), number.alias("_row"))
     same = [F.col("source").isNull(), "source", F.col("doc_id").isNull(), "doc_id", "crc", "size"]
-    rows = rows.withColumns({"_a": F.xxhash64(F.lit(o.seed), *same), "_b": F.xxhash64(F.lit(o.seed + 1), *same), "_row": F.monotonically_increasing_id()}).drop("crc")
+    rows = rows.withColumns({"_a": F.xxhash64(F.lit(o.seed), *same), "_b": F.xxhash64(F.lit(o.seed + 1), *same)}).drop("crc")
     rows = durable(rows, "sizes")
     groups = durable(rows.groupBy("_a", "_b", "source", "size").agg(F.count(F.lit(1)).alias("n")), "groups")
     sizes = groups.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.count(F.lit(1)).alias("held"))
@@ -133,15 +134,16 @@ def training_rows(docs: DataFrame, options: MixOptions = MixOptions()) -> DataFr
     """The rows of docs as training reads them: once for each placement, in the order of positions, with docs' columns.
 
     Where a placement takes a part of a document, text holds its first words with single spaces, and n_chars, if there is
-    one, the length of that. docs is read twice and has to come in the same order both times, as tables in files do.
+    one, the length of that. Rows are numbered once and written with their numbers, so both sides of the join read the same ones.
     """
     o = options
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    placed = mix(docs, o).where("taken > 0").select("_row", F.explode("placements").alias("_p"), F.col("size").alias("_size"), "_a", "_b")
-    rows = docs.withColumn("_row", F.monotonically_increasing_id()).join(placed, "_row")
+    columns, docs = docs.columns, durable(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    placed = mix(docs, o, F.col("_row")).where("taken > 0").select("_row", F.explode("placements").alias("_p"), F.col("size").alias("_size"), "_a", "_b")
+    rows = docs.join(placed, "_row")
     part = F.col("_p.words") < F.col("_size")
     cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), 1, F.col("_p.words").cast("int")), " ")
     rows = rows.withColumn("text", F.when(part, cut).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
+    if "n_chars" in columns:
         rows = rows.withColumn("n_chars", F.when(part, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.orderBy("_p.position", "_a", "_b").select(*docs.columns)
+    return rows.orderBy("_p.position", "_a", "_b").select(*columns)

@@ -74,3 +74,17 @@ def test_training_rows(spark):
     assert sum(len((r.text or "").split()) for r in out) == sum(r.taken for r in mixed)
     assert out[0].asDict().keys() == dict.fromkeys(["doc_id", "text", "source", "size", "n_chars"]).keys()
     assert training_rows(df.limit(0)).count() == 0 and mix(df.limit(0)).count() == 0
+
+
+def test_training_rows_when_files_are_split_anew(spark, tmp_path):
+    spark.createDataFrame(corpus(), SCHEMA).repartition(6).write.parquet(f"{tmp_path}/docs")
+    docs, key = spark.read.parquet(f"{tmp_path}/docs"), "spark.sql.files.maxPartitionBytes"
+    want = sorted((repr(r.doc_id), p.words) for r in mix(docs).collect() for p in r.placements)
+    before = spark.conf.get(key)
+    try:
+        out = training_rows(docs)
+        spark.conf.set(key, "2000")
+        got = sorted((repr(r.doc_id), len((r.text or "").split())) for r in out.collect())
+    finally:
+        spark.conf.set(key, before)
+    assert got == want
