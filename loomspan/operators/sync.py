@@ -59,25 +59,30 @@ def decision(matched: Column, tried: Column, error: Column, fidelity: Column, le
     return F.when(matched < least * tried, "unmatched").when(error > most, "timing").when(fidelity < faithful, "wording")
 
 
-def best_window(anchors_: DataFrame, words: DataFrame, keys: Sequence[str], id: str, most: int = 12) -> DataFrame:
-    """(keys, id, score, heard_at): the run of heard words most like each anchor's text.
+def best_window(anchors_: DataFrame, words: DataFrame, keys: Sequence[str], id: str) -> DataFrame:
+    """(keys, id, score, fidelity, heard_at): the run of heard words most like each anchor's text.
 
     anchors_: keys, id, text, low, high (search span), n_words; words: keys, pos, start, token. Runs have the anchor's
-    number of words, give or take one, and begin in its span; the first of the best wins.
+    number of words, give or take one, or all words where there are fewer, and begin in its span. Of the best, the
+    shortest wins, then the first. The fidelity, 0 to 1, is the likeness of its sorted words.
     """
-    from loomspan.functions.text import fuzz_ratio
+    from loomspan.functions.text import fuzz_ratio, sorted_words
 
-    ahead = Window.partitionBy(*keys).orderBy("pos").rowsBetween(0, most - 1)
-    runs = words.withColumn("_run", F.collect_list("token").over(ahead)).select(*keys, "pos", F.col("start").alias("_at"), "_run")
+    most = (anchors_.agg(F.max("n_words")).first()[0] or 0) + 1
+    ahead = Window.partitionBy(*keys).orderBy("pos").rowsBetween(0, max(0, most - 1))
+    runs = words.withColumns({"_run": F.collect_list("token").over(ahead), "_heard": F.count(F.lit(1)).over(Window.partitionBy(*keys)).cast("int")})
+    runs = runs.select(*keys, "pos", F.col("start").alias("_at"), "_run", "_heard")
     size = 30
     left = anchors_.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("low") / size), F.floor(F.col("high") / size))))
     right = runs.withColumn("_bin", F.floor(F.col("_at") / size))
     pairs = left.join(right, [*keys, "_bin"]).where((F.col("_at") >= F.col("low")) & (F.col("_at") <= F.col("high")))
-    pairs = pairs.withColumn("_n", F.explode(F.array(*(F.least(F.greatest(F.col("n_words") + k, F.lit(1)), F.lit(most)) for k in (0, -1, 1)))))
+    sizes = F.array_distinct(F.array(*(F.greatest(F.least(F.col("n_words") + k, F.col("_heard")), F.lit(1)) for k in (-1, 0, 1))))
+    pairs = pairs.withColumn("_n", F.explode(sizes)).where(F.size("_run") >= F.col("_n"))
     said = F.array_join(F.slice("_run", 1, F.col("_n")), " ")
-    scored = pairs.withColumn("score", fuzz_ratio(F.col("text"), said))
-    best = scored.groupBy(*keys, id).agg(F.max_by(F.struct("score", F.col("_at").alias("heard_at")), F.struct("score", -F.col("pos"))).alias("_b"))
-    return best.select(*keys, id, "_b.score", "_b.heard_at")
+    scored = pairs.withColumn("_said", said).withColumn("score", fuzz_ratio(F.col("text"), F.col("_said")))
+    best = scored.groupBy(*keys, id).agg(F.max_by(F.struct("score", F.col("_at").alias("heard_at"), "text", "_said"), F.struct("score", -F.col("_n"), -F.col("pos"))).alias("_b"))
+    fidelity = fuzz_ratio(sorted_words(F.col("_b.text")), sorted_words(F.col("_b._said"))) / 100
+    return best.select(*keys, id, "_b.score", fidelity.alias("fidelity"), "_b.heard_at")
 
 
 def track(anchors_: DataFrame, runs: DataFrame, key: str, reach: float, tightened: float, threshold: float = 75) -> DataFrame:

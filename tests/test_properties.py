@@ -127,3 +127,28 @@ def test_common_length():
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
         assert common_length(a, b) == table[-1][-1]
+
+
+def test_best_window_against_brute_force(spark):
+    import pytest
+
+    from loomspan.operators import sync as A
+
+    def ratio(a, b):
+        return 200 * common_length(a, b) / (len(a) + len(b))
+
+    rng = random.Random(4)
+    heard = {m: [rng.choice(["ab", "abc", "b", "cab", "dd", "e"]) for _ in range(n)] for m, n in (("a", 120), ("b", 60), ("c", 3))}
+    asked = {"a": heard["a"][70:95], "b": [rng.choice(["ab", "cab", "e"]) for _ in range(6)], "c": ["ab", "b", "dd", "e", "ab", "b"]}
+    words = spark.createDataFrame([(m, i, float(i), t) for m, ts in heard.items() for i, t in enumerate(ts)], "media string, pos int, start double, token string")
+    anchors = spark.createDataFrame([(m, 1, " ".join(ts), 0.0, 200.0, len(ts)) for m, ts in asked.items()], "media string, cue int, text string, low double, high double, n_words int")
+    got = {r.media: (r.score, r.fidelity, r.heard_at) for r in A.best_window(anchors, words, ["media"], "cue").collect()}
+    for m, ts in asked.items():
+        text, best = " ".join(ts), (-1.0, None, None)
+        for n in sorted({max(1, min(len(heard[m]), len(ts) + k)) for k in (-1, 0, 1)}):
+            for i in range(len(heard[m]) - n + 1):
+                said = " ".join(heard[m][i : i + n])
+                if ratio(text, said) > best[0]:
+                    best = (ratio(text, said), ratio(" ".join(sorted(ts)), " ".join(sorted(said.split()))) / 100, float(i))
+        assert got[m] == pytest.approx(best)
+    assert got["a"] == (100.0, 1.0, 70.0)
