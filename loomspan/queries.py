@@ -664,11 +664,19 @@ def src_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def jn_anchor_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark beginnings searched in the documents' words, a word each 0.3 s."""
-    words = M.tokens(lines(spark, sf_dir), "doc_id").where("doc_id < 40").select(F.lit(1).alias("one"), "doc_id", "pos", (F.col("pos") * 0.3).alias("start"), "token")
-    asked = words.where("pos between 20 and 24").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), " ").alias("text"))
-    asked = asked.select("doc_id", F.lit(1).alias("cue"), "text", F.lit(0.0).alias("low"), F.lit(30.0).alias("high"), F.lit(5).alias("n_words"))
-    return A.best_window(asked, words.drop("one"), ["doc_id"], "cue").select("doc_id", "score", "heard_at")
+    """Beginnings of benchmark items, five words each, searched in whole documents, a word each 0.3 s.
+
+    The items take turns by doc_id. Null doc_ids are searched for nothing.
+    """
+    words = M.tokens(lines(spark, sf_dir).where("doc_id is not null"), "doc_id").select("doc_id", "pos", (F.col("pos") * 0.3).alias("start"), "token")
+    items = table(spark, sf_dir, "benchmark")
+    first = F.array_join(F.transform(F.slice(X.split_words(F.col("text")), 1, 5), lambda w: X.normalize(w)), " ")
+    items = items.select((F.row_number().over(Window.orderBy("item_id")) - 1).alias("turn"), F.count(F.lit(1)).over(Window.partitionBy()).alias("of"), first.alias("text"))
+    reach = words.groupBy("doc_id").agg(F.max("start").alias("high"))
+    count = items.select("of").limit(1)
+    asked = reach.crossJoin(F.broadcast(count)).withColumn("turn", F.pmod("doc_id", "of")).join(F.broadcast(items.drop("of")), "turn")
+    asked = asked.select("doc_id", F.lit(1).alias("cue"), "text", F.lit(0.0).alias("low"), "high", F.size(F.split("text", " ")).alias("n_words"))
+    return A.best_window(asked, words, ["doc_id"], "cue").select("doc_id", "score", "fidelity", "heard_at")
 
 
 @query()
