@@ -476,6 +476,13 @@ def snk_edl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.edit_list(rows)
 
 
+@query()
+def snk_edl_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edit list of every media; snk_edl has those that its SQL names."""
+    rows = events(spark, sf_dir).where("end > start").select("media", (F.expr("start div 1000") / 1e3).alias("start"), (F.expr("end div 1000") / 1e3).alias("end"))
+    return K.edit_list(rows)
+
+
 @query(f"""WITH {EV} SELECT id, a / 1000000.0::DOUBLE AS start, coalesce(lag(b) OVER (PARTITION BY media ORDER BY a, b, id), 0) / 1000000.0::DOUBLE AS previous, least(0.01, (b - a) / 3000000.0::DOUBLE) AS fade FROM e""")
 def an_command_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).select("id", "media", (F.col("start") / 1e6).alias("start"), (F.col("end") / 1e6).alias("end"))

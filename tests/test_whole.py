@@ -26,6 +26,21 @@ def save(spark, tmp_path, **tables):
     return str(tmp_path)
 
 
+def test_every_media_gets_its_edit_list(spark):
+    want = defaultdict(list)
+    for r in spark.read.parquet(f"{FOLDER}/events.parquet").selectExpr("user_id", "unix_micros(cast(ts as timestamp)) a", "unix_micros(cast(ts as timestamp)) + cast(round(value * 60000000) as long) b").collect():
+        if r.b > r.a:
+            want[r.user_id].append((r.a // 1000 / 1e3, r.b // 1000 / 1e3))
+    got = {r.media: r.content for r in QUERIES["snk_edl_all"](spark, FOLDER).collect()}
+    assert max(want) >= 10 and got == {m: "".join(f"{a:.3f}\t{b:.3f}\t1\n" for a, b in sorted(x)) for m, x in want.items()}
+
+
+def test_every_media_beyond_the_first_twenty(spark, tmp_path):
+    rows = [(i, u, "click", 10.0) for i, u in enumerate([3, 25, 400])]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").selectExpr("*", "timestamp_ntz'2024-01-01 00:00:00' as ts").write.parquet(f"{tmp_path}/events.parquet")
+    assert sorted(r.media for r in QUERIES["snk_edl_all"](spark, str(tmp_path)).collect()) == [3, 25, 400]
+
+
 def test_anchors_are_searched_in_all_of_all_documents(spark, tmp_path):
     filler = [f"w{i % 7} x{i % 11}" for i in range(150)]
     items = [(7, "One two, three four five six"), (9, "red green blue white black")]
