@@ -271,6 +271,13 @@ def fn_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(same).select("raw", bare.alias("token"))
 
 
+@query()
+def fn_normalize_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All distinct tokens with their normal form; fn_normalize has those that its SQL can say."""
+    rows = lines(spark, sf_dir).select(F.explode(X.split_words(F.col("text"))).alias("raw")).distinct()
+    return rows.select("raw", X.normalize(F.col("raw")).alias("token"))
+
+
 @query(f"WITH {WORDS} SELECT doc_id, count(*) AS n FROM t WHERE length(raw) >= 2 AND regexp_matches(raw, '[*#]') AND (regexp_matches(raw, '\\p{{L}}') OR length(raw) >= 3) GROUP BY doc_id")
 def fn_is_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines(spark, sf_dir).select("doc_id", F.explode(X.split_words(F.col("text"))).alias("raw"))

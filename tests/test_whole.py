@@ -41,6 +41,14 @@ def test_every_media_beyond_the_first_twenty(spark, tmp_path):
     assert sorted(r.media for r in QUERIES["snk_edl_all"](spark, str(tmp_path)).collect()) == [3, 25, 400]
 
 
+def test_runs_of_letters_are_normalized(spark, tmp_path):
+    texts = ["Fuuuuck?! soooo no", "shiiit 1000 --so-- Soooo, no", None, "straße ‘ooh’ äää good"]
+    folder = save(spark, tmp_path, documents=([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    want = {w: normal(w) for t in texts for w in split(t)}
+    assert {r.raw: r.token for r in QUERIES["fn_normalize_all"](spark, folder).collect()} == want
+    assert want["soooo"] == want["Soooo,"] == "so" and want["1000"] == "1000" and want["äää"] == "ä"
+
+
 def test_anchors_are_searched_in_all_of_all_documents(spark, tmp_path):
     filler = [f"w{i % 7} x{i % 11}" for i in range(150)]
     items = [(7, "One two, three four five six"), (9, "red green blue white black")]
