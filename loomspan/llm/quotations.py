@@ -4,13 +4,14 @@ A line's quote level is the number of > at its start. Lines of level 0 are a mes
 text without marks, lower-cased, with single spaces; it is hashed. A quoted passage belongs to the first message of the
 conversation (smallest turn) that has it as its own line, if that is an earlier turn. A message answers the message that
 most of its quoted words come from, among the passages of the lowest level that has links (deeper levels were quoted by
-that one in turn); on a tie the later one. A thread is what a message without such links starts; a thread in order of
+that one in turn); on a tie the later one. Passages of fewer than least_words words decide only where a message has no
+longer one that is linked. A thread is what a message without such links starts; a thread in order of
 turns has every answer after what it answers.
 
 All of it are DataFrame functions. Originals are aggregated to one turn for each passage before anything is joined, so
 common lines make no products, and no task collects a conversation.
 
-Defined results: a null text is empty; passages of fewer than least_words words link nothing; lines that announce a quote
+Defined results: a null text is empty; a passage without words links nothing; lines that announce a quote
 ("... wrote:") go with the quotes, in messages that quote; a null turn or conversation starts a thread of its own and is
 never an original; rows of equal conversation and turn keep a row each; an empty table gives an empty one. Columns other
 than conv_id, turn, role and text are not read.
@@ -28,7 +29,7 @@ from loomspan.session import durable
 
 @dataclass(frozen=True)
 class QuoteOptions:
-    least_words: int = 3
+    least_words: int = 3  #: of passages that decide before shorter ones
     announcement: str = r"(?i)\b(wrote|writes|schrieb|a écrit|escribió)\s*:\s*$"
     shape: str = "<|%s|>\n%s\n"  #: of a formatted message: role and text
 
@@ -67,12 +68,13 @@ def linked(messages: DataFrame, options: QuoteOptions = QuoteOptions()) -> DataF
     rows = durable(rows, "messages")
     passage = lambda name: F.xxhash64(f"{name}.passage").alias("hash")
     mine = rows.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("own").alias("p"))
-    first = mine.where(words_of(F.col("p.passage")) >= o.least_words).groupBy("conv_id", passage("p")).agg(F.min("turn").alias("original"))
-    cited = rows.select("row", "conv_id", "turn", F.explode("quoted").alias("q")).where(words_of(F.col("q.passage")) >= o.least_words)
+    first = mine.where(words_of(F.col("p.passage")) > 0).groupBy("conv_id", passage("p")).agg(F.min("turn").alias("original"))
+    cited = rows.select("row", "conv_id", "turn", F.explode("quoted").alias("q"))
     cited = cited.select("row", "conv_id", "turn", "q.level", words_of(F.col("q.passage")).alias("words"), passage("q"))
     links = cited.join(first, ["conv_id", "hash"]).where("original < turn")
-    ways = links.groupBy("row", "level", "original").agg(F.sum("words").alias("words"), F.count(F.lit(1)).alias("passages"))
-    answer = ways.groupBy("row").agg(F.sum("passages").alias("n_linked"), F.min_by("original", F.struct("level", -F.col("words"), -F.col("original"))).alias("reply_to"))
+    ways = links.groupBy("row", "level", "original").agg(F.sum("words").alias("words"), F.sum(F.when(F.col("words") >= o.least_words, F.col("words")).otherwise(0)).alias("long"), F.count(F.lit(1)).alias("passages"))
+    decides = F.struct(F.col("long") == 0, F.col("level"), -F.when(F.col("long") > 0, F.col("long")).otherwise(F.col("words")), -F.col("original"))
+    answer = ways.groupBy("row").agg(F.sum("passages").alias("n_linked"), F.min_by("original", decides).alias("reply_to"))
     answer = durable(answer, "answers")
     out = rows.join(answer, "row", "left")
     edges = out.where("reply_to is not null").groupBy("conv_id", "turn").agg(F.min("reply_to").alias("up"))

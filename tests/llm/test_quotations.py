@@ -28,3 +28,9 @@ def test_threads(spark):
     nothing = [r for r in out if r.conv_id is None]
     assert [(r.reply_to, r.thread, r.text) for r in nothing] == [(None, None, "d")]
     assert conversations(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_short_passages_decide_where_no_longer_one_is_linked(spark):
+    texts = ["Is it ready now?", "Yes.", "> yes.\nGood.", "> Yes.\n> Is it ready  now?\nAsked and answered.", "> no\nWhat?", ">> Good.\n> not said anywhere before\nFine."]
+    out = conversations(spark.createDataFrame([(1, i, "user", t, 1, 1, "x") for i, t in enumerate(texts)], SCHEMA)).collect()
+    assert {r.turn: (r.reply_to, r.thread, r.n_linked) for r in out} == {0: (None, 0, 0), 1: (None, 1, 0), 2: (1, 1, 1), 3: (0, 0, 2), 4: (None, 4, 0), 5: (2, 1, 1)}
