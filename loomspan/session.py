@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,32 +31,67 @@ def local_session(cores: str | int = "*", partitions: int = 8, **conf: str) -> S
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: the cluster's spark.checkpoint.dir.
 
-    Only where a session names none (unit tests on one machine) a temporary folder is made and set.
+    A session on one machine (master local) that names none gets a temporary folder, set in it. On a cluster that is an
+    error, as each executor would write to its own disk.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="loomspan-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def durable(df: DataFrame, name: str = "table") -> DataFrame:
+def durable(df: DataFrame, name: str = "table", codec: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and return it as read from there.
 
-    The rows survive lost executors, and what follows starts from files instead of a long lineage.
+    The rows survive lost executors, and what follows starts from files instead of a long lineage. discard deletes the
+    table; tables of returned, lazy results stay until clear.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/loomspan/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    path = f"{shared_folder(spark)}/{_own(spark)}/{uuid.uuid4().hex}/{name}"
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Arrow batches hold so many rows at most, for tables of long texts: tasks in Python then need little memory.
+def _own(spark: SparkSession) -> str:
+    """The part of the shared folder that this application writes to."""
+    return f"loomspan/{spark.sparkContext.applicationId}"
 
-    A setting of the session, read when a plan runs; a lower one is kept.
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that durable returned, once nothing reads them any more."""
+    for table in tables:
+        spark = table.sparkSession
+        own = f"/{_own(spark)}/"
+        for folder in {f[: f.index(own)] + own + f[f.index(own) + len(own) :].split("/")[0] for f in table.inputFiles() if own in f}:
+            _delete(spark, folder)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that durable wrote in this application, when its results are no longer needed."""
+    _delete(spark, f"{shared_folder(spark)}/{_own(spark)}")
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """While jobs run in this block, Arrow batches hold so many rows at most, so tasks in Python need little memory.
+
+    For tables of long texts. The session's setting is put back at the end; plans that run later have their batches
+    bounded by spark.sql.execution.arrow.maxBytesPerBatch.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= rows:
         spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
