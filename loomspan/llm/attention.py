@@ -1,8 +1,11 @@
 """A small causal self-attention language model in numpy.
 
-One layer with one head: inputs are embedded units; queries, keys and values are linear in them; a learned bias by distance
-is added to the products; the attended values and the input itself make a hidden layer. Its softmax has two levels: a
-group of units, then a unit of the group, so that a score costs the square root of the number of units.
+One layer with one head: inputs are embedded units; queries, keys, values and a part of their own are linear in them; a
+learned bias by distance is added to the products; the attended values and the own part make a hidden layer between -1
+and 1. Its softmax has two levels: a group of units, then a unit of the group, so that a score costs the square root of
+the number of units. Weights are held within limits, so no logit leaves the range of exp and probabilities sum to 1.
+
+Arrays of a step are made once and used again (Buffers): fresh memory for each would cost more than the arithmetic.
 """
 
 from __future__ import annotations
@@ -11,13 +14,16 @@ from dataclasses import dataclass
 
 import numpy as np
 
+MOST_LOGIT = np.float32(60)
+MOST_SHIFT = np.float32(20)
+
 
 @dataclass(frozen=True)
 class Shape:
     groups: int = 32
     members: int = 32
     width: int = 16
-    hidden: int = 16
+    hidden: int = 32
     window: int = 24  #: tokens that a window sees
     stride: int = 16  #: tokens that a window scores; the rest is context
 
@@ -27,21 +33,21 @@ class Shape:
         return self.groups * self.members
 
     def parts(self) -> dict[str, tuple[int, ...]]:
+        """Of linear, group and member the last row is a shift."""
         d, h = self.width, self.hidden
         return {
             "embed": (self.units + 1, d),
-            "query": (d, d),
-            "key": (d, d),
-            "value": (d, h),
-            "own": (d, h),
-            "shift": (h,),
+            "linear": (d + 1, 2 * d + 2 * h),  # query, key, value, own
             "distance": (self.window,),
-            "group": (h, self.groups),
-            "group_shift": (self.groups,),
-            "member": (self.groups, h, self.members),
-            "member_shift": (self.groups, self.members),
+            "group": (h + 1, self.groups),
+            "member": (self.groups, h + 1, self.members),
         }
 
+    def cuts(self) -> tuple[slice, slice, slice, slice]:
+        """Columns of the linear part: query, key, value, own."""
+        d, h = self.width, self.hidden
+        return slice(0, d), slice(d, 2 * d), slice(2 * d, 2 * d + h), slice(2 * d + h, 2 * d + 2 * h)
+
 
 def split(flat: np.ndarray, shape: Shape) -> dict[str, np.ndarray]:
     """Views of one array of parameters."""
@@ -53,180 +59,254 @@ def split(flat: np.ndarray, shape: Shape) -> dict[str, np.ndarray]:
     return out
 
 
-def initial(shape: Shape, seed: int = 5) -> np.ndarray:
+def initial(shape: Shape, counts: np.ndarray | None = None, seed: int = 5) -> np.ndarray:
+    """First parameters. counts: of each unit, from which the output's shifts start."""
     rng = np.random.default_rng(seed)
-    total = sum(int(np.prod(s)) for s in shape.parts().values())
-    flat = rng.normal(size=total).astype(np.float32)
-    for name, part in split(flat, shape).items():
-        part *= 0 if "shift" in name or name == "distance" else 0.5 if name == "embed" else part.shape[-2] ** -0.5
+    flat = rng.normal(size=sum(int(np.prod(s)) for s in shape.parts().values())).astype(np.float32)
+    p = split(flat, shape)
+    p["embed"] *= 0.5
+    p["linear"] *= shape.width**-0.5
+    p["group"] *= 0.1
+    p["member"] *= 0.1
+    for shift in (p["linear"][-1], p["distance"], p["group"][-1], p["member"][:, -1]):
+        shift[...] = 0
+    if counts is not None:
+        share = (counts.reshape(shape.groups, shape.members) + 0.5) / (counts.sum() + 0.5 * shape.units)
+        p["group"][-1] = np.log(share.sum(1))
+        p["member"][:, -1] = np.log(share / share.sum(1, keepdims=True))
+    limit(p, shape)
     return flat
 
 
-def log_sum(x: np.ndarray) -> np.ndarray:
-    top = x.max(-1)
-    return top + np.log(np.exp(x - top[..., None]).sum(-1))
+def limit(p: dict[str, np.ndarray], shape: Shape) -> None:
+    """Hold the output's weights where logits of a hidden layer between -1 and 1 stay below MOST_LOGIT."""
+    most = (MOST_LOGIT - MOST_SHIFT) / np.float32(shape.hidden)
+    for part in (p["group"], p["member"]):
+        np.clip(part[..., :-1, :], -most, most, out=part[..., :-1, :])
+        np.clip(part[..., -1, :], -MOST_SHIFT, MOST_SHIFT, out=part[..., -1, :])
+
+
+class Buffers:
+    """Arrays by name, made when first asked for and used again while they are large enough."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, np.ndarray] = {}
+
+    def get(self, name: str, *size: int, kind: type = np.float32) -> np.ndarray:
+        n = int(np.prod(size))
+        if name not in self.held or len(self.held[name]) < n or self.held[name].dtype != kind:
+            self.held[name] = np.zeros(n, kind)
+        return self.held[name][:n].reshape(size)
+
+
+def attend(weights: np.ndarray, factor: np.ndarray) -> None:
+    """Turn products into weights that are not normalised yet: e to the product, times the factor of each pair of places."""
+    np.clip(weights, -MOST_LOGIT, MOST_LOGIT, out=weights)
+    np.exp(weights, out=weights)
+    weights *= factor
+
+
+def factors(distance: np.ndarray, first: int, window: int) -> np.ndarray:
+    """For places first..window - 1 of a window and all its places: 0 where masked, else e to the distance's bias."""
+    far = np.arange(first, window)[:, None] - np.arange(window)[None, :]
+    return np.where(far >= 0, np.exp(np.clip(distance, -MOST_SHIFT, MOST_SHIFT))[far.clip(0)], 0).astype(distance.dtype)
+
+
+def two_levels(p: dict[str, np.ndarray], shape: Shape, hidden: np.ndarray, target: np.ndarray, buffers: Buffers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """(log-probabilities of the targets, their order by group, both levels' exp of logits, and where groups begin).
+
+    hidden ends with a column of ones. Log-probabilities and the second level's rows are in that order; the levels'
+    exps are divided by their sums.
+    """
+    n, kind = len(target), hidden.dtype
+    group, member = target // shape.members, target % shape.members
+    order = np.argsort(group.astype(np.uint16), kind="stable")
+    cuts = np.searchsorted(group, np.arange(shape.groups + 1), sorter=order).tolist()
+    group, member = group.take(order), member.take(order)
+    sorted_hidden = hidden.take(order, 0, out=buffers.get("sorted", *hidden.shape, kind=kind), mode="clip")
+    levels = []
+    logs = buffers.get("logs", n, kind=kind)
+    logs[:] = 0
+    for level, column in (("group", group), ("member", member)):
+        e = buffers.get(level, n, p[level].shape[-1], kind=kind)
+        if level == "group":
+            np.matmul(sorted_hidden, p["group"], out=e)
+        else:
+            for c in range(shape.groups):
+                if cuts[c] < cuts[c + 1]:
+                    np.matmul(sorted_hidden[cuts[c] : cuts[c + 1]], p["member"][c], out=e[cuts[c] : cuts[c + 1]])
+        logs += e.reshape(-1).take(np.arange(n) * e.shape[1] + column)
+        np.exp(e, out=e)
+        sums = e @ np.ones(e.shape[1], kind)
+        logs -= np.log(sums)
+        levels.append((e, sums, column))
+    return logs, order, sorted_hidden, levels, cuts
 
 
 class Scorer:
     """Scores texts of units with fixed parameters; what is linear in an embedding is a table by unit."""
 
     def __init__(self, flat: np.ndarray, shape: Shape) -> None:
-        self.s, self.p = shape, split(flat, shape)
-        e = self.p["embed"]
-        self.query = (e @ self.p["query"] * shape.width**-0.5).astype(np.float32)
-        self.key = (e @ self.p["key"]).astype(np.float32)
-        self.value = np.append(e @ self.p["value"], np.ones((len(e), 1)), 1).astype(np.float32)  # the last column sums weights
-        self.own = (e @ self.p["own"] + self.p["shift"]).astype(np.float32)
-        w, s = shape.window, shape.stride
-        far = np.arange(w - s, w)[:, None] - np.arange(w)[None, :]
-        self.bias = np.where(far >= 0, self.p["distance"][far.clip(0)], -1e9).astype(np.float32)
-
-    def score(self, units: np.ndarray, places: np.ndarray, batch: int = 512) -> np.ndarray:
+        self.s, self.p, self.buffers = shape, split(flat, shape), Buffers()
+        q, k, v, own = shape.cuts()
+        e = (self.p["embed"] @ self.p["linear"][:-1] + self.p["linear"][-1]).astype(np.float32)
+        self.query = np.ascontiguousarray(e[:, q]) * np.float32(shape.width**-0.5)
+        self.key = np.ascontiguousarray(e[:, k].T)
+        self.value = np.ascontiguousarray(e[:, v])
+        self.own = np.ascontiguousarray(e[:, own])
+        self.factor = factors(self.p["distance"], shape.window - shape.stride, shape.window)
+
+    def score(self, units: np.ndarray, places: np.ndarray, batch: int = 256, held: int = 1024) -> np.ndarray:
         """Natural logarithm of each token's probability. units of text i stand at places[i]:places[i + 1].
 
-        Each window scores its last `stride` tokens, so each token is scored once; positions before a text's start and
-        after the scored one are masked.
+        Each window scores its last `stride` tokens, so each token is scored once. A text's first window begins where it
+        begins, so its scores do not depend on the other texts; positions before a text's start and after the scored one
+        are masked. batch windows are attended to at once; the outputs of held windows are made at once.
         """
-        w, s = self.s.window, self.s.stride
+        w, s, h = self.s.window, self.s.stride, self.s.hidden
         lengths = np.diff(places)
         count = -(-lengths // s)
-        text = np.repeat(np.arange(len(lengths)), count)
-        block = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-        inputs = np.empty(len(units), np.int32)
-        inputs[1:] = units[:-1]
-        inputs[places[:-1][lengths > 0]] = self.s.units
+        begin = np.cumsum(count) - count  # the first window of each text
+        total = int(count.sum())
+        place = np.arange(len(units)) + np.repeat(begin * s - places[:-1], lengths)
+        inputs = np.full(total * s + w - s, self.s.units, np.int32)
+        inputs[place[1:] + w - s] = units[:-1]
+        inputs[begin[lengths > 0] * s + w - s] = self.s.units
+        number = np.arange(total) - np.repeat(begin, count)  # of a window in its text
+        early = [np.flatnonzero(number == i) for i in range(-(-(w - s) // s))]
         out = np.empty(len(units), np.float32)
-        around = np.concatenate([np.zeros(w - s, np.int32), inputs, np.zeros(s, np.int32)])
-        windows = np.lib.stride_tricks.sliding_window_view(around, w)
-        offset = np.arange(w - s)
-        for low in range(0, len(text), batch):
-            t, b = text[low : low + batch], block[low : low + batch]
-            first = places[t] + b * s  # of the tokens that are scored
-            token = windows[first]
-            mine = token[:, w - s :]
-            logits = self.query[mine] @ self.key[token].transpose(0, 2, 1)
-            logits += self.bias
-            begins = np.flatnonzero(b * s < w - s)  # windows that reach back beyond their text
-            logits[begins, :, : w - s] += np.where(offset[None, :] >= (w - s - b[begins] * s)[:, None], np.float32(0), np.float32(-1e9))[:, None, :]
-            np.minimum(logits, np.float32(60), out=logits)
-            np.exp(logits, out=logits)
-            seen = logits @ self.value[token]
-            hidden = seen[..., :-1] / np.maximum(seen[..., -1:], np.float32(1e-30))
-            hidden += self.own[mine]
-            np.tanh(hidden, out=hidden)
-            place = first[:, None] + np.arange(s)[None, :]
-            real = place < (places[t] + lengths[t])[:, None]
-            place = place[real]
-            out[place] = self.outputs(hidden[real], units[place])
+        for low in range(0, total, held):
+            high = min(low + held, total)
+            a, b = np.searchsorted(place, (low * s, high * s))
+            hidden = self.buffers.get("hidden", (high - low) * s, h + 1)
+            hidden[:, -1] = 1
+            for first in range(low, high, batch):
+                last = min(first + batch, high)
+                self._hidden(inputs[first * s : last * s + w - s], last - first, [e[np.searchsorted(e, first) : np.searchsorted(e, last)] - first for e in early], hidden[(first - low) * s : (last - low) * s, :-1])
+            real = hidden.take(place[a:b] - low * s, 0, out=self.buffers.get("real", b - a, h + 1), mode="clip")
+            logs, order, *_ = two_levels(self.p, self.s, real, units[a:b], self.buffers)
+            out[a + order] = logs
         return out
 
-    def outputs(self, hidden: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Logarithms of the targets' probabilities. Tokens run along the last axis, where numpy is fast."""
-        m = self.s.members
-        group = target // m
-        order = np.argsort(group.astype(np.uint16), kind="stable")
-        group, member = group[order], target[order] % m
-        turned = np.ascontiguousarray(hidden[order].T)
-        found = _picked(self.p["group"].T @ turned + self.p["group_shift"][:, None], group)
-        cuts = np.searchsorted(group, np.arange(self.s.groups + 1)).tolist()
-        for g in range(self.s.groups):
-            low, high = cuts[g], cuts[g + 1]
-            if low < high:
-                found[low:high] += _picked(self.p["member"][g].T @ turned[:, low:high] + self.p["member_shift"][g][:, None], member[low:high])
-        out = np.empty(len(target), np.float32)
-        out[order] = found
-        return out
-
-
-def _picked(logits: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Each column's log-probability of its row."""
-    logits -= logits.max(0)
-    own = logits[rows, np.arange(len(rows))]
-    np.exp(logits, out=logits)
-    return own - np.log(logits.sum(0))
+    def _hidden(self, inputs: np.ndarray, n: int, early: list[np.ndarray], out: np.ndarray) -> None:
+        """The hidden layer of n neighbouring windows. early[i]: those that are number i of their text."""
+        w, s, d, h = self.s.window, self.s.stride, self.s.width, self.s.hidden
+        get, view = self.buffers.get, np.lib.stride_tricks.as_strided
+        mine = inputs[w - s :]
+        query = self.query.take(mine, 0, out=get("query", n * s, d), mode="clip").reshape(n, s, d)
+        key = self.key.take(inputs, 1, out=get("key", d, len(inputs)), mode="clip")
+        value = self.value.take(inputs, 0, out=get("value", len(inputs), h), mode="clip")
+        weights = np.matmul(query, view(key, (n, d, w), (s * 4, key.strides[0], 4), writeable=False), out=get("weights", n, s, w))
+        attend(weights, self.factor)
+        for i, at in enumerate(early):
+            weights[at, :, : w - s - i * s] = 0
+        sums = weights.reshape(n * s, w) @ np.ones(w, np.float32)
+        seen = np.matmul(weights, view(value, (n, w, h), (s * value.strides[0], *value.strides), writeable=False), out=get("seen", n, s, h)).reshape(n * s, h)
+        seen *= (1 / np.maximum(sums, np.float32(1e-30)))[:, None]
+        seen += self.own.take(mine, 0, out=get("own", n * s, h), mode="clip")
+        np.tanh(seen, out=out)
 
 
-def _pulled(logits: np.ndarray, rows: np.ndarray) -> tuple[float, np.ndarray]:
-    """The loss of columns whose right rows are given, and its gradient."""
-    logits -= logits.max(0)
-    at = rows, np.arange(len(rows))
-    own = logits[at]
-    np.exp(logits, out=logits)
-    sums = logits.sum(0)
-    logits /= sums
-    logits[at] -= 1
-    return float((np.log(sums) - own).sum()), logits
-
-
-def gradient(flat: np.ndarray, shape: Shape, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, np.ndarray]:
+def gradient(flat: np.ndarray, shape: Shape, inputs: np.ndarray, targets: np.ndarray, buffers: Buffers | None = None) -> tuple[float, np.ndarray]:
     """Mean loss of windows (rows of inputs and targets; targets below 0 do not count) and its gradient."""
-    p, d = split(flat, shape), np.zeros_like(flat)
+    buffers, kind = buffers or Buffers(), flat.dtype
+    get = lambda name, *size: buffers.get(name, *size, kind=kind)
+    p, d = split(flat, shape), get("gradient", len(flat))
+    d[:] = 0
     g = split(d, shape)
-    n, w = inputs.shape
-    scale = np.float32(shape.width**-0.5)
-    x = p["embed"][inputs]
-    q, k, v = x @ p["query"], x @ p["key"], x @ p["value"]
-    far = np.arange(w)[:, None] - np.arange(w)[None, :]
-    logits = q @ k.transpose(0, 2, 1) * scale + np.where(far >= 0, p["distance"][far.clip(0)], np.float32(-1e9))
-    a = np.exp(logits - logits.max(-1, keepdims=True))
-    a /= a.sum(-1, keepdims=True)
-    real = targets >= 0
-    h = np.tanh(x @ p["own"] + p["shift"] + a @ v)
-    hidden, target = h[real], targets[real]
-    total = max(1, len(target))
-    group = target // shape.members
-    order = np.argsort(group.astype(np.uint16), kind="stable")
-    group, member, turned = group[order], target[order] % shape.members, np.ascontiguousarray(hidden[order].T)
-    loss, dg = _pulled(p["group"].T @ turned + p["group_shift"][:, None], group)
-    g["group"][:], g["group_shift"][:] = turned @ dg.T, dg.sum(1)
-    dh = p["group"] @ dg
-    cuts = np.searchsorted(group, np.arange(shape.groups + 1)).tolist()
+    (n, w), h, width = inputs.shape, shape.hidden, shape.width
+    names, cuts_of = ("query", "key", "value", "own"), shape.cuts()
+    scale = kind.type(width**-0.5)
+    ids = inputs.reshape(-1)
+    x = p["embed"].take(ids, 0, out=get("x", n * w, width), mode="clip")
+    # narrow arrays of their own are faster to work on than columns of a wide one
+    q, k, v, own = (np.matmul(x, p["linear"][:-1, c] * (scale if c.start == 0 else 1), out=get(name, n * w, c.stop - c.start)) for name, c in zip(names, cuts_of, strict=True))
+    shifts = [p["linear"][-1, c] * (scale if c.start == 0 else 1) for c in cuts_of]
+    for part, shift in zip((q, k, v, own), shifts, strict=True):
+        wide = part.reshape(n, -1)  # a window's rows in one, so that the shift is added along a long axis
+        wide += np.tile(shift, w)
+    q, k, v, own = (part.reshape(n, w, -1) for part in (q, k, v, own))
+    a = np.matmul(q, k.transpose(0, 2, 1), out=get("weights", n, w, w))
+    attend(a, factors(p["distance"], 0, w))
+    a *= (1 / (a @ np.ones(w, kind)))[..., None]
+    seen = np.matmul(a, v, out=get("seen", n, w, h))
+    own += seen
+    top = np.tanh(own, out=own).reshape(n * w, h)
+    real = np.flatnonzero(targets.reshape(-1) >= 0)
+    hidden = get("hidden", len(real), h + 1)
+    hidden[:, :-1] = top if len(real) == n * w else top.take(real, 0)
+    hidden[:, -1] = 1
+    total = max(1, len(real))
+    logs, order, hidden, levels, cuts = two_levels(p, shape, hidden, targets.reshape(-1)[real], buffers)
+    for e, sums, column in levels:
+        e *= (1 / sums)[:, None]
+        e.reshape(-1)[np.arange(len(real)) * e.shape[1] + column] -= 1
+    dg, dm = levels[0][0], levels[1][0]
+    g["group"][:] = hidden.T @ dg
+    back = np.matmul(dg, p["group"][:-1].T, out=get("back", len(real), h))
+    more = get("more", len(real), h)
     for c in range(shape.groups):
         low, high = cuts[c], cuts[c + 1]
         if low < high:
-            more, dm = _pulled(p["member"][c].T @ turned[:, low:high] + p["member_shift"][c][:, None], member[low:high])
-            loss += more
-            g["member"][c], g["member_shift"][c] = turned[:, low:high] @ dm.T, dm.sum(1)
-            dh[:, low:high] += p["member"][c] @ dm
-    back = np.empty_like(hidden)
-    back[order] = dh.T
-    dz = np.zeros_like(h)
-    dz[real] = back * (1 - hidden * hidden)
-    fx, fz = x.reshape(n * w, -1), dz.reshape(n * w, -1)
-    g["own"][:] = fx.T @ fz
-    g["shift"][:] = fz.sum(0)
-    da = dz @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dz
-    ds = a * (da - (da * a).sum(-1, keepdims=True))
-    sums = ds.sum(0)
+            g["member"][c] = hidden[low:high].T @ dm[low:high]
+            np.matmul(dm[low:high], p["member"][c, :-1].T, out=more[low:high])
+    back += more
+    dh = get("dh", n * w, h)
+    if len(real) < n * w:
+        dh[:] = 0
+    dh[real.take(order)] = back
+    np.multiply(top, top, out=top)
+    np.subtract(1, top, out=top)
+    dh *= top
+    dh = dh.reshape(n, w, h)
+    dv = np.matmul(a.transpose(0, 2, 1), dh, out=get("dv", n, w, h))
+    ds = np.matmul(dh, v.transpose(0, 2, 1), out=get("ds", n, w, w))
+    seen *= dh
+    ds -= (seen.reshape(n * w, h) @ np.ones(h, kind)).reshape(n, w, 1)
+    ds *= a
+    sums = ds.reshape(n, w * w).sum(0).reshape(w, w)
     g["distance"][:] = [np.trace(sums, -i) for i in range(w)] + [0] * (shape.window - w)
-    ds *= scale
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    g["query"][:] = fx.T @ dq.reshape(n * w, -1)
-    g["key"][:] = fx.T @ dk.reshape(n * w, -1)
-    g["value"][:] = fx.T @ dv.reshape(n * w, -1)
-    dx = (dz @ p["own"].T + dq @ p["query"].T + dk @ p["key"].T + dv @ p["value"].T).reshape(n * w, -1)
-    order = np.argsort(inputs.reshape(-1), kind="stable")
-    ids = inputs.reshape(-1)[order]
+    dq = np.matmul(ds, k, out=get("dq", n, w, width))
+    dq *= scale
+    dk = np.matmul(ds.transpose(0, 2, 1), q, out=get("dk", n, w, width))
+    dx = None
+    for part, c in zip((dq, dk, dv, dh), cuts_of, strict=True):
+        g["linear"][-1, c] = part.reshape(n, -1).sum(0).reshape(w, -1).sum(0)
+        part = part.reshape(n * w, -1)
+        g["linear"][:-1, c] = x.T @ part
+        if dx is None:
+            dx = np.matmul(part, p["linear"][:-1, c].T, out=get("dx", n * w, width))
+        else:
+            dx += np.matmul(part, p["linear"][:-1, c].T, out=get("more", n * w, width))
+    order = np.argsort(ids.astype(np.uint16) if shape.units < 1 << 16 else ids, kind="stable")
+    ids = ids.take(order)
     first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-    g["embed"][ids[first]] = np.add.reduceat(dx[order], first)
+    g["embed"][ids[first]] = np.add.reduceat(dx.take(order, 0, out=x, mode="clip"), first)
     d /= total
-    return loss / total, d
+    return -float(logs.sum()) / total, d
 
 
-def descend(flat: np.ndarray, shape: Shape, inputs: np.ndarray, targets: np.ndarray, batch: int, steps: int, rate: float, seed: int) -> np.ndarray:
-    """Adam over shuffled batches of windows; the rate falls to a tenth."""
-    flat, rng = flat.astype(np.float32).copy(), np.random.default_rng(seed)
-    m, v = np.zeros_like(flat), np.zeros_like(flat)
+def descend(flat: np.ndarray, shape: Shape, inputs: np.ndarray, targets: np.ndarray, batch: int, steps: int, rates: tuple[float, float], seed: int) -> np.ndarray:
+    """Adam over shuffled batches of windows; the rate goes from the first of rates to the second."""
+    flat, rng, buffers = flat.astype(np.float32).copy(), np.random.default_rng(seed), Buffers()
+    p = split(flat, shape)
+    m, v, now = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
     order, at = rng.permutation(len(inputs)), 0
     for step in range(1, steps + 1):
         if at >= len(order):
             order, at = rng.permutation(len(inputs)), 0
         rows = order[at : at + batch]
         at += batch
-        _, g = gradient(flat, shape, inputs[rows], targets[rows])
-        m += np.float32(0.1) * (g - m)
-        v += np.float32(0.01) * (g * g - v)
-        now = rate * (1 - 0.9 * step / steps) * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-        flat -= np.float32(now) * m / (np.sqrt(v) + np.float32(1e-8))
+        _, g = gradient(flat, shape, inputs.take(rows, 0), targets.take(rows, 0), buffers)
+        m *= np.float32(0.9)
+        m += np.multiply(g, np.float32(0.1), out=now)
+        v *= np.float32(0.99)
+        g *= g
+        v += np.multiply(g, np.float32(0.01), out=now)
+        np.sqrt(v, out=now)
+        now += np.float32(1e-8)
+        np.divide(m, now, out=now)
+        now *= np.float32((rates[0] + (rates[1] - rates[0]) * step / steps) * np.sqrt(1 - 0.99**step) / (1 - 0.9**step))
+        flat -= now
+        limit(p, shape)
     return flat

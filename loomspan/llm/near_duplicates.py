@@ -196,9 +196,9 @@ def compare_tiles(docs: DataFrame, members: DataFrame, options: NearDuplicateOpt
 
 def near_duplicates(docs: DataFrame, options: NearDuplicateOptions = NearDuplicateOptions()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row for each row of docs; see the module's text."""
-    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = durable(sketch(docs, options), "sketches")
+    with small_batches(docs.sparkSession):
+        sketches = durable(sketch(docs, options), "sketches")
     full = sketches.where("n_shingles > 0 and doc_id is not null")
     same = full.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     bands = full.join(same, ["key", "doc_id"], "left_semi").select("doc_id", F.explode("bands").alias("h"))

@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from loomspan.llm import text as T
-from loomspan.session import small_batches
 
 MARK = "▁"  #: stands for a space
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -254,7 +253,6 @@ def _repaired(raw: bytes) -> str:
 
 def encode(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with a column of the ids of each whole text. A column of that name is replaced."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop(ids)
     schema = StructType([*docs.schema.fields, StructField(ids, ArrayType(IntegerType()))])
@@ -274,7 +272,6 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "i
 
 def decode(coded: DataFrame, model: PieceModel, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """coded with a column of the texts that its ids stand for. A column of that name is replaced."""
-    small_batches(coded.sparkSession)
     shared = coded.sparkSession.sparkContext.broadcast(model)
     coded = coded.drop(text)
     schema = StructType([*coded.schema.fields, StructField(text, StringType())])

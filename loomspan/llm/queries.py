@@ -27,7 +27,7 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
         proto = file.read()
     model, counts = language_model.train(docs, toxicity.crc_part(7) != 2, proto)
     scored = language_model.score(docs, model, counts, proto)
-    return scored.select("doc_id", (toxicity.crc_part(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "attention_score")
+    return scored.select("doc_id", (toxicity.crc_part(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 TREE = Tree.regular(3, 2, 4)

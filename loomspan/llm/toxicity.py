@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from loomspan.llm import text as T
-from loomspan.session import small_batches
 
 
 @dataclass(frozen=True)
@@ -142,7 +141,6 @@ def fit(labels: np.ndarray, docs: list[np.ndarray], sentences: np.ndarray, kept:
 def train(docs: DataFrame, labels: DataFrame, usable: Column, options: ToxicityOptions = ToxicityOptions()) -> ToxicityModel:
     """Fit a model to the labelled documents whose doc_id is usable. docs: doc_id, text; labels: doc_id, toxic."""
     o = options
-    small_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").where(usable).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(o.sample)
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
@@ -204,7 +202,6 @@ def score(docs: DataFrame, model: ToxicityModel, options: ToxicityOptions = Toxi
 def with_score(docs: DataFrame, model: ToxicityModel, options: ToxicityOptions = ToxicityOptions()) -> DataFrame:
     """docs with _score and _offending, see score."""
     o = options
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
     span = StructType([StructField("first", IntegerType()), StructField("end", IntegerType()), StructField("score", DoubleType())])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from loomspan.llm import attention
-from loomspan.llm.language_model import LanguageModelOptions, Subwords, deal, gather, number_type, score, train
+from loomspan.llm.language_model import LanguageModelOptions, Looked, Subwords, Words, deal, gather, number_type, score, train
 from loomspan.llm.queries import op1_lm_scoring
 from loomspan.llm.toxicity import crc_part
 
@@ -29,6 +29,10 @@ def check_base(docs, out, held):
     assert {r.train_tokens for r in out} == {total}
 
 
+def log_sum(x):
+    return x.max() + np.log(np.exp(x - x.max()).sum())
+
+
 def test_gradient():
     shape = attention.Shape(4, 4, 4, 5, 6, 4)
     flat, rng = attention.initial(shape).astype(np.float64), np.random.default_rng(0)
@@ -45,8 +49,9 @@ def test_gradient():
 
 def test_windows_score_each_token_once_with_its_own_context():
     shape = attention.Shape(4, 4, 8, 8, 7, 4)
-    flat = attention.initial(shape)
-    scorer, rng = attention.Scorer(flat, shape), np.random.default_rng(1)
+    rng = np.random.default_rng(1)
+    flat = attention.initial(shape) + rng.normal(size=len(attention.initial(shape))).astype(np.float32) * np.float32(0.3)
+    scorer = attention.Scorer(flat, shape)
     lengths = [0, 1, 3, 4, 5, 11, 30]
     places = np.cumsum([0, *lengths])
     units = rng.integers(0, 16, places[-1])
@@ -57,12 +62,13 @@ def test_windows_score_each_token_once_with_its_own_context():
         for i in range(high - low):
             first = max(0, i // 4 * 4 - 3)
             x = p["embed"][own[first : i + 1]]
-            logits = x @ p["key"] @ (x[-1] @ p["query"]) * shape.width**-0.5 + p["distance"][np.arange(len(x))[::-1]]
+            q, k, v, o = (np.append(x, np.ones((len(x), 1)), 1) @ p["linear"][:, c] for c in shape.cuts())
+            logits = k @ q[-1] * shape.width**-0.5 + p["distance"][np.arange(len(x))[::-1]]
             a = np.exp(logits - logits.max())
-            h = np.tanh(x[-1] @ p["own"] + p["shift"] + a / a.sum() @ (x @ p["value"]))
+            h = np.append(np.tanh(o[-1] + a / a.sum() @ v), 1)
             t = own[i + 1]
-            one, two = h @ p["group"] + p["group_shift"], h @ p["member"][t // 4] + p["member_shift"][t // 4]
-            assert abs(one[t // 4] - attention.log_sum(one) + two[t % 4] - attention.log_sum(two) - got[low + i]) < 1e-4
+            one, two = h @ p["group"], h @ p["member"][t // 4]
+            assert abs(one[t // 4] - log_sum(one) + two[t % 4] - log_sum(two) - got[low + i]) < 1e-4
 
 
 def test_defined_results(spark):
@@ -85,7 +91,6 @@ def test_query(spark):
     check_base(docs, out, lambda i: zlib.crc32(str(i).encode()) % 7 == 2)
     held = [r for r in out if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    # the order of words matters to the model
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2) for r in out)
 
 
@@ -100,7 +105,9 @@ def test_windows_hold_every_training_token_once(spark):
         ids = [i for w in words(t)[:-1] for i in library.encode([w])[0]] + [2]
         counts.update(ids)
         want.update(tuple([ids[a - 1] if a else -1] + (ids[a : a + size] + [-2] * size)[:size]) for a in range(0, len(ids), size))
-    assert Counter(tuple(np.frombuffer(r.window, number_type(library.get_piece_size())).tolist()) for r in got if r.window is not None) == want
+    kind = number_type(library.get_piece_size())
+    rows = [row for r in got if r.windows is not None for row in np.frombuffer(r.windows, kind).reshape(-1, size + 1).tolist()]
+    assert Counter(map(tuple, rows)) == want
     seen = Counter()
     for r in got:
         if r.t is not None:
@@ -108,11 +115,52 @@ def test_windows_hold_every_training_token_once(spark):
     assert seen == counts
 
 
+def test_scores_against_a_plain_version(spark):
+    """score of whole texts, rare and unseen words included, token by token from the model's parameters."""
+    rng = np.random.default_rng(4)
+    docs = [(i, " ".join(f"w{int(x)}" if x < 60 else f"rare{i}x{int(x)}" for x in rng.zipf(1.4, rng.integers(1, 60)))) for i in range(60)] + [(60, None), (61, "unseen é\u2003words")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    shape = attention.Shape(4, 8, 8, 8, 10, 6)
+    o = LanguageModelOptions(shape=shape, steps=20, rounds=2, batch=16, frequent=10)
+    model, counts = train(df, crc_part(7) != 2, PROTO, o)
+    out = {r.doc_id: r.score for r in score(df, model, counts, PROTO).collect()}
+    p, library = attention.split(model.flat.astype(float), shape), Subwords(PROTO).library
+    q, k, v, own = shape.cuts()
+    for i, t in docs:
+        ids = [x for word in words(t)[:-1] for x in library.encode([word])[0]] + [2]
+        units = [shape.units, *model.unit[ids].tolist()]
+        total = 0.0
+        for at in range(len(ids)):
+            first = max(0, at // 6 * 6 - 4)
+            x = p["embed"][units[first : at + 1]] @ p["linear"][:-1] + p["linear"][-1]
+            a = np.exp(x[:, k] @ x[-1, q] * shape.width**-0.5 + p["distance"][: len(x)][::-1])
+            h = np.append(np.tanh(x[-1, own] + a / a.sum() @ x[:, v]), 1)
+            one = np.exp(h @ p["group"])
+            two = np.exp(np.einsum("h,ghm->gm", h, p["member"]))
+            every = (one / one.sum())[:, None] * two / two.sum(1, keepdims=True)
+            assert abs(every.sum() - 1) < 1e-9
+            alike = (model.unit == units[at + 1]).sum() if units[at + 1] == shape.units - 1 else 1
+            total += math.log10(every.reshape(-1)[units[at + 1]] / alike)
+        assert abs(total - out[i]) < 1e-3 * max(1, abs(total))
+
+
+def test_remembered_words_have_the_same_subwords():
+    import pyarrow as pa
+
+    subwords = Subwords(PROTO)
+    looked = Looked(None, subwords, most=40)
+    rng = np.random.default_rng(3)
+    for _ in range(12):
+        w = Words.of(pa.array([" ".join(f"word{int(x)} né{int(x) % 7}" for x in rng.integers(0, 60, rng.integers(0, 20))) for _ in range(3)]))
+        for got, want in zip(looked.tokens(w), w.tokens(subwords, np.arange(len(w.first))), strict=True):
+            assert got.tolist() == want.tolist()
+
+
 def test_copies_spread_over_trainers(spark):
     text = " ".join(f"word{i}" for i in range(40))
     docs = spark.createDataFrame([(i, text if i % 2 else None) for i in range(2000)], "doc_id long, text string").repartition(3)
-    o = LanguageModelOptions()
-    windows = gather(docs, F.lit(True), PROTO, o).where("window is not null")
+    o = LanguageModelOptions(chunk=4096)
+    windows = gather(docs, F.lit(True), PROTO, o).where("windows is not null")
     kind = number_type(Subwords(PROTO).library.get_piece_size())
     held = [r.n for r in deal(windows, 8, o.shape, kind).select("n").collect()]
-    assert len(held) == 8 and sum(held) == windows.count() and max(held) < 1.5 * sum(held) / 8
+    assert len(held) == 8 and sum(held) == windows.selectExpr('sum(length(windows))').first()[0] // 50 and max(held) < 1.5 * sum(held) / 8
