@@ -3,13 +3,17 @@
 A text's words are hashed in runs of five. A template of t runs belongs to windows of w runs, w being the smallest power
 of two that is at least 2t, that start at every multiple of w / 2: an occurrence of the template lies inside one of them.
 A window's signature are minima of its hashed runs under fixed permutations, one for each band, so that a window that
-holds 75 % of a template (at least 0.19 of the union of both) shares a band with a probability above 1 - 1e-5. Runs that
-no template has can't be a minimum that a template shares, so windows without any template's run are left out before
-signatures are made; this loses nothing. For each template that shares a band, the share of its runs in the window is
-counted exactly.
+holds 75 % of a template (at least 0.19 of the union of both) shares a band with a probability above 1 - 1e-5. Templates
+are retrieved by these bands alone. Runs that no template has can't be a minimum that a template shares, so places are
+first looked up in a bitmap of the templates' runs (64 bits a run, so one in 64 other places passes too), and windows
+without a place that passes are left out before signatures are made; this loses nothing. For each template that shares a
+band, the share of its runs in the window is counted exactly.
 
-All of it are DataFrame functions; texts are not shuffled. Templates are a parameter of a few hundred texts at most: they
-are made into rows on the driver, and their runs are literals of the plan.
+All of it are DataFrame functions; texts are not shuffled. Templates are a parameter, or a table (template, license, text),
+of some thousand texts at most: their runs are made on the driver into the bitmap, a literal of eight bytes a run.
+
+Covered: the notices and headers below, and the short licenses in full (MIT, BSD, ISC, zlib, Unlicense). The long texts of
+the Apache, GNU, Mozilla and Creative Commons licenses are found by their headers; give their texts as a table for more.
 
 Defined results: a null text has no words; a text of fewer than five words is one run; letters A-Z count as a-z; a
 document that repeats a license has one row for it, of its best window, the earliest on a tie; rows of equal doc_id are
@@ -40,10 +44,22 @@ TEMPLATES = (
     ("cc-by-nc-notice", "CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("cc-by-nc-work", "CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("bsd-grant", "BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("mit-warranty", "MIT", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("bsd-clauses", "BSD-3-Clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd-name", "BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd-warranty", "BSD-2-Clause", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES"),
+    ("zlib", "Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("unlicense", "Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("mpl-header", "MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("lgpl-header", "LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("agpl-header", "AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("isc-grant", "ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
 )
 
 
+Templates = tuple[tuple[str, str, str], ...] | DataFrame
+
+
 @dataclass(frozen=True)
 class LicenseOptions:
     run: int = 5  #: words of a run
@@ -73,20 +89,33 @@ def signature(window: Column, bands: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.array_min(F.transform(window, lambda h: F.xxhash64(h, b))))
 
 
-def templates(spark: SparkSession, texts: tuple[tuple[str, str, str], ...], o: LicenseOptions) -> DataFrame:
+def templates(spark: SparkSession, texts: Templates, o: LicenseOptions) -> DataFrame:
     """(template, license, runs, window): distinct runs and the length of the windows to look in."""
-    rows = spark.createDataFrame(list(texts), "template string, license string, text string")
+    rows = texts if isinstance(texts, DataFrame) else spark.createDataFrame(list(texts), "template string, license string, text string")
     rows = rows.select("template", "license", F.array_distinct(runs(F.col("text"), o.run)).alias("runs"), F.size(runs(F.col("text"), o.run)).alias("length")).where("length > 0")
     return rows.withColumn("window", F.pow(F.lit(2), F.ceil(F.log2(F.col("length") * 2))).cast("int"))
 
 
-def scan(docs: DataFrame, texts: tuple[tuple[str, str, str], ...] = TEMPLATES, options: LicenseOptions = LicenseOptions()) -> DataFrame:
+def bitmap(values: list[int]) -> Callable[[Column], Column]:
+    """A test that all of some hashes pass, and one in 64 of the others."""
+    bits = max(16, math.ceil(math.log2(64 * max(1, len(values)))))
+    held = [0] * (1 << (bits - 6))
+    for v in values:
+        place = (v & (1 << 64) - 1) >> (64 - bits)
+        held[place >> 6] |= 1 << (place & 63)
+    words = F.array(*(F.lit(w - (1 << 64) if w >> 63 else w).cast("long") for w in held))
+    place = lambda h: F.shiftrightunsigned(h, 64 - bits)
+    word = lambda h: F.get(words, F.shiftright(place(h), 6).cast("int"))
+    return lambda h: F.call_function("shiftright", word(h), (place(h) % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+
+
+def scan(docs: DataFrame, texts: Templates = TEMPLATES, options: LicenseOptions = LicenseOptions()) -> DataFrame:
     """(row, doc_id, template, license, found, share, first_run): the templates in each document, with their best window's first run."""
     o, spark = options, docs.sparkSession
     known = templates(spark, texts, o)
     held = known.collect()  # a parameter's rows, not data
     bands = math.ceil(math.log(o.missed) / math.log(1 - o.share / (4 + 1 - o.share)))
-    values = sorted({h for r in held for h in r.runs})
+    listed = bitmap(sorted({h for r in held for h in r.runs}))
     sizes = F.array(*(F.lit(w) for w in sorted({r.window for r in held})))
 
     def around(p: Column, w: Column) -> Column:
@@ -95,7 +124,7 @@ def scan(docs: DataFrame, texts: tuple[tuple[str, str, str], ...] = TEMPLATES, o
 
     def windows(r: Column) -> Column:
         """The windows with some template's run, and the distinct runs in each."""
-        places = F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda i: F.get(r, i).isin(values))
+        places = F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda i: listed(F.get(r, i)))
         found = let(places, lambda p: F.flatten(F.transform(sizes, lambda w: F.array_distinct(F.flatten(F.transform(p, lambda i: around(i, w)))))))
         return F.transform(found, lambda x: F.struct(x["window"].alias("window"), x["first"].alias("first"), F.array_distinct(F.slice(r, x["first"] + 1, x["window"])).alias("part")))
 

@@ -11,8 +11,8 @@ buckets' totals, so that no task holds a source; equal rows are counted first, a
 
 Defined results: a null text has no words; a null source is a source of its own, after all others; documents that the mix
 does not take have no position and come last; equal rows (source, doc_id, text) are interchangeable; rows that differ get
-the same result in every run, however the input is split; an empty table gives an empty one. Columns other than doc_id,
-source and text are only carried by training_rows.
+the same result in every run, however the input is split; texts of any length are counted whole; an empty table gives an
+empty one. Columns other than doc_id, source and text are only carried by training_rows, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,7 +41,8 @@ class MixOptions:
 def targets(sizes: DataFrame, o: MixOptions) -> DataFrame:
     """sizes (source, source_size: one row for each source) with number, target and schedule.
 
-    The windows here run over sources, of which there are few, not over documents.
+    The windows here run over sources, not over documents: one task sorts them, a row of a few numbers for each, which
+    holds for millions of sources.
     """
     order = Window.orderBy(F.asc_nulls_last("source"))
     rows = sizes.withColumn("number", F.row_number().over(order) - 1)
@@ -137,13 +138,15 @@ def training_rows(docs: DataFrame, options: MixOptions = MixOptions()) -> DataFr
     one, the length of that. Rows are numbered once and written with their numbers, so both sides of the join read the same ones.
     """
     o = options
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    columns, docs = docs.columns, durable(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    placed = mix(docs, o, F.col("_row")).where("taken > 0").select("_row", F.explode("placements").alias("_p"), F.col("size").alias("_size"), "_a", "_b")
-    rows = docs.join(placed, "_row")
+    columns = docs.columns
+    # all of a row in one column, so that no name of docs can clash
+    held = durable(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*columns).alias("_doc")), "numbered")
+    of = held.select("_row", F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.source").alias("source"), F.col("_doc.text").alias("text"))
+    placed = mix(of, o, F.col("_row")).where("taken > 0").select("_row", F.explode("placements").alias("_p"), F.col("size").alias("_size"), "_a", "_b")
+    rows = held.join(placed, "_row")
     part = F.col("_p.words") < F.col("_size")
-    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), 1, F.col("_p.words").cast("int")), " ")
-    rows = rows.withColumn("text", F.when(part, cut).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.when(part, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.orderBy("_p.position", "_a", "_b").select(*columns)
+    whole = F.coalesce(F.col("_doc.text").cast("string"), F.lit(""))
+    cut = F.array_join(F.slice(F.regexp_extract_all(whole, F.lit(WORD), F.lit(0)), 1, F.col("_p.words").cast("int")), " ")
+    rows = rows.withColumn("_text", F.when(part, cut).otherwise(F.col("_doc.text")))
+    new = {"text": F.col("_text"), "n_chars": F.when(part, F.length("_text").cast("long")).otherwise(F.col("_doc.n_chars")) if "n_chars" in columns else None}
+    return rows.orderBy("_p.position", "_a", "_b").select(*((F.col("_doc")[c] if new.get(c) is None else new[c]).alias(c) for c in columns))

@@ -5,13 +5,19 @@ bands * rows bins, a bin holds its smallest hash, and an empty bin borrows from
 the bin's own random order (optimal densification). Rows of the signature make band hashes. Documents that share a
 band hash are candidates, but only edges to the smallest document of a bucket are drawn (a star), so that a bucket
 of n documents gives n - 1 edges. Edges are confirmed on full shingle sets. Links that stars miss join different
-components that still share a bucket; a second pass compares exactly those documents across components, in tiles.
+components that still share a bucket; a second pass compares exactly those documents across components: a family of
+documents tied by such buckets at once where it is small, each bucket of its own where it is not, in tiles.
 
 With 60 bands of 6 rows, two sets of similarity 0.75 share no bucket with probability (1 - 0.75 ** 6) ** 60 < 1e-5.
 
+What moves: a set of shingles, once for each star edge of its document, a star's centre once for some hundred of its
+neighbours. In the second pass a bucket of m documents that stay in different components (texts that share most, but
+less than three quarters, of their shingles) sends each of them to m / tile tasks; this is what remains quadratic.
+
 Defined results: a null, empty or blank text has no shingles and is linked with nothing; fewer than five words make
-one shingle of the whole sequence; rows of equal doc_id are one node of the graph; a row whose doc_id is null keeps
-null as component and isn't kept. Other columns are not read.
+one shingle of the whole sequence; rows of equal doc_id are one node of the graph, whatever their texts, so they share
+a component; a row whose doc_id is null keeps null as component and isn't kept; texts of any length are compared whole; an
+empty table gives an empty one. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +42,9 @@ class NearDuplicateOptions:
     similar: int = 75  #: percent of the union that two sets must share
     bands: int = 60
     rows: int = 6
-    tile: int = 128  #: documents of a family that are compared at once
+    tile: int = 128  #: documents that are compared at once
+    tile_shingles: int = 1 << 18  #: their shingles, about
+    star: int = 256  #: neighbours to which a centre's set is sent once
     seed: int = 7
 
 
@@ -103,64 +111,85 @@ def sketch(docs: DataFrame, options: NearDuplicateOptions) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, key binary, n_shingles long, bands array<long>")
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) of the given documents, written once: what follows shuffles these texts only, not the corpus.
+def sets_of(docs: DataFrame, ids: DataFrame, options: NearDuplicateOptions) -> DataFrame:
+    """(doc_id, shingles, size) of the given documents, written once: what follows shuffles these, not the corpus.
 
     The ids are the built side of a hashed join, so the corpus is not sorted. Nothing is broadcast, at any size.
+    shingles: sorted distinct 64-bit hashes, as bytes.
     """
-    return durable(docs.join(ids.distinct().hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "texts")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in T.chunks(batches):
+            sets, _ = shingle_sets(batch.column("text"), options.shingle_words)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "shingles", "size"])
 
-def confirm(pairs: DataFrame, docs: DataFrame, options: NearDuplicateOptions) -> DataFrame:
-    """The pairs (a, b) of documents whose full shingle sets are similar enough."""
+    texts = docs.join(ids.distinct().hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", "text")
+    with small_batches(docs.sparkSession):
+        return durable(texts.mapInArrow(run, "doc_id long, shingles binary, size long"), "sets")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in T.chunks(batches, column="text_b"):
-            code = batch.column("text_a").dictionary_encode()  # the rows of one centre stand together; its set is made once
-            distinct, _ = shingle_sets(code.dictionary, options.shingle_words)
-            first = [distinct[i] for i in code.indices.to_pylist()]
-            second, _ = shingle_sets(batch.column("text_b"), options.shingle_words)
-            good = []
-            for x, y in zip(first, second, strict=True):
-                low, high = sorted((len(x), len(y)))
-                if 100 * low < options.similar * high:
-                    good.append(False)
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(high > 0 and 100 * both >= options.similar * (low + high - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    texts = texts_of(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))))
-    return (
-        pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
-        .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
-        .select("a", "b", "text_a", "text_b")
-        .mapInArrow(run, "a long, b long")
-        .distinct()
-    )
+
+def alike(x: np.ndarray, y: np.ndarray, similar: int) -> bool:
+    """Whether two sets share so many percent of their union."""
+    low, high = sorted((len(x), len(y)))
+    if not low or 100 * low < similar * high:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= similar * (low + high - both)
 
 
-def compare_tiles(docs: DataFrame, members: DataFrame, options: NearDuplicateOptions) -> DataFrame:
-    """Links (a, b) between documents of one family but different components, found by comparing them all.
+def confirm(pairs: DataFrame, sets: DataFrame, options: NearDuplicateOptions) -> DataFrame:
+    """The pairs (a, b) of documents whose full shingle sets are similar enough.
 
-    members: (doc_id, component, family). A family is cut into tiles of about options.tile documents by a hash of
-    doc_id, and each pair of tiles is a group of its own, so that no task ever holds a whole family. A group returns a
-    forest of its links at most, and no row is made for a pair.
+    The neighbours of a centre a are dealt to parts of about options.star; a part's rows come one after the other, the
+    centre's set first, so a task holds no more than that set and a batch. A doc_id with several texts has several sets.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, centres = None, []
+        for batch in batches:
+            kept: list[tuple[int, int]] = []
+            rows = zip(*(batch.column(c).to_pylist() for c in ("a", "part", "b")), batch.column("shingles"), strict=True)
+            for a, number, b, shingles in rows:
+                own = np.frombuffer(shingles.as_buffer(), np.uint64)
+                if (a, number) != part:
+                    part, centres = (a, number), []
+                if b is None:
+                    centres.append(own)
+                elif any(alike(c, own, options.similar) for c in centres):
+                    kept.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.int64())], ["a", "b"])
+
+    degrees = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / options.star).alias("parts"))
+    dealt = durable(pairs.join(durable(degrees, "degrees"), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")), "dealt")
+    own = dealt.select("a", "part", F.col("b").alias("doc_id"), "b")
+    centres = dealt.select("a", "part", F.col("a").alias("doc_id"), F.lit(None).cast("long").alias("b")).distinct()
+    rows = own.union(centres).join(sets.select("doc_id", "shingles"), "doc_id").select("a", "part", "b", "shingles")
+    with small_batches(pairs.sparkSession, 2000):
+        return durable(rows.repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b")).mapInArrow(run, "a long, b long"), "links").distinct()
+
+
+def compare_tiles(sets: DataFrame, members: DataFrame, options: NearDuplicateOptions) -> DataFrame:
+    """Links (a, b) between documents of one group but different components, found by comparing them all.
+
+    members: (doc_id, component, group). A group is cut into tiles of about options.tile documents by a hash of doc_id,
+    and each pair of tiles is compared for itself, so that no task ever holds a whole group. A pair of tiles returns a
+    forest of its links at most, and no row is made for a pair of documents.
     """
-    size = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / options.tile).cast("int").alias("tiles"))
-    tile = F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")
+    o = options
+    members = durable(members.join(sets.groupBy("doc_id").agg(F.sum("size").alias("size")), "doc_id"), "sized")
+    count = F.greatest(F.ceil(F.count(F.lit(1)) / o.tile), F.ceil(F.sum("size") / o.tile_shingles)).cast("int")
+    tiles = durable(members.groupBy("group").agg(count.alias("tiles"), F.count_distinct("component").alias("components")).where("components > 1").drop("components"), "tiles")
     dealt = (
-        members.join(size, "family")
-        .withColumn("tile", tile)
+        members.join(tiles, "group")
+        .withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .withColumn("low", F.least("tile", "other"))
-        .withColumn("high", F.greatest("tile", "other"))
+        .withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")})
+        .select("doc_id", "component", "group", "tile", "low", "high")
     )
-    texts = texts_of(docs, members.select("doc_id"))
 
     def run(table: pa.Table) -> pa.Table:
         ids, tiles, comps = (table.column(c).to_numpy() for c in ("doc_id", "tile", "component"))
-        sets, _ = shingle_sets(table.column("text").combine_chunks(), options.shingle_words)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles").combine_chunks()]
         sizes = np.array([len(x) for x in sets])
         row = np.repeat(np.arange(len(sets)), sizes)
         values, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -172,7 +201,7 @@ def compare_tiles(docs: DataFrame, members: DataFrame, options: NearDuplicateOpt
             dense[row[part], number[part] - low] = 1
             both += dense @ dense.T
         union = sizes[:, None] + sizes[None, :] - both
-        good = (100 * both >= options.similar * union) & (comps[:, None] != comps[None, :])
+        good = (100 * both >= o.similar * union) & (comps[:, None] != comps[None, :])
         if (tiles != tiles[0]).any():
             good &= tiles[:, None] != tiles[None, :]
         top = {c: c for c in comps.tolist()}
@@ -191,7 +220,9 @@ def compare_tiles(docs: DataFrame, members: DataFrame, options: NearDuplicateOpt
                 b.append(int(ids[y]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.join(texts, "doc_id").groupBy("family", "low", "high").applyInArrow(run, "a long, b long")
+    # dealt by the pair of tiles, not by the group, which is what the joins before left them dealt by
+    rows = dealt.join(sets.select("doc_id", "shingles"), "doc_id").repartition("group", "low", "high")
+    return rows.groupBy("group", "low", "high").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, options: NearDuplicateOptions = NearDuplicateOptions()) -> DataFrame:
@@ -200,23 +231,34 @@ def near_duplicates(docs: DataFrame, options: NearDuplicateOptions = NearDuplica
     with small_batches(docs.sparkSession):
         sketches = durable(sketch(docs, options), "sketches")
     full = sketches.where("n_shingles > 0 and doc_id is not null")
-    same = full.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    same = durable(full.groupBy("key").agg(F.min("doc_id").alias("doc_id")), "same")
     bands = full.join(same, ["key", "doc_id"], "left_semi").select("doc_id", F.explode("bands").alias("h"))
     # buckets of two documents or more, each row with the bucket's smallest document
     stars = bands.groupBy("h").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("centre < last").select("h", "centre")
     shared = durable(bands.join(stars, "h"), "shared")
-    pairs = shared.where("centre < doc_id").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = confirm(durable(pairs, "pairs"), docs, options)
-    found = durable(components(links), "found")
+    pairs = durable(shared.where("centre < doc_id").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
+    # rows of one doc_id with different texts: their classes are one
+    keys = sketches.where("doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    several = durable(keys.where("low < high").select("doc_id"), "several")
+    own = full.join(several, "doc_id", "left_semi").select("key", F.col("doc_id").alias("b")).join(same.withColumnRenamed("doc_id", "a"), "key").select("a", "b")
+    sets = sets_of(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))), options)
+    found = durable(components(confirm(pairs, sets, options).union(own)), "found")
     # buckets that still hold two components: the documents they tie together are compared across components
     placed = shared.join(found, shared.doc_id == found.node, "left").select("h", "centre", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h")
+    placed = durable(placed, "placed")
+    mixed = durable(placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h"), "mixed")
     rest = durable(placed.join(mixed, "h", "left_semi"), "rest")
     families = components(rest.select(F.col("centre").alias("a"), F.col("doc_id").alias("b")))
-    members = rest.select("doc_id", "component").distinct().join(families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "doc_id")
-    more = compare_tiles(docs, durable(members, "members"), options)
+    families = durable(rest.select("doc_id", "component").distinct().join(families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "doc_id"), "families")
+    held = durable(families.groupBy("family").agg((F.count(F.lit(1)) <= options.tile).alias("small")), "held")
+    families = families.join(held, "family")
+    few = families.where("small").select("doc_id", "component", F.struct(F.lit(0).alias("by"), F.col("family").alias("of")).alias("group"))
+    many = rest.join(families.where("not small").select("doc_id"), "doc_id", "left_semi").select("doc_id", "component", F.struct(F.lit(1).alias("by"), F.col("h").alias("of")).alias("group")).distinct()
+    more = compare_tiles(sets, few.union(many), options)
     found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    found = durable(found, "components")
     classes = same.join(found, same.doc_id == found.node, "left").select("key", F.coalesce("component", "doc_id").alias("component_id"))
-    out = sketches.select("doc_id", "key", "n_shingles").join(classes, "key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    tied = several.join(found, several.doc_id == found.node).select("doc_id", F.col("component").alias("tied"))
+    out = sketches.select("doc_id", "key", "n_shingles").join(classes, "key", "left").join(tied, "doc_id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("tied", "component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))

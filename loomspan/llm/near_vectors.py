@@ -4,7 +4,9 @@ Vectors of equal label and coordinates are one class with a count. A class gets
 unit vector, and for each rotation the factor <code, vector> by which an estimate has to be divided to be free of bias.
 Classes of a label that share one of several bands of sign bits meet in a bucket, whose number of bits follows the
 logarithm of the label's size; the number of bands follows from the bits, so that a pair just at the threshold shares no
-bucket with a probability of 1e-4 at most. Buckets carry codes, factors and coordinates rounded to a byte, no vectors.
+bucket with a probability of 1e-4 at most. Bits grow with the label without a limit that data reach (most_bits: 2 to the
+47 vectors of a label), so a bucket's size does not follow the label's. Buckets carry codes, factors and coordinates
+rounded to a byte, no vectors.
 
 In a bucket, <code, other> / factor estimates the cosine. Its error stays below a multiple of
 sqrt((1 - factor^2) / factor^2 / (dimensions - 1) / rotations): where the upper bound stays below the threshold, for
@@ -15,8 +17,10 @@ has itself, which the result counts.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and rows without label, link with
 nothing and are components of their own; vectors of different length never link; equal vectors of one label link; rows of
-equal vec_id share a component; a null vec_id has links but never names a component and isn't kept; an empty table gives
-an empty one. Other columns are not read.
+equal vec_id share a component, whatever their vectors and labels, and each counts its own links; a null vec_id has links
+but never names a component and isn't kept; an empty table gives an empty one. Other columns are not read.
+
+All cosines come from one formula: products added in the order of coordinates, in double precision.
 """
 
 from __future__ import annotations
@@ -40,7 +44,7 @@ class NearVectorOptions:
     similar: float = 0.93
     missed: float = 1e-4  #: probability that a pair just at the threshold shares no bucket
     bucket: int = 128  #: classes that a bucket of a label without near copies should hold
-    most_bits: int = 16
+    most_bits: int = 40
     rotations: int = 2  #: codes of a class
     wide: float = 4.0  #: width of the confidence bounds, in units of the estimate's error
     partners: int = 32  #: possible partners in a bucket beyond which a class is compared in a family
@@ -90,7 +94,7 @@ def encode(classes: DataFrame, o: NearVectorOptions) -> DataFrame:
                 for r in range(-(-bands[b] * b // d)):
                     signs.append(turned(unit, o.rotations + r) > 0)
                 signs = np.concatenate(signs, 1)[:, : bands[b] * b].reshape(len(x), bands[b], b)
-                keys = np.arange(bands[b]) * (1 << o.most_bits) + signs @ (1 << np.arange(b, dtype=np.int64))
+                keys = np.arange(bands[b], dtype=np.int64) * (1 << b) + signs @ (1 << np.arange(b, dtype=np.int64))
                 scale = np.abs(unit).max(1)
                 rounded = np.rint(unit / scale[:, None] * 127).astype(np.int8)
                 yield pa.RecordBatch.from_arrays(
@@ -110,8 +114,12 @@ def encode(classes: DataFrame, o: NearVectorOptions) -> DataFrame:
 
 
 def tiles(members: DataFrame, keys: list[str], o: NearVectorOptions) -> DataFrame:
-    """members dealt to the pairs of tiles (low, high) of their group, so that no task holds a whole group."""
-    size = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    """members dealt to the pairs of tiles (low, high) of their group, so that no task holds a whole group.
+
+    Sizes are partial sums that are written, so the join's sides are plain shuffles and a large group's rows are split
+    over tasks; then rows are dealt by the pair of tiles, not by the group.
+    """
+    size = durable(members.groupBy(*keys).agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "sizes")
     count = F.ceil(F.col("held") / o.tile).cast("int")
     return (
         members.join(size, keys)
@@ -119,9 +127,22 @@ def tiles(members: DataFrame, keys: list[str], o: NearVectorOptions) -> DataFram
         .withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
         .withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")})
         .drop("held", "other")
+        .repartition(*keys, "low", "high")
     )
 
 
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosines of rows, added up in the order of coordinates, as the SQL expression of pairs does."""
+
+    def dot(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(p))
+        for k in range(p.shape[1]):
+            total += p[:, k] * q[:, k]
+        return total
+
+    return dot(x, y) / (np.sqrt(dot(x, x)) * np.sqrt(dot(y, y)))
+
+
 def forest(linked: np.ndarray) -> np.ndarray:
     """For each node of a symmetric matrix, the smallest node that it reaches."""
     top = np.arange(len(linked))
@@ -180,7 +201,13 @@ def compare_families(members: DataFrame, o: NearVectorOptions) -> DataFrame:
         node, tile, n = (table.column(c).to_numpy() for c in ("node", "tile", "n"))
         x = matrix(table.column("x"))
         unit = x / np.linalg.norm(x, axis=1)[:, None]
-        good = (unit @ unit.T >= o.similar) & across(tile)
+        near = unit @ unit.T
+        good = near >= o.similar
+        i, j = np.nonzero(np.abs(near - o.similar) < 1e-9)  # where rounding decides
+        for at in range(0, len(i), 1 << 16):
+            p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            good[p, q] = cosines(x[p], x[q]) >= o.similar
+        good &= across(tile)
         w = good @ n
         top = forest(good)
         at, has = np.flatnonzero(top != np.arange(len(top))), np.flatnonzero(w)
@@ -194,6 +221,8 @@ def near_vectors(vectors: DataFrame, options: NearVectorOptions = NearVectorOpti
     o = options
     x = F.col("embedding").cast("array<double>")
     able = usable(F.col("embedding")) & F.exists(x, lambda v: v != 0) & F.col("label").isNotNull()
+    # zeros of either sign are one coordinate
+    x = F.transform(x, lambda v: v + F.lit(0.0))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.when(able, x).alias("x"))
     rows = rows.withColumn("node", F.when(F.col("x").isNotNull(), F.xxhash64("label", "x")))
     classes = rows.where("node is not null").groupBy("node", "label", "x").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"))
@@ -219,11 +248,16 @@ def near_vectors(vectors: DataFrame, options: NearVectorOptions = NearVectorOpti
         .groupBy("node")
         .agg(F.sum("w").alias("w"))
     )
-    found = components(exact.select("a", "b").union(dense.where("b is not null").select("a", "b")))
+    # rows of one vec_id with different vectors: their classes are one
+    held = rows.where("vec_id is not null").groupBy("vec_id").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("node").alias("n"), F.count(F.lit(1)).alias("all"))
+    held = durable(held.where("a < z or (n > 0 and n < all)").select("vec_id", "a"), "several")
+    own = rows.where("node is not null").select("vec_id", F.col("node").alias("b")).join(held, "vec_id").where("a <> b").select("a", "b")
+    found = durable(components(exact.select("a", "b").union(dense.where("b is not null").select("a", "b")).union(own)), "found")
     placed = classes.select("node", "first", "n").join(found, "node", "left").join(degrees, "node", "left")
-    placed = placed.select("node", "first", F.coalesce("component", "node").alias("component"), (F.coalesce("w", F.lit(0)) + F.col("n") - 1).alias("links"))
-    names = placed.groupBy("component").agg(F.min("first").alias("component_id"))
-    placed = placed.join(names, "component").select("node", "links", "component_id")
-    out = rows.select("vec_id", "node").join(placed, "node", "left")
-    component = F.when(F.col("vec_id").isNotNull() | F.col("node").isNotNull(), F.coalesce("component_id", "vec_id"))
+    placed = durable(placed.select("node", "first", F.coalesce("component", "node").alias("component"), (F.coalesce("w", F.lit(0)) + F.col("n") - 1).alias("links")), "placed")
+    names = durable(placed.groupBy("component").agg(F.min("first").alias("component_id")), "names")
+    placed = durable(placed.join(names, "component").select("node", "links", "component_id"), "named")
+    tied = held.join(placed.select(F.col("node").alias("a"), F.col("component_id").alias("tied")), "a").select("vec_id", "tied")
+    out = rows.select("vec_id", "node").join(placed, "node", "left").join(tied, "vec_id", "left")
+    component = F.when(F.col("vec_id").isNotNull() | F.col("node").isNotNull(), F.coalesce("tied", "component_id", "vec_id"))
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))

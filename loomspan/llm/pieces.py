@@ -10,7 +10,9 @@ Pieces that merging never makes are left out when the model is loaded. A mark of
 character in a piece, so a text is cut before each run of such marks, and what a cut yields is remembered.
 Characters without a piece become their UTF-8 bytes.
 
-Defined results: a null or empty text has no ids; decoding null gives an empty text; control ids stand for nothing.
+Defined results: a null or empty text has no ids; decoding null gives an empty text; control ids stand for nothing; rows
+that repeat are rows of their own; texts of any length are encoded whole; an empty table gives an empty one; an input
+column with the name of a new one is replaced.
 """
 
 from __future__ import annotations
@@ -251,11 +253,15 @@ def _repaired(raw: bytes) -> str:
         return "".join(parts)
 
 
-def encode(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with a column of the ids of each whole text. A column of that name is replaced."""
+def encode(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """docs with a column of the ids of each whole text; with decoded, also one of the text that they stand for.
+
+    Columns of these names are replaced. Texts are worked on one after the other, in pieces of a batch, whatever their length.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop(ids)
-    schema = StructType([*docs.schema.fields, StructField(ids, ArrayType(IntegerType()))])
+    docs = docs.drop(ids, *([decoded] if decoded else []))
+    more = [StructField(decoded, StringType())] if decoded else []
+    schema = StructType([*docs.schema.fields, StructField(ids, ArrayType(IntegerType())), *more])
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +271,8 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "i
             places = np.cumsum([0, *map(len, found)]).astype(np.int32)
             flat = np.concatenate(found) if found else np.zeros(0, np.int32)
             lists = pa.ListArray.from_arrays(pa.array(places), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, ids])
+            back = [own.texts(lists)] if decoded else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, *back], schema.names)
 
     return docs.mapInArrow(run, schema)
 

@@ -65,8 +65,8 @@ def piece_model() -> pieces.PieceModel:
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = piece_model()
-    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
-    return pieces.digests(pieces.decode(coded, model)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, decoded="decoded")
+    return pieces.digests(coded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

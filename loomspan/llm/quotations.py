@@ -1,15 +1,17 @@
 """Conversations from quotations: quoted passages are linked to the messages they come from, and quotes are taken out.
 
 A line's quote level is the number of > at its start. Lines of level 0 are a message's own words. A passage is a line's
-text without marks, lower-cased, with single spaces; it is hashed. A quoted passage belongs to the first message of the
-conversation (smallest turn) that has it as its own line, if that is an earlier turn. A message answers the message that
-most of its quoted words come from, among the passages of the lowest level that has links (deeper levels were quoted by
-that one in turn); on a tie the later one. Passages of fewer than least_words words decide only where a message has no
-longer one that is linked. A thread is what a message without such links starts; a thread in order of
-turns has every answer after what it answers.
+text without marks, or a sentence of neighbouring lines of one level, joined over their ends, so that a quote which a
+mail client wraps anew has the same passages; it is lower-cased, with single spaces, and hashed. A quoted passage belongs
+to the first message of the conversation (smallest turn) that has it as its own, if that is an earlier turn. A message
+answers the message that most of its quoted words come from, among the passages of the lowest level that has links
+(deeper levels were quoted by that one in turn); on a tie the later one. Passages of fewer than least_words words decide
+only where a message has no longer one that is linked. A thread is what a message without such links starts; a thread in
+order of turns has every answer after what it answers.
 
 All of it are DataFrame functions. Originals are aggregated to one turn for each passage before anything is joined, so
-common lines make no products, and no task collects a conversation.
+common lines make no products, and no task collects a conversation. Originals and steps of threads are written before they
+are joined, so a passage that all quote, or a message that all answer, is split over tasks by adaptive execution.
 
 Defined results: a null text is empty; a passage without words links nothing; lines that announce a quote
 ("... wrote:") go with the quotes, in messages that quote; a null turn or conversation starts a thread of its own and is
@@ -49,6 +51,29 @@ def lines(text: Column) -> Column:
     return F.transform(cut, line)
 
 
+def sentences(passages: Column) -> Column:
+    """The sentences of lines, joined over line ends; an empty line ends one."""
+    text = F.regexp_replace(F.array_join(passages, "\n"), r"(?<=[^\n])\n(?=[^\n])", " ")
+    return F.split(text, r"\n+|(?<=[.!?])\s+")
+
+
+def own_passages(own: Column) -> Column:
+    """The distinct passages of a message's own lines."""
+    lines = F.transform(own, lambda x: x["passage"])
+    return F.filter(F.array_distinct(F.concat(lines, sentences(lines))), lambda p: p != "")
+
+
+def quoted_passages(lines: Column) -> Column:
+    """The distinct (level, passage) of a message's quoted lines."""
+
+    def of(level: Column) -> Column:
+        held = F.transform(lines, lambda x: F.when(x["level"] == level, x["passage"]).otherwise(""))
+        return F.transform(F.concat(held, sentences(held)), lambda p: F.struct(level.alias("level"), p.alias("passage")))
+
+    levels = F.filter(F.array_distinct(F.transform(lines, lambda x: x["level"])), lambda n: n > 0)
+    return F.filter(F.array_distinct(F.flatten(F.transform(levels, of))), lambda q: q["passage"] != "")
+
+
 def words_of(passage: Column) -> Column:
     return F.when(passage == "", 0).otherwise(F.size(F.split(passage, " ")))
 
@@ -56,21 +81,20 @@ def words_of(passage: Column) -> Column:
 def linked(messages: DataFrame, options: QuoteOptions = QuoteOptions()) -> DataFrame:
     """(conv_id, turn, role, text, formatted, n_quoted, n_linked, reply_to, thread): one row for each message.
 
-    text is without quotes; n_quoted and n_linked count passages; reply_to and thread are turns.
+    text is without quotes; n_quoted and n_linked count distinct passages of a level; reply_to and thread are turns.
     """
     o = options
     rows = messages.select(F.monotonically_increasing_id().alias("row"), "conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), lines(F.col("text")).alias("lines"))
     quotes = F.exists("lines", lambda x: x["level"] > 0)
     own = F.filter("lines", lambda x: (x["level"] == 0) & ~(quotes & F.rlike(x["raw"], F.lit(o.announcement))))
     text = F.trim(F.array_join(F.transform(own, lambda x: x["raw"]), "\n"), F.lit(" \t\r\n"))
-    size = lambda x: words_of(x["passage"])
-    rows = rows.select("row", "conv_id", "turn", "role", text.alias("text"), F.filter("lines", lambda x: (x["level"] > 0) & (size(x) > 0)).alias("quoted"), own.alias("own"))
+    # hashes of passages, so that texts are not written twice
+    hashed = F.transform(quoted_passages(F.col("lines")), lambda q: F.struct(q["level"].alias("level"), words_of(q["passage"]).alias("words"), F.xxhash64(q["passage"]).alias("hash")))
+    rows = rows.select("row", "conv_id", "turn", "role", text.alias("text"), hashed.alias("quoted"), F.transform(own_passages(own), lambda p: F.xxhash64(p)).alias("own"))
     rows = durable(rows, "messages")
-    passage = lambda name: F.xxhash64(f"{name}.passage").alias("hash")
-    mine = rows.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("own").alias("p"))
-    first = mine.where(words_of(F.col("p.passage")) > 0).groupBy("conv_id", passage("p")).agg(F.min("turn").alias("original"))
-    cited = rows.select("row", "conv_id", "turn", F.explode("quoted").alias("q"))
-    cited = cited.select("row", "conv_id", "turn", "q.level", words_of(F.col("q.passage")).alias("words"), passage("q"))
+    mine = rows.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("own").alias("hash"))
+    first = durable(mine.groupBy("conv_id", "hash").agg(F.min("turn").alias("original")), "first")
+    cited = rows.select("row", "conv_id", "turn", F.explode("quoted").alias("q")).select("row", "conv_id", "turn", "q.*")
     links = cited.join(first, ["conv_id", "hash"]).where("original < turn")
     ways = links.groupBy("row", "level", "original").agg(F.sum("words").alias("words"), F.sum(F.when(F.col("words") >= o.least_words, F.col("words")).otherwise(0)).alias("long"), F.count(F.lit(1)).alias("passages"))
     decides = F.struct(F.col("long") == 0, F.col("level"), -F.when(F.col("long") > 0, F.col("long")).otherwise(F.col("words")), -F.col("original"))

@@ -7,8 +7,10 @@ Over 1, nothing in the bucket can reach it, nor in any later one. A high local t
 largest coordinates, a vector of such a cosine lies in a narrow range around the query. A low one prunes by length
 alone: a prefix of the bucket is long enough. The products of what is left are computed exactly.
 
-The queries are a stated set: each block of them meets each block of candidates, and only the k best rows of a query and
-a block of candidates leave a task. So rows that move grow as queries times candidates divided by the size of a block.
+The queries are a stated set. They are dealt to blocks by the length that a candidate needs, and a query goes only to the
+blocks of candidates whose longest vector has it; a block of candidates moves once for each block of queries that comes to
+it, and only the k best rows of a query and a block of candidates leave a task. Where lengths tell little, each block of
+queries meets each block of candidates, so rows that move grow as queries times candidates divided by the size of a block.
 
 Vectors are integers here: floor(scale * x). Products are exact: in double precision while lengths allow it (below 2 to
 the 53), else in 64-bit integers.
@@ -130,11 +132,11 @@ def search_block(q: Block, least: np.ndarray, c: Block, o: SearchOptions) -> tup
 def _grid(queries: DataFrame, candidates: DataFrame, o: SearchOptions) -> DataFrame:
     """(row, id, score, other): the k best of each query in each block of candidates.
 
-    queries: row, id, x, least, dim, q_block, c_blocks; candidates: row, id, x, dim, c_block, q_blocks.
+    queries: row, id, x, least, dim, q_block, c_blocks; candidates: row, id, x, dim, c_block.
     """
-    queries = queries.withColumn("c_block", F.explode(F.col("c_blocks")))
-    candidates = candidates.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
     keys = ["dim", "q_block", "c_block"]
+    queries = queries.withColumn("c_block", F.explode(F.col("c_blocks")))
+    candidates = candidates.join(durable(queries.select(*keys).distinct(), "meetings"), ["dim", "c_block"])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -176,18 +178,27 @@ def top_products(vectors: DataFrame, is_query: Column, options: SearchOptions =
     of = of.withColumn("far", long_ones).drop("ends")
     rows = rows.join(of, "dim").withColumns({"part": part, "first": F.col("norm") >= F.col("far")}).drop("steps")
     # lengths that many rows share: parts are cut again by a hash of the row
-    counts = rows.groupBy("dim", "part").agg(F.count(F.lit(1)).alias("held"))
-    cut = counts.select("dim", "part", F.ceil(F.col("held") / o.candidates).cast("int").alias("cuts"))
-    names = F.flatten(F.collect_list(F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda i: F.col("part").cast("long") * (1 << 32) + i)))
+    counts = durable(rows.groupBy("dim", "part").agg(F.count(F.lit(1)).alias("held"), F.max("norm").alias("longest")), "parts")
+    cut = counts.select("dim", "part", F.ceil(F.col("held") / o.candidates).cast("int").alias("cuts"), "longest")
+    names = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda i: F.struct((F.col("part").cast("long") * (1 << 32) + i).alias("c_block"), F.col("longest").alias("longest")))
+    blocks = durable(cut.groupBy("dim").agg(F.flatten(F.collect_list(names)).alias("c_blocks")), "blocks")
     shares = rows.where("first").groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / o.longest).alias("share"))
-    rows = rows.join(cut, ["dim", "part"]).withColumn("c_block", F.col("part").cast("long") * (1 << 32) + F.pmod(F.xxhash64("row"), F.col("cuts")))
-    queries = rows.where("query").withColumn("q_block", F.pmod(F.xxhash64("row", F.lit(1)), F.col("q_blocks")).cast("int"))
-    queries = queries.select("row", "id", "x", "dim", "q_block")
-    candidates = rows.select("row", "id", "x", "dim", "c_block", "q_blocks")
-    leaders = rows.where("first").join(shares, "dim").where("pmod(xxhash64(row, 2), share) = 0").select("row", "id", "x", "dim", "q_blocks", F.lit(0).cast("long").alias("c_block"))
-    tried = _grid(queries.withColumns({"least": F.lit(None).cast("long"), "c_blocks": F.array(F.lit(0).cast("long"))}), leaders, o)
+    rows = rows.join(cut.drop("longest"), ["dim", "part"]).withColumn("c_block", F.col("part").cast("long") * (1 << 32) + F.pmod(F.xxhash64("row"), F.col("cuts")))
+    asked = rows.where("query").select("row", "id", "x", "norm", "dim", "q_blocks")
+    hashed = F.pmod(F.xxhash64("row", F.lit(1)), F.col("q_blocks")).cast("int")
+    leaders = rows.where("first").join(shares, "dim").where("pmod(xxhash64(row, 2), share) = 0").select("row", "id", "x", "dim", F.lit(0).cast("long").alias("c_block"))
+    tried = _grid(asked.withColumns({"q_block": hashed, "least": F.lit(None).cast("long"), "c_blocks": F.array(F.lit(0).cast("long"))}), leaders, o)
     least = durable(tried.groupBy("row").agg(F.when(F.count(F.lit(1)) >= o.k, F.min("score")).alias("least")), "least")
-    queries = queries.join(least, "row", "left").join(cut.groupBy("dim").agg(names.alias("c_blocks")), "dim")
+    # queries whose candidates need about the same length are a block; the margin keeps rounding from pruning what just reaches
+    need = F.when(F.col("least") > 0, F.try_divide(F.col("least").cast("double"), F.col("norm")) * (1 - 1e-9)).otherwise(F.lit(-1.0))
+    asked = durable(asked.join(least, "row", "left").withColumn("need", need), "asked")
+    needs = asked.groupBy("dim").agg(F.percentile_approx("need", F.lit(steps), F.lit(10000)).alias("needs"))
+    dealt = F.least("q_blocks", F.lit(64))
+    near = F.floor(F.size(F.filter("needs", lambda c: c <= F.col("need"))) * dealt / 64)
+    again = F.pmod(F.xxhash64("row", F.lit(1)), F.ceil(F.col("q_blocks") / dealt))
+    reached = F.transform(F.filter("c_blocks", lambda b: b["longest"] >= F.col("need")), lambda b: b["c_block"])
+    queries = asked.join(needs, "dim").join(blocks, "dim").select("row", "id", "x", "dim", "least", (near + dealt * again).cast("int").alias("q_block"), reached.alias("c_blocks"))
+    candidates = rows.select("row", "id", "x", "dim", "c_block")
     best = Window.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("id"))
     return (
         _grid(queries, candidates, o)

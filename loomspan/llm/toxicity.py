@@ -7,12 +7,15 @@ settles on the sentences that tell toxic documents from others, and these are th
 Inputs of a score are the words of the text and nothing else. A word is a run of bytes other than white space and ASCII
 punctuation, with A-Z lower-cased; sentences end at . ! ? and line ends.
 
-The fit uses a bounded sample of labelled documents (Options.sample: those with the smallest hash of doc_id). Where the
-texts are, their features are counted; features that toxic documents of the sample hold markedly more often than their
+The fit uses a bounded sample of labelled documents: those with the smallest hash of doc_id, Options.sample of them and
+Options.sample_bytes of text at most. A doc_id with several rows counts once, with the text whose hash is smallest. Where
+the texts are, their features are counted; features that toxic documents of the sample hold markedly more often than their
 share get weights. The driver gets these features and their places in the sample's documents, and no text.
 
 Defined results: a text without words (null, empty) scores 0; documents with several labels count as the highest; null
-labels are none; without labels of both kinds all scores are 0. Rows of equal doc_id are scored each for itself.
+labels are none; without labels of both kinds all scores are 0. Rows of equal doc_id are scored each for itself; texts of
+any length are scored whole; an empty table gives an empty one. score reads doc_id and text only; with_score replaces
+columns that are named _score or _offending.
 """
 
 from __future__ import annotations
@@ -22,16 +25,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from loomspan.llm import text as T
+from loomspan.session import durable
 
 
 @dataclass(frozen=True)
 class ToxicityOptions:
     sample: int = 20000  #: labelled documents that the fit uses at most
+    sample_bytes: int = 64 << 20  #: bytes of their texts at most
+    most_features: int = 1 << 16  #: features that get weights at most, those with the greatest lift
     bits: int = 20  #: features are hashed to 2 ** bits
     beginnings: tuple[int, ...] = (4, 5, 6)  #: bytes of a word's beginnings
     least: int = 4  #: documents that a feature must be in
@@ -142,12 +148,19 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, options: ToxicityO
     """Fit a model to the labelled documents whose doc_id is usable. docs: doc_id, text; labels: doc_id, toxic."""
     o = options
     known = labels.where("doc_id is not null and toxic is not null").where(usable).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(o.sample)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+    sized = rows.select("doc_id", F.xxhash64("text").alias("_h"), F.octet_length("text").alias("_bytes"))
+    sized = sized.groupBy("doc_id").agg(F.min(F.struct("_h", "_bytes")).alias("_t")).select("doc_id", "_t.*")
+    known = known.withColumn("doc_id", F.col("doc_id").cast("long")).join(sized, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(o.sample)
+    # at most o.sample rows of numbers: one task adds up their sizes
+    upto = F.sum("_bytes").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    known = durable(known.withColumn("_upto", upto).where(F.col("_upto") <= o.sample_bytes).select("doc_id", "_h", "toxic"), "sample")
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
     if share in (0.0, 1.0):
         return fit(np.zeros(1), [], np.zeros(0, np.int64), np.zeros(0, np.int64), o)
-    # at most o.sample rows of two numbers
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic")
+    texts = rows.withColumn("_h", F.xxhash64("text")).join(F.broadcast(known), ["doc_id", "_h"]).select("doc_id", "text", "toxic")
+    # equal rows of one doc_id
+    texts = durable(texts.groupBy("doc_id", "toxic").agg(F.first("text").alias("text")), "texts")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, every = np.zeros(1 << o.bits, np.int64), np.zeros(1 << o.bits, np.int64)
@@ -165,7 +178,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, options: ToxicityO
 
     counts = texts.mapInArrow(count, "feature long, toxic long, every long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("every").alias("every"))
     more = (F.col("toxic") - F.col("every") * share) / F.sqrt(F.col("every") * share * (1 - share))
-    kept = np.sort(counts.where((F.col("every") >= o.least) & (more >= o.lift) & (F.col("feature") != 0)).select("feature").toArrow().column(0).to_numpy())
+    marked = counts.where((F.col("every") >= o.least) & (more >= o.lift) & (F.col("feature") != 0)).select("feature", more.alias("more"))
+    kept = np.sort(marked.orderBy(F.desc("more"), "feature").limit(o.most_features).toArrow().column(0).to_numpy())
     shared = docs.sparkSession.sparkContext.broadcast(kept)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,6 +216,7 @@ def score(docs: DataFrame, model: ToxicityModel, options: ToxicityOptions = Toxi
 def with_score(docs: DataFrame, model: ToxicityModel, options: ToxicityOptions = ToxicityOptions()) -> DataFrame:
     """docs with _score and _offending, see score."""
     o = options
+    docs = docs.drop("_score", "_offending")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
     span = StructType([StructField("first", IntegerType()), StructField("end", IntegerType()), StructField("score", DoubleType())])

@@ -1,7 +1,18 @@
+import hashlib
+import random
+import sys
+from pathlib import Path
+
+import public_tokenizers
+import sentencepiece
+
 import corpus_pipeline as C
 from loomspan.llm.mixing import mix
 from loomspan.llm.near_duplicates import near_duplicates
-from loomspan.llm.queries import op5_toxicity, piece_model
+from loomspan.llm.queries import op5_toxicity
+
+sys.path.insert(0, str(Path(__file__).parent))
+from test_near_duplicates import brute  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -21,12 +32,8 @@ def test_stages_follow_their_operators(spark):
     mixed = C.mix_sources(spark, docs, FOLDER).collect()
     want = sorted((r.doc_id, p.words) for r in mix(docs).collect() for p in r.placements)
     assert sorted((r.doc_id, len(r.text.split())) for r in mixed) == want
-    model = piece_model()
-    for r in C.encode_pieces(spark, docs, FOLDER).collect()[:20]:
-        assert r.n_tokens == len(r.ids)
     out = C.run(spark, FOLDER)
     assert out.columns == ["doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256"] and out.count() > 0
-    assert model.pieces
 
 
 def test_nulls_copies_and_empty_tables(spark):
@@ -40,3 +47,40 @@ def test_nulls_copies_and_empty_tables(spark):
     empty = docs.limit(0)
     for _, stage in C.STAGES:
         assert stage(spark, empty, FOLDER).count() == 0
+
+
+def test_near_copies_against_brute_force(spark):
+    """One row stays of each group; rows of one doc_id with different texts stay together; the rest is untouched."""
+    rng = random.Random(3)
+    base = [" ".join(rng.choice("abcdefgh") * 2 + str(rng.randrange(50)) for _ in range(40)) for _ in range(6)]
+    rows = [(i, rng.choice(base) + rng.choice(["", " end", " tail"]), "en", rng.choice("xyz"), i % 7) for i in range(60)]
+    rows += [(3, base[0] + " other words here now", "en", "z", 1), (3, base[0] + " other words here now", "de", "a", 1), (None, base[1], "en", "q", 2), (61, None, None, None, None), (61, None, "en", None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    kept = {c for i, _, c, k in brute([(r[0], r[1]) for r in rows]) if k}
+    want = {}
+    for r in rows:
+        if r[0] in kept:
+            key = (r[0], r[1] or "")
+            want[key] = min(want.get(key, r), r, key=lambda x: [(v is not None, v) for v in x])
+    got = C.drop_near_copies(spark, docs, FOLDER)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([*want.values(), rows[-3]], key=repr)
+
+
+def test_columns_with_clashing_names(spark):
+    docs = spark.createDataFrame([(i, f"word{i} and more text of row {i % 3}", "en", "s", 9, 1, 2.0, 3, "p", 5) for i in range(12)], SCHEMA + ", _row int, _score double, _size int, _p string, _key int")
+    for name, stage in C.STAGES[:3]:
+        out = stage(spark, docs, FOLDER)
+        assert out.columns == docs.columns, name
+        assert all(r._row == 1 and r._p == "p" and r._key == 5 for r in out.collect()), name
+    assert C.encode_pieces(spark, docs, FOLDER).count() == 12
+
+
+def test_encoding_against_the_library(spark):
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in C.encode_pieces(spark, docs, FOLDER).collect():
+        ids = library.encode(texts[r.doc_id])
+        assert list(r.ids) == ids and r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()

@@ -88,3 +88,24 @@ def test_training_rows_when_files_are_split_anew(spark, tmp_path):
     finally:
         spark.conf.set(key, before)
     assert got == want
+
+
+def test_rows_are_right_when_parallelism_changes_between_plan_and_run(spark, tmp_path):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(i % 17)), "abc"[i % 3], 1, 9) for i in range(900)], SCHEMA)
+    docs.repartition(12).write.parquet(str(tmp_path / "docs"))
+    key = "spark.sql.leafNodeDefaultParallelism"
+    spark.conf.set(key, "2")
+    try:
+        out = training_rows(spark.read.parquet(str(tmp_path / "docs")))
+        spark.conf.set(key, "16")
+        got = sorted((r.doc_id, len(r.text.split()), set(w.split("x")[0] for w in r.text.split())) for r in out.collect())
+    finally:
+        spark.conf.unset(key)
+    assert all(len(owners) == 1 and owners == {f"w{i}"} for i, _, owners in got)
+    assert [(i, n) for i, n, _ in got] == sorted((r.doc_id, p.words) for r in mix(docs).collect() for p in r.placements)
+
+
+def test_very_long_text(spark):
+    rows = [(1, "word " * 300000, "a", 1, 9), (2, "b c", "b", 1, 9)]
+    out = {r.doc_id: r for r in mix(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out[1].size == 300000 and out[2].size == 2 and out[2].taken == 4

@@ -20,6 +20,7 @@ def shingles(text):
 def brute(rows):
     sets = [(r[0], shingles(r[1])) for r in rows]
     top = {i: i for i, _ in sets if i is not None}
+    # rows of equal doc_id are one node
 
     def find(x):
         while top[x] != x:
@@ -39,7 +40,7 @@ def run(spark, rows, **o):
     return sorted((tuple(r) for r in out), key=repr)
 
 
-@pytest.mark.parametrize("options", [{}, {"tile": 8}])
+@pytest.mark.parametrize("options", [{}, {"tile": 8, "star": 3}, {"tile_shingles": 100}])
 def test_against_brute_force(spark, options):
     rng = random.Random(8)
     vocabulary = [f"w{i}" for i in range(300)]
@@ -70,6 +71,13 @@ def test_defined_results(spark):
     assert run(spark, []) == []
 
 
+def test_one_doc_id_with_several_texts_is_one_node(spark):
+    one, two, three = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue white black grey")
+    rows = [(1, one, "", 1, 1), (5, one, "", 1, 1), (5, two, "", 1, 1), (7, two, "", 1, 1), (8, three, "", 1, 1), (9, three, "", 1, 1), (9, None, "", 1, 1), (6, "", "", 1, 1), (6, two, "", 1, 1)]
+    assert run(spark, rows) == brute(rows)
+    assert {r[0]: r[2] for r in run(spark, rows)} == {1: 1, 5: 1, 7: 1, 6: 1, 8: 8, 9: 8}
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, i) for i in range(2001, 2100)] + [(5, 5), (None, 4)]

@@ -23,7 +23,8 @@ def brute(rows):
     for i, r in enumerate(rows):
         seen, todo = {i}, [i]
         while todo:
-            for k in links[todo.pop()]:
+            at = todo.pop()
+            for k in links[at] + [k for k, other in enumerate(rows) if rows[at][0] is not None and other[0] == rows[at][0]]:
                 if k not in seen:
                     seen.add(k)
                     todo.append(k)
@@ -46,6 +47,20 @@ def test_against_brute_force(spark, options):
     assert run(spark, rows, **options) == brute(rows)
 
 
+def test_one_vec_id_with_several_vectors_is_one_node(spark):
+    rows = [(3, [1.0, 0.0], 1, 1), (5, [1.0, 0.0], 1, 1), (5, [0.0, 1.0], 1, 1), (7, [0.0, 1.0], 1, 1), (7, None, 1, 1), (8, None, 1, 1), (2, [0.0, 0.0], 1, 1), (2, [-1.0, 0.0], 2, 1), (9, [-0.0, -1.0], 2, 1), (9, [0.0, -1.0], 2, 1)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_pairs_at_the_threshold_are_decided_alike(spark):
+    """Dense groups and single pairs take the same side, whichever way rounding goes."""
+    y = math.sqrt(1 - 0.93**2)
+    for s in (1.0, 1.0 - 2**-53, 1.0 + 2**-52):
+        rows = [(i, [1.0, 1e-3 * i], i // 2, 1) for i in range(2)] + [(10, [1.0, 0.0], 9, 1), (11, [0.93, y * s], 9, 1)]
+        got = [r[1] for r in run(spark, rows, partners=0) if r[0] >= 10], [r[1] for r in run(spark, rows, partners=32) if r[0] >= 10]
+        assert got[0] == got[1]
+
+
 def test_defined_results(spark):
     rows = [(1, [1.0, 0.0], 1, 1), (2, [1.0, 0.01], 1, 1), (3, None, 1, 1), (4, [0.0, 0.0], 1, 1), (5, [1.0, None], 1, 1), (6, [float("nan"), 1.0], 1, 1), (7, [1.0, 0.0], None, 1), (8, [1.0, 0.0, 0.0], 1, 1), (9, [2.0], 1, 1), (10, [3.0], 1, 1), (11, [], 1, 1), (12, [1.0, 0.0], 1, 1), (None, [1.0, 0.0], 1, 1)]
     assert run(spark, rows) == brute(rows)
