@@ -2,11 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read again as the
 next one's docs. All but the last return the columns of documents.
+
+Defined results: an empty table gives an empty one at each stage; null, empty and very long texts, null doc_ids and repeated
+rows are handled as the operators' modules say.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm import pieces, toxicity
@@ -16,6 +19,12 @@ from loomspan.llm.queries import piece_model, table
 from loomspan.session import durable
 
 
+def numbered(docs: DataFrame, *kept: str) -> tuple[DataFrame, list[Column]]:
+    """docs with columns named by their place but for some, so that none can clash with a new one; and how they are named again."""
+    names = [c if c in kept else f"c{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)]
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below the threshold. Only labels of the training part are learned from.
 
@@ -23,21 +32,25 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     options = toxicity.ToxicityOptions()
     model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), toxicity.crc_part(4) != 2, options)
-    scored = toxicity.with_score(docs, model, options)
-    return scored.where(F.col("_score") < options.predicted).select(*docs.columns)
+    rows, columns = numbered(docs, "text")
+    return toxicity.with_score(rows, model, options).where(F.col("_score") < options.predicted).select(*columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicate documents the one with the smallest doc_id; of equal rows of that id, one.
+    """Of each group of near-duplicate documents the one with the smallest doc_id.
 
-    A document without words is linked with nothing and stays; so does one without doc_id.
+    Rows of one doc_id are one document. Of its rows with equal texts the first in the order of all columns stays; rows
+    with different texts all stay, so no text is lost. A document without words is linked with nothing and stays; rows
+    without doc_id stay as they are.
     """
+    rows, columns = numbered(docs, "doc_id", "text")
     marked = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(marked, "doc_id", "left_semi")
-    twice = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    once = known.join(twice, "doc_id", "left_anti")
-    first = known.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.select(*docs.columns).union(first.select(*docs.columns)).union(docs.where("doc_id is null"))
+    known = rows.where("doc_id is not null").join(marked, "doc_id", "left_semi")
+    held = durable(known.withColumn("_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))), "kept")
+    twice = durable(held.groupBy("doc_id", "_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"), "twice")
+    once = held.join(twice, ["doc_id", "_key"], "left_anti").select(*rows.columns)
+    again = held.join(twice, ["doc_id", "_key"], "left_semi").groupBy("doc_id", "_key").agg(F.min(F.struct(*rows.columns)).alias("_r"))
+    return once.union(again.select("_r.*")).select(*columns).union(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +61,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row's ids, and digests of the ids and of the text that they decode to."""
     model = piece_model()
-    coded = pieces.encode(docs.select("doc_id", "source", "text"), model).drop("text")
-    return pieces.digests(pieces.decode(coded, model)).select("doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    coded = pieces.encode(docs.select("doc_id", "source", "text"), model, decoded="decoded")
+    return pieces.digests(coded).select("doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [
