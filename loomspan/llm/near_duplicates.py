@@ -5,14 +5,16 @@ bands * rows bins, a bin holds its smallest hash, and an empty bin borrows from
 the bin's own random order (optimal densification). Rows of the signature make band hashes. Documents that share a
 band hash are candidates, but only edges to the smallest document of a bucket are drawn (a star), so that a bucket
 of n documents gives n - 1 edges. Edges are confirmed on full shingle sets. Links that stars miss join different
-components that still share a bucket; a second pass compares exactly those documents across components: a family of
-documents tied by such buckets at once where it is small, each bucket of its own where it is not, in tiles.
+components that still share a bucket; a second pass compares exactly those documents across components, in tiles: either
+all of a family of documents that such buckets tie, or each of its buckets by itself, whichever moves fewer rows.
 
 With 60 bands of 6 rows, two sets of similarity 0.75 share no bucket with probability (1 - 0.75 ** 6) ** 60 < 1e-5.
 
 What moves: a set of shingles, once for each star edge of its document, a star's centre once for some hundred of its
-neighbours. In the second pass a bucket of m documents that stay in different components (texts that share most, but
-less than three quarters, of their shingles) sends each of them to m / tile tasks; this is what remains quadratic.
+neighbours. In the second pass the documents of a group's largest component meet those of the others only, never each
+other, so a large group of copies with some outliers moves once for each tile of outliers. A bucket of m documents that
+all stay in different components (texts that share most, but less than three quarters, of their shingles) sends each of
+them to m / tile tasks; this is what remains quadratic.
 
 Defined results: a null, empty or blank text has no shingles and is linked with nothing; fewer than five words make
 one shingle of the whole sequence; rows of equal doc_id are one node of the graph, whatever their texts, so they share
@@ -44,7 +46,7 @@ class NearDuplicateOptions:
     rows: int = 6
     tile: int = 128  #: documents that are compared at once
     tile_shingles: int = 1 << 18  #: their shingles, about
-    star: int = 256  #: neighbours to which a centre's set is sent once
+    star: int = 64  #: neighbours to which a centre's set is sent once
     seed: int = 7
 
 
@@ -168,21 +170,41 @@ def confirm(pairs: DataFrame, sets: DataFrame, options: NearDuplicateOptions) ->
         return durable(rows.repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b")).mapInArrow(run, "a long, b long"), "links").distinct()
 
 
-def compare_tiles(sets: DataFrame, members: DataFrame, options: NearDuplicateOptions) -> DataFrame:
+def tiled(members: DataFrame, options: NearDuplicateOptions) -> DataFrame:
+    """(group, main, others, mains, moved): how each group of several components is cut to tiles, and how many rows that makes.
+
+    members: doc_id, component, group, size. main is the component with most documents; they fill `mains` tiles, and those
+    of the other components `others`. A group that fits in one tile is one: main is null then.
+    """
+    o = options
+    parts = members.groupBy("group", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
+    sums = parts.groupBy("group").agg(F.max(F.struct("n", "component", "s")).alias("m"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("components"))
+    tiles = lambda n, s: F.greatest(F.ceil(n / o.tile), F.ceil(s / o.tile_shingles)).cast("int")
+    one = tiles(F.col("n"), F.col("s")) <= 1
+    rows = sums.where("components > 1").select(
+        "group", "n", F.col("m.n").alias("held"), F.when(~one, F.col("m.component")).alias("main"),
+        F.when(one, 1).otherwise(tiles(F.col("n") - F.col("m.n"), F.col("s") - F.col("m.s"))).alias("others"), F.when(one, 0).otherwise(tiles(F.col("m.n"), F.col("m.s"))).alias("mains"),
+    )
+    moved = F.when(F.col("main").isNull(), F.col("n")).otherwise((F.col("n") - F.col("held")) * (F.col("others") + F.col("mains")) + F.col("held") * F.col("others"))
+    return rows.select("group", "main", "others", "mains", moved.alias("moved"))
+
+
+def compare_tiles(sets: DataFrame, members: DataFrame, tiles: DataFrame, options: NearDuplicateOptions) -> DataFrame:
     """Links (a, b) between documents of one group but different components, found by comparing them all.
 
-    members: (doc_id, component, group). A group is cut into tiles of about options.tile documents by a hash of doc_id,
-    and each pair of tiles is compared for itself, so that no task ever holds a whole group. A pair of tiles returns a
+    members: (doc_id, component, group); tiles: tiled's rows. Documents are dealt to tiles by a hash, and each pair of
+    tiles that may hold a link is compared for itself, so that no task ever holds a whole group. A pair of tiles returns a
     forest of its links at most, and no row is made for a pair of documents.
     """
     o = options
-    members = durable(members.join(sets.groupBy("doc_id").agg(F.sum("size").alias("size")), "doc_id"), "sized")
-    count = F.greatest(F.ceil(F.count(F.lit(1)) / o.tile), F.ceil(F.sum("size") / o.tile_shingles)).cast("int")
-    tiles = durable(members.groupBy("group").agg(count.alias("tiles"), F.count_distinct("component").alias("components")).where("components > 1").drop("components"), "tiles")
+    own = F.col("main").isNotNull() & (F.col("component") == F.col("main"))
+    tile = F.pmod(F.xxhash64("doc_id"), F.when(F.col("_main"), F.col("mains")).otherwise(F.col("others"))).cast("int") + F.when(F.col("_main"), F.col("others")).otherwise(0)
+    reach = F.when(F.col("_main"), F.col("others")).otherwise(F.col("others") + F.col("mains"))
     dealt = (
-        members.join(tiles, "group")
-        .withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        members.join(tiles.drop("moved"), "group")
+        .withColumn("_main", F.coalesce(own, F.lit(False)))
+        .withColumn("tile", tile)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), reach - 1)))
         .withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")})
         .select("doc_id", "component", "group", "tile", "low", "high")
     )
@@ -250,11 +272,21 @@ def near_duplicates(docs: DataFrame, options: NearDuplicateOptions = NearDuplica
     rest = durable(placed.join(mixed, "h", "left_semi"), "rest")
     families = components(rest.select(F.col("centre").alias("a"), F.col("doc_id").alias("b")))
     families = durable(rest.select("doc_id", "component").distinct().join(families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "doc_id"), "families")
-    held = durable(families.groupBy("family").agg((F.count(F.lit(1)) <= options.tile).alias("small")), "held")
-    families = families.join(held, "family")
-    few = families.where("small").select("doc_id", "component", F.struct(F.lit(0).alias("by"), F.col("family").alias("of")).alias("group"))
-    many = rest.join(families.where("not small").select("doc_id"), "doc_id", "left_semi").select("doc_id", "component", F.struct(F.lit(1).alias("by"), F.col("h").alias("of")).alias("group")).distinct()
-    more = compare_tiles(sets, few.union(many), options)
+    sizes = durable(sets.groupBy("doc_id").agg(F.sum("size").alias("size")), "sizes")
+    placed = rest.select("h", "doc_id", "component").distinct().join(families.select("doc_id", "family"), "doc_id").join(sizes, "doc_id")
+    placed = durable(placed, "members")
+    group = lambda by, of: F.struct(F.lit(by).alias("by"), F.col(of).alias("of")).alias("group")
+    whole = placed.select("doc_id", "component", group(0, "family"), "size").distinct()
+    single = placed.select("doc_id", "component", group(1, "h"), "size")
+    both = durable(tiled(whole, options).union(tiled(single, options)), "tiles")
+    # a family at once, or bucket by bucket
+    of = placed.select(F.col("h").alias("of"), "family").distinct()
+    buckets = both.where("group.by = 1").select("group.of", "moved").join(of, "of").groupBy("family").agg(F.sum("moved").alias("apart"))
+    chosen = both.where("group.by = 0").select(F.col("group.of").alias("family"), "moved").join(buckets, "family").select("family", (F.col("moved") <= F.col("apart")).alias("at_once"))
+    chosen = durable(chosen, "chosen")
+    at_once = whole.join(chosen.where("at_once").select(group(0, "family")), "group", "left_semi")
+    apart = placed.join(chosen.where("not at_once").select("family"), "family", "left_semi").select("doc_id", "component", group(1, "h"))
+    more = compare_tiles(sets, at_once.drop("size").unionByName(apart), both, options)
     found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     found = durable(found, "components")
     classes = same.join(found, same.doc_id == found.node, "left").select("key", F.coalesce("component", "doc_id").alias("component_id"))

@@ -40,7 +40,7 @@ def run(spark, rows, **o):
     return sorted((tuple(r) for r in out), key=repr)
 
 
-@pytest.mark.parametrize("options", [{}, {"tile": 8, "star": 3}, {"tile_shingles": 100}])
+@pytest.mark.parametrize("options", [{}, {"tile": 8, "star": 3}])
 def test_against_brute_force(spark, options):
     rng = random.Random(8)
     vocabulary = [f"w{i}" for i in range(300)]
