@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-SKIPPED = re.compile(r"<[^>]*>|\{[^}]*\}")  #: markup, which a viewer does not see
+from loomspan.functions import text as T
+from loomspan.operators.matching import Term, match
+from loomspan.sources.subtitles import subtitle_format
+
+EDGE_CLASS = "[" + "".join("\\" + c for c in T.EDGE + T.QUOTES) + "]"
+
+#: markup, which a viewer does not see: override blocks, tags and times
+SKIPPED = r"\{[^{}]*\}|</?[a-zA-Z][^<>]*>|<\d[\d:.]*>"
 
 
 def mask_words(text: Column, words: list[str], mark: str = "[...]") -> Column:
@@ -21,29 +29,45 @@ def mask_words(text: Column, words: list[str], mark: str = "[...]") -> Column:
     return F.regexp_replace(text, rf"(?iu)(?<![\p{{L}}\p{{N}}_'])(?:{either})(?![\p{{L}}\p{{N}}_'])", mark.replace("$", r"\$"))
 
 
-def masked(word: str, mode: str) -> str:
-    """A word as its mode shows it: first_letter, asterisks or remove."""
-    if mode == "remove":
-        return ""
-    kept = 1 if mode == "first_letter" else 0
-    return "".join(c if not c.isalnum() or i < kept else "*" for i, c in enumerate(word))
+def visible(text: Column) -> Column:
+    """A text as a viewer sees it: no markup, and spaces for the breaks \\N, \\n and \\h."""
+    return F.regexp_replace(F.regexp_replace(text, SKIPPED, ""), r"\\[Nnh]", " ")
+
+
+_SEEN = re.compile(f"({SKIPPED})|(\\\\[Nnh])")
 
 
 def mask_spans(text: str, spans: list[tuple[int, int]], mode: str) -> str:
-    """A text whose visible characters in the spans are masked; markup stays, and removed words leave one space."""
-    hidden = [(m.start(), m.end()) for m in SKIPPED.finditer(text)]
-    seen = [i for i in range(len(text)) if not any(a <= i < b for a, b in hidden)]
+    """A text whose visible characters in the spans are masked; markup and breaks stay, a removed word takes a space along.
+
+    Letters and digits become asterisks, all of them or all but the first of each word.
+    """
+    seen, at = [], 0  # of each visible character: its place, and whether it is a break
+    for found in _SEEN.finditer(text):
+        seen += [(i, False) for i in range(at, found.start())] + ([(found.start(), True)] if found.group(2) else [])
+        at = found.end()
+    seen += [(i, False) for i in range(at, len(text))]
+    shown = [" " if broken else text[i] for i, broken in seen]
     out = list(text)
-    for a, b in spans:
-        word = "".join(text[i] for i in seen[a:b])
-        new = masked(word, mode)
-        for k, i in enumerate(seen[a:b]):
-            out[i] = new[k] if k < len(new) else ""
-        if mode == "remove":
-            before, after = seen[a - 1] if a else None, seen[b] if b < len(seen) else None
-            if after is not None and text[after] == " " and (before is None or text[before] in " \n"):
-                out[after] = ""
-    return "".join(out).rstrip(" ") if mode == "remove" else "".join(out)
+    for a, b in ((max(a, 0), min(b, len(seen))) for a, b in spans):
+        if mode != "remove":
+            first = True
+            for k in range(a, b):
+                if shown[k].isalnum():
+                    out[seen[k][0]] = out[seen[k][0]] if first and mode == "first_letter" else "*"
+                    first = False
+                elif shown[k].isspace():
+                    first = True
+            continue
+        for k in range(a, b):
+            if not seen[k][1] and shown[k] not in "\r\n":
+                out[seen[k][0]] = ""
+        before, after = shown[a - 1] if a else "", shown[b] if b < len(seen) else ""
+        if after == " " and not seen[b][1] and (not before or before.isspace()):
+            out[seen[b][0]] = ""
+        elif before == " " and not seen[a - 1][1] and not after.isalnum():
+            out[seen[a - 1][0]] = ""
+    return "".join(out)
 
 
 @pandas_udf(StringType())
@@ -61,3 +85,73 @@ def mask_lines(lines: DataFrame, spans: DataFrame, keys: list[str], mode: str) -
     found = spans.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_s"))
     rows = lines.join(found, keys, "left").withColumn("text", mask_text("text", "_s", F.lit(mode))).drop("_s")
     return rows.where(F.trim("text") != "")
+
+
+def core_spans(words: Column, text: Column) -> Column:
+    """Spans of words (array<struct<first,last>>) in a text without the punctuation at their ends."""
+    edge = EDGE_CLASS
+
+    def cut(w: Column) -> Column:
+        word = F.substr(text, w["first"] + 1, w["last"] - w["first"])
+        lead = F.length(F.regexp_extract(word, f"^{edge}*", 0))
+        trail = F.length(F.regexp_extract(word, f"{edge}*$", 0))
+        return F.struct((w["first"] + lead).alias("first"), (w["last"] - F.when(lead < F.length(word), trail).otherwise(0)).alias("last"))
+
+    return F.filter(F.transform(words, cut), lambda w: w["first"] < w["last"])
+
+
+def censor(texts: DataFrame, keys: list[str], terms: Sequence[Term], mode: str, allow: Sequence[str] = (), text: str = "text") -> DataFrame:
+    """texts (keys, text) with listed and masked words masked as mode says, and `masked`: how many there are.
+
+    Words are found as a viewer sees them. In mode remove, the words of a match that follow one another go together.
+    """
+    rows = texts.withColumns({"_id": F.struct(*keys), "_seen": visible(F.col(text))})
+    found = match(rows.select("_id", F.col("_seen").alias("text")), "_id", terms, allow)
+    runs = found.select("_id", "first", "term", F.posexplode("targets").alias("_k", "_t"))
+    runs = runs.groupBy("_id", "first", "term", (F.col("_t") - F.col("_k")).alias("_r")).agg(F.min(F.col("first") + F.col("_t")).alias("_a"), F.max(F.col("first") + F.col("_t")).alias("_b"))
+    runs = runs.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_a", "_b"))).alias("_runs"))
+    rows = rows.join(runs, "_id", "left").withColumn("_words", T.word_spans(F.col("_seen")))
+    words = F.transform(F.coalesce("_runs", F.array().cast("array<struct<_a:int,_b:int>>")), lambda r: core_spans(F.slice("_words", r["_a"] + 1, r["_b"] - r["_a"] + 1), F.col("_seen")))
+    rows = rows.withColumn("_cores", F.filter(words, lambda c: F.size(c) > 0))
+    whole = F.transform("_cores", lambda c: F.struct(F.get(c, F.lit(0))["first"].alias("first"), F.element_at(c, -1)["last"].alias("last")))
+    rows = rows.withColumn("_spans", whole if mode == "remove" else F.flatten("_cores"))
+    rows = rows.withColumns({text: mask_text(text, "_spans", F.lit(mode)), "masked": F.size(F.flatten("_cores"))})
+    return rows.drop("_id", "_seen", "_runs", "_words", "_cores", "_spans")
+
+
+def mask_files(files: DataFrame, terms: Sequence[Term], mode: str, allow: Sequence[str] = ()) -> DataFrame:
+    """(media, content, masked): subtitle files (SRT, WebVTT, ASS/SSA; others are left out) with listed words masked.
+
+    All but the masked words stays as it is, line ends too. A line of SRT and WebVTT that is left empty goes, and so does a
+    cue without any line, as an empty line ends a cue. The rows of a file are cues; a file is put together from its rows.
+    """
+    kind = subtitle_format(F.col("content"))
+    known = files.select("media", "content", kind.alias("_kind")).where(F.col("_kind").isin("srt", "vtt", "ass"))
+    # SRT and WebVTT: a block of lines, then the empty lines after it
+    block = F.regexp_extract_all("content", F.lit(r"(?:[^\r\n]*\S[^\r\n]*(?:\r?\n|\z))+|(?:[^\S\r\n]*\r?\n)+|[^\S\r\n]+\z"), F.lit(0))
+    cue = known.where("_kind <> 'ass'").select("media", F.posexplode(block).alias("n", "_b"))
+    head = F.regexp_extract("_b", r"(?s)^(?:(?!(?:^|(?<=\n))\s*(?:\d+:)?\d+:\d+[,.]\d+\s*-->).)*?(?<![^\n])[ \t]*(?:\d+:)?\d+:\d+[,.]\d+[ \t]*-->[^\n]*\n?", 0)
+    cue = cue.select("media", "n", head.alias("head"), F.substr("_b", F.length(head) + 1).alias("text"), (head != "").alias("_cue"), F.col("_b"))
+    # ASS: a line; the text is the last field of a dialogue line
+    line = known.where("_kind = 'ass'").select("media", "content", F.posexplode(F.regexp_extract_all("content", F.lit(r"[^\n]*\n|[^\n]+\z"), F.lit(0))).alias("n", "_b"))
+    fields = F.size(F.split(F.regexp_extract("content", r"(?ims)^\s*\[events\]\s*$.*?^\s*format:([^\r\n]*)", 1), ",", -1))
+    line = line.withColumn("_f", F.when(F.rlike("content", F.lit(r"(?ims)^\s*\[events\]\s*$.*?^\s*format:")), fields).otherwise(10))
+    commas = F.concat(F.lit(r"(?i)^\s*dialogue:(?:[^,]*,){"), (F.col("_f") - 1).cast("string"), F.lit("}"))
+    begin = F.call_function("regexp_extract", F.col("_b"), commas, F.lit(0))
+    line = line.withColumn("head", F.coalesce(begin, F.lit("")))
+    line = line.select("media", "n", "head", F.substr("_b", F.length("head") + 1).alias("text"), F.lit(False).alias("_cue"), "_b", (F.col("head") != "").alias("_say"))
+    rows = cue.withColumn("_say", F.col("_cue")).unionByName(line)
+    said = censor(rows.where("_say").select("media", "n", "text"), ["media", "n"], terms, mode, allow)
+    rows = rows.join(said.select("media", "n", F.col("text").alias("_new"), "masked"), ["media", "n"], "left")
+    lines = lambda c: F.regexp_extract_all(c, F.lit(r"[^\n]*\n|[^\n]+\z"), F.lit(0))
+    shown = lambda x: F.trim(F.regexp_replace(visible(x), r"\s+", " ")) != ""
+    both = F.arrays_zip(lines(F.col("text")).alias("old"), lines(F.col("_new")).alias("new"))
+    kept = F.array_join(F.transform(F.filter(both, lambda z: shown(z["new"]) | ~shown(z["old"])), lambda z: z["new"]), "")
+    text = F.when(F.col("_cue") & (F.col("text") != ""), kept).otherwise(F.col("_new"))
+    whole = F.when(~F.col("_say"), F.col("_b")).when(F.col("_cue") & (F.col("text") != "") & (kept == ""), "").otherwise(F.concat("head", text))
+    rows = rows.select("media", "n", whole.alias("x"), F.coalesce("masked", F.lit(0)).alias("masked"))
+    # the empty lines after a cue that is gone go with it
+    gone = F.lag("x").over(Window.partitionBy("media").orderBy("n")) == ""
+    rows = rows.withColumn("x", F.when(F.coalesce(gone, F.lit(False)) & (F.trim(F.regexp_replace("x", r"\s+", "")) == ""), "").otherwise(F.col("x")))
+    parts = F.array_sort(F.collect_list(F.struct("n", "x")))
+    return rows.groupBy("media").agg(F.array_join(F.transform(parts, lambda p: p["x"]), "").alias("content"), F.sum("masked").alias("masked"))

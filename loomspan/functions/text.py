@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 #: fixed values: quote characters that are straightened, and what they become
 QUOTES = "‘’‚‛′´`“”„″"
@@ -19,6 +22,23 @@ EDGE = "\"'.,!?;:()[]{}<>«»¿¡…—–-_/\\|~^♪"
 _EDGE_CLASS = "[" + "".join("\\" + c if not c.isalnum() else c for c in EDGE) + "]"
 
 
+@cache
+def recomposed() -> str:
+    """A Java pattern for characters that compatibility composition may change, found by asking for each."""
+    wanted = [c for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and (unicodedata.normalize("NFKC", chr(c)) != chr(c) or unicodedata.category(chr(c))[0] == "M")]
+    ranges, low = [], None
+    for c, following in zip(wanted, [*wanted[1:], None], strict=True):
+        low = c if low is None else low
+        if following != c + 1:
+            ranges.append(f"\\u{low:04X}-\\u{c:04X}")
+            low = None
+    return f"[{''.join(ranges)}\\x{{10000}}-\\x{{10FFFF}}]"
+
+
+#: runs of Latin letters and signs that composition leaves as they are
+SETTLED = r"[\x00-\x7F¡-§©«-®°±¶·»¿-ıĴ-ľŁ-ňŊ-ž]+"
+
+
 @pandas_udf(StringType())
 def nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Compatibility composition, for texts that may hold full-width or composed characters."""
@@ -26,9 +46,15 @@ def nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+def composed(text: Column) -> Column:
+    """A text in compatibility composition. Only texts that it may change leave the JVM. Not for use in a lambda."""
+    odd = F.regexp_replace(text, SETTLED, "")  # few are left to be tested one by one
+    return F.coalesce(nfkc(F.when((odd != "") & F.rlike(odd, F.lit(recomposed())), text)), text)
+
+
 def fold(text: Column, compose: bool = False) -> Column:
-    """Straight quotes and case folding; with compose, compatibility characters first (this leaves the JVM)."""
-    text = nfkc(text) if compose else text
+    """Straight quotes and case folding; with compose, compatibility characters first (not in a lambda)."""
+    text = composed(text) if compose else text
     return F.replace(F.lower(F.translate(text, QUOTES, STRAIGHT)), F.lit("ß"), F.lit("ss"))
 
 
@@ -54,23 +80,76 @@ def split_words(text: Column) -> Column:
     return F.filter(F.split(plain, r"(?U)\s+"), lambda w: w != "")
 
 
+_BREAK = "\u0001"  #: stands between the words of a text while all are worked on at once
+
+
+def folded_words(words: Column, compose: bool = True) -> Column:
+    """fold of each word of an array, in one pass over all of them."""
+    return F.when(F.size(words) > 0, F.split(fold(F.array_join(words, _BREAK), compose), _BREAK, -1)).otherwise(F.array().cast("array<string>"))
+
+
+def normalized_words(words: Column, compose: bool = True) -> Column:
+    """normalize of each word of an array, in one pass over all of them; a word of punctuation becomes empty."""
+    text = fold(F.array_join(words, _BREAK), compose)
+    edge = f"[\\s{_EDGE_CLASS[1:-1]}]+"
+    bare = F.regexp_replace(text, f"(?<![^{_BREAK}]){edge}|{edge}(?![^{_BREAK}])", "")
+    return F.when(F.size(words) > 0, F.split(collapse(bare), _BREAK, -1)).otherwise(F.array().cast("array<string>"))
+
+
+@pandas_udf(ArrayType(StructType([StructField("first", IntegerType()), StructField("last", IntegerType())])))
+def word_spans(texts: pd.Series) -> pd.Series:
+    """Where the words of split_words stand in a text: first character, and the one after the last."""
+    divider = re.compile(r"--+|\.\.\.+|[—–…]")
+    plain = texts.map(lambda t: divider.sub(lambda m: " " * len(m.group()), t), na_action="ignore")
+    return plain.map(lambda t: [{"first": m.start(), "last": m.end()} for m in re.finditer(r"\S+", t)], na_action="ignore")
+
+
 def is_masked(token: Column, marks: str = "[*#]") -> Column:
     """Whether a token looks masked: two characters or more, a mark, and a letter or a third character."""
     return (F.length(token) >= 2) & F.rlike(token, F.lit(marks)) & (F.rlike(token, F.lit(r"\p{L}")) | (F.length(token) >= 3))
 
 
+#: fixed values: signs of a song
+NOTES = "♪♫♬"
+
+
 def clean_text(text: Column) -> Column:
-    """A subtitle's words: no tags, overrides, bracketed descriptions, song marks, dashes or speaker labels."""
-    plain = F.regexp_replace(text, r"<[^>]*>|\{[^}]*\}", "")
-    plain = F.regexp_replace(plain, r"\[[^\]]*\]|\([^)]*\)", "")
-    without = lambda x, *patterns: x if not patterns else without(F.regexp_replace(x, patterns[0], ""), *patterns[1:])
-    lines = F.transform(F.split(plain, "\n"), lambda x: F.trim(without(x, r"^[\s#♪]+|[\s#♪]+$", r"^[-–—]\s*", r"^\p{Lu}[\p{Lu}\d .']{1,30}:\s*")))
-    return F.trim(F.regexp_replace(F.array_join(F.filter(lines, lambda x: x != ""), " "), r"\s+", " "))
+    """A subtitle's words in one line: no tags, overrides, bracketed descriptions, song signs, dashes or speaker labels.
+
+    A label is in capitals, of four words at most, without ? ! , or quotes. Descriptions may go over a line end.
+    """
+    plain = F.regexp_replace(text, r"</?[a-zA-Z][^<>]*>|<\d[\d:.]*>", "")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"\{[^{}]*\}", ""), r"\[[^\[\]]*\]|\([^()]*\)", " ")
+    dash = r"^[-‐‑‒–—]+(?U:\s)*"
+
+    def line(x: Column) -> Column:
+        x = F.trim(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+        x = F.when(F.rlike(x, F.lit(SONG_LINE)), F.regexp_replace(x, r"^#+|#+$", "")).otherwise(x)
+        x = F.regexp_replace(x, dash, "")
+        label = F.regexp_extract(x, r"^([^\s:][^:]{0,29}):(?=\s|$)", 1)
+        spoken = (label != "") & (label == F.upper(label)) & (label != F.lower(label)) & (F.size(F.split(F.trim(label), r"\s+")) <= 4) & ~F.rlike(label, F.lit('[?!,"]'))
+        x = F.regexp_replace(F.when(spoken, F.substr(x, F.length(label) + 2)).otherwise(x), dash, "")
+        return F.trim(F.regexp_replace(F.regexp_replace(x, f"[{NOTES}]", " "), r"(?U)\s+", " "))
+
+    lines = F.transform(F.split(plain, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"), line)
+    return F.array_join(F.filter(lines, lambda x: x != ""), " ")
+
+
+SONG_LINE = r"^#\s.*\s#$|^#$"  #: a line that is sung, where # stands for a song sign
+
+
+def is_sung(text: Column) -> Column:
+    """Whether a subtitle is sung: a song sign anywhere, or a line between signs #."""
+    plain = F.regexp_replace(F.regexp_replace(text, r"</?[a-zA-Z][^<>]*>|<\d[\d:.]*>|\{[^{}]*\}", ""), r"\[[^\[\]]*\]|\([^()]*\)", " ")
+    return F.rlike(text, F.lit(f"[{NOTES}]")) | F.exists(F.split(plain, r"\r?\n"), lambda x: F.rlike(F.trim(x), F.lit(SONG_LINE)))
 
 
 def descriptions(text: Column) -> Column:
-    """Bracketed sounds of a line, lower-cased."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"[\[(]([^\])]+)[\])]"), F.lit(1)), lambda x: F.trim(F.lower(x)))
+    """Bracketed sounds of a subtitle, in small letters, with single spaces."""
+    plain = F.regexp_replace(text, r"</?[a-zA-Z][^<>]*>|<\d[\d:.]*>|\{[^{}]*\}", "")
+    found = F.regexp_extract_all(plain, F.lit(r"\[[^\[\]]*\]|\([^()]*\)"), F.lit(0))
+    bare = F.transform(found, lambda x: F.lower(F.trim(F.regexp_replace(F.substr(x, F.lit(2), F.length(x) - 2), r"(?U)\s+", " "))))
+    return F.filter(bare, lambda x: x != "")
 
 
 def srt_time(millis: Column) -> Column:
@@ -87,12 +166,27 @@ def rate(text: Column) -> Column:
     return F.try_divide(F.get(parts, F.lit(0)).try_cast("double"), F.when(F.size(parts) == 1, 1.0).otherwise(over))
 
 
+#: fixed values: what sounds tell of a line's delivery, the first that is found, and what sounds are sexual
+DELIVERIES = (
+    ("shouted", r"\b(shout\w*|yell\w*|scream\w*|screech\w*|bellow\w*|roar\w*)\b"),
+    ("whispered", r"\b(whisper\w*|murmur\w*|mutter\w*|under (his|her|their|my) breath)\b"),
+    ("tearful", r"\b(sob\w*|cry|cries|crying|weep\w*|tearful\w*)\b"),
+)
+SEXUAL_SOUNDS = r"\b(moan\w*|kiss\w*|sexual\w*|orgasm\w*|climax\w*|pant(s|ing)|breath(es|ing) heavily|bed ?springs|bed creak\w*|making love|having sex|sex)\b"
+
+
 def delivery(sounds: Column, text: Column) -> Column:
-    """How a line is said: by its sounds, else shouted where it has four capitals or more and no small letter."""
-    says = lambda pattern: F.exists(sounds, lambda s: F.rlike(s, F.lit(pattern)))
+    """How a line is said: by its sounds, else shouted where it has four letters or more, all capitals."""
     letters = F.regexp_replace(text, r"\P{L}", "")
-    loud = (F.length(letters) >= 4) & (letters == F.upper(letters))
-    return F.when(says("shout|scream|yell"), "shouted").when(says("whisper"), "whispered").when(says("cry|sob|tear"), "tearful").when(loud, "shouted")
+    loud = (F.length(letters) >= 4) & ~F.rlike(letters, F.lit(r"\P{Lu}"))
+    says = lambda pattern: F.exists(sounds, lambda s: F.rlike(s, F.lit("(?U)" + pattern)))
+    found = [F.when(says(pattern), name) for name, pattern in DELIVERIES]
+    return F.coalesce(*found, F.when(loud, "shouted"))
+
+
+def sexual_sounds(sounds: Column) -> Column:
+    """The sounds of a line that are sexual, in order."""
+    return F.filter(sounds, lambda s: F.rlike(s, F.lit("(?U)" + SEXUAL_SOUNDS)))
 
 
 def intensity(said: Column, text: Column) -> Column:
@@ -111,29 +205,45 @@ def parse_answer(text: Column, field: str, allowed: list[str]) -> Column:
     return F.when(value.isin(allowed), value)
 
 
-def common_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence; the columns of its table are the bits of one number."""
-    masks: dict[str, int] = {}
-    for i, c in enumerate(a):
-        masks[c] = masks.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for c in b:
-        hit = row & masks.get(c, 0)
-        row = (row + hit | row - hit) & full
-    return len(a) - row.bit_count()
-
-
 @pandas_udf(DoubleType())
 def fuzz_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """200 * common subsequence / total length; 100 for two empty texts. Null if either is."""
-    out = []
-    for x, y in zip(a, b, strict=True):
-        if x is None or y is None:
-            out.append(None)
-        else:
-            out.append(200 * common_length(x, y) / (len(x) + len(y)) if x or y else 100.0)
-    return pd.Series(out, dtype="float64")
+    """200 * common subsequence / total length; 100 for two empty texts. Null if either is.
+
+    Pairs are worked on together, those of about one length at once: a row of the table of each pair is a row of one
+    array, and every step takes one character of all the second texts.
+    """
+    known = a.notna() & b.notna()
+    x, y = a[known].tolist(), b[known].tolist()
+    out = np.full(len(x), 100.0)
+    size = np.array([max(len(p), len(q)) for p, q in zip(x, y, strict=True)], np.int64)
+    order = np.argsort(size, kind="stable")
+    low = 0
+    while low < len(order):
+        high = low + 1
+        while high < len(order) and (high - low + 1) * size[order[high]] <= 1 << 20 and size[order[high]] <= 2 * size[order[low]] + 8:
+            high += 1
+        rows = order[low:high]
+        out[rows] = _ratios([x[i] for i in rows], [y[i] for i in rows])
+        low = high
+    result = pd.Series(np.nan, index=a.index)
+    result[known] = out
+    return result.astype(object).where(known, None).astype("float64")
+
+
+def _ratios(x: list[str], y: list[str]) -> np.ndarray:
+    """200 * length of the longest common subsequence / both lengths, of each pair."""
+    codes = [np.zeros((len(z), max(map(len, z), default=0)), np.uint32) for z in (x, y)]
+    for table, texts, none in zip(codes, (x, y), (0xFFFFFFFE, 0xFFFFFFFF), strict=True):
+        table[:] = none
+        for i, t in enumerate(texts):
+            table[i, : len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+    first, second = codes
+    best = np.zeros((len(x), first.shape[1] + 1), np.int32)
+    for column in second.T:
+        grown = np.where(first == column[:, None], best[:, :-1] + 1, best[:, 1:])
+        best[:, 1:] = np.maximum.accumulate(np.maximum(grown, 0), 1)
+    total = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)])
+    return np.where(total > 0, 200 * best[:, -1] / np.maximum(total, 1), 100.0)
 
 
 def sorted_words(text: Column) -> Column:
@@ -155,3 +265,9 @@ def rms(samples: Column) -> Column:
 
 def decibels(level: Column) -> Column:
     return 20 * F.log10(level + 1e-12)
+
+
+def matching_lines(texts: DataFrame, id: str, pattern: str, text: str = "text") -> DataFrame:
+    """(id, line, l): the lines of each text that a pattern matches, numbered from 0."""
+    rows = texts.select(id, F.posexplode(F.split(text, "\n", -1)).alias("line", "l"))
+    return rows.where(F.rlike("l", F.lit(pattern)))

@@ -1,94 +1,208 @@
 """Finding terms of a word list in lines of words.
 
-Distinct tokens meet the list's distinct word patterns once, then tokens are joined to what they match; phrases are runs
-of such hits. A word list is a small parameter of the driver; its compiled patterns are broadcast.
+A word list is a small parameter of the driver. Its plain words are looked up in a set, its wildcards are one pattern, so a
+word of a line is tested once; only words that a term can use go on. Words of phrases meet at the phrase's first place.
+Nothing is joined with the text's distinct words, and lines without conflicts need no order.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+import unicodedata
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import text as T
 from loomspan.operators.spans import islands
 
+LETTERS = r"[\w']"  #: what a wildcard or a mask stands for
+SEARCH = "re:"  #: begins a term that is a pattern, searched for in a word
+MASKED = "masked"  #: the category of masked words that fit no listed one
+
 
 @dataclass(frozen=True)
 class Term:
-    """A listed word or phrase: `*` stands for any letters; [word] marks what a phrase is listed for."""
+    """A listed word or phrase: `*` stands for any letters; [word] marks what a phrase is listed for; re:x is a pattern."""
 
     text: str
     category: str
 
 
-def pattern(word: str) -> str:
-    """A Java pattern for a whole word."""
-    return "^(?:" + r"[\p{L}\p{N}_']*".join(re.escape(p) for p in word.split("*")) + ")$"
+@dataclass(frozen=True)
+class Part:
+    """One word of a term: spellings without wildcards, or a pattern."""
+
+    text: str
+    spellings: tuple[str, ...] = ()
+    pattern: str = ""
+    target: bool = False
+    search: bool = False
+
+    def fits(self, token: Column) -> Column:
+        """Whether a normalised token is meant, with its hyphens or without."""
+        test = (lambda t: t.isin(*self.spellings)) if self.spellings else (lambda t: F.rlike(t, F.lit(self.pattern)))
+        return either_form(token, test)
+
+
+def either_form(token: Column, test: object) -> Column:
+    """A test of a token that is not empty, or of its form without hyphens."""
+    joined = F.replace(token, F.lit("-"), F.lit(""))
+    return (token != "") & (test(token) | (F.contains(token, F.lit("-")) & (joined != "") & test(joined)))
+
+
+def listed(word: str) -> str:
+    """A word of the list as tokens are normalised: its punctuation stays."""
+    plain = unicodedata.normalize("NFKC", word).translate(str.maketrans(T.QUOTES, T.STRAIGHT)).casefold().strip()
+    return re.sub(r"([^\W\d_])\1{2,}", r"\1", plain)
 
 
-def compile_terms(spark: SparkSession, terms: Sequence[Term]) -> tuple[DataFrame, DataFrame]:
-    """(words, whole): one row for each word of a term with its pattern and place; one row for each term."""
-    words, whole = [], []
-    for order, term in enumerate(terms):
-        parts = term.text.split()
-        targets = [i for i, p in enumerate(parts) if p.startswith("[")] or list(range(len(parts)))
-        for i, p in enumerate(parts):
-            words.append((order, i, pattern(p.strip("[]").lower())))
-        whole.append((order, term.text, term.category, len(parts), targets))
-    return (
-        spark.createDataFrame(words, "term_order int, word int, pattern string"),
-        spark.createDataFrame(whole, "term_order int, term string, category string, n_words int, targets array<int>"),
-    )
+def part(word: str) -> Part:
+    target = len(word) > 2 and word[0] == "[" and word[-1] == "]"
+    text = listed(word[1:-1] if target else word)
+    if not text.replace("*", ""):
+        raise ValueError(f"{word!r} holds nothing but wildcards")
+    joined = text.replace("-", "")
+    variants = [text, joined] if joined != text and joined.replace("*", "") else [text]
+    if "*" not in text:
+        return Part(text, tuple(variants), target=target)
+    escape = lambda p: re.sub(r"([^\w\s'])", r"\\\1", p)
+    pattern = "|".join(f"{LETTERS}*".join(map(escape, v.split("*"))) for v in variants)
+    return Part(text, pattern=f"(?U)^(?:{pattern})$", target=target)
+
+
+@dataclass(frozen=True)
+class Listed:
+    """A term as it is looked for."""
+
+    order: int
+    term: str
+    category: str
+    parts: tuple[Part, ...]
+
+    @classmethod
+    def of(cls, order: int, term: Term) -> Listed:
+        raw = term.text.strip()
+        if not raw:
+            raise ValueError("an empty term")
+        if raw.startswith(SEARCH):
+            return cls(order, raw, term.category, (Part(raw, pattern="(?iuU)" + raw[len(SEARCH) :], search=True),))
+        return cls(order, raw, term.category, tuple(map(part, raw.split())))
+
+    @property
+    def targets(self) -> list[int]:
+        return [i for i, p in enumerate(self.parts) if p.target] or list(range(len(self.parts)))
+
+
+def any_fits(parts: Sequence[Part], token: Column) -> Column:
+    """Whether a token fits one of the parts: one look into a set, one pattern for all wildcards."""
+    plain = sorted({s for p in parts for s in p.spellings})
+    wild = sorted({p.pattern for p in parts if p.pattern and not p.search})
+    tests = []
+    if plain:
+        tests.append(lambda t: t.isin(*plain))
+    if wild:
+        tests.append(lambda t: F.rlike(t, F.lit("(?U)" + "|".join(w.removeprefix("(?U)") for w in wild))))
+    tests += [lambda t, p=p: F.rlike(t, F.lit(p)) for p in sorted({p.pattern for p in parts if p.search})]
+    if not tests:
+        return F.lit(False)
+    return either_form(token, lambda t: reduce(lambda a, b: a | b, (test(t) for test in tests)))
 
 
 def tokens(lines: DataFrame, id: str, text: str = "text") -> DataFrame:
     """(id, pos, raw, token): the words of each line."""
-    rows = lines.select(id, F.posexplode(T.split_words(F.col(text))).alias("pos", "raw"))
-    return rows.withColumn("token", T.normalize(F.col("raw")))
+    rows = lines.select(id, T.split_words(F.col(text)).alias("_raw"))
+    rows = rows.select(id, "_raw", T.normalized_words(F.col("_raw")).alias("_token"))
+    return rows.select(id, F.posexplode(F.arrays_zip("_raw", "_token")).alias("pos", "_w")).select(id, "pos", F.col("_w._raw").alias("raw"), F.col("_w._token").alias("token"))
 
 
 def candidates(words: DataFrame, id: str, terms: Sequence[Term], allow: Sequence[str] = ()) -> DataFrame:
     """(id, first, last, term_order, term, category, targets): every place where a term stands; last is exclusive.
 
-    words: id, pos, token. Single words that an allowed pattern matches are left out.
+    words: id, pos, token. Single words that an allowed pattern matches are left out; phrases may hold them.
     """
-    spark = words.sparkSession
-    parts, whole = compile_terms(spark, terms)
-    known = words.select("token").distinct().withColumn("form", F.explode(T.forms(F.col("token"))))
-    hits = known.join(F.broadcast(parts), F.rlike("form", F.col("pattern"))).select("token", "term_order", "word").distinct()
-    placed = words.select(id, "pos", "token").join(hits, "token").withColumn("first", F.col("pos") - F.col("word"))
-    full = placed.groupBy(id, "first", "term_order").agg(F.count_distinct("word").alias("found"))
-    found = full.join(F.broadcast(whole), "term_order").where("found = n_words")
-    if allow:
-        veto = "|".join(pattern(a.lower()) for a in allow)
-        spared = words.where(F.exists(T.forms(F.col("token")), lambda f: F.rlike(f, F.lit(veto)))).select(id, F.col("pos").alias("first"), F.lit(1).alias("n_words"))
-        found = found.join(spared, [id, "first", "n_words"], "left_anti")
-    return found.select(id, "first", (F.col("first") + F.col("n_words")).alias("last"), "term_order", "term", "category", "targets")
+    terms_ = [Listed.of(i, t) for i, t in enumerate(terms)]
+    if any(len(a.split()) != 1 for a in allow):
+        raise ValueError("the allow list has single words")
+    spared = any_fits([part(a) for a in allow], F.col("token")) if allow else F.lit(False)
+    kind = "array<struct<term_order:int,word:int>>"
+    hit = lambda t, k: F.when(t.parts[k].fits(F.col("token")), F.struct(F.lit(t.order).alias("term_order"), F.lit(k).alias("word")))
+    all_of = lambda hits: F.filter(F.array(*hits), lambda x: x.isNotNull()) if hits else F.array().cast(kind)
+    single = [t for t in terms_ if len(t.parts) == 1]
+    longer = [t for t in terms_ if len(t.parts) > 1]
+    met = words.select(id, "pos", "token").where(any_fits([p for t in terms_ for p in t.parts], F.col("token")))
+    met = met.withColumns({"_one": F.when(spared, F.array().cast(kind)).otherwise(all_of([hit(t, 0) for t in single])), "_more": all_of([hit(t, k) for t in longer for k in range(len(t.parts))])})
+    one = met.select(id, F.col("pos").alias("first"), F.explode("_one").alias("_h")).select(id, "first", "_h.term_order")
+    more = met.select(id, "pos", F.explode("_more").alias("_h")).select(id, (F.col("pos") - F.col("_h.word")).alias("first"), "_h.*")
+    size = F.create_map(*(x for t in terms_ for x in (F.lit(t.order), F.lit(len(t.parts))))) if terms_ else F.create_map().cast("map<int,int>")
+    full = more.groupBy(id, "first", "term_order").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("word"))).alias("found"))
+    full = full.where(F.col("found") == F.call_function("shiftleft", F.lit(1).cast("long"), F.try_element_at(size, "term_order")) - 1)
+    if any(len(t.parts) > 62 for t in terms_):
+        raise ValueError("a phrase of more than 62 words")
+    rows = [(t.order, t.term, t.category, len(t.parts), t.targets) for t in terms_]
+    whole = words.sparkSession.createDataFrame(rows, "term_order int, term string, category string, n_words int, targets array<int>")
+    found = one.union(full.select(id, "first", "term_order")) if longer else one
+    return found.join(F.broadcast(whole), "term_order").select(id, "first", (F.col("first") + F.col("n_words")).alias("last"), "term_order", "term", "category", "targets")
 
 
 def greedy(found: DataFrame, id: str) -> DataFrame:
     """Of overlapping candidates the longest, then the first listed, then the first in the line, are kept.
 
-    Only candidates of one island compete; so runs of overlapping candidates are folded, not lines.
+    Only candidates of one island compete. Those alone in theirs are kept at once; the others come one after the other,
+    best first, and a task holds the taken places of one island only.
+    """
+    rows = islands(found, [id], 0, False, "max", "first", "last", ["term_order"], "_i")
+    rows = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(id, "_i")))
+    alone = rows.where("_n = 1").drop("_i", "_n")
+    rest = rows.where("_n > 1").drop("_n").withColumn("_key", F.struct(id, "_i"))
+    rest = rest.repartition(id, "_i").sortWithinPartitions(id, "_i", F.col("first") - F.col("last"), "term_order", "first")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        island, taken = None, set()
+        for batch in batches:
+            keep = []
+            for key, first, last in zip(*(batch.column(c).to_pylist() for c in ("_key", "first", "last")), strict=True):
+                if key != island:
+                    island, taken = key, set()
+                places = range(first, last)
+                keep.append(taken.isdisjoint(places))
+                if keep[-1]:
+                    taken.update(places)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    kept = rest.mapInArrow(run, rest.schema).drop("_i", "_key")
+    return alone.unionByName(kept)
+
+
+def masked_words(words: DataFrame, id: str, taken: DataFrame, terms: Sequence[Term], disabled: Sequence[str] = (), marks: str = "[*#]") -> DataFrame:
+    """Candidates for masked tokens at places that no match takes, with the category that they seem to hide.
+
+    taken: id, first, last. Tokens that stand for a word of a disabled category only are left out.
     """
-    columns = [c for c in found.columns if c not in (id, "first", "last", "term_order")]
-    row = F.struct((F.col("first") - F.col("last")).alias("short"), "term_order", "first", "last", *columns)
-    groups = islands(found, [id], 0, False, "max", "first", "last", ["term_order"], "_i").groupBy(id, "_i").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    masked = words.where(T.is_masked(F.col("token"), marks)).select(id, "pos", "token")
+    used = taken.select(id, F.explode(F.sequence("first", F.col("last") - 1)).alias("pos"))
+    free = masked.join(used, [id, "pos"], "left_anti").withColumn("category", masked_category(F.col("token"), terms))
+    free = free.where(~F.col("category").isin(*disabled)) if disabled else free
+    name = F.when(F.col("category") == MASKED, F.col("token")).otherwise(F.concat(F.lit("masked:"), "token"))
+    return free.select(id, F.col("pos").alias("first"), (F.col("pos") + 1).alias("last"), F.lit(None).cast("int").alias("term_order"), name.alias("term"), "category", F.array(F.lit(0)).alias("targets"))
 
-    def step(kept: Column, x: Column) -> Column:
-        clash = F.exists(kept, lambda k: (k["first"] < x["last"]) & (x["first"] < k["last"]))
-        return F.when(clash, kept).otherwise(F.concat(kept, F.array(x)))
 
-    folded = F.aggregate(F.slice("_rows", 2, 1 << 30), F.slice("_rows", 1, 1), step)
-    return groups.select(id, F.explode(folded).alias("_r")).select(id, "_r.first", "_r.last", "_r.term_order", *(f"_r.{c}" for c in columns))
+def match(lines: DataFrame, id: str, terms: Sequence[Term], allow: Sequence[str] = (), text: str = "text", disabled: Sequence[str] = (), marks: str | None = "[*#]") -> DataFrame:
+    """All matches of lines: listed terms, the longest first, then masked words at places that these leave (marks null: none).
+
+    Terms of disabled categories are not looked for; a masked word that only they explain is left out.
+    """
+    return match_words(tokens(lines, id, text), id, terms, allow, disabled, marks)
 
 
-def match(lines: DataFrame, id: str, terms: Sequence[Term], allow: Sequence[str] = (), text: str = "text") -> DataFrame:
-    return greedy(candidates(tokens(lines, id, text), id, terms, allow), id)
+def match_words(words: DataFrame, id: str, terms: Sequence[Term], allow: Sequence[str] = (), disabled: Sequence[str] = (), marks: str | None = "[*#]") -> DataFrame:
+    """match for words: id, pos, token."""
+    found = greedy(candidates(words, id, [t for t in terms if t.category not in disabled], allow), id)
+    return found.unionByName(masked_words(words, id, found, terms, disabled, marks)) if marks else found
 
 
 def detections(matches: DataFrame, words: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -96,45 +210,52 @@ def detections(matches: DataFrame, words: DataFrame, keys: Sequence[str]) -> Dat
 
     words: keys, pos, raw, start, end, probability. The surest a run can be is its least sure word.
     """
-    runs = matches.select(*keys, "first", "term", "category", F.explode("targets").alias("t"), F.posexplode("targets").alias("k", "t2")).where("t = t2")
+    runs = matches.select(*keys, "first", "term", "category", F.posexplode("targets").alias("k", "t"))
     runs = runs.withColumn("run", F.col("t") - F.col("k")).withColumn("pos", F.col("first") + F.col("t"))
     rows = runs.join(words, [*keys, "pos"])
-    heard = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "raw"))), lambda x: x["raw"]), " ")
+    heard = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "raw"))), lambda x: F.trim(x["raw"])), " ")
     return rows.groupBy(*keys, "first", "term", "category", "run").agg(
-        F.min_by("start", "pos").alias("start"), F.greatest(F.max_by("end", "pos"), F.min_by("start", "pos")).alias("end"), heard.alias("heard"), F.min("probability").alias("confidence")
+        F.min_by("start", "pos").alias("start"), F.greatest(F.max_by("end", "pos"), F.min_by("start", "pos")).alias("end"), heard.alias("heard"), run_confidence().alias("confidence")
     ).drop("run")
 
 
+def run_confidence(probability: str = "probability") -> Column:
+    """How sure a run of words is: as its least sure word."""
+    return F.min(probability)
+
+
 #: fixed values: endings tried when a masked token is compared with a listed word
 ENDINGS = ("", "s", "es", "ed", "er", "ers", "ing", "in", "y", "ty", "head", "hole")
 
 
 def samples(terms: Sequence[Term]) -> list[tuple[int, str, str]]:
-    """(category order, category, sample) of single-word terms: their letters with each ending."""
+    """(category order, category, sample): the letters of each word that a term is listed for, with each ending."""
     order = {c: i for i, c in enumerate(dict.fromkeys(t.category for t in terms))}
-    cores = {(order[t.category], t.category, t.text.strip("*[]").lower()) for t in terms if " " not in t.text}
-    return sorted({(i, c, core + end) for i, c, core in cores if core for end in ENDINGS})
+    known = [Listed.of(0, t) for t in terms]
+    cores = {(order[t.category], t.category, t.parts[i].text.replace("*", "")) for t in known for i in t.targets if not t.parts[i].search}
+    return sorted({(i, c, core + end) for i, c, core in cores for end in ENDINGS})
 
 
-def masked_categories(words: DataFrame, terms: Sequence[Term], marks: str = "[*#]", unknown: str = "masked") -> DataFrame:
-    """(token, category) of distinct masked tokens: the first category with a word that the token may hide.
+def masked_category(token: Column, terms: Sequence[Term]) -> Column:
+    """The first category with a word that a masked token may hide.
 
-    A mask stands for as many letters as it has marks; where no sample fits so, for any number. Tokens of marks alone, and
-    those that fit no sample, get the category for unknown words.
+    A mask stands for as many letters as it has marks; where no sample fits so, for any number of them. Tokens without a
+    letter, and those that fit no sample, get the category for unknown words. Samples are literals: a word list's.
     """
-    spark = words.sparkSession
-    tokens = words.select("token").where(T.is_masked(F.col("token"), marks)).distinct()
-    quoted = F.regexp_replace("token", r"([^\p{L}\p{N}*#])", r"\\$1")
-    exact = F.concat(F.lit("^"), F.regexp_replace(quoted, r"[*#]", r"[\\p{L}\\p{N}_']"), F.lit("$"))
-    loose = F.concat(F.lit("^"), F.regexp_replace(quoted, r"[*#]+", r"[\\p{L}\\p{N}_']*"), F.lit("$"))
-    known = F.broadcast(spark.createDataFrame(samples(terms), "category_order int, category string, sample string"))  # a word list
-    named = tokens.where(F.rlike("token", F.lit(r"\p{L}"))).withColumns({"_exact": exact, "_loose": loose})
-    hits = named.join(known, F.substr("sample", F.lit(1), F.lit(1)) == F.substr("token", F.lit(1), F.lit(1)))
-    lead = named.where(~F.rlike("token", F.lit(r"^\p{L}"))).join(known, F.rlike("sample", F.col("_loose")))
-    fits = hits.where(F.rlike("sample", F.col("_loose"))).unionByName(lead)
-    rank = F.struct(~F.rlike("sample", F.col("_exact")), "category_order")
-    best = fits.groupBy("token").agg(F.min_by("category", rank).alias("category"))
-    return tokens.join(best, "token", "left").select("token", F.coalesce("category", F.lit(unknown)).alias("category"))
+    fits = lambda own, pattern: F.exists(F.array(*map(F.lit, own)), lambda s: F.rlike(s, pattern))
+    found = []
+    for one, many in (("[^\\w']", ""), ("[^\\w']+", "+")):
+        pattern = F.concat(F.lit("(?U)^"), F.regexp_replace(token, "(?U)" + one, r"[\\w']" + many), F.lit("$"))
+        for category in dict.fromkeys(t.category for t in terms):
+            own = [s for _, c, s in samples(terms) if c == category]
+            found.append(F.when(fits(own, pattern), category) if own else F.lit(None).cast("string"))
+    return F.when(F.rlike(token, F.lit(r"\p{L}")), F.coalesce(*found, F.lit(MASKED))).otherwise(MASKED)
+
+
+def masked_categories(words: DataFrame, terms: Sequence[Term], marks: str = "[*#]") -> DataFrame:
+    """(token, category) of the distinct masked tokens."""
+    masked = words.select("token").where(T.is_masked(F.col("token"), marks)).distinct()
+    return masked.withColumn("category", masked_category(F.col("token"), terms))
 
 
 def hints(words: DataFrame, id: str, patterns: Sequence[str]) -> DataFrame:
@@ -144,12 +265,41 @@ def hints(words: DataFrame, id: str, patterns: Sequence[str]) -> DataFrame:
 
 
 def flag_cues(lines: DataFrame, id: str, terms: Sequence[Term], hint_words: Sequence[str], text: str = "text") -> DataFrame:
-    """(id, reasons): lines with a listed, masked or hint word; sorted distinct reasons."""
-    words = tokens(lines, id, text)
-    listed = greedy(candidates(words, id, terms), id).select(id, F.lit("lexicon").alias("reason"))
-    masked = words.where(T.is_masked(F.col("token"))).select(id, F.lit("masked").alias("reason"))
-    hinted = hints(words, id, hint_words).select(id, F.lit("hint").alias("reason"))
-    return listed.union(masked).union(hinted).groupBy(id).agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
+    """(id, reasons, words): lines with a listed, masked or hint word; sorted distinct reasons.
+
+    words: (first, last, term) of listed and masked words in order, by the line's characters.
+    """
+    rows = tokens(lines, id, text)
+    found = match_words(rows, id, terms)
+    placed = found.select(id, F.when(F.col("term_order").isNull(), "masked").otherwise("lexicon").alias("reason"), "first", "last", "term")
+    hinted = hints(rows, id, hint_words).select(id, F.lit("hint").alias("reason"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"), F.lit(None).cast("string").alias("term"))
+    flags = placed.union(hinted).groupBy(id).agg(F.array_sort(F.collect_set("reason")).alias("reasons"), F.array_sort(F.collect_list(F.when(F.col("first").isNotNull(), F.struct("first", "last", "term")))).alias("_m"))
+    spans = lines.join(flags, id).withColumn("_s", T.word_spans(F.col(text)))
+    words = F.transform("_m", lambda m: F.struct(F.get("_s", m["first"])["first"].alias("first"), F.get("_s", m["last"] - 1)["last"].alias("last"), m["term"].alias("term")))
+    return spans.select(id, "reasons", words.alias("words"))
+
+
+def flag_counts(flags: DataFrame, keys: Sequence[str], reasons: Sequence[str] = ("lexicon", "masked", "hint")) -> DataFrame:
+    """(keys, one column for each reason): how many flagged lines have it; a line may count for several."""
+    return flags.groupBy(*keys).agg(*(F.count_if(F.array_contains("reasons", r)).alias(r) for r in reasons))
+
+
+def phrases(lines: DataFrame, id: str, terms: Sequence[str], text: str = "text") -> DataFrame:
+    """(id, found): the terms in each line, each once, in the order in which they first stand there."""
+    found = match(lines, id, [Term(t, "phrase") for t in terms], text=text, marks=None)
+    first = found.groupBy(id, "term").agg(F.min("first").alias("first"))
+    return first.groupBy(id).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "term"))), lambda x: x["term"]).alias("found"))
+
+
+def broad_terms(terms: DataFrame, term: str = "term") -> DataFrame:
+    """terms with `broad`: whether a word has a wildcard and fewer than three letters besides."""
+    word = lambda w: F.contains(w, F.lit("*")) & (F.length(F.regexp_replace(w, r"\P{L}", "")) < 3)
+    return terms.withColumn("broad", ~F.col(term).startswith(SEARCH) & F.exists(F.split(F.trim(term), r"\s+"), word))
+
+
+def term_counts(terms: DataFrame, category: str = "category") -> DataFrame:
+    """(category, n): how many terms each category lists."""
+    return terms.groupBy(category).agg(F.count(F.lit(1)).alias("n"))
 
 
 def substitutes(found: DataFrame, replacements: DataFrame, crowded: Column) -> DataFrame:
@@ -161,3 +311,15 @@ def substitutes(found: DataFrame, replacements: DataFrame, crowded: Column) -> D
     rows = found.withColumn("_term", F.lower("term")).join(known, "_term", "left").drop("_term")
     reason = F.when(F.col("substitute").isNull(), "no substitute").when(crowded, "another word in the span")
     return rows.withColumn("reason", reason).withColumn("substitute", F.when(reason.isNull(), F.col("substitute")))
+
+
+def fit_case(heard: Column, substitute: Column) -> Column:
+    """A substitute in the case of the word that it replaces, with that word's punctuation around it."""
+    trimmed = F.regexp_replace(heard, r"(?U)^\s+|\s+$", "")
+    lead = F.regexp_extract(trimmed, r"(?U)^(\W*)", 1)
+    core = F.regexp_replace(trimmed, r"(?U)^\W+|\W+$", "")
+    trail = F.when(core == "", "").otherwise(F.regexp_extract(trimmed, r"(?U)(\W*)$", 1))
+    cased = F.rlike(core, F.lit(r"\p{Lu}")) & ~F.rlike(core, F.lit(r"\p{Ll}"))
+    first = F.substr(core, F.lit(1), F.lit(1))
+    shown = F.when((F.length(core) > 1) & cased, F.upper(substitute)).when(F.rlike(first, F.lit(r"\p{Lu}")), F.concat(F.upper(F.substr(substitute, F.lit(1), F.lit(1))), F.substr(substitute, F.lit(2)))).otherwise(substitute)
+    return F.concat(lead, shown, trail)

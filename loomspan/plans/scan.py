@@ -22,11 +22,14 @@ class ScanOptions:
     gap: float = 0.25
 
 
-def scan(words: DataFrame, terms: Sequence[M.Term], allow: Sequence[str] = (), options: ScanOptions = ScanOptions()) -> tuple[DataFrame, DataFrame]:
-    """(detections, spans) of words (media, pos, text, start, end, probability): what is heard, and what to mute."""
-    tokens = words.select("media", "pos", F.col("text").alias("raw"), "start", "end", "probability").withColumn("token", X.normalize(F.col("raw")))
-    found = M.greedy(M.candidates(tokens, "media", terms, allow), "media")
-    heard = M.detections(found, tokens, ["media"])
+def scan(words: DataFrame, terms: Sequence[M.Term], allow: Sequence[str] = (), options: ScanOptions = ScanOptions(), disabled: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(detections, spans) of words (media, pos, text, start, end, probability): what is heard, and what to mute.
+
+    Masked words count as what they seem to hide, unless a disabled category alone explains them.
+    """
+    raw = words.select("media", "pos", F.col("text").alias("raw"), "start", "end", "probability")
+    tokens = raw.withColumn("token", X.normalize(F.col("raw"), compose=True))
+    heard = M.detections(M.match_words(tokens, "media", terms, allow, disabled), tokens, ["media"])
     o = options
     low, high = S.pad_interval(F.col("start"), F.col("end"), o.pad_before, o.pad_after, o.least)
     padded = heard.select("media", low.alias("start"), high.alias("end"))

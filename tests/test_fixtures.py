@@ -89,32 +89,32 @@ def test_masked(spark, raw, want):
     assert one(spark, X.is_masked(F.lit(raw))) == (want,)
 
 
-TERMS = (M.Term("son of a bitch", "strong"), M.Term("bitch*", "strong"), M.Term("oh my [god]", "religious"), M.Term("bastard*", "strong"), M.Term("*shit*", "strong"), M.Term("hell", "mild"), M.Term("hell", "other"), M.Term("[son] of a [bit]", "two"))
+TERMS = (M.Term("son of a gun", "strong"), M.Term("gun*", "strong"), M.Term("oh my [hat]", "religious"), M.Term("rascal*", "strong"), M.Term("*dung*", "strong"), M.Term("hell", "mild"), M.Term("hell", "other"), M.Term("[son] of a [gu]", "two"))
 
 
 @pytest.mark.parametrize(
     "text, want",
     [
-        ("you son of a bitch!", [(1, 5, "son of a bitch", [0, 1, 2, 3])]),
-        ("Oh my God", [(0, 3, "oh my [god]", [2])]),
-        ("bastardize the bastards", [(2, 3, "bastard*", [0])]),
-        ("bullshit shiitake", [(0, 1, "*shit*", [0])]),
+        ("you son of a gun!", [(1, 5, "son of a gun", [0, 1, 2, 3])]),
+        ("Oh my Hat", [(0, 3, "oh my [hat]", [2])]),
+        ("rascalize the rascals", [(2, 3, "rascal*", [0])]),
+        ("bulldung duunge", [(0, 1, "*dung*", [0])]),
         ("Hell", [(0, 1, "hell", [0])]),
-        ("son of a bit", [(0, 4, "[son] of a [bit]", [0, 3])]),
+        ("son of a gu", [(0, 4, "[son] of a [gu]", [0, 3])]),
         ("", []),
     ],
 )
 def test_match(spark, text, want):
     df = spark.createDataFrame([(1, text)], "id long, text string")
-    got = M.match(df, "id", TERMS, allow=["bastardiz*"])
+    got = M.match(df, "id", TERMS, allow=["rascaliz*"])
     assert sorted((r["first"], r["last"], r.term, r.targets) for r in got.collect()) == want
 
 
 def test_detections(spark):
-    df = spark.createDataFrame([(1, "son of a bit")], "id long, text string")
-    words = spark.createDataFrame([(1, i, w, float(i), i + 0.9, p) for i, (w, p) in enumerate([("son", 0.9), ("of", 0.1), ("a", 0.1), ("bit", 0.4)])], "id long, pos int, raw string, start double, end double, probability double")
+    df = spark.createDataFrame([(1, "son of a gu")], "id long, text string")
+    words = spark.createDataFrame([(1, i, w, float(i), i + 0.9, p) for i, (w, p) in enumerate([("son", 0.9), ("of", 0.1), ("a", 0.1), ("gu", 0.4)])], "id long, pos int, raw string, start double, end double, probability double")
     got = M.detections(M.match(df, "id", TERMS), words, ["id"])
-    assert sorted((r.heard, r.start, r.end, r.confidence) for r in got.collect()) == [("bit", 3.0, 3.9, 0.4), ("son", 0.0, 0.9, 0.9)]
+    assert sorted((r.heard, r.start, r.end, r.confidence) for r in got.collect()) == [("gu", 3.0, 3.9, 0.4), ("son", 0.0, 0.9, 0.9)]
 
 
 def test_fit(spark):
@@ -139,7 +139,7 @@ SRT = "1\n00:00:01,000 --> 00:00:02,500\n<i>Hello</i> [door slams]\n- ANN: there
 def test_subtitles(spark):
     files = spark.createDataFrame([("f", SRT), ("v", "WEBVTT\n\nNOTE x\ny\n\n00:01.000 --> 00:02.000\nHi\n")], "media string, content string")
     got = sorted(tuple(r) for r in Q.cues(files).collect())
-    assert got == [("f", 1, 1.0, 3.0, "Hello there"), ("v", 1, 1.0, 2.0, "Hi")]
+    assert got == [("f", 1, 1.0, 3.0, "Hello there", False), ("v", 1, 1.0, 2.0, "Hi", False)]
     assert [(r.media, r.text) for r in Q.sounds(files).collect()] == [("f", "door slams")]
     out = K.subtitles(Q.cues(files).where("media = 'f'")).first().content
     assert out == "1\n00:00:01,000 --> 00:00:03,000\nHello there\n"

@@ -2,13 +2,22 @@
 
 import random
 
-from loomspan.functions.text import common_length
+from loomspan.functions import text as X
 from loomspan.operators import matching as M
 from loomspan.operators import spans as S
 
 SPANS = "media int, id int, start int, end int, conf int"
 
 
+def common_length(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j], row[j + 1])
+    return row[-1]
+
+
 def random_spans(groups=150, seed=1):
     rng = random.Random(seed)
     rows = []
@@ -118,15 +127,14 @@ def test_greedy_matching(spark):
     assert sorted((r["id"], r["first"], r["term"]) for r in got.collect()) == sorted(want)
 
 
-def test_common_length():
+def test_fuzz_ratio(spark):
     rng = random.Random(5)
-    for _ in range(200):
-        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(0, 12))) for _ in range(2))
-        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
-        assert common_length(a, b) == table[-1][-1]
+    pairs = [tuple("".join(rng.choice("abc") for _ in range(rng.randrange(0, 12))) for _ in range(2)) for _ in range(200)] + [("", ""), ("", "a"), ("é😀a", "😀"), ("ab" * 300, "ba" * 200)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)] + [(-1, None, "a")], "i int, a string, b string")
+    got = {r.i: r.ratio for r in df.select("i", X.fuzz_ratio("a", "b").alias("ratio")).collect()}
+    assert got[-1] is None
+    for i, (a, b) in enumerate(pairs):
+        assert got[i] == (200 * common_length(a, b) / (len(a) + len(b)) if a or b else 100)
 
 
 def test_best_window_against_brute_force(spark):

@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from loomspan.functions.text import EDGE, QUOTES, STRAIGHT, common_length
+from loomspan.functions.text import EDGE, QUOTES, STRAIGHT
 from loomspan.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -20,6 +20,15 @@ def normal(raw):
     return re.sub(r"([^\W_])\1{2,}", lambda m: m[0] if m[1] in "0123456789" else m[1], token.strip(EDGE).strip(" "))
 
 
+def common_length(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j], row[j + 1])
+    return row[-1]
+
+
 def save(spark, tmp_path, **tables):
     for name, (rows, schema) in tables.items():
         spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
