@@ -119,3 +119,44 @@ def evenly(df: DataFrame, keys: Sequence[str], most: int, *order: str) -> DataFr
 def normalized(spans: DataFrame, keys: Sequence[str], gap: float = 0.05, least: float = 0.06) -> DataFrame:
     """Spans lengthened to a least length, then merged where less than a gap parts them."""
     return merge_spans(spans.withColumn("end", F.greatest("end", F.col("start") + least)), keys, gap)
+
+
+def widen(start: Column, end: Column, aligned_start: Column, aligned_end: Column, most: float = 0.5) -> tuple[Column, Column]:
+    """A word with its aligned times: they may only widen it, by so much at most."""
+    return F.greatest(F.least(start, aligned_start), start - most), F.least(F.greatest(end, aligned_end), end + most)
+
+
+def trim(start: Column, end: Column, first: Column, last: Column, pad: float = 0.1, least: float = 0.1) -> tuple[Column, Column, Column, Column]:
+    """(start, end, clean start, clean end) of a clip without the silence at its ends, where that saves enough.
+
+    first and last are where speech begins and ends, null without speech: then the clip stays whole.
+    """
+    low, high = F.greatest(start, first - pad), F.least(end, last + pad)
+    cut_low = F.coalesce(low - start >= least, F.lit(False))
+    cut_high = F.coalesce(end - high >= least, F.lit(False))
+    return F.when(cut_low, low).otherwise(start), F.when(cut_high, high).otherwise(end), cut_low, cut_high
+
+
+def utterances(detections: DataFrame, words: DataFrame, keys: Sequence[str], id: str, near: float = 6.0, pause: float = 1.0, slack: float = 0.05, ends: str = r"[.!?…]$") -> DataFrame:
+    """(id, start, end, original, before, heard, after): the sentence that each detection was said in.
+
+    detections: keys, id, start, end; words: keys, start, end, text. Words count whose middle lies within `near` seconds; a
+    pause or a sentence's end cuts them; the first sentence with a word inside the detection is meant. Detections without
+    such a word have no row.
+    """
+    middle = (F.col("_ws") + F.col("_we")) / 2
+    said = words.select(*keys, F.col("start").alias("_ws"), F.col("end").alias("_we"), F.trim("text").alias("_w")).withColumn("_m", middle)
+    wide = detections.select(*keys, id, F.col("start").alias("_ds"), F.col("end").alias("_de"), (F.col("start") - near).alias("_ls"), (F.col("end") + near).alias("_le"))
+    rows = overlap_join(wide, said, keys, 4 * near, True, ("_ls", "_le"), ("_m", "_m"))
+    order = Window.partitionBy(id).orderBy("_ws", "_we", "_w")
+    new = F.lag("_we").over(order).isNull() | (F.col("_ws") - F.lag("_we").over(order) >= pause) | F.rlike(F.lag("_w").over(order), F.lit(ends))
+    rows = rows.withColumn("_new", new.cast("int")).withColumn("_s", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_in", (F.col("_m") >= F.col("_ds") - slack) & (F.col("_m") <= F.col("_de") + slack))
+    rows = rows.withColumn("_k", F.when(F.col("_in"), F.col("_s")))
+    rows = rows.withColumn("_k", F.min("_k").over(Window.partitionBy(id))).where("_s = _k")
+    low = F.min(F.when(F.col("_in"), F.struct("_ws", "_we", "_w"))).over(Window.partitionBy(id))
+    place = F.when(F.col("_in"), "heard").when(F.struct("_ws", "_we", "_w") < low, "before").otherwise("after")
+    rows = rows.withColumn("_p", place)
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("_ws", "_we", "_w")))), lambda x: x["_w"]), " ")
+    of = lambda name: joined(F.col("_p") == name).alias(name)
+    return rows.groupBy(id).agg(F.min("_ws").alias("start"), F.max_by("_we", F.struct("_ws", "_we", "_w")).alias("end"), joined(F.lit(True)).alias("original"), of("before"), of("heard"), of("after"))

@@ -35,3 +35,21 @@ def online_score(same_file: Column, similarity: Column, rate_apart: Column, down
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of both, where the new one of a key replaces the old."""
     return old.join(new.select(*keys), list(keys), "left_anti").unionByName(new)
+
+
+def distinct_in_order(df: DataFrame, keys: Sequence[str], value: str, order: str, out: str = "values") -> DataFrame:
+    """(keys, out): each group's distinct values in the order in which they come first."""
+    first = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.min(order).alias("_o"))
+    rows = F.array_sort(F.collect_list(F.struct("_o", F.col(value).alias("_v"))))
+    return first.groupBy(*keys).agg(F.transform(rows, lambda x: x["_v"]).alias(out))
+
+
+def shared_times(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, both): the size of the multiset intersection of two tables' values; groups without one are left out."""
+    both = left.select(*keys, value).intersectAll(right.select(*keys, value))
+    return both.groupBy(*keys).agg(F.count(F.lit(1)).alias("both"))
+
+
+def unknown(names: DataFrame, known: DataFrame) -> DataFrame:
+    """The distinct rows that are not among the known ones."""
+    return names.subtract(known)

@@ -6,8 +6,9 @@ within its keys; joins are equi-joins on keys and time bins with the exact test
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +43,50 @@ def merge_spans(df: DataFrame, keys: Keys, gap: float = 0, closed: bool = False,
     return rows.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), *aggregates).drop("_island")
 
 
+def repeated(df: DataFrame, keys: Keys, text: str, gap: float, start: str = "start", end: str = "end", tie: Keys = ()) -> DataFrame:
+    """(keys, text, start, end, n): neighbours of equal text become one where no more than a gap parts them."""
+    order = Window.partitionBy(*keys).orderBy(start, end, *tie)
+    reached = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.lag(text).over(order)
+    new = before.isNull() | (before != F.col(text)) | (F.col(start) > reached + gap)
+    rows = df.withColumn("_new", new.cast("int")).withColumn("_g", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(*keys, text, "_g").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n")).drop("_g")
+
+
+def runs(df: DataFrame, keys: Keys, pos: str) -> DataFrame:
+    """(keys, first, last, n): runs of neighbouring places; last is exclusive."""
+    rows = df.withColumn("_run", F.col(pos) - F.row_number().over(Window.partitionBy(*keys).orderBy(pos)))
+    return rows.groupBy(*keys, "_run").agg(F.min(pos).alias("first"), (F.max(pos) + 1).alias("last"), F.count(F.lit(1)).alias("n")).drop("_run")
+
+
+def running_reach(df: DataFrame, keys: Keys, tie: Keys = (), start: str = "start", end: str = "end") -> DataFrame:
+    """df with the largest end so far (reach) and a number from 1, in order of time."""
+    order = Window.partitionBy(*keys).orderBy(start, end, *tie)
+    return df.withColumns({"reach": F.max(end).over(order.rowsBetween(Window.unboundedPreceding, 0)), "number": F.row_number().over(order)})
+
+
+def fade_of(start: Column, end: Column, most: float) -> Column:
+    """A fade of a span: a third of it at most."""
+    return F.least(F.lit(most), (end - start) / 3)
+
+
+def core(df: DataFrame, margin: float, least: float, start: str = "start", end: str = "end") -> DataFrame:
+    """Spans without a margin at either end, where so much is left."""
+    rows = df.withColumns({start: F.col(start) + margin, end: F.col(end) - margin})
+    return rows.where(F.col(end) - F.col(start) >= least)
+
+
+def lengths(df: DataFrame, keys: Keys, runtime: Column, *reasons: tuple[str, Column], start: str = "start", end: str = "end") -> DataFrame:
+    """(keys, seconds, coverage, one count for each reason): how long spans are together, and what share of the runtime."""
+    total = F.sum(F.col(end) - F.col(start))
+    return df.groupBy(*keys).agg(total.alias("seconds"), (total / F.max(runtime)).alias("coverage"), *(F.count_if(c).alias(name) for name, c in reasons))
+
+
+def touching(pieces: DataFrame, spans: DataFrame, keys: Keys, size: float, id: str, collected: Sequence[Column], b: Keys = ("r_start", "r_end")) -> DataFrame:
+    """(id, collected): what of spans (keys, *b, ...) overlaps each piece, aggregated."""
+    return overlap_join(pieces, spans, keys, size, b=b).groupBy(id).agg(*collected)
+
+
 def pad_interval(start: Column, end: Column, before: float, after: float, least: float, limit: Column | None = None) -> tuple[Column, Column]:
     """A padded span of at least `least`, grown around its middle; at the edges of 0..limit it is shifted, then cut."""
     low, high = start - before, F.greatest(end, start) + after
@@ -129,17 +174,32 @@ def next_start(left: DataFrame, right: DataFrame, keys: Keys, at: str, to: str,
 def dedupe(df: DataFrame, keys: Keys, confidence: str, start: str = "start", end: str = "end", tie: str = "id") -> DataFrame:
     """Greedy in order of time: a row that meets (closed) a kept row of its keys is dropped, or replaces it if surer.
 
-    Only rows of one island can meet, so islands are folded, not whole timelines.
+    Rows alone in their island are kept at once. The rows of an island come one after the other; kept rows that end
+    before the present one starts can't be met any more and leave, so a task holds those that reach this far.
     """
-    columns = df.columns
-    row = F.struct(F.col(start), F.col(end), F.col(tie), *[F.col(c) for c in columns if c not in (start, end, tie)])
-    groups = islands(df, keys, 0, True, "max", start, end, [tie], "_island").groupBy(*keys, "_island").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-
-    def step(kept: Column, x: Column) -> Column:
-        hit = F.filter(F.sequence(F.lit(0), F.size(kept) - 1), lambda i: (F.get(kept, i)[start] <= x[end]) & (x[start] <= F.get(kept, i)[end]))
-        first = F.get(hit, F.lit(0))
-        swapped = F.transform(kept, lambda k, i: F.when((i == first) & (x[confidence] > k[confidence]), x).otherwise(k))
-        return F.when(F.size(kept) == 0, F.array(x)).when(F.size(hit) == 0, F.concat(kept, F.array(x))).otherwise(swapped)
-
-    folded = F.aggregate(F.slice("_rows", 2, 1 << 30), F.slice("_rows", 1, 1), step)
-    return groups.select(F.explode(folded).alias("_r")).select(*(F.col("_r")[c].alias(c) for c in columns))
+    rows = islands(df, keys, 0, True, "max", start, end, [tie], "_island")
+    rows = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys, "_island")))
+    alone = rows.where("_n = 1").select(*df.columns)
+    rest = rows.where("_n > 1").withColumn("_key", F.struct(*keys, "_island")).drop("_n", "_island")
+    rest = rest.repartition("_key").sortWithinPartitions("_key", start, end, tie)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        island, open_ = None, []  # of each kept row: end, start, confidence, the row
+        for batch in batches:
+            out = []
+            for i, (key, a, b, sure) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_key", start, end, confidence)), strict=True)):
+                if key != island:
+                    out += [k[3] for k in open_]
+                    island, open_ = key, []
+                out += [k[3] for k in open_ if k[0] < a]
+                open_ = [k for k in open_ if k[0] >= a]
+                hit = next((k for k in open_ if k[1] <= b), None)
+                if hit is None:
+                    open_.append([b, a, sure, batch.slice(i, 1)])
+                elif sure > hit[2]:
+                    hit[:] = [b, a, sure, batch.slice(i, 1)]
+            yield from out
+        yield from (k[3] for k in open_)
+
+    kept = rest.mapInArrow(run, rest.schema).select(*df.columns)
+    return alone.unionByName(kept)

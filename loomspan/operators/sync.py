@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from statistics import median
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,9 +17,9 @@ STRICT, RELAXED = (4, 1.0, 7.0), (2, 0.5, 10.0)
 
 
 def snap(ratio: Column, tolerance: float = 0.001) -> Column:
-    """The first standard ratio other than 1 within a tolerance, else null."""
-    others = F.array(*(F.lit(r) for r in RATIOS[1:]))
-    return F.get(F.filter(others, lambda r: F.abs(r - ratio) < tolerance), F.lit(0))
+    """The first standard ratio that a ratio differs from by no more than a share of it; itself if there is none."""
+    known = F.array(*(F.lit(r) for r in RATIOS))
+    return F.coalesce(F.get(F.filter(known, lambda r: F.abs(ratio / r - 1) <= tolerance), F.lit(0)), ratio)
 
 
 def anchors(cues: DataFrame, count: int, media: str = "media") -> DataFrame:
@@ -37,21 +39,40 @@ def anchors(cues: DataFrame, count: int, media: str = "media") -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_strict", "_relaxed", "_any", "_low", "_high", "_k")
 
 
-def fit(pairs: DataFrame, keys: Sequence[str], x: str, y: str, span: float = 60, tie: float = 0.05) -> DataFrame:
+def fit(pairs: DataFrame, keys: Sequence[str], x: str, y: str, span: float = 60, tie: float = 0.05, scale: float = 1.0) -> DataFrame:
     """(keys, scale, offset, error): y = scale * x + offset of each group.
 
-    The scale is one of a few fixed ones; those other than 1 need three pairs that span some time. The offset is the
-    median residual and the error the median absolute residual. A later scale must be better by more than `tie`.
+    The scale is `scale` or one of a few fixed ones; those need three pairs that span some time. The offset is the median
+    residual and the error the median absolute residual. A later scale must be better by more than `tie`.
     """
-    reach = pairs.groupBy(*keys).agg(((F.count(x) >= 3) & (F.max(x) - F.min(x) >= span)).alias("_free"))
-    scales = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(r).alias("scale")) for i, r in enumerate(RATIOS)))
-    rows = pairs.join(reach, list(keys)).withColumn("_s", F.explode(F.when(F.col("_free"), scales).otherwise(F.slice(scales, 1, 1))))
-    rows = rows.withColumn("_r", F.col(y) - F.col("_s.scale") * F.col(x))
-    offsets = rows.groupBy(*keys, "_s").agg(F.median("_r").alias("offset"))
-    errors = rows.join(offsets, [*keys, "_s"]).groupBy(*keys, "_s").agg(F.first("offset").alias("offset"), F.median(F.abs(F.col("_r") - F.col("offset"))).alias("error"))
-    tried = errors.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("_s.i").alias("i"), F.col("_s.scale").alias("scale"), "offset", "error"))).alias("_t"))
-    best = F.aggregate(F.slice("_t", 2, 16), F.get("_t", F.lit(0)), lambda b, c: F.when(c["error"] < b["error"] - tie, c).otherwise(b))
-    return tried.select(*keys, best.alias("_b")).select(*keys, "_b.scale", "_b.offset", "_b.error")
+    scales = [scale, *(r for r in RATIOS if r != scale)]
+    residual = lambda r: F.col(y) - F.lit(r) * F.col(x)
+    free = (F.count(x) >= 3) & (F.max(x) - F.min(x) >= span)
+    offsets = pairs.groupBy(*keys).agg(free.alias("_free"), *(F.median(residual(r)).alias(f"_o{i}") for i, r in enumerate(scales)))
+    rows = pairs.join(offsets, list(keys))
+    kept = [F.first(c).alias(c) for c in ("_free", *(f"_o{i}" for i in range(len(scales))))]
+    errors = rows.groupBy(*keys).agg(*kept, *(F.median(F.abs(residual(r) - F.col(f"_o{i}"))).alias(f"_e{i}") for i, r in enumerate(scales)))
+    tried = [F.struct(F.lit(r).alias("scale"), F.col(f"_o{i}").alias("offset"), F.col(f"_e{i}").alias("error")) for i, r in enumerate(scales)]
+    best = F.aggregate(F.when(F.col("_free"), F.array(*tried[1:])).otherwise(F.slice(F.array(*tried), 1, 0)), tried[0], lambda b, c: F.when(c["error"] < b["error"] - tie, c).otherwise(b))
+    return errors.select(*keys, best.alias("_b")).select(*keys, "_b.scale", "_b.offset", "_b.error")
+
+
+def fidelity(anchors_: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, fidelity): the median over the anchors that heard anything."""
+    return anchors_.groupBy(*keys).agg(F.median("fidelity").alias("fidelity"))
+
+
+def check(anchors_: DataFrame, found: DataFrame, keys: Sequence[str], id: str, threshold: float = 75, most: float = 0.5, least: float = 0.5, faithful: float = 0.6) -> DataFrame:
+    """(keys, tried, matched, scale, offset, error, fidelity, problem): the fit of each candidate and whether it passes.
+
+    anchors_: keys, id, start; found: keys, id, score, fidelity, heard_at (best_window's rows).
+    """
+    rows = anchors_.select(*keys, id, "start").join(found.select(*keys, id, "score", "fidelity", "heard_at"), [*keys, id], "left")
+    hit = F.coalesce(F.col("score") >= threshold, F.lit(False))
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("tried"), F.count_if(hit).alias("matched"), F.median("fidelity").alias("fidelity"))
+    out = counts.join(fit(rows.where(hit), keys, "start", "heard_at"), list(keys), "left")
+    problem = decision(F.col("matched"), F.col("tried"), F.coalesce("error", F.lit(0.0)), F.coalesce("fidelity", F.lit(0.0)), least, most, faithful)
+    return out.select(*keys, "tried", "matched", "scale", "offset", "error", "fidelity", problem.alias("problem"))
 
 
 def decision(matched: Column, tried: Column, error: Column, fidelity: Column, least: float = 0.5, most: float = 0.5, faithful: float = 0.6) -> Column:
@@ -91,22 +112,24 @@ def track(anchors_: DataFrame, runs: DataFrame, key: str, reach: float, tightene
     anchors_: key, cue, start; runs: key, cue, at, score: how like each cue the words at a time are. One group is one
     candidate file: a few anchors and their runs, so it fits in a task. The search narrows after the first match.
     """
-    import pandas as pd
-
-    both = anchors_.select(key, "cue", "start", F.lit(None).cast("double").alias("at"), F.lit(None).cast("double").alias("score")).unionByName(runs.select(key, "cue", F.lit(None).cast("double").alias("start"), "at", "score"))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        offset, span, out = 0.0, reach, []
-        marks = rows[rows.start.notna()].sort_values(["start", "cue"])
-        for cue, start in marks[["cue", "start"]].itertuples(index=False):
-            near = rows[(rows.cue == cue) & rows["at"].notna() & ((rows["at"] - start - offset).abs() <= span) & (rows.score >= threshold)]
-            if near.empty:
-                continue
-            hit = near.sort_values(["score", "at"], ascending=[False, True]).iloc[0]
-            out.append((rows[key].iloc[0], cue, hit["at"]))
-            gaps = sorted(at - marks.loc[marks.cue == c, "start"].iloc[0] for _, c, at in out)
-            offset, span = float(pd.Series(gaps).median()), tightened
-        return pd.DataFrame(out, columns=[key, "cue", "heard_at"])
+    none = F.lit(None).cast("double")
+    both = anchors_.select(key, "cue", "start", none.alias("at"), none.alias("score")).unionByName(runs.where(F.col("score") >= threshold).select(key, "cue", none.alias("start"), "at", "score"))
+
+    def run(table: pa.Table) -> pa.Table:
+        starts, heard = {}, {}
+        for cue, start, at, score in zip(*(table.column(c).to_pylist() for c in ("cue", "start", "at", "score")), strict=True):
+            if start is None:
+                heard.setdefault(cue, []).append((-score, at))
+            else:
+                starts[cue] = start
+        offset, span, gaps, out = 0.0, reach, [], []
+        for start, cue in sorted((s, c) for c, s in starts.items()):
+            near = min(((s, at) for s, at in heard.get(cue, ()) if abs(at - start - offset) <= span), default=None)
+            if near is not None:
+                out.append((cue, near[1]))
+                gaps.append(near[1] - start)
+                offset, span = median(gaps), tightened
+        return pa.table({key: table.column(key)[:1].combine_chunks().take(pa.array([0] * len(out), pa.int64())), "cue": pa.array([c for c, _ in out], pa.int32()), "heard_at": pa.array([at for _, at in out], pa.float64())})
 
     kind = anchors_.schema[key].dataType.simpleString()
-    return both.groupBy(key).applyInPandas(run, f"{key} {kind}, cue int, heard_at double")
+    return both.groupBy(key).applyInArrow(run, f"{key} {kind}, cue int, heard_at double")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from loomspan.functions import masking as W
 from loomspan.functions import text as X
 from loomspan.operators import context as C
+from loomspan.operators import guided as N
 from loomspan.operators import lines as L
 from loomspan.operators import matching as M
 from loomspan.operators import media as D
@@ -115,11 +116,7 @@ g AS (SELECT *, sum((t0 IS NULL OR t0 <> term OR a > reached + {86400 * SECOND})
 SELECT media, term, min(a) AS start, max(b) AS "end", count(*) AS n FROM g GROUP BY media, term, i""")
 def m9_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours of equal text within a day are one line."""
-    order = Window.partitionBy("media").orderBy("start", "end", "id")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    new = F.lag("term").over(order).isNull() | (F.lag("term").over(order) != F.col("term")) | (F.col("start") > F.max("end").over(before) + 86400 * SECOND)
-    rows = events(spark, sf_dir).withColumn("new", new.cast("int")).withColumn("i", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("media", "term", "i").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n")).drop("i")
+    return S.repeated(events(spark, sf_dir), ["media"], "term", 86400 * SECOND, tie=["id"])
 
 
 @query("""WITH t AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[^ \n\r\t]+') AS w FROM documents)),
@@ -128,8 +125,7 @@ SELECT doc_id, min(pos)::INT AS first, (max(pos) + 1)::INT AS last, count(*) AS
 def m14_token_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of neighbouring tokens of five letters or more."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^ \n\r\t]+"), F.lit(0))).alias("pos", "word"))
-    rows = rows.where(F.length("word") >= 5).withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")))
-    return rows.groupBy("doc_id", "run").agg(F.min("pos").alias("first"), (F.max("pos") + 1).alias("last"), F.count(F.lit(1)).alias("n")).drop("run")
+    return S.runs(rows.where(F.length("word") >= 5), ["doc_id"], "pos")
 
 
 @query(f"""WITH {EV}, p AS (SELECT id, a - 120000000 AS lo, greatest(b, a) + 200000000 AS hi FROM e),
@@ -259,23 +255,28 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {WORDS} SELECT doc_id, pos::INT AS pos, raw, {FOLD} AS folded FROM t")
 def fn_split_words_and_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(spark, sf_dir).select("doc_id", F.posexplode(X.split_words(F.col("text"))).alias("pos", "raw")).withColumn("folded", X.fold(F.col("raw")))
+    words = lines(spark, sf_dir).select("doc_id", X.split_words(F.col("text")).alias("raw"))
+    rows = words.select("doc_id", F.posexplode(F.arrays_zip("raw", X.folded_words(F.col("raw")).alias("folded"))).alias("pos", "w"))
+    return rows.select("doc_id", "pos", "w.raw", "w.folded")
 
 
-@query(f"WITH {WORDS}, n AS (SELECT DISTINCT raw, {NORM} AS c FROM t) SELECT raw, " + "regexp_replace(" * 0 + "c AS token FROM n WHERE NOT regexp_matches(c, '" + "|".join(f"{c}{c}{c}" for c in "abcdefghijklmnopqrstuvwxyzäöüßéèêçñáíóúàâîôû") + "')")
+COLLAPSED = NORM
+for _letter in "abcdefghijklmnopqrstuvwxyzäöüéèêçñáíóúàâîôûëïùìòõãåæøœýÿ":  # SQL lacks back-references
+    COLLAPSED = f"regexp_replace({COLLAPSED}, '{_letter}{{{{3,}}}}', '{_letter}', 'g')".replace("{{", "{").replace("}}", "}")
+
+
+@query(f"WITH {WORDS}, n AS (SELECT DISTINCT raw FROM t) SELECT raw, {COLLAPSED} AS token FROM n")
 def fn_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct tokens without runs of three letters (SQL lacks back-references; runs are tested by fixtures)."""
+    """All distinct tokens with their normal form."""
     rows = lines(spark, sf_dir).select(F.explode(X.split_words(F.col("text"))).alias("raw")).distinct()
-    bare = F.regexp_replace(X.normalize(F.col("raw")), r"^$", "")
-    same = X.collapse(X.fold(F.col("raw"))) == X.fold(F.col("raw"))
-    return rows.where(same).select("raw", bare.alias("token"))
+    return rows.select("raw", X.normalize(F.col("raw"), compose=True).alias("token"))
 
 
 @query()
 def fn_normalize_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All distinct tokens with their normal form; fn_normalize has those that its SQL can say."""
-    rows = lines(spark, sf_dir).select(F.explode(X.split_words(F.col("text"))).alias("raw")).distinct()
-    return rows.select("raw", X.normalize(F.col("raw")).alias("token"))
+    """The same, all words of a text at once."""
+    words = lines(spark, sf_dir).select(X.split_words(F.col("text")).alias("raw"))
+    return words.select(F.explode(F.arrays_zip("raw", X.normalized_words(F.col("raw")).alias("token"))).alias("w")).select("w.*").distinct()
 
 
 @query(f"WITH {WORDS} SELECT doc_id, count(*) AS n FROM t WHERE length(raw) >= 2 AND regexp_matches(raw, '[*#]') AND (regexp_matches(raw, '\\p{{L}}') OR length(raw) >= 3) GROUP BY doc_id")
@@ -305,9 +306,9 @@ def an_greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {WORDS} SELECT {FOLD} AS token, count(DISTINCT doc_id) AS docs FROM t GROUP BY 1")
 def ag_doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In how many documents a token stands."""
-    rows = lines(spark, sf_dir).select("doc_id", F.explode(X.split_words(F.col("text"))).alias("raw"))
-    return rows.select("doc_id", X.fold(F.col("raw")).alias("token")).groupBy("token").agg(F.count_distinct("doc_id").alias("docs"))
+    """In how many documents a token stands: each document's distinct tokens are counted."""
+    words = lines(spark, sf_dir).select(X.split_words(F.col("text")).alias("w"))
+    return words.select(F.explode(F.array_distinct(X.folded_words(F.col("w")))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("docs"))
 
 
 @query("SELECT conv_id, turn, lpad((ms // 3600000)::VARCHAR, 2, '0') || ':' || lpad((ms // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((ms // 1000 % 60)::VARCHAR, 2, '0') || ',' || lpad((ms % 1000)::VARCHAR, 3, '0') AS at FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT * 67 AS ms FROM conversations)")
@@ -465,27 +466,27 @@ def ag_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {EV} SELECT term, median(b - a) AS middle, (quantile_disc(b - a, 0.5))::BIGINT AS low_middle, max_by(b - a, abs(conf - 30))::BIGINT AS worst, count(*) FILTER (conf > 50) AS strong FROM e GROUP BY term")
 def ag_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).withColumn("d", F.col("end") - F.col("start"))
-    return rows.groupBy("term").agg(F.median("d").alias("middle"), F.expr("percentile_disc(0.5) within group (order by d)").cast("long").alias("low_middle"), F.max_by("d", F.abs(F.col("conf") - 30)).alias("worst"), F.count_if(F.col("conf") > 50).alias("strong"))
+    worst = rows.groupBy("term").agg(F.max_by("d", F.abs(F.col("conf") - 30)).alias("worst"), F.count_if(F.col("conf") > 50).alias("strong"))
+    return C.median_low(rows, ["term"], "d").withColumn("low_middle", F.col("low_middle").cast("long")).join(worst, "term")
 
 
 @query(f"WITH {EV} SELECT media, sum(b - a)::BIGINT AS audio, sum(b - a) / 2592000000000.0 AS coverage, count(*) FILTER (term = 'click') AS click, count(*) FILTER (term = 'view') AS viewed, 2 * count(*) FILTER (term = 'purchase') < count(*) AND count(*) >= 3 AS escalate FROM e GROUP BY media")
 def ag_audio_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length, coverage and counts by reason of each media's spans, and whether too few are confirmed."""
-    n = F.count(F.lit(1))
-    of = lambda term: F.count_if(F.col("term") == term)
-    total = F.sum(F.col("end") - F.col("start"))
-    return events(spark, sf_dir).groupBy("media").agg(total.alias("audio"), (total / 2592000000000.0).alias("coverage"), of("click").alias("click"), of("view").alias("viewed"), ((2 * of("purchase") < n) & (n >= 3)).alias("escalate"))
+    of = lambda term: F.col("term") == term
+    rows = S.lengths(events(spark, sf_dir), ["media"], F.lit(2592000000000.0), ("click", of("click")), ("viewed", of("view")), ("bought", of("purchase")), ("n", F.lit(True)))
+    return rows.select("media", F.col("seconds").alias("audio"), "coverage", "click", "viewed", ((2 * F.col("bought") < F.col("n")) & (F.col("n") >= 3)).alias("escalate"))
 
 
-@query(f"""WITH {EV}, p AS (SELECT *, (a // 1000) / 1000.0 AS s, (b // 1000) / 1000.0 AS t FROM e WHERE media < 20 AND b > a) SELECT media, string_agg(printf('%.3f', s::DOUBLE) || chr(9) || printf('%.3f', t::DOUBLE) || chr(9) || '1' || chr(10), '' ORDER BY s, t) AS content FROM p GROUP BY media""")
+@query(f"""WITH {EV}, p AS (SELECT *, (a // 1000) / 1000.0 AS s, (b // 1000) / 1000.0 AS t FROM e WHERE b > a) SELECT media, string_agg(printf('%.3f', s::DOUBLE) || chr(9) || printf('%.3f', t::DOUBLE) || chr(9) || '1' || chr(10), '' ORDER BY s, t) AS content FROM p GROUP BY media""")
 def snk_edl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events(spark, sf_dir).where("media < 20 and end > start").select("media", (F.expr("start div 1000") / 1e3).alias("start"), (F.expr("end div 1000") / 1e3).alias("end"))
+    rows = events(spark, sf_dir).where("end > start").select("media", (F.expr("start div 1000") / 1e3).alias("start"), (F.expr("end div 1000") / 1e3).alias("end"))
     return K.edit_list(rows)
 
 
 @query()
 def snk_edl_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edit list of every media; snk_edl has those that its SQL names."""
+    """The same without SQL: the edit list of every media."""
     rows = events(spark, sf_dir).where("end > start").select("media", (F.expr("start div 1000") / 1e3).alias("start"), (F.expr("end div 1000") / 1e3).alias("end"))
     return K.edit_list(rows)
 
@@ -606,14 +607,15 @@ def set_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT DISTINCT n_name AS name FROM nation EXCEPT SELECT upper(r_name) FROM region")
 def set_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
-    return names.subtract(table(spark, sf_dir, "region").select(F.upper("r_name").alias("name")))
+    return R.unknown(names, table(spark, sf_dir, "region").select(F.upper("r_name").alias("name")))
 
 
 @query(f"WITH {EV} SELECT media, array_to_string(list_sort(list_distinct(list(term))), ',') AS reasons, count(*) FILTER (term IN ('click', 'view')) > 0 AS strong FROM e GROUP BY media")
 def flt_strong(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sorted distinct reasons of each media, and whether a strong one is among them."""
-    rows = events(spark, sf_dir).groupBy("media").agg(F.array_sort(F.collect_set("term")).alias("r"))
-    return rows.select("media", F.array_join("r", ",").alias("reasons"), F.arrays_overlap("r", F.array(F.lit("click"), F.lit("view"))).alias("strong"))
+    named = F.when(F.col("term") == "click", "lexicon").when(F.col("term") == "view", "masked").otherwise("hint")
+    rows = events(spark, sf_dir).groupBy("media").agg(F.array_join(F.array_sort(F.collect_set("term")), ",").alias("reasons"), F.collect_set(named).alias("r"))
+    return rows.select("media", "reasons", N.strong(F.col("r")).alias("strong"))
 
 
 # ---- more of matching, masking, sources and signals ------------------------------------------------------------------
@@ -633,10 +635,17 @@ def jn_masked_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def dt_flag_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = M.flag_cues(lines(spark, sf_dir), "doc_id", TERMS[:2], ["whnt*"])
-    return rows.select("doc_id", F.array_join("reasons", ",").alias("reasons"))
+    return rows.select("doc_id", F.array_join("reasons", ",").alias("reasons"), F.size("words").alias("n_words"), F.get("words", F.lit(0)).alias("first"))
 
 
-@query("SELECT page_id, trim(regexp_replace(list_aggregate(list_filter(list_transform(string_split(regexp_replace(regexp_replace(html, '<[^>]*>|\\{[^}]*\\}', '', 'g'), '\\[[^\\]]*\\]|\\([^)]*\\)', '', 'g'), chr(10)), lambda x: trim(regexp_replace(regexp_replace(regexp_replace(x, '^[\\s#♪]+|[\\s#♪]+$', '', 'g'), '^[-–—]\\s*', ''), '^\\p{Lu}[\\p{Lu}\\d .'']{1,30}:\\s*', ''))), lambda x: x <> ''), 'string_agg', ' '), '\\s+', ' ', 'g')) AS text FROM pages")
+@query(r"""WITH a AS (SELECT page_id, string_split_regex(regexp_replace(regexp_replace(regexp_replace(html, '</?[a-zA-Z][^<>]*>|<\d[\d:.]*>', '', 'g'), '\{[^{}]*\}', '', 'g'), '\[[^\[\]]*\]|\([^()]*\)', ' ', 'g'), '\r\n|[\n\r\v\f\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]') AS l FROM pages),
+t AS (SELECT page_id, unnest(l) AS x, unnest(range(len(l))) AS i FROM a),
+u AS (SELECT page_id, i, regexp_replace(x, '^\s+|\s+$', '', 'g') AS x FROM t),
+v AS (SELECT page_id, i, regexp_replace(CASE WHEN regexp_matches(x, '^#\s.*\s#$|^#$') THEN regexp_replace(x, '^#+|#+$', '', 'g') ELSE x END, '^[-‐‑‒–—]+\s*', '') AS x FROM u),
+g AS (SELECT page_id, i, x, regexp_extract(x, '^([^\s:][^:]{0,29}):(?:\s|$)', 1) AS g FROM v),
+w AS (SELECT page_id, i, CASE WHEN g <> '' AND g = upper(g) AND g <> lower(g) AND len(string_split_regex(trim(g), '\s+')) <= 4 AND NOT regexp_matches(g, '[?!,"]') THEN substr(x, length(g) + 2) ELSE x END AS x FROM g),
+z AS (SELECT page_id, i, trim(regexp_replace(regexp_replace(regexp_replace(x, '^[-‐‑‒–—]+\s*', ''), '[♪♫♬]', ' ', 'g'), '\s+', ' ', 'g')) AS x FROM w)
+SELECT page_id, string_agg(x, ' ' ORDER BY i) FILTER (x <> '') AS text FROM z GROUP BY page_id""")
 def fn_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of marked-up pages, line by line."""
     return table(spark, sf_dir, "pages").select("page_id", F.nullif(X.clean_text(F.col("html")), F.lit("")).alias("text"))
@@ -698,12 +707,18 @@ def fn_xcorr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likeness of neighbouring vectors as samples, within a lag of 8."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     other = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
-    return rows.join(other, "vec_id").select("vec_id", G.likeness("embedding", "other", F.lit(8)).alias("likeness"))
+    return rows.join(other, "vec_id").select("vec_id", G.likeness("embedding", "other", F.lit(8)).alias("l")).select("vec_id", F.col("l.score").alias("likeness"), "l.lag")
 
 
-@query()
+QUIET_SQL = "SELECT vec_id, list_transform(range(0, 9), lambda k: sqrt(list_sum(list_transform(embedding[{low}:{high}], lambda v: v::DOUBLE * v::DOUBLE)) / 3)) AS r FROM embeddings"
+MOVED_SQL = "coalesce(list_position(list_transform(r, lambda x: x <= greatest(list_min(r) * 1.1220184543019633, 0.001)), true) - 1, 0)"
+
+
+@query(f"WITH d AS ({QUIET_SQL.format(low='31 - 3 * k', high='33 - 3 * k')}), u AS ({QUIET_SQL.format(low='28 + 3 * k', high='30 + 3 * k')}) SELECT d.vec_id, (-3 * (SELECT {MOVED_SQL} FROM (SELECT d.r)))::INT AS down, (3 * (SELECT {MOVED_SQL} FROM (SELECT u.r)))::INT AS up FROM d JOIN u ON u.vec_id = d.vec_id")
 def fn_quietest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", G.quietest("embedding", F.lit(8)).alias("frame"))
+    """How far an edge at 30 moves each way, in frames of 3 of a vector's components."""
+    rows = table(spark, sf_dir, "embeddings")
+    return rows.select("vec_id", G.quietest(F.col("embedding"), F.lit(30), -3).alias("down"), G.quietest(F.col("embedding"), F.lit(30), 3).alias("up"))
 
 
 @query()
@@ -716,13 +731,12 @@ def plan_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL")
 def ag_verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    return C.verdict_counts(table(spark, sf_dir, "orders"), ["o_orderpriority", "o_orderstatus"])
 
 
 @query("SELECT o_custkey, CASE WHEN count(*) FILTER (o_orderstatus = 'F') = count(*) THEN 'all' WHEN count(*) FILTER (o_orderstatus = 'F') = 0 THEN 'none' ELSE 'some' END AS cached FROM orders GROUP BY o_custkey")
 def ag_from_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.count_if(F.col("o_orderstatus") == "F")
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.when(n == F.count(F.lit(1)), "all").when(n == 0, "none").otherwise("some").alias("cached"))
+    return D.from_cache(table(spark, sf_dir, "orders"), ["o_custkey"], F.col("o_orderstatus") == "F")
 
 
 @query("SELECT s_suppkey, CASE WHEN s_suppkey % 10 < 5 THEN 'unmatched' WHEN s_acctbal > 5000 THEN 'timing' WHEN s_nationkey < 6 THEN 'wording' END AS problem FROM supplier")
@@ -739,10 +753,10 @@ def dt_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", out["output"].alias("output"), out["backup"].alias("backup"))
 
 
-@query("SELECT p_partkey, CASE lower(split_part(p_type, ' ', 1)) WHEN 'english' THEN 'en' ELSE lower(split_part(p_type, ' ', 1)) END AS language, CASE WHEN p_size > 25 THEN '24000/1001' ELSE '25' END AS rate, round(CASE WHEN p_size > 25 THEN 24000 / 1001.0 ELSE 25 END, 6)::DOUBLE AS fps FROM part")
+@query("SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'pt' WHEN 3 THEN 'fr' WHEN 4 THEN 'zh' END AS language, CASE WHEN p_size > 25 THEN '24000/1001' ELSE '25' END AS rate, round(CASE WHEN p_size > 25 THEN 24000 / 1001.0 ELSE 25 END, 6)::DOUBLE AS fps FROM part")
 def fn_lang_and_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.when(F.col("p_size") > 25, "24000/1001").otherwise("25")
-    return table(spark, sf_dir, "part").select("p_partkey", D.language_of(F.get(F.split("p_type", " "), F.lit(0))).alias("language"), shown.alias("rate"), F.round(X.rate(shown), 6).alias("fps"))
+    return table(spark, sf_dir, "part").select("p_partkey", D.language_of(F.get(F.array(*map(F.lit, ("eng", "German", "pt", "FRE", "chinese", "xx"))), F.col("p_size") % 6)).alias("language"), shown.alias("rate"), F.round(X.rate(shown), 6).alias("fps"))
 
 
 # ---- small projections, filters, joins and aggregates ----------------------------------------------------------------
@@ -753,30 +767,29 @@ PART = "part"
 @query("SELECT p_partkey, p_retailprice + 3 * (p_size / 100.0::DOUBLE) AS padding FROM part")
 def prj_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search padding: what is set, and three times the fit's error."""
-    return table(spark, sf_dir, PART).select("p_partkey", (F.col("p_retailprice") + 3 * (F.col("p_size") / 100)).alias("padding"))
+    return table(spark, sf_dir, PART).select("p_partkey", N.padding(F.col("p_retailprice"), F.col("p_size") / 100).alias("padding"))
 
 
 @query(f"WITH {EV} SELECT id, least(10000, (b - a) / 3.0::DOUBLE) AS fade FROM e")
 def prj_fade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).select("id", F.least(F.lit(10000.0), (F.col("end") - F.col("start")) / 3).alias("fade"))
+    return events(spark, sf_dir).select("id", S.fade_of(F.col("start"), F.col("end"), 10000.0).alias("fade"))
 
 
 @query(f"WITH {EV} SELECT id, a + 35000 AS start, b - 35000 AS \"end\" FROM e WHERE (b - 35000) - (a + 35000) >= 20000")
 def prj_verify_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans without their fades and margins, where something is left."""
-    core = events(spark, sf_dir).select("id", (F.col("start") + 35000).alias("start"), (F.col("end") - 35000).alias("end"))
-    return core.where(F.col("end") - F.col("start") >= 20000)
+    return S.core(events(spark, sf_dir), 35000, 20000).select("id", "start", "end")
 
 
 @query("SELECT l_orderkey, l_linenumber, greatest(least(l_quantity, l_discount * 100), l_quantity - 0.5) AS start, least(greatest(l_quantity + 1, l_tax * 1000), l_quantity + 1.5) AS \"end\" FROM lineitem")
 def prj_widen_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aligned times may only widen a word, by half a second at most."""
     rows, start = table(spark, sf_dir, "lineitem"), F.col("l_quantity")
-    low, high = F.least(start, F.col("l_discount") * 100), F.greatest(start + 1, F.col("l_tax") * 1000)
-    return rows.select("l_orderkey", "l_linenumber", F.greatest(low, start - 0.5).alias("start"), F.least(high, start + 1.5).alias("end"))
+    low, high = L.widen(start, start + 1, F.col("l_discount") * 100, F.col("l_tax") * 1000)
+    return rows.select("l_orderkey", "l_linenumber", low.alias("start"), high.alias("end"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 25 / 23.976::DOUBLE WHEN p_size % 3 = 1 THEN 23.976::DOUBLE / 25 END AS ratio FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 25 / 23.976::DOUBLE WHEN p_size % 3 = 1 THEN 23.976::DOUBLE / 25 ELSE 1.5 END AS ratio FROM part")
 def prj_frame_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratios of frame rates near a standard one."""
     n = F.col("p_size") % 3
@@ -809,35 +822,34 @@ def prj_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {EV} SELECT id, max(b) OVER (PARTITION BY media ORDER BY a, b, id ROWS UNBOUNDED PRECEDING) AS reach, row_number() OVER (PARTITION BY media ORDER BY a, b, id)::INT AS number FROM e")
 def an_running_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("media").orderBy("start", "end", "id")
-    return events(spark, sf_dir).select("id", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("reach"), F.row_number().over(order).alias("number"))
+    return S.running_reach(events(spark, sf_dir), ["media"], ["id"]).select("id", "reach", "number")
 
 
 @query(f"WITH {WORDS}, f AS (SELECT DISTINCT doc_id, {FOLD} AS token FROM t), n AS (SELECT token, count(*) AS n FROM f GROUP BY token) SELECT doc_id, count(*) FILTER (n <= 2) AS rare FROM f JOIN n USING (token) GROUP BY doc_id")
 def ag_rare_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct tokens of a document that stand in two documents at most."""
-    rows = lines(spark, sf_dir).select("doc_id", F.explode(X.split_words(F.col("text"))).alias("raw")).select("doc_id", X.fold(F.col("raw")).alias("token")).distinct()
+    words = lines(spark, sf_dir).select("doc_id", X.split_words(F.col("text")).alias("w"))
+    rows = words.select("doc_id", F.explode(F.array_distinct(X.folded_words(F.col("w")))).alias("token"))
     often = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     return rows.join(often, "token").groupBy("doc_id").agg(F.count_if(F.col("n") <= 2).alias("rare"))
 
 
 @query("SELECT source, count(*) AS files, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY source")
 def ag_cache_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.sum(F.octet_length("text")).alias("bytes"))
+    return D.cache_usage(table(spark, sf_dir, "documents"), ["source"], F.octet_length("text"))
 
 
 @query("SELECT o.o_orderkey, l.n IS NOT NULL AS withdrawn FROM orders o LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) l ON l.l_orderkey = o.o_orderkey")
 def jn_withdraw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    failed = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
-    return table(spark, sf_dir, "orders").join(failed, "o_orderkey", "left").select("o_orderkey", F.col("n").isNotNull().alias("withdrawn"))
+    failed = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return D.withdrawn(table(spark, sf_dir, "orders").select("o_orderkey"), failed, ["o_orderkey"])
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey FROM orders o WHERE o_orderpriority LIKE '1%' AND NOT EXISTS (SELECT 1 FROM orders x WHERE x.o_orderstatus = 'F' AND x.o_orderkey = o.o_orderkey)")
 def jn_cached_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is found online, and cached entries that are not among it."""
     rows = table(spark, sf_dir, "orders")
-    online, known = rows.where("o_orderstatus = 'F'").select("o_orderkey"), rows.where("o_orderpriority like '1%'").select("o_orderkey")
-    return online.unionByName(known.join(online, "o_orderkey", "left_anti"))
+    return D.cached_and_found(rows.where("o_orderstatus = 'F'").select("o_orderkey"), rows.where("o_orderpriority like '1%'").select("o_orderkey"), ["o_orderkey"])
 
 
 @query(f"WITH {SIDES} SELECT id FROM d WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.media = d.media AND f.a < d.b AND d.a < f.b)")
@@ -861,14 +873,14 @@ def jn_not_spliced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey FROM orders WHERE NOT (o_orderpriority LIKE '5%' OR o_orderpriority LIKE '4%')")
 def flt_machine_translated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    machine = F.col("o_orderpriority").startswith("5") | F.col("o_orderpriority").startswith("4")
-    return table(spark, sf_dir, "orders").where(~machine).select("o_orderkey")
+    made = D.machine_translated(F.col("o_orderpriority").startswith("5"), F.col("o_orderpriority").startswith("4"))
+    return table(spark, sf_dir, "orders").where(~made).select("o_orderkey")
 
 
 @query("SELECT o_orderkey, o_totalprice < 200000 - greatest(2, 0.01 * 200000) AS short FROM orders")
 def flt_output_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outputs shorter than they should be by two seconds or a hundredth."""
-    return table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") < 200000 - max(2, 0.01 * 200000)).alias("short"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", D.too_short(F.col("o_totalprice"), F.lit(200000)).alias("short"))
 
 
 @query("""WITH s AS (SELECT o_custkey AS media, o_orderkey AS i, o_orderstatus = 'P' AS other, CASE WHEN o_orderpriority LIKE '1%' THEN NULL WHEN o_orderpriority LIKE '2%' THEN 'ger' ELSE 'eng' END AS l, o_orderkey % 4 = 0 AS d, (o_orderkey % 3)::INT AS c FROM orders)
@@ -887,15 +899,15 @@ def flt_dialogue_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_custkey, sum(least(a, b))::BIGINT AS both FROM (SELECT o_custkey, o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS a, count(*) FILTER (o_orderstatus = 'O') AS b FROM orders GROUP BY 1, 2) GROUP BY o_custkey HAVING sum(least(a, b)) > 0")
 def set_intersect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The size of the multiset intersection of priorities of finished and open orders."""
-    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority", "o_orderstatus")
-    pick = lambda s: rows.where(F.col("o_orderstatus") == s).select("o_custkey", "o_orderpriority")
-    return pick("F").intersectAll(pick("O")).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("both"))
+    rows = table(spark, sf_dir, "orders")
+    return R.shared_times(rows.where("o_orderstatus = 'F'"), rows.where("o_orderstatus = 'O'"), ["o_custkey"], "o_orderpriority")
 
 
-@query("SELECT lang, array_to_string(list_distinct(list(source ORDER BY source)), ',') IS NOT NULL AS found, count(DISTINCT source) AS sources FROM documents GROUP BY lang")
+@query("SELECT lang, string_agg(source, ',' ORDER BY f, source) AS found, count(*) AS sources FROM (SELECT lang, source, min(doc_id) AS f FROM documents WHERE source IS NOT NULL GROUP BY lang, source) GROUP BY lang")
 def set_distinct_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = F.array_distinct(F.array_sort(F.collect_set("source")))
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.array_join(order, ",").isNotNull().alias("found"), F.count_distinct("source").alias("sources"))
+    """The sources of each language in the order in which they come first."""
+    rows = R.distinct_in_order(table(spark, sf_dir, "documents"), ["lang"], "source", "doc_id")
+    return rows.select("lang", F.array_join("values", ",").alias("found"), F.size("values").cast("long").alias("sources"))
 
 
 @query(f"WITH {SIDES}, g AS (SELECT media, a, b, id FROM f WHERE b > a), p AS (SELECT g.id, list_sort(list_distinct(list(d.conf > 30))) AS reasons, count(*) AS n FROM g JOIN d ON d.media = g.media AND d.a < g.b AND g.a < d.b GROUP BY g.id) SELECT id, len(reasons)::INT AS reasons, n FROM p")
@@ -931,18 +943,17 @@ def m15_cache_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps.select("id", "start", "end")
 
 
-@query("WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '[ \n\r\t]+'), lambda x: x <> '')) AS w FROM documents) SELECT doc_id, count(*) FILTER (regexp_matches(w, '^[a-z]+$')) AS plain, count(*) FILTER (length(w) < 3) AS broad FROM t GROUP BY doc_id")
+@query("WITH t AS (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 're:' ELSE '' END || lower(substr(p_brand, 1, 1 + p_size % 6)) || CASE WHEN p_size % 2 = 0 THEN '*' ELSE '' END || ' ' || lower(p_type) AS term FROM part) SELECT p_partkey, term, term NOT LIKE 're:%' AND len(list_filter(string_split(term, ' '), lambda w: contains(w, '*') AND length(regexp_replace(w, '\\P{L}', '', 'g')) < 3)) > 0 AS broad FROM t")
 def fn_warn_broad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words too short for a wildcard, by document."""
-    rows = lines(spark, sf_dir).select("doc_id", F.explode(F.filter(F.split("text", "[ \n\r\t]+"), lambda w: w != "")).alias("w"))
-    return rows.groupBy("doc_id").agg(F.count_if(F.rlike("w", F.lit("^[a-z]+$"))).alias("plain"), F.count_if(F.length("w") < 3).alias("broad"))
+    """Terms with a wildcard word of under three letters."""
+    term = F.concat(F.when(F.col("p_size") % 3 == 0, "re:").otherwise(""), F.lower(F.substr("p_brand", F.lit(1), 1 + F.col("p_size") % 6)), F.when(F.col("p_size") % 2 == 0, "*").otherwise(""), F.lit(" "), F.lower("p_type"))
+    return M.broad_terms(table(spark, sf_dir, "part").select("p_partkey", term.alias("term")))
 
 
 @query("SELECT doc_id, l, p::INT AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS p FROM documents) WHERE regexp_matches(l, '(?i)licen[cs]e')")
 def flt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that a pattern of the user's matches."""
-    rows = lines(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "l"))
-    return rows.where(F.rlike("l", F.lit("(?i)licen[cs]e"))).select("doc_id", "l", "line")
+    return X.matching_lines(lines(spark, sf_dir), "doc_id", "(?i)licen[cs]e").select("doc_id", "l", "line")
 
 
 @query()

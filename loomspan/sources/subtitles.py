@@ -11,28 +11,44 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from loomspan.functions.text import clean_text, descriptions
+from loomspan.functions.text import clean_text, descriptions, is_sung
 
 LARGEST = 20 << 20  #: bytes of a subtitle file at most
 #: fixed values: code pages of languages; others take 1252
-CODE_PAGES = {"pl": "cp1250", "cs": "cp1250", "hu": "cp1250", "ru": "cp1251", "bg": "cp1251", "uk": "cp1251", "el": "cp1253", "tr": "cp1254", "he": "cp1255", "ar": "cp1256"}
+CODE_PAGES = {"cs": "cp1250", "hu": "cp1250", "pl": "cp1250", "ro": "cp1250", "ru": "cp1251", "uk": "cp1251", "el": "cp1253", "tr": "cp1254", "he": "cp1255", "ar": "cp1256", "vi": "cp1258"}
+
+
+def _likely(text: str) -> int:
+    """How much a text looks like words: letters between letters count for it, capitals after small letters and signs against."""
+    pairs = list(zip(text, text[1:], strict=False))
+    return sum(a.isalpha() and b.islower() for a, b in pairs) - 2 * sum(a.islower() and b.isupper() or a.isalpha() and ord(b) > 0x7F and not b.isalpha() for a, b in pairs)
 
 
 @pandas_udf(StringType())
 def decode_text(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Bytes of a file as text: by its mark, else as UTF-8, else by its language's code page, else as Latin-1."""
+    """Bytes of a file as text: by its mark, else as UTF-8, else by its language's code page, else as Latin-1.
+
+    Without a language, the code pages above are tried, and the text with most letters and fewest odd signs is taken.
+    """
 
     def one(data: bytes | None, language: str | None) -> str | None:
         if data is None:
             return None
         if data.startswith((codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE)):
             return data.decode("utf-16", "replace")
-        for name in ("utf-8-sig", CODE_PAGES.get(language or "", "cp1252")):
+        names = ["utf-8-sig", CODE_PAGES.get(language.lower().split("-")[0], "cp1252")] if language else ["utf-8-sig"]
+        for name in names:
             try:
                 return data.decode(name)
             except UnicodeDecodeError:
                 continue
-        return data.decode("latin-1")
+        guesses = []
+        for name in () if language else ("cp1252", *dict.fromkeys(CODE_PAGES.values())):
+            try:
+                guesses.append(data.decode(name))
+            except UnicodeDecodeError:
+                continue
+        return max(guesses, key=_likely) if guesses else data.decode("latin-1")
 
     for data, language in parts:
         yield pd.Series([one(d, s) for d, s in zip(data, language, strict=True)], dtype=object)
@@ -50,31 +66,89 @@ def _seconds(stamp: Column) -> Column:
     return whole(1) * 3600 + whole(2) * 60 + whole(3) + F.rpad(part(4), 3, "0").try_cast("double") / 1000
 
 
-def blocks(files: DataFrame) -> DataFrame:
-    """(media, block, start, end, text): timed blocks of SRT and WebVTT contents; spans without length are dropped."""
-    content = F.regexp_replace(F.regexp_replace("content", "\r\n?", "\n"), r"(?s)^\x{FEFF}?WEBVTT.*?\n\n|(?m)^(NOTE|STYLE|REGION)\b(?s:.*?)(\n\n|\z)", "")
+TIMING = r"(?m)^[ \t]*(\d+:)?\d+:\d+[,.]\d+[ \t]*-->"  #: begins the timing line of SRT and WebVTT
+
+
+def subtitle_format(content: Column) -> Column:
+    """vtt, ass, srt or microdvd; null for anything else."""
+    body = F.regexp_replace(content, r"^\x{FEFF}+", "")
+    ass = F.rlike(body, F.lit(r"(?im)^\s*\[events\]\s*$")) & F.rlike(body, F.lit(r"(?im)^\s*dialogue:"))
+    return F.when(F.startswith(body, F.lit("WEBVTT")), "vtt").when(ass, "ass").when(F.rlike(body, F.lit(TIMING)), "srt").when(F.rlike(body, F.lit(r"(?m)^\{\d+\}\{\d+\}")), "microdvd")
+
+
+def blocks(files: DataFrame, fps: float | None = None) -> DataFrame:
+    """(media, block, start, end, text): timed texts of SRT, WebVTT, ASS/SSA and, with a frame rate, MicroDVD contents.
+
+    Spans without length, comments and drawings are dropped; text has line ends where a viewer sees them.
+    """
+    body = F.regexp_replace(F.regexp_replace("content", "\r\n?", "\n"), r"^\x{FEFF}+", "")
+    known = files.select("media", body.alias("content"), subtitle_format(F.col("content")).alias("_kind"))
+    of = lambda *kinds: known.where(F.col("_kind").isin(*kinds)).select("media", "content")
+    rows = _timed(of("srt", "vtt")).union(_events(of("ass")))
+    rows = rows.union(_frames(of("microdvd"), fps)) if fps else rows
+    return rows.where("end > start")
+
+
+def _timed(files: DataFrame) -> DataFrame:
+    content = F.regexp_replace("content", r"(?s)^WEBVTT.*?(\n[ \t]*\n|\z)|(?m)^(NOTE|STYLE|REGION)\b(?s:.*?)(\n[ \t]*\n|\z)", "")
     rows = files.select("media", F.posexplode(F.split(content, r"\n[ \t]*\n")).alias("block", "part"))
     time = r"((?:\d+:)?\d+:\d+[.,]\d{1,3})\s*-->\s*((?:\d+:)?\d+:\d+[.,]\d{1,3})"
     rows = rows.where(F.rlike("part", F.lit(time)))
     text = F.regexp_replace("part", r"(?s)^.*?-->[^\n]*\n?", "")
-    rows = rows.select("media", "block", _seconds(F.regexp_extract("part", time, 1)).alias("start"), _seconds(F.regexp_extract("part", time, 2)).alias("end"), text.alias("text"))
-    return rows.where("end > start")
-
-
-def cues(files: DataFrame) -> DataFrame:
-    """(media, cue, start, end, text): cleaned lines in order of time; repeats that touch are one; numbered from 1."""
-    rows = blocks(files).withColumn("text", clean_text(F.col("text"))).where("text <> ''")
+    return rows.select("media", "block", _seconds(F.regexp_extract("part", time, 1)).alias("start"), _seconds(F.regexp_extract("part", time, 2)).alias("end"), text.alias("text"))
+
+
+def _events(files: DataFrame) -> DataFrame:
+    """Dialogue lines of ASS and SSA: fields as the format line of the events names them; the last one is the text."""
+    section = F.regexp_extract("content", r"(?ims)^\s*\[events\]\s*$(.*?)(?=^\s*\[|\z)", 1)
+    rows = files.select("media", section.alias("_e"))
+    names = F.transform(F.split(F.lower(F.regexp_extract("_e", r"(?im)^\s*format:(.*)$", 1)), ","), lambda x: F.trim(x))
+    rows = rows.select("media", names.alias("_names"), F.posexplode(F.split("_e", "\n")).alias("block", "_line")).where(F.rlike("_line", F.lit(r"(?i)^\s*dialogue:")))
+    rows = rows.withColumn("_parts", F.split(F.regexp_replace("_line", r"(?i)^\s*dialogue:\s*", ""), ",", -1))
+    field = lambda name: F.try_element_at("_parts", F.nullif(F.array_position("_names", name), F.lit(0)).cast("int"))
+    text = F.array_join(F.slice("_parts", F.size("_names"), F.greatest(F.size("_parts") - F.size("_names") + 1, F.lit(0))), ",")
+    drawing = F.rlike(text, F.lit(r"\{[^}]*\\p[1-9][^}]*\}"))
+    shown = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\{[^{}]*\}", ""), r"\\[Nn]", "\n"), r"\\h", " ")
+    return rows.where((F.size("_parts") >= F.size("_names")) & ~drawing).select("media", "block", _seconds(field("start")).alias("start"), _seconds(field("end")).alias("end"), shown.alias("text"))
+
+
+def _frames(files: DataFrame, fps: float) -> DataFrame:
+    rows = files.select("media", F.posexplode(F.split("content", "\n")).alias("block", "_line"))
+    part = lambda i: F.regexp_extract("_line", r"^\{(\d+)\}\{(\d+)\}(.*)$", i)
+    rows = rows.where(F.rlike("_line", F.lit(r"^\{\d+\}\{\d+\}")))
+    text = F.replace(F.regexp_replace(part(3), r"\{[^{}]*\}", ""), F.lit("|"), F.lit("\n"))
+    return rows.select("media", "block", (part(1).cast("double") / fps).alias("start"), (part(2).cast("double") / fps).alias("end"), text.alias("text"))
+
+
+def cues(files: DataFrame, fps: float | None = None) -> DataFrame:
+    """(media, cue, start, end, text, lyrics): cleaned lines in order of time; repeats that touch are one; numbered from 1."""
+    rows = blocks(files, fps).withColumns({"lyrics": is_sung(F.col("text")), "text": clean_text(F.col("text"))}).where("text <> ''")
     order = Window.partitionBy("media").orderBy("start", "end", "text")
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = reached.isNull() | (F.lag("text").over(order) != F.col("text")) | (F.col("start") > reached + 0.05)
     rows = rows.withColumn("_new", new.cast("int")).withColumn("_g", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = rows.groupBy("media", "_g", "text").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    return merged.select("media", F.row_number().over(Window.partitionBy("media").orderBy("start", "end", "text")).alias("cue"), "start", "end", "text")
+    merged = rows.groupBy("media", "_g", "text").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("lyrics").alias("lyrics"))
+    return merged.select("media", F.row_number().over(Window.partitionBy("media").orderBy("start", "end", "text")).alias("cue"), "start", "end", "text", "lyrics")
 
 
-def sounds(files: DataFrame) -> DataFrame:
+def sounds(files: DataFrame, fps: float | None = None) -> DataFrame:
     """(media, start, end, text): bracketed descriptions with their line's times."""
-    return blocks(files).select("media", "start", "end", F.explode(descriptions(F.col("text"))).alias("text"))
+    return blocks(files, fps).select("media", "start", "end", F.explode(descriptions(F.col("text"))).alias("text"))
+
+
+def speech(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
+    """(media, id, start, end): speech that was found before, from JSON lines (media, version, regions) of one version."""
+    rows = spark.read.schema("media string, version int, regions array<array<double>>, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
+    rows = rows.where((F.col("version") == version) & F.col("_bad").isNull())
+    rows = rows.select("media", F.posexplode("regions").alias("id", "_r")).where((F.size("_r") == 2) & (F.get("_r", F.lit(1)) > F.get("_r", F.lit(0))))
+    return rows.select("media", "id", F.get("_r", F.lit(0)).alias("start"), F.get("_r", F.lit(1)).alias("end"))
+
+
+def labelled(spark: SparkSession, path: str) -> DataFrame:
+    """(media, id, start, end, word): true spans from JSON lines; lines that are no JSON, or spans without length, are left out."""
+    rows = spark.read.schema("media string, words array<struct<start:double,end:double,word:string>>, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
+    rows = rows.where("_bad is null").select("media", F.posexplode("words").alias("id", "_w")).select("media", "id", "_w.*")
+    return rows.where("end > start")
 
 
 def word_list(spark: SparkSession, path: str) -> DataFrame:
