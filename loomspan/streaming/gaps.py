@@ -1,4 +1,4 @@
-"""Streaming counterparts (an extension): what is not cached yet, sentence sessions, and tracked anchors.
+"""Streaming counterparts (an extension): merged spans, and an incremental cache of answers.
 
 The batch operators define the results; these keep them up to date as rows arrive.
 """
