@@ -43,6 +43,12 @@ class Part:
     target: bool = False
     search: bool = False
 
+    @property
+    def literals(self) -> set[str]:
+        """For a wildcard, what each of its variants must hold: the longest run of letters."""
+        variants = {self.text, self.text.replace("-", "")} if self.text.replace("-", "").replace("*", "") else {self.text}
+        return {max(v.split("*"), key=len) for v in variants}
+
     def fits(self, token: Column) -> Column:
         """Whether a normalised token is meant, with its hyphens or without."""
         test = (lambda t: t.isin(*self.spellings)) if self.spellings else (lambda t: F.rlike(t, F.lit(self.pattern)))
@@ -106,7 +112,11 @@ def any_fits(parts: Sequence[Part], token: Column) -> Column:
     if plain:
         tests.append(lambda t: t.isin(*plain))
     if wild:
-        tests.append(lambda t: F.rlike(t, F.lit("(?U)" + "|".join(w.removeprefix("(?U)") for w in wild))))
+        held = sorted(set().union(*(p.literals for p in parts if p.pattern and not p.search)))
+        whole = F.lit("(?U)" + "|".join(w.removeprefix("(?U)") for w in wild))
+        # a look for some letters is much cheaper than the pattern; many looks are not
+        may = (lambda t: reduce(lambda a, b: a | b, (F.contains(t, F.lit(x)) for x in held))) if len(held) <= 64 else (lambda t: F.lit(True))
+        tests.append(lambda t: may(t) & F.rlike(t, whole))
     tests += [lambda t, p=p: F.rlike(t, F.lit(p)) for p in sorted({p.pattern for p in parts if p.search})]
     if not tests:
         return F.lit(False)
