@@ -44,6 +44,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str = "files") -> str:
+    """A new path in the shared folder, for files that durable does not write."""
+    return f"{shared_folder(spark)}/{_own(spark)}/{uuid.uuid4().hex}/{name}"
+
+
 def durable(df: DataFrame, name: str = "table", codec: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and return it as read from there.
 
@@ -51,7 +56,7 @@ def durable(df: DataFrame, name: str = "table", codec: str | None = None) -> Dat
     table; tables of returned, lazy results stay until clear.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{_own(spark)}/{uuid.uuid4().hex}/{name}"
+    path = scratch(spark, name)
     (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
