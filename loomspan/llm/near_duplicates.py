@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from loomspan.llm import text as T
 from loomspan.llm.graph import components
-from loomspan.session import durable, small_batches
+from loomspan.session import discard, durable, small_batches
 
 
 @dataclass(frozen=True)
@@ -265,11 +265,13 @@ def near_duplicates(docs: DataFrame, options: NearDuplicateOptions = NearDuplica
     own = full.join(several, "doc_id", "left_semi").select("key", F.col("doc_id").alias("b")).join(same.withColumnRenamed("doc_id", "a"), "key").select("a", "b")
     sets = sets_of(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))), options)
     found = durable(components(confirm(pairs, sets, options).union(own)), "found")
+    discard(pairs)
     # buckets that still hold two components: the documents they tie together are compared across components
     placed = shared.join(found, shared.doc_id == found.node, "left").select("h", "centre", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     placed = durable(placed, "placed")
     mixed = durable(placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h"), "mixed")
     rest = durable(placed.join(mixed, "h", "left_semi"), "rest")
+    discard(shared, placed, mixed)
     families = components(rest.select(F.col("centre").alias("a"), F.col("doc_id").alias("b")))
     families = durable(rest.select("doc_id", "component").distinct().join(families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "doc_id"), "families")
     sizes = durable(sets.groupBy("doc_id").agg(F.sum("size").alias("size")), "sizes")
@@ -289,6 +291,7 @@ def near_duplicates(docs: DataFrame, options: NearDuplicateOptions = NearDuplica
     more = compare_tiles(sets, at_once.drop("size").unionByName(apart), both, options)
     found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     found = durable(found, "components")
+    discard(sets, rest, families, sizes, placed, both, chosen)
     classes = same.join(found, same.doc_id == found.node, "left").select("key", F.coalesce("component", "doc_id").alias("component_id"))
     tied = several.join(found, several.doc_id == found.node).select("doc_id", F.col("component").alias("tied"))
     out = sketches.select("doc_id", "key", "n_shingles").join(classes, "key", "left").join(tied, "doc_id", "left")
