@@ -44,9 +44,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     without doc_id stay as they are.
     """
     rows, columns = numbered(docs, "doc_id", "text")
-    marked = near_duplicates(docs).where("kept").select("doc_id").distinct()
+    marked = durable(near_duplicates(docs).where("kept").select("doc_id").distinct(), "marked")
     known = rows.where("doc_id is not null").join(marked, "doc_id", "left_semi")
-    held = durable(known.withColumn("_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))), "kept")
+    held = known.withColumn("_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     twice = durable(held.groupBy("doc_id", "_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"), "twice")
     once = held.join(twice, ["doc_id", "_key"], "left_anti").select(*rows.columns)
     again = held.join(twice, ["doc_id", "_key"], "left_semi").groupBy("doc_id", "_key").agg(F.min(F.struct(*rows.columns)).alias("_r"))
