@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm import language_model, licenses, pieces, toxicity
+from loomspan.llm.main_text import extract
 from loomspan.llm.mixing import mix
 from loomspan.llm.near_duplicates import near_duplicates
 from loomspan.llm.near_vectors import near_vectors
 from loomspan.llm.quotations import conversations
+from loomspan.llm.repair import damaged, repair, with_faults
 from loomspan.llm.sharding import Tree, sharded
+from loomspan.llm.spelling import variants
 from loomspan.llm.top_products import top_products
 
 
@@ -81,6 +84,18 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(with_faults(damaged(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
 OP4_SQL = rf"""
@@ -120,6 +135,33 @@ SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, c.componen
 FROM v JOIN c ON c.node = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 """
 
+# CRC-32 of a text whose code points lie below U+0100: its bytes, folded over a table of 256 entries made by rule
+CRC_TABLE = "(SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) ORDER BY n) FROM range(256) t(n))"
+
+
+def crc_sql(text: str) -> str:
+    """SQL for the CRC-32 of an expression; a table crc(t) of CRC_TABLE must be joined."""
+    codes = f"list_transform(regexp_extract_all({text}, '(?s).'), lambda c: unicode(c)::BIGINT)"
+    data = f"flatten(list_transform({codes}, lambda c: CASE WHEN c < 128 THEN [c] ELSE [192 + (c >> 6), 128 + (c & 63)] END))"
+    return f"xor(list_reduce({data}, lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295::BIGINT), 4294967295)"
+
+
+OP13_SQL = rf"""
+WITH RECURSIVE crc AS (SELECT {CRC_TABLE} AS t),
+r AS (SELECT coalesce(doc_id::VARCHAR, '') AS d, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+g AS (SELECT d, w, length(w) AS k, count(*) AS n FROM r WHERE length(w) >= 5 GROUP BY ALL),
+h AS (SELECT w, k, n, {crc_sql("d || ':' || w")} AS h FROM g, crc),
+c AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, (h % k)::INT) || substr(w, (h % k)::INT + 2) ELSE w END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM c WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+x AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word, b.word AS near, b.n FROM x a JOIN x b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM x a JOIN w b ON a.cut = b.word UNION SELECT b.word, a.word, a.n FROM x a JOIN w b ON a.cut = b.word),
+b AS (SELECT word, count(*) AS n_near, arg_min(near, (-n, near)) AS near, max(n) AS near_n FROM p GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 2 * w.n THEN near END AS form, CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n FROM w LEFT JOIN b ON b.word = w.word),
+o AS (SELECT word, word AS root FROM f WHERE form IS NULL UNION ALL SELECT f.word, o.root FROM o JOIN f ON f.form = o.word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN o ON o.word = f.word
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_sharding": op2_sharding,
@@ -131,6 +173,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_chat_quotations": op9_chat_quotations,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_html_extraction": op11_html_extraction,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
@@ -138,4 +183,5 @@ ORACLES: dict[str, str] = {
     "op6_license_scan": licenses.scan_sql(),
     "op8_exact_top_k": OP8_SQL,
     "op10_embedding_near_dedup": OP10_SQL,
+    "op13_spelling_variants": OP13_SQL,
 }
