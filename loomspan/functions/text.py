@@ -22,10 +22,17 @@ EDGE = "\"'.,!?;:()[]{}<>«»¿¡…—–-_/\\|~^♪"
 _EDGE_CLASS = "[" + "".join("\\" + c if not c.isalnum() else c for c in EDGE) + "]"
 
 
+def _odd(c: str) -> bool:
+    new = unicodedata.ucd_3_2_0.category(c) == "Cn"  # Java may not know its case
+    folds = c not in "ßς" and c.lower() != c.casefold()
+    return unicodedata.normalize("NFKC", c) != c or unicodedata.category(c)[0] == "M" or folds or (new and (c.lower() != c or c.upper() != c))
+
+
 @cache
 def recomposed() -> str:
-    """A Java pattern for characters that compatibility composition may change, found by asking for each."""
-    wanted = [c for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and (unicodedata.normalize("NFKC", chr(c)) != chr(c) or unicodedata.category(chr(c))[0] == "M")]
+    """A Java pattern for characters that compatibility composition may change, or that case folding and Java's
+    lower-casing may treat differently, found by asking for each. Sharp s and final sigma are left to fold."""
+    wanted = [c for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and _odd(chr(c))]
     ranges, low = [], None
     for c, following in zip(wanted, [*wanted[1:], None], strict=True):
         low = c if low is None else low
@@ -46,16 +53,33 @@ def nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+@pandas_udf(StringType())
+def nfkc_folded(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Compatibility composition, straight quotes and case folding."""
+    straight = str.maketrans(QUOTES, STRAIGHT)
+    for s in texts:
+        yield s.map(lambda t: unicodedata.normalize("NFKC", t).translate(straight).casefold(), na_action="ignore")
+
+
+def _is_odd(text: Column) -> Column:
+    odd = F.regexp_replace(text, SETTLED, "")  # few are left to be tested one by one
+    return (odd != "") & F.rlike(odd, F.lit(recomposed()))
+
+
 def composed(text: Column) -> Column:
     """A text in compatibility composition. Only texts that it may change leave the JVM. Not for use in a lambda."""
-    odd = F.regexp_replace(text, SETTLED, "")  # few are left to be tested one by one
-    return F.coalesce(nfkc(F.when((odd != "") & F.rlike(odd, F.lit(recomposed())), text)), text)
+    return F.coalesce(nfkc(F.when(_is_odd(text), text)), text)
 
 
 def fold(text: Column, compose: bool = False) -> Column:
-    """Straight quotes and case folding; with compose, compatibility characters first (not in a lambda)."""
-    text = composed(text) if compose else text
-    return F.replace(F.lower(F.translate(text, QUOTES, STRAIGHT)), F.lit("ß"), F.lit("ss"))
+    """Straight quotes and case folding; with compose, compatibility characters first (not in a lambda).
+
+    Folding differs from lower-casing in sharp s, which becomes ss, in the sigma at a word's end, which becomes a usual
+    one, and in letters that composition changes too or that are rare; texts with those are folded in Python, with compose
+    only.
+    """
+    plain = F.replace(F.translate(F.lower(F.translate(text, QUOTES, STRAIGHT)), "ς", "σ"), F.lit("ß"), F.lit("ss"))
+    return F.coalesce(nfkc_folded(F.when(_is_odd(text), text)), plain) if compose else plain
 
 
 def collapse(text: Column) -> Column:

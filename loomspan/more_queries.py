@@ -120,12 +120,15 @@ def dt_review_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", C.review_note(use, reason).alias("note"))
 
 
-@query("WITH s AS (SELECT DISTINCT text, length(text) % 100 / 100.0 AS rude FROM conversations) SELECT c.conv_id, c.turn, CASE WHEN c.text <> '' THEN coalesce(s.rude, 0) ELSE 0 END::DOUBLE AS rude FROM conversations c LEFT JOIN s ON s.text = c.text")
+@query(r"""WITH c AS (SELECT *, regexp_extract(text, '^(\w+)', 1) AS w FROM conversations),
+h AS (SELECT *, CASE WHEN w IN ('To', 'That', 'La', 'Thatble') THEN (5 - length(w)) * len(list_filter(regexp_extract_all(text, '[\p{L}\p{N}_'']+'), lambda x: lower(x) = lower(w))) ELSE 0 END AS more FROM c)
+SELECT conv_id, turn, CASE WHEN text <> '' THEN (length(text) + more) % 100 / 100.0 ELSE 0 END::DOUBLE AS rude FROM h""")
 def dt_score_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of turns, known by text."""
+    """Scores of turns, known by the text in which the ambiguous first word, where there is one, is hidden."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    scores = rows.select("text", (F.length("text") % 100 / 100).alias("rude")).distinct()
-    heard = rows.select("conv_id", "turn", F.lit(None).cast("string").alias("word")).limit(0)
+    heard = rows.select("conv_id", "turn", F.regexp_extract("text", r"^(\w+)", 1).alias("word")).where("word in ('To', 'That', 'La', 'Thatble')")
+    hidden = C.shown_lines(rows, heard, ["conv_id", "turn"])
+    scores = hidden.select(F.col("shown").alias("text"), (F.length("shown") % 100 / 100).alias("rude")).distinct()
     return C.scored_lines(rows, heard, scores, ["conv_id", "turn"], ("rude",)).select("conv_id", "turn", "rude")
 
 
@@ -178,10 +181,13 @@ def fn_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.phrases(lines(spark, sf_dir), "doc_id", ["of the", "that is", "*tion"]).select("doc_id", F.array_join("found", "|").alias("found"))
 
 
-@query(r"SELECT p_partkey, array_to_string(list_filter(string_split(lower(p_type), ' '), lambda s: regexp_matches(s, '\b(bur\w*|br(ass|ing))\b')), ',') AS sounds FROM part".replace("bur", "moan").replace("br(ass|ing)", "pant(s|ing)"))
+@query(f"""WITH s AS (SELECT p_partkey, [split_part(lower(p_type), ' ', 1) || ' is heard', CASE p_size % 4 WHEN 0 THEN 'soft moaning' WHEN 1 THEN 'she pants' WHEN 2 THEN 'breathing heavily' ELSE 'panther growls' END, 'door creaks'] AS l FROM part)
+SELECT p_partkey, array_to_string(list_filter(l, lambda x: regexp_matches(x, '{X.SEXUAL_SOUNDS}')), ',') AS sounds FROM s""")
 def fn_sexual_sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words of parts' types as sounds: none is sexual."""
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(X.sexual_sounds(F.split(F.lower("p_type"), " ")), ",").alias("sounds"))
+    """Three sounds a part, of which the second, named by the part's size, is sexual for three sizes of four."""
+    second = F.get(F.array(*map(F.lit, ("soft moaning", "she pants", "breathing heavily", "panther growls"))), (F.col("p_size") % 4).cast("int"))
+    sounds = F.array(F.concat(F.split_part(F.lower("p_type"), F.lit(" "), F.lit(1)), F.lit(" is heard")), second, F.lit("door creaks"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(X.sexual_sounds(sounds), ",").alias("sounds"))
 
 
 @query()
@@ -353,7 +359,7 @@ def src_subs_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"""WITH {WORDS}, k AS (SELECT doc_id, pos, {NORM} AS token FROM t) SELECT doc_id, pos::INT AS pos FROM k WHERE regexp_matches(token, '^th[\p{{L}}\p{{N}}_'']*$') AND NOT regexp_matches(token, '^the[\p{{L}}\p{{N}}_'']*$')""")
 def jn_allow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a wildcard lists, without those that the allow list spares."""
-    found = M.candidates(M.tokens(lines(spark, sf_dir), "doc_id"), "doc_id", [M.Term("th*", "x")], allow=["the*"])
+    found = M.find(lines(spark, sf_dir), "doc_id", M.WordList([M.Term("th*", "x")], allow=["the*"]))
     return found.select("doc_id", F.col("first").alias("pos"))
 
 
@@ -504,19 +510,28 @@ def snk_subs_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.mask_files(K.subtitles(cue_seconds(spark, sf_dir)), TERMS[:3], "remove")
 
 
+def drifting(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Line items as anchors of their part, and runs heard for them: the part's clock is off by one of the fixed scales and
+    an offset, each run is up to 0.8 s away from it by the item's tax and discount, some are heard badly, some not at all, and
+    each has a better run minutes away."""
+    scales = F.array(*(F.lit(float(r)) for r in A.RATIOS))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("cue"), (F.col("l_orderkey") % 7200).cast("double").alias("start"), "l_tax", "l_discount", "l_quantity")
+    clock = F.get(scales, (F.col("part") % len(A.RATIOS)).cast("int")) * F.col("start") + F.col("part") % 20 - 10
+    heard = rows.where(F.col("l_quantity") > 4).select("part", "cue", (clock + 10 * (F.col("l_tax") - F.col("l_discount"))).alias("at"), F.lit(5).alias("n_words"), F.when(F.col("l_quantity") < 12, 60.0).otherwise(80 + F.col("l_tax") * 100).alias("score"), (1 - F.col("l_discount")).alias("fidelity"))
+    decoys = rows.select("part", "cue", (F.col("start") + 600).alias("at"), F.lit(5).alias("n_words"), F.lit(99.0).alias("score"), F.lit(1.0).alias("fidelity"))
+    asked = rows.select("part", "cue", "start", (F.col("start") + 3).alias("end"), F.lit(15.0).alias("radius"), F.lit(7800.0).alias("duration"), F.lit(1.0).alias("scale"))
+    return asked, heard.union(decoys)
+
+
 @query()
 def an_track(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as anchors of their order, each heard 2.5 after its place and once far away."""
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").cast("int").alias("cue"), (F.col("l_linenumber") * 60.0).alias("start"))
-    near = rows.select("key", "cue", (F.col("start") + 2.5).alias("at"), F.lit(90.0).alias("score"))
-    far = rows.select("key", "cue", (F.col("start") + 500.0).alias("at"), F.lit(99.0).alias("score"))
-    return A.track(rows, near.union(far), "key", 30.0, 5.0)
+    """Anchors of drifting clocks, followed in order of time."""
+    return A.track(*drifting(spark, sf_dir), "part")
 
 
 @query()
 def plan_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of a customer as candidates' anchors, fitted and judged: every third anchor is heard badly."""
-    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_orderkey").alias("cue"), (F.col("l_partkey") % 5000).cast("double").alias("start"), "l_linenumber")
-    rows = rows.groupBy("l_suppkey", "cue").agg(F.min("start").alias("start"), F.min("l_linenumber").alias("n"))
-    found = rows.select("l_suppkey", "cue", F.when(F.col("n") % 3 == 0, 50.0).otherwise(95.0).alias("score"), F.lit(0.9).alias("fidelity"), (F.col("start") * 1.0 + 3).alias("heard_at"))
-    return A.check(rows, found, ["l_suppkey"], "cue")
+    """Every part as a candidate: its anchors followed, fitted and judged. Some clocks are lost, some runs are unlike, and some parts have no anchor."""
+    asked, runs = drifting(spark, sf_dir)
+    found = A.track(asked, runs, "part")
+    return A.check(asked, found, ["part"], "cue", candidates=table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part")))

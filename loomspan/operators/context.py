@@ -66,17 +66,22 @@ def hide(text: Column, words: Column, mark: str = "[...]") -> Column:
     return F.when(F.size(ordered) > 0, F.regexp_replace(text, pattern, F.lit(mark.replace("$", r"\$")))).otherwise(text)
 
 
+def shown_lines(lines: DataFrame, heard: DataFrame, keys: list[str]) -> DataFrame:
+    """lines (keys, text) with shown: the text with its ambiguous words (heard: keys, word) hidden."""
+    words = heard.groupBy(*keys).agg(F.collect_set(F.regexp_replace("word", "^[ ,.!?;:\"']+|[ ,.!?;:\"']+$", "")).alias("_w"))
+    shown = F.when(F.col("_w").isNotNull(), hide(F.col("text"), F.col("_w"))).otherwise(F.col("text"))
+    return lines.join(words, keys, "left").withColumn("shown", shown).drop("_w")
+
+
 def scored_lines(lines: DataFrame, heard: DataFrame, scores: DataFrame, keys: list[str], labels: tuple[str, ...]) -> DataFrame:
     """lines (keys, text) with a classifier's scores, those of the text with its ambiguous words hidden; 0 for empty lines.
 
     heard: keys, word: the ambiguous words of a line; scores: text, labels: what the classifier says of a text.
     """
-    words = heard.groupBy(*keys).agg(F.collect_set(F.regexp_replace("word", "^[ ,.!?;:\"']+|[ ,.!?;:\"']+$", "")).alias("_w"))
-    shown = F.when(F.col("_w").isNotNull(), hide(F.col("text"), F.col("_w"))).otherwise(F.col("text"))
-    rows = lines.join(words, keys, "left").withColumn("_t", shown)
+    rows = shown_lines(lines, heard, keys).withColumnRenamed("shown", "_t")
     known = scores.select(F.col("text").alias("_t"), *labels)
     spoken = F.coalesce(F.col("text") != "", F.lit(False))
-    return rows.join(known, "_t", "left").withColumns({x: F.when(spoken, F.coalesce(x, F.lit(0.0))).otherwise(0.0) for x in labels}).drop("_t", "_w")
+    return rows.join(known, "_t", "left").withColumns({x: F.when(spoken, F.coalesce(x, F.lit(0.0))).otherwise(0.0) for x in labels}).drop("_t")
 
 
 def sexual_line(score: Column, phrases: Column, ambiguous: list[str], sounds: Column, judged: Column, least: float) -> Column:

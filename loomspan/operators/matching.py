@@ -1,126 +1,26 @@
 """Finding terms of a word list in lines of words.
 
-A word list is a small parameter of the driver. Its plain words are looked up in a set, its wildcards are one pattern, so a
-word of a line is tested once; only words that a term can use go on. Words of phrases meet at the phrase's first place.
-Nothing is joined with the text's distinct words, and lines without conflicts need no order.
+Lines are normalised by column functions, whole, and walked once by the list's automaton (wordlist.WordList), which names
+every place where a term or a masked word stands. These few places are written, and all that follows works on them:
+lines without conflicts need no order, and nothing is joined with the words of the texts.
 """
 
 from __future__ import annotations
 
-import re
-import unicodedata
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
-from functools import reduce
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from loomspan.functions import text as T
 from loomspan.operators.spans import islands
+from loomspan.operators.wordlist import MASKED, SEARCH, Part, Samples, Term, WordList, listed, part, parts, targets
+from loomspan.session import durable
 
-LETTERS = r"[\w']"  #: what a wildcard or a mask stands for
-SEARCH = "re:"  #: begins a term that is a pattern, searched for in a word
-MASKED = "masked"  #: the category of masked words that fit no listed one
-
-
-@dataclass(frozen=True)
-class Term:
-    """A listed word or phrase: `*` stands for any letters; [word] marks what a phrase is listed for; re:x is a pattern."""
-
-    text: str
-    category: str
-
-
-@dataclass(frozen=True)
-class Part:
-    """One word of a term: spellings without wildcards, or a pattern."""
-
-    text: str
-    spellings: tuple[str, ...] = ()
-    pattern: str = ""
-    target: bool = False
-    search: bool = False
-
-    @property
-    def literals(self) -> set[str]:
-        """For a wildcard, what each of its variants must hold: the longest run of letters."""
-        variants = {self.text, self.text.replace("-", "")} if self.text.replace("-", "").replace("*", "") else {self.text}
-        return {max(v.split("*"), key=len) for v in variants}
-
-    def fits(self, token: Column) -> Column:
-        """Whether a normalised token is meant, with its hyphens or without."""
-        test = (lambda t: t.isin(*self.spellings)) if self.spellings else (lambda t: F.rlike(t, F.lit(self.pattern)))
-        return either_form(token, test)
-
-
-def either_form(token: Column, test: object) -> Column:
-    """A test of a token that is not empty, or of its form without hyphens."""
-    joined = F.replace(token, F.lit("-"), F.lit(""))
-    return (token != "") & (test(token) | (F.contains(token, F.lit("-")) & (joined != "") & test(joined)))
-
-
-def listed(word: str) -> str:
-    """A word of the list as tokens are normalised: its punctuation stays."""
-    plain = unicodedata.normalize("NFKC", word).translate(str.maketrans(T.QUOTES, T.STRAIGHT)).casefold().strip()
-    return re.sub(r"([^\W\d_])\1{2,}", r"\1", plain)
-
-
-def part(word: str) -> Part:
-    target = len(word) > 2 and word[0] == "[" and word[-1] == "]"
-    text = listed(word[1:-1] if target else word)
-    if not text.replace("*", ""):
-        raise ValueError(f"{word!r} holds nothing but wildcards")
-    joined = text.replace("-", "")
-    variants = [text, joined] if joined != text and joined.replace("*", "") else [text]
-    if "*" not in text:
-        return Part(text, tuple(variants), target=target)
-    escape = lambda p: re.sub(r"([^\w\s'])", r"\\\1", p)
-    pattern = "|".join(f"{LETTERS}*".join(map(escape, v.split("*"))) for v in variants)
-    return Part(text, pattern=f"(?U)^(?:{pattern})$", target=target)
-
-
-@dataclass(frozen=True)
-class Listed:
-    """A term as it is looked for."""
-
-    order: int
-    term: str
-    category: str
-    parts: tuple[Part, ...]
-
-    @classmethod
-    def of(cls, order: int, term: Term) -> Listed:
-        raw = term.text.strip()
-        if not raw:
-            raise ValueError("an empty term")
-        if raw.startswith(SEARCH):
-            return cls(order, raw, term.category, (Part(raw, pattern="(?iuU)" + raw[len(SEARCH) :], search=True),))
-        return cls(order, raw, term.category, tuple(map(part, raw.split())))
-
-    @property
-    def targets(self) -> list[int]:
-        return [i for i, p in enumerate(self.parts) if p.target] or list(range(len(self.parts)))
-
-
-def any_fits(parts: Sequence[Part], token: Column) -> Column:
-    """Whether a token fits one of the parts: one look into a set, one pattern for all wildcards."""
-    plain = sorted({s for p in parts for s in p.spellings})
-    wild = sorted({p.pattern for p in parts if p.pattern and not p.search})
-    tests = []
-    if plain:
-        tests.append(lambda t: t.isin(*plain))
-    if wild:
-        held = sorted(set().union(*(p.literals for p in parts if p.pattern and not p.search)))
-        whole = F.lit("(?U)" + "|".join(w.removeprefix("(?U)") for w in wild))
-        # a look for some letters is much cheaper than the pattern; many looks are not
-        may = (lambda t: reduce(lambda a, b: a | b, (F.contains(t, F.lit(x)) for x in held))) if len(held) <= 64 else (lambda t: F.lit(True))
-        tests.append(lambda t: may(t) & F.rlike(t, whole))
-    tests += [lambda t, p=p: F.rlike(t, F.lit(p)) for p in sorted({p.pattern for p in parts if p.search})]
-    if not tests:
-        return F.lit(False)
-    return either_form(token, lambda t: reduce(lambda a, b: a | b, (test(t) for test in tests)))
+__all__ = ["MASKED", "SEARCH", "Part", "Term", "WordList", "listed", "part", "parts", "targets"]
 
 
 def tokens(lines: DataFrame, id: str, text: str = "text") -> DataFrame:
@@ -130,33 +30,89 @@ def tokens(lines: DataFrame, id: str, text: str = "text") -> DataFrame:
     return rows.select(id, F.posexplode(F.arrays_zip("_raw", "_token")).alias("pos", "_w")).select(id, "pos", F.col("_w._raw").alias("raw"), F.col("_w._token").alias("token"))
 
 
-def candidates(words: DataFrame, id: str, terms: Sequence[Term], allow: Sequence[str] = ()) -> DataFrame:
-    """(id, first, last, term_order, term, category, targets): every place where a term stands; last is exclusive.
+def _schema(df: DataFrame, id: str) -> StructType:
+    fields = [StructField(c, t) for c, t in (("first", IntegerType()), ("last", IntegerType()), ("term_order", IntegerType()), ("term", StringType()), ("category", StringType()), ("targets", ArrayType(IntegerType())))]
+    return StructType([df.schema[id], *fields])
 
-    words: id, pos, token. Single words that an allowed pattern matches are left out; phrases may hold them.
+
+def _places(ids: pa.Array, found: list[tuple[int, int, int, int, str]], words: WordList, token: Callable[[int, int], str], names: list[str]) -> pa.RecordBatch:
+    """The rows of a walk: row, first, last, order, category; order -1 for masked words, named by their token."""
+    rows, first, last, order, category = zip(*found, strict=True) if found else ((),) * 5
+    masked = lambda r, p, c: token(r, p) if c == MASKED else f"masked:{token(r, p)}"
+    term = [words.terms[o][0] if o >= 0 else masked(r, p, c) for r, p, o, c in zip(rows, first, order, category, strict=True)]
+    columns = [ids.take(pa.array(rows, pa.int64())), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array([o if o >= 0 else None for o in order], pa.int32()), pa.array(term, pa.string())]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(category, pa.string()), pa.array([words.targets[o] if o >= 0 else [0] for o in order], pa.list_(pa.int32()))], names)
+
+
+def find(lines: DataFrame, id: str, words: WordList, text: str = "text") -> DataFrame:
+    """(id, first, last, term_order, term, category, targets): every place of lines where a term or a masked word stands; last is exclusive.
+
+    Single words that are allowed are left out; phrases may hold them. Masked words, if the list looks for marks, have no
+    term_order. A text is walked once; only words that something fits are looked at one by one.
     """
-    terms_ = [Listed.of(i, t) for i, t in enumerate(terms)]
-    if any(len(a.split()) != 1 for a in allow):
-        raise ValueError("the allow list has single words")
-    spared = any_fits([part(a) for a in allow], F.col("token")) if allow else F.lit(False)
-    kind = "array<struct<term_order:int,word:int>>"
-    hit = lambda t, k: F.when(t.parts[k].fits(F.col("token")), F.struct(F.lit(t.order).alias("term_order"), F.lit(k).alias("word")))
-    all_of = lambda hits: F.filter(F.array(*hits), lambda x: x.isNotNull()) if hits else F.array().cast(kind)
-    single = [t for t in terms_ if len(t.parts) == 1]
-    longer = [t for t in terms_ if len(t.parts) > 1]
-    met = words.select(id, "pos", "token").where(any_fits([p for t in terms_ for p in t.parts], F.col("token")))
-    met = met.withColumns({"_one": F.when(spared, F.array().cast(kind)).otherwise(all_of([hit(t, 0) for t in single])), "_more": all_of([hit(t, k) for t in longer for k in range(len(t.parts))])})
-    one = met.select(id, F.col("pos").alias("first"), F.explode("_one").alias("_h")).select(id, "first", "_h.term_order")
-    more = met.select(id, "pos", F.explode("_more").alias("_h")).select(id, (F.col("pos") - F.col("_h.word")).alias("first"), "_h.*")
-    size = F.create_map(*(x for t in terms_ for x in (F.lit(t.order), F.lit(len(t.parts))))) if terms_ else F.create_map().cast("map<int,int>")
-    full = more.groupBy(id, "first", "term_order").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("word"))).alias("found"))
-    full = full.where(F.col("found") == F.call_function("shiftleft", F.lit(1).cast("long"), F.try_element_at(size, "term_order")) - 1)
-    if any(len(t.parts) > 62 for t in terms_):
-        raise ValueError("a phrase of more than 62 words")
-    rows = [(t.order, t.term, t.category, len(t.parts), t.targets) for t in terms_]
-    whole = words.sparkSession.createDataFrame(rows, "term_order int, term string, category string, n_words int, targets array<int>")
-    found = one.union(full.select(id, "first", "term_order")) if longer else one
-    return found.join(F.broadcast(whole), "term_order").select(id, "first", (F.col("first") + F.col("n_words")).alias("last"), "term_order", "term", "category", "targets")
+    shared = lines.sparkSession.sparkContext.broadcast(words)
+    rows = lines.select(id, T.normalized_words(T.split_words(F.col(text))).alias("_token"))
+    schema = _schema(rows, id)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            lists = batch.column(1)
+            flat = lists.flatten()
+            begins = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+            distinct = flat.dictionary_encode()
+            heard = distinct.dictionary.to_pylist()
+            useful = np.array([own.look(t) is not None for t in heard], bool)
+            codes = distinct.indices.to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(useful[codes]) if len(codes) else np.zeros(0, np.int64)
+            row = np.searchsorted(begins, at, "right") - 1
+            found = list(own.walk((int(r), int(i - begins[r]), heard[codes[i]]) for r, i in zip(row, at, strict=True)))
+            yield _places(batch.column(0), found, own, lambda r, p: heard[codes[begins[r] + p]], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def find_words(words: DataFrame, id: str, terms: WordList) -> DataFrame:
+    """find for words that lie as rows: id, pos, token.
+
+    A row that fits something goes on; words of phrases then meet within their line, so only lines with hits are sorted.
+    """
+    shared = words.sparkSession.sparkContext.broadcast(terms)
+    rows = words.select(id, F.col("pos").cast("int").alias("pos"), "token")
+
+    def useful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            distinct = batch.column(2).dictionary_encode()
+            keep = np.array([own.look(t) is not None for t in distinct.dictionary.to_pylist()] + [False], bool)
+            yield batch.filter(pa.array(keep[distinct.indices.fill_null(len(keep) - 1).to_numpy(zero_copy_only=False)]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, before = shared.value, {}
+
+        def places(of: pa.RecordBatch) -> Iterator[tuple[int, int, str]]:
+            for i, (p, t) in enumerate(zip(of.column(1).to_pylist(), of.column(2).to_pylist(), strict=True)):
+                yield numbers[i], p, t
+
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            numbers, now, count = [], before.get("key"), before.get("row", 0)
+            for key in keys:
+                if key != now:
+                    now, count = key, count + 1
+                numbers.append(count)
+            before = {"key": now, "row": count}
+            where = {}
+            for i, (n, p) in enumerate(zip(numbers, batch.column(1).to_pylist(), strict=True)):
+                where[n, p] = i
+            found = list(own.walk(places(batch)))
+            by_row = [(where[n, last - 1], first, last, order, category) for n, first, last, order, category in found]
+            heard = batch.column(2).to_pylist()
+            yield _places(batch.column(0), by_row, own, lambda r, p: heard[r], schema.names)
+
+    hit = rows.mapInArrow(useful, rows.schema)
+    schema = _schema(rows, id)
+    return hit.repartition(id).sortWithinPartitions(id, "pos").mapInArrow(run, schema)
 
 
 def greedy(found: DataFrame, id: str) -> DataFrame:
@@ -188,17 +144,17 @@ def greedy(found: DataFrame, id: str) -> DataFrame:
     return alone.unionByName(kept)
 
 
-def masked_words(words: DataFrame, id: str, taken: DataFrame, terms: Sequence[Term], disabled: Sequence[str] = (), marks: str = "[*#]") -> DataFrame:
-    """Candidates for masked tokens at places that no match takes, with the category that they seem to hide.
+def settle(found: DataFrame, id: str) -> DataFrame:
+    """The matches among places: of terms the greedy choice, and masked words at places that it leaves free."""
+    found = durable(found, "places")
+    kept = greedy(found.where("term_order IS NOT NULL"), id)
+    used = kept.select(id, F.explode(F.sequence("first", F.col("last") - 1)).alias("first"))
+    return kept.unionByName(found.where("term_order IS NULL").join(used, [id, "first"], "left_anti").select(*kept.columns))
 
-    taken: id, first, last. Tokens that stand for a word of a disabled category only are left out.
-    """
-    masked = words.where(T.is_masked(F.col("token"), marks)).select(id, "pos", "token")
-    used = taken.select(id, F.explode(F.sequence("first", F.col("last") - 1)).alias("pos"))
-    free = masked.join(used, [id, "pos"], "left_anti").withColumn("category", masked_category(F.col("token"), terms))
-    free = free.where(~F.col("category").isin(*disabled)) if disabled else free
-    name = F.when(F.col("category") == MASKED, F.col("token")).otherwise(F.concat(F.lit("masked:"), "token"))
-    return free.select(id, F.col("pos").alias("first"), (F.col("pos") + 1).alias("last"), F.lit(None).cast("int").alias("term_order"), name.alias("term"), "category", F.array(F.lit(0)).alias("targets"))
+
+def word_list(terms: Sequence[Term], allow: Sequence[str] = (), disabled: Sequence[str] = (), marks: str | None = "[*#]") -> WordList:
+    """The list of the terms that are not disabled; masked words are compared with all of them."""
+    return WordList([t for t in terms if t.category not in disabled], allow, marks, terms, disabled)
 
 
 def match(lines: DataFrame, id: str, terms: Sequence[Term], allow: Sequence[str] = (), text: str = "text", disabled: Sequence[str] = (), marks: str | None = "[*#]") -> DataFrame:
@@ -206,13 +162,12 @@ def match(lines: DataFrame, id: str, terms: Sequence[Term], allow: Sequence[str]
 
     Terms of disabled categories are not looked for; a masked word that only they explain is left out.
     """
-    return match_words(tokens(lines, id, text), id, terms, allow, disabled, marks)
+    return settle(find(lines, id, word_list(terms, allow, disabled, marks), text), id)
 
 
 def match_words(words: DataFrame, id: str, terms: Sequence[Term], allow: Sequence[str] = (), disabled: Sequence[str] = (), marks: str | None = "[*#]") -> DataFrame:
     """match for words: id, pos, token."""
-    found = greedy(candidates(words, id, [t for t in terms if t.category not in disabled], allow), id)
-    return found.unionByName(masked_words(words, id, found, terms, disabled, marks)) if marks else found
+    return settle(find_words(words, id, word_list(terms, allow, disabled, marks)), id)
 
 
 def detections(matches: DataFrame, words: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -234,43 +189,21 @@ def run_confidence(probability: str = "probability") -> Column:
     return F.min(probability)
 
 
-#: fixed values: endings tried when a masked token is compared with a listed word
-ENDINGS = ("", "s", "es", "ed", "er", "ers", "ing", "in", "y", "ty", "head", "hole")
-
-
-def samples(terms: Sequence[Term]) -> list[tuple[int, str, str]]:
-    """(category order, category, sample): the letters of each word that a term is listed for, with each ending."""
-    order = {c: i for i, c in enumerate(dict.fromkeys(t.category for t in terms))}
-    known = [Listed.of(0, t) for t in terms]
-    cores = {(order[t.category], t.category, t.parts[i].text.replace("*", "")) for t in known for i in t.targets if not t.parts[i].search}
-    return sorted({(i, c, core + end) for i, c, core in cores for end in ENDINGS})
-
-
-def masked_category(token: Column, terms: Sequence[Term]) -> Column:
-    """The first category with a word that a masked token may hide.
-
-    A mask stands for as many letters as it has marks; where no sample fits so, for any number of them. Tokens without a
-    letter, and those that fit no sample, get the category for unknown words. Samples are literals: a word list's.
-    """
-    fits = lambda own, pattern: F.exists(F.array(*map(F.lit, own)), lambda s: F.rlike(s, pattern))
-    found = []
-    for one, many in (("[^\\w']", ""), ("[^\\w']+", "+")):
-        pattern = F.concat(F.lit("(?U)^"), F.regexp_replace(token, "(?U)" + one, r"[\\w']" + many), F.lit("$"))
-        for category in dict.fromkeys(t.category for t in terms):
-            own = [s for _, c, s in samples(terms) if c == category]
-            found.append(F.when(fits(own, pattern), category) if own else F.lit(None).cast("string"))
-    return F.when(F.rlike(token, F.lit(r"\p{L}")), F.coalesce(*found, F.lit(MASKED))).otherwise(MASKED)
-
-
 def masked_categories(words: DataFrame, terms: Sequence[Term], marks: str = "[*#]") -> DataFrame:
-    """(token, category) of the distinct masked tokens."""
+    """(token, category) of the distinct masked tokens: what each may hide (Samples.category)."""
+    shared = words.sparkSession.sparkContext.broadcast(Samples(terms))
     masked = words.select("token").where(T.is_masked(F.col("token"), marks)).distinct()
-    return masked.withColumn("category", masked_category(F.col("token"), terms))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shared.value.category(t) for t in batch.column(0).to_pylist()], pa.string())], ["token", "category"])
+
+    return masked.mapInArrow(run, "token string, category string")
 
 
-def hints(words: DataFrame, id: str, patterns: Sequence[str]) -> DataFrame:
-    """(id, pos): where a hint stands, each place once."""
-    found = candidates(words, id, [Term(p, "hint") for p in patterns])
+def hints(lines: DataFrame, id: str, patterns: Sequence[str], text: str = "text") -> DataFrame:
+    """(id, pos): where a hint stands in lines, each place once."""
+    found = find(lines, id, WordList([Term(p, "hint") for p in patterns]), text)
     return found.select(id, F.col("first").alias("pos")).distinct()
 
 
@@ -279,10 +212,9 @@ def flag_cues(lines: DataFrame, id: str, terms: Sequence[Term], hint_words: Sequ
 
     words: (first, last, term) of listed and masked words in order, by the line's characters.
     """
-    rows = tokens(lines, id, text)
-    found = match_words(rows, id, terms)
+    found = match(lines, id, terms, text=text)
     placed = found.select(id, F.when(F.col("term_order").isNull(), "masked").otherwise("lexicon").alias("reason"), "first", "last", "term")
-    hinted = hints(rows, id, hint_words).select(id, F.lit("hint").alias("reason"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"), F.lit(None).cast("string").alias("term"))
+    hinted = hints(lines, id, hint_words, text).select(id, F.lit("hint").alias("reason"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"), F.lit(None).cast("string").alias("term"))
     flags = placed.union(hinted).groupBy(id).agg(F.array_sort(F.collect_set("reason")).alias("reasons"), F.array_sort(F.collect_list(F.when(F.col("first").isNotNull(), F.struct("first", "last", "term")))).alias("_m"))
     spans = lines.join(flags, id).withColumn("_s", T.word_spans(F.col(text)))
     words = F.transform("_m", lambda m: F.struct(F.get("_s", m["first"])["first"].alias("first"), F.get("_s", m["last"] - 1)["last"].alias("last"), m["term"].alias("term")))

@@ -191,9 +191,15 @@ def cache_usage(entries: DataFrame, keys: list[str], size: Column) -> DataFrame:
 
 
 def candidate_score(language: Column, wanted: list[str], forced: Column, hearing: Column, prefer_hearing: bool, bonus: Column) -> Column:
-    """Null for candidates that are left out: forced ones and other languages. Unknown languages count half."""
-    base = F.when(language.isNull(), 50).when(language.isin(wanted), 100)
-    return F.when(~forced, base + F.when(hearing == F.lit(prefer_hearing), 10).otherwise(0) + bonus)
+    """Null for candidates that are left out: forced ones and those of languages that are not wanted.
+
+    wanted: codes in the order of preference. The first is worth 100, each later one 10 less, an unknown language 50; 20 are
+    added where the candidate is for the hearing impaired as preferred, or not as preferred. Tags are languages without
+    their region, in short or long codes (same_language); one that fits several wanted codes counts for the first.
+    """
+    places = [F.when(same_language(language, F.lit(code)), F.lit(100 - 10 * i)) for i, code in enumerate(wanted)]
+    base = F.when(language.isNull(), 50).otherwise(F.coalesce(*places, F.lit(None).cast("int")))
+    return F.when(~forced, base + F.when(hearing == F.lit(prefer_hearing), 20).otherwise(0) + bonus)
 
 
 def release_similarity(fields: list[tuple[Column, Column, int]]) -> Column:

@@ -6,7 +6,9 @@ within its keys; joins are equi-joins on keys and time bins with the exact test
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,41 +17,73 @@ from pyspark.sql import functions as F
 Keys = Sequence[str]
 
 
-def islands(df: DataFrame, keys: Keys, gap: float = 0, closed: bool = False, reach: str = "max", start: str = "start", end: str = "end", tie: Keys = (), out: str = "island") -> DataFrame:
+def _bucketed(df: DataFrame, keys: Keys, start: str, bucket: float) -> DataFrame:
+    """df with _k: its keys and the time bucket in which a row starts. Null starts are a bucket of their own, before the others."""
+    return df.withColumn("_k", F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.floor(F.col(start) / bucket).alias("bucket")))
+
+
+def _carry(rows: DataFrame, n_keys: int, summaries: dict[str, tuple[Column, Callable[[str], Column]]], backwards: bool = False) -> DataFrame:
+    """rows (with _k) with what the earlier buckets of their keys hand on; with backwards, the later ones.
+
+    summaries: of each new column, the aggregate that sums up a bucket, and how those of buckets are put together, given the
+    column of bucket sums. Only one row a bucket is ever sorted by keys; the rows meet it by the key that they are dealt by.
+    """
+    sums = rows.groupBy("_k").agg(*(each.alias(name) for name, (each, _) in summaries.items()))
+    order = F.col("_k.bucket").desc_nulls_last() if backwards else F.col("_k.bucket").asc_nulls_first()
+    before = Window.partitionBy(*(f"_k.k{i}" for i in range(n_keys))).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(sums.select("_k", *(together(name).over(before).alias(name) for name, (_, together) in summaries.items())), "_k")
+
+
+def islands(df: DataFrame, keys: Keys, gap: float = 0, closed: bool = False, reach: str = "max", start: str = "start", end: str = "end", tie: Keys = (), out: str = "island", bucket: float | None = None) -> DataFrame:
     """df with the number of each row's island in its keys.
 
     A row joins the one before if start - reached is below gap (closed: not above it). reached is the largest end so far
     (reach = "max") or the end of the row before ("last"). Rows are taken by start, end and the columns of tie.
+
+    bucket: a length of time, for timelines of any length. Each task then sorts the rows that start in one bucket; what has been
+    reached before a bucket, and how many islands begin before it, come from summaries of the buckets. The result is the same.
     """
-    order = Window.partitionBy(*keys).orderBy(start, end, *tie)
+    order = Window.partitionBy(*(["_k"] if bucket else keys)).orderBy(start, end, *tie)
+    rows = _bucketed(df, keys, start, bucket) if bucket else df
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     reached = F.max(end).over(before) if reach == "max" else F.lag(end).over(order)
+    if bucket:
+        last = (F.max(end), F.max) if reach == "max" else (F.max_by(end, F.struct(start, end, *tie)), lambda c: F.last(c))
+        rows = _carry(rows.withColumns({"_own": reached, "_first": F.row_number().over(order) == 1}), len(keys), {"_carried": last})
+        reached = F.greatest("_own", "_carried") if reach == "max" else F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_own"))
     away = F.col(start) - reached
-    new = reached.isNull() | (away > gap if closed else away >= gap)
-    return df.withColumn(out, new.cast("int")).withColumn(out, F.sum(out).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn(out, F.coalesce(reached.isNull() | (away > gap if closed else away >= gap), F.lit(False)).cast("int"))
+    if bucket:
+        rows = _carry(rows, len(keys), {"_before": (F.sum(out), F.sum)})
+    number = F.sum(out).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    if not bucket:
+        return rows.withColumn(out, number)
+    return rows.withColumn(out, number + F.coalesce("_before", F.lit(0))).drop("_k", "_own", "_first", "_carried", "_before")
 
 
 def merge_spans(df: DataFrame, keys: Keys, gap: float = 0, closed: bool = False, reach: str = "max", start: str = "start", end: str = "end", aggregates: Sequence[Column] = (), bucket: float | None = None) -> DataFrame:
-    """(keys, start, end, aggregates): one row for each island.
-
-    bucket: a length of time. Spans are first merged among those that start in one bucket, then across buckets; the
-    result is the same (reach = "max" only) and no task sorts all spans of a long timeline. Aggregates are left out then.
-    """
-    if bucket:
-        if reach != "max" or aggregates:
-            raise ValueError("buckets need reach='max' and no aggregates")
-        df = merge_spans(df.withColumn("_bucket", F.floor(F.col(start) / bucket)), [*keys, "_bucket"], gap, closed, reach, start, end).drop("_bucket")
-    rows = islands(df, keys, gap, closed, reach, start, end, out="_island")
+    """(keys, start, end, aggregates): one row for each island. bucket: as in islands."""
+    rows = islands(df, keys, gap, closed, reach, start, end, out="_island", bucket=bucket)
     return rows.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), *aggregates).drop("_island")
 
 
-def repeated(df: DataFrame, keys: Keys, text: str, gap: float, start: str = "start", end: str = "end", tie: Keys = ()) -> DataFrame:
-    """(keys, text, start, end, n): neighbours of equal text become one where no more than a gap parts them."""
-    order = Window.partitionBy(*keys).orderBy(start, end, *tie)
-    reached = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    before = F.lag(text).over(order)
-    new = before.isNull() | (before != F.col(text)) | (F.col(start) > reached + gap)
-    rows = df.withColumn("_new", new.cast("int")).withColumn("_g", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+def repeated(df: DataFrame, keys: Keys, text: str, gap: float, start: str = "start", end: str = "end", tie: Keys = (), bucket: float | None = None) -> DataFrame:
+    """(keys, text, start, end, n): neighbours of equal text become one where no more than a gap parts them. bucket: as in islands."""
+    rows = _bucketed(df, keys, start, bucket) if bucket else df
+    order = Window.partitionBy(*(["_k"] if bucket else keys)).orderBy(start, end, *tie)
+    rows = rows.withColumns({"_reach": F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)), "_text": F.lag(F.struct(text)).over(order)})
+    if bucket:
+        last = F.max_by(F.struct(text), F.struct(start, end, *tie))
+        rows = _carry(rows, len(keys), {"_c_reach": (F.max(end), F.max), "_c_text": (last, lambda c: F.last(c))})
+        rows = rows.withColumns({"_reach": F.greatest("_reach", "_c_reach"), "_text": F.coalesce("_text", "_c_text")})
+    before = F.col(f"_text.{text}")
+    new = before.isNull() | (before != F.col(text)) | (F.col(start) > F.col("_reach") + gap)
+    rows = rows.withColumn("_new", new.cast("int"))
+    number = F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    if bucket:
+        rows = _carry(rows, len(keys), {"_before": (F.sum("_new"), F.sum)})
+        number = number + F.coalesce("_before", F.lit(0))
+    rows = rows.withColumn("_g", number)
     return rows.groupBy(*keys, text, "_g").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n")).drop("_g")
 
 
@@ -59,10 +93,15 @@ def runs(df: DataFrame, keys: Keys, pos: str) -> DataFrame:
     return rows.groupBy(*keys, "_run").agg(F.min(pos).alias("first"), (F.max(pos) + 1).alias("last"), F.count(F.lit(1)).alias("n")).drop("_run")
 
 
-def running_reach(df: DataFrame, keys: Keys, tie: Keys = (), start: str = "start", end: str = "end") -> DataFrame:
-    """df with the largest end so far (reach) and a number from 1, in order of time."""
-    order = Window.partitionBy(*keys).orderBy(start, end, *tie)
-    return df.withColumns({"reach": F.max(end).over(order.rowsBetween(Window.unboundedPreceding, 0)), "number": F.row_number().over(order)})
+def running_reach(df: DataFrame, keys: Keys, tie: Keys = (), start: str = "start", end: str = "end", bucket: float | None = None) -> DataFrame:
+    """df with the largest end so far (reach) and a number from 1, in order of time. bucket: as in islands."""
+    rows = _bucketed(df, keys, start, bucket) if bucket else df
+    order = Window.partitionBy(*(["_k"] if bucket else keys)).orderBy(start, end, *tie)
+    rows = rows.withColumns({"reach": F.max(end).over(order.rowsBetween(Window.unboundedPreceding, 0)), "number": F.row_number().over(order)})
+    if not bucket:
+        return rows
+    rows = _carry(rows, len(keys), {"_reach": (F.max(end), F.max), "_n": (F.count(F.lit(1)), F.sum)})
+    return rows.withColumns({"reach": F.greatest("reach", "_reach"), "number": F.col("number") + F.coalesce("_n", F.lit(0))}).drop("_k", "_reach", "_n")
 
 
 def fade_of(start: Column, end: Column, most: float) -> Column:
@@ -113,20 +152,40 @@ def split_spans(df: DataFrame, most: float, overlap: float, start: str = "start"
     return rows.drop(start, end, "_n").withColumnsRenamed({"_low": start, "_high": end})
 
 
-def _bins(start: Column, end: Column, size: float) -> Column:
-    return F.explode(F.sequence(F.floor(start / size).cast("long"), F.floor(F.greatest(start, end) / size).cast("long")))
+def _level(low: str, high: str, size: float, base: int) -> Column:
+    """The power of base by which size must grow to hold a span."""
+    above = F.log(F.greatest(F.col(high) - F.col(low), F.lit(size)) / size) / math.log(base)
+    return F.ceil(above - 1e-9).cast("int")
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: Keys, size: float, closed: bool = False, a: Keys = ("start", "end"), b: Keys = ("r_start", "r_end")) -> DataFrame:
+def dealt(df: DataFrame, low: str, high: str, size: float, base: int, role: int, others: Column, from_: int) -> DataFrame:
+    """df with (_role, _level, _bin): spans in the bins of their own level, in a role, and in the other role (3 - role) in those
+    of each level of others (an array) that is at least from_ above their own. Two bins a level at most."""
+    rows = df.withColumns({"_own": _level(low, high, size, base), "_others": others})
+    levels = F.transform(F.filter("_others", lambda x: x >= F.col("_own") + from_), lambda x: F.struct(F.lit(3 - role).alias("role"), x.alias("level")))
+    rows = rows.withColumn("_at", F.explode(F.concat(F.array(F.struct(F.lit(role).alias("role"), F.col("_own").alias("level"))), levels)))
+    width = size * F.pow(F.lit(float(base)), F.col("_at.level"))
+    rows = rows.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(low) / width).cast("long"), F.floor(F.greatest(low, high) / width).cast("long"))))
+    return rows.withColumns({"_role": F.col("_at.role"), "_level": F.col("_at.level")}).drop("_at", "_own", "_others")
+
+
+def overlap_join(left: DataFrame, right: DataFrame, keys: Keys, size: float, closed: bool = False, a: Keys = ("start", "end"), b: Keys = ("r_start", "r_end"), base: int = 4) -> DataFrame:
     """Pairs of overlapping spans; the right side's other columns must not clash with the left's.
 
-    Both sides are dealt to time bins of a length, so that a timeline with very many spans is many small joins; a pair
-    comes from the first bin that both reach. size should be about the length of the longer side's usual span.
+    Spans are dealt to time bins near their own length: size for those up to size (level 0), else size times the power
+    of base (the level) that is not below it, so a span reaches two bins of its level at most. Two spans meet at the level
+    of the longer one, where the shorter one is dealt to two bins at most as well; only levels that the other side has
+    are used (a set of some small numbers, found by a subquery). So rows grow with the number of spans, whatever their
+    lengths, and a pair comes from the first bin that both reach. size should be about the length of usual spans.
+    A bin of a very long span may hold very many short ones; adaptive execution splits it.
     """
-    lows, rows = left.withColumn("_bin", _bins(F.col(a[0]), F.col(a[1]), size)), right.withColumn("_bin", _bins(F.col(b[0]), F.col(b[1]), size))
+    levels = lambda df, low, high: F.coalesce(df.agg(F.collect_set(_level(low, high, size, base)).alias("levels")).scalar(), F.array().cast("array<int>"))
+    lows = dealt(left, *a, size, base, 1, levels(right, *b), 1)
+    rows = dealt(right, *b, size, base, 2, levels(left, *a), 0)
     meets = (F.col(a[0]) <= F.col(b[1])) & (F.col(b[0]) <= F.col(a[1])) if closed else (F.col(a[0]) < F.col(b[1])) & (F.col(b[0]) < F.col(a[1]))
-    once = F.col("_bin") == F.greatest(F.floor(F.col(a[0]) / size), F.floor(F.col(b[0]) / size))
-    return lows.join(rows, [*keys, "_bin"]).where(meets & once).drop("_bin")
+    width = size * F.pow(F.lit(float(base)), F.col("_level"))
+    once = F.col("_bin") == F.greatest(F.floor(F.col(a[0]) / width), F.floor(F.col(b[0]) / width))
+    return lows.join(rows, [*keys, "_role", "_level", "_bin"]).where(meets & once).drop("_role", "_level", "_bin")
 
 
 def overlap_filter(left: DataFrame, right: DataFrame, keys: Keys, size: float, id: str, closed: bool = False, anti: bool = False, a: Keys = ("start", "end"), b: Keys = ("r_start", "r_end")) -> DataFrame:
@@ -135,16 +194,31 @@ def overlap_filter(left: DataFrame, right: DataFrame, keys: Keys, size: float, i
     return left.join(hit, id, "left_anti" if anti else "left_semi")
 
 
-def difference(regions: DataFrame, cover: DataFrame, keys: Keys, id: str, least: float = 0, size: float = 3600, start: str = "start", end: str = "end") -> DataFrame:
-    """(keys, id, start, end): what of each region (unique by id) no span of cover covers, in pieces of at least `least`."""
-    merged = merge_spans(cover.select(*keys, start, end), keys, 0, True, "max", start, end).select(*keys, F.col(start).alias("_cs"), F.col(end).alias("_ce"))
-    clipped = overlap_join(regions.select(*keys, id, start, end), merged, keys, size, False, (start, end), ("_cs", "_ce"))
-    points = clipped.select(*keys, id, F.greatest(start, "_cs").alias("_a"), F.least(end, "_ce").alias("_b"))
-    edges = regions.select(*keys, id, F.explode(F.array(F.struct(F.col(start).alias("_a"), F.col(start).alias("_b")), F.struct(F.col(end).alias("_a"), F.col(end).alias("_b")))).alias("_p"))
-    points = points.unionByName(edges.select(*keys, id, "_p._a", "_p._b"))
-    order = Window.partitionBy(*keys, id).orderBy("_a", "_b")
-    gaps = points.select(*keys, id, F.col("_b").alias(start), F.lead("_a").over(order).alias(end))
-    return gaps.where((F.col(end) - F.col(start) >= least) & (F.col(end) > F.col(start)))
+def difference(regions: DataFrame, cover: DataFrame, keys: Keys, id: str, least: float = 0, size: float = 3600, start: str = "start", end: str = "end", bucket: float | None = None) -> DataFrame:
+    """(keys, id, start, end): what of each region (unique by id) no span of cover covers, in pieces of at least `least`.
+
+    The cover is merged, and what it leaves free between two spans, before the first and behind the last (as far as the keys'
+    regions reach) is joined with the regions. bucket: as in islands.
+    """
+    plain = {k: f"_k{i}" for i, k in enumerate(keys)}
+    merged = merge_spans(cover.select(*keys, start, end), keys, 0, True, "max", start, end, bucket=bucket)
+    reach = regions.groupBy(*keys).agg(F.min(start).alias("_low"), F.max(end).alias("_high"))
+    if bucket:
+        rows = _bucketed(merged, keys, start, bucket)
+        rows = rows.withColumn("_next", F.lead(start).over(Window.partitionBy("_k").orderBy(start)))
+        rows = _carry(rows, len(keys), {"_later": (F.min(start), F.min)}, backwards=True).withColumn("_next", F.coalesce("_next", "_later")).drop("_k", "_later")
+    else:
+        rows = merged.withColumn("_next", F.lead(start).over(Window.partitionBy(*keys).orderBy(start)))
+    first = merged.groupBy(*keys).agg(F.min(start).alias("_first"))
+    same = lambda other: reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(p)) for k, p in plain.items()))
+    ends = first.withColumnsRenamed(plain)
+    leading = reach.join(ends, same(ends), "left").select(*keys, F.col("_low").alias("_gs"), F.coalesce("_first", "_high").alias("_ge"))
+    bounds = reach.withColumnsRenamed(plain)
+    between = rows.join(bounds, same(bounds)).select(*keys, F.col(end).alias("_gs"), F.coalesce("_next", "_high").alias("_ge"))
+    free = leading.unionByName(between).where("_ge > _gs")
+    pieces = overlap_join(regions.select(*keys, id, start, end), free, keys, size, False, (start, end), ("_gs", "_ge"))
+    pieces = pieces.select(*keys, id, F.greatest(start, "_gs").alias(start), F.least(end, "_ge").alias(end))
+    return pieces.where((F.col(end) - F.col(start) >= least) & (F.col(end) > F.col(start)))
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: Keys, id: str, at: str, to: str, within: float, tie: str) -> DataFrame:
@@ -162,13 +236,20 @@ def nearest(left: DataFrame, right: DataFrame, keys: Keys, id: str, at: str, to:
     return left.join(best.select(id, "_best.*"), id, "left")
 
 
-def next_start(left: DataFrame, right: DataFrame, keys: Keys, at: str, to: str, out: str) -> DataFrame:
-    """left with the smallest `to` of right in its keys that is above `at`: a forward as-of join in one sorted pass."""
+def next_start(left: DataFrame, right: DataFrame, keys: Keys, at: str, to: str, out: str, bucket: float | None = None) -> DataFrame:
+    """left with the smallest `to` of right in its keys that is above `at`: a forward as-of join in one sorted pass.
+
+    bucket: as in islands; a row without a later `to` in its bucket takes the smallest of the buckets behind.
+    """
     rows = left.withColumns({"_t": F.col(at), "_mark": F.lit(None).cast(right.schema[to].dataType)})
     marks = right.select(*keys, F.col(to).alias("_t"), F.col(to).alias("_mark"))
-    ahead = Window.partitionBy(*keys).orderBy(F.desc("_t"), F.col("_mark").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     both = rows.withColumn("_left", F.lit(True)).unionByName(marks, allowMissingColumns=True)
-    return both.withColumn(out, F.last("_mark", True).over(ahead)).where("_left").drop("_t", "_mark", "_left")
+    both = _bucketed(both, keys, "_t", bucket) if bucket else both
+    ahead = Window.partitionBy(*(["_k"] if bucket else keys)).orderBy(F.desc("_t"), F.col("_mark").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn(out, F.last("_mark", True).over(ahead))
+    if bucket:
+        both = _carry(both, len(keys), {"_later": (F.min("_mark"), F.min)}, backwards=True).withColumn(out, F.coalesce(out, "_later")).drop("_k", "_later")
+    return both.where("_left").drop("_t", "_mark", "_left")
 
 
 def dedupe(df: DataFrame, keys: Keys, confidence: str, start: str = "start", end: str = "end", tie: str = "id") -> DataFrame:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from statistics import median
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.functions.text import fuzz_ratio, sorted_words
+
 #: fixed values: frame rates that are confused with one another
 FRAME_RATES = ((25, 23.976), (25, 24), (24, 23.976), (30, 29.97))
 RATIOS = (1.0, *(a / b for a, b in FRAME_RATES), *(b / a for a, b in FRAME_RATES))
@@ -62,74 +65,130 @@ def fidelity(anchors_: DataFrame, keys: Sequence[str]) -> DataFrame:
     return anchors_.groupBy(*keys).agg(F.median("fidelity").alias("fidelity"))
 
 
-def check(anchors_: DataFrame, found: DataFrame, keys: Sequence[str], id: str, threshold: float = 75, most: float = 0.5, least: float = 0.5, faithful: float = 0.6) -> DataFrame:
+def check(anchors_: DataFrame, found: DataFrame, keys: Sequence[str], id: str, threshold: float = 75, most: float = 0.5, least: float = 0.5, faithful: float = 0.6, candidates: DataFrame | None = None) -> DataFrame:
     """(keys, tried, matched, scale, offset, error, fidelity, problem): the fit of each candidate and whether it passes.
 
-    anchors_: keys, id, start; found: keys, id, score, fidelity, heard_at (best_window's rows).
+    anchors_: keys, id, start; found: keys, id, score, fidelity, heard_at (best_window's rows, or track's). candidates:
+    keys of all candidates; one without anchors has the problem no-anchors. Without it, only those with anchors are judged.
     """
     rows = anchors_.select(*keys, id, "start").join(found.select(*keys, id, "score", "fidelity", "heard_at"), [*keys, id], "left")
-    hit = F.coalesce(F.col("score") >= threshold, F.lit(False))
+    hit = F.coalesce((F.col("score") >= threshold) & F.col("heard_at").isNotNull(), F.lit(False))
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("tried"), F.count_if(hit).alias("matched"), F.median("fidelity").alias("fidelity"))
+    if candidates is not None:
+        counts = candidates.select(*keys).distinct().join(counts, list(keys), "left").fillna(0, ["tried", "matched"])
     out = counts.join(fit(rows.where(hit), keys, "start", "heard_at"), list(keys), "left")
-    problem = decision(F.col("matched"), F.col("tried"), F.coalesce("error", F.lit(0.0)), F.coalesce("fidelity", F.lit(0.0)), least, most, faithful)
+    problem = decision(F.col("matched"), F.col("tried"), F.coalesce("error", F.lit(0.0)), F.col("fidelity"), least, most, faithful)
     return out.select(*keys, "tried", "matched", "scale", "offset", "error", "fidelity", problem.alias("problem"))
 
 
 def decision(matched: Column, tried: Column, error: Column, fidelity: Column, least: float = 0.5, most: float = 0.5, faithful: float = 0.6) -> Column:
-    """Null if a candidate passes, else the first reason why not."""
-    return F.when(matched < least * tried, "unmatched").when(error > most, "timing").when(fidelity < faithful, "wording")
-
-
-def best_window(anchors_: DataFrame, words: DataFrame, keys: Sequence[str], id: str) -> DataFrame:
-    """(keys, id, score, fidelity, heard_at): the run of heard words most like each anchor's text.
+    """Null if a candidate passes, else the first reason why not: no-anchors, unmatched, error or fidelity. A null fidelity is none."""
+    return F.when(tried == 0, "no-anchors").when(matched < least * tried, "unmatched").when(error > most, "error").when(fidelity.isNull() | (fidelity < faithful), "fidelity")
 
-    anchors_: keys, id, text, low, high (search span), n_words; words: keys, pos, start, token. Runs have the anchor's
-    number of words, give or take one, or all words where there are fewer, and begin in its span. Of the best, the
-    shortest wins, then the first. The fidelity, 0 to 1, is the likeness of its sorted words.
-    """
-    from loomspan.functions.text import fuzz_ratio, sorted_words
 
+def _tried(anchors_: DataFrame, words: DataFrame, keys: Sequence[str], size: float) -> DataFrame:
+    """Every run that best_window and scored_runs compare, with its score."""
     most = (anchors_.agg(F.max("n_words")).first()[0] or 0) + 1
-    ahead = Window.partitionBy(*keys).orderBy("pos").rowsBetween(0, max(0, most - 1))
-    runs = words.withColumns({"_run": F.collect_list("token").over(ahead), "_heard": F.count(F.lit(1)).over(Window.partitionBy(*keys)).cast("int")})
-    runs = runs.select(*keys, "pos", F.col("start").alias("_at"), "_run", "_heard")
-    size = 30
+    order = Window.partitionBy(*keys).orderBy("pos")
+    runs = words.where("token <> ''").withColumns({"_run": F.collect_list("token").over(order.rowsBetween(0, max(0, most - 1))), "_heard": F.count(F.lit(1)).over(Window.partitionBy(*keys)).cast("int")})
+    runs = runs.select(*keys, "pos", F.col("start").alias("at"), "_run", "_heard")
     left = anchors_.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("low") / size), F.floor(F.col("high") / size))))
-    right = runs.withColumn("_bin", F.floor(F.col("_at") / size))
-    pairs = left.join(right, [*keys, "_bin"]).where((F.col("_at") >= F.col("low")) & (F.col("_at") <= F.col("high")))
+    right = runs.withColumn("_bin", F.floor(F.col("at") / size))
+    pairs = left.join(right, [*keys, "_bin"]).where((F.col("at") >= F.col("low")) & (F.col("at") <= F.col("high")))
     sizes = F.array_distinct(F.array(*(F.greatest(F.least(F.col("n_words") + k, F.col("_heard")), F.lit(1)) for k in (-1, 0, 1))))
     pairs = pairs.withColumn("_n", F.explode(sizes)).where(F.size("_run") >= F.col("_n"))
-    said = F.array_join(F.slice("_run", 1, F.col("_n")), " ")
-    scored = pairs.withColumn("_said", said).withColumn("score", fuzz_ratio(F.col("text"), F.col("_said")))
-    best = scored.groupBy(*keys, id).agg(F.max_by(F.struct("score", F.col("_at").alias("heard_at"), "text", "_said"), F.struct("score", -F.col("_n"), -F.col("pos"))).alias("_b"))
-    fidelity = fuzz_ratio(sorted_words(F.col("_b.text")), sorted_words(F.col("_b._said"))) / 100
-    return best.select(*keys, id, "_b.score", fidelity.alias("fidelity"), "_b.heard_at")
+    return pairs.withColumn("said", F.array_join(F.slice("_run", 1, F.col("_n")), " ")).withColumn("score", fuzz_ratio(F.col("text"), F.col("said")))
 
 
-def track(anchors_: DataFrame, runs: DataFrame, key: str, reach: float, tightened: float, threshold: float = 75) -> DataFrame:
-    """(key, cue, heard_at): anchors in order of time, each searched around where the offset so far puts it.
+def scored_runs(anchors_: DataFrame, words: DataFrame, keys: Sequence[str], id: str, size: float = 30) -> DataFrame:
+    """(keys, id, pos, at, n_words, score, fidelity): of the heard runs that begin at a place in an anchor's span, the one most like its text.
 
-    anchors_: key, cue, start; runs: key, cue, at, score: how like each cue the words at a time are. One group is one
-    candidate file: a few anchors and their runs, so it fits in a task. The search narrows after the first match.
+    anchors_: keys, id, text, low, high (search span), n_words; words: keys, pos, start, token, as in best_window.
+    """
+    best = F.max_by(F.struct("at", F.col("_n").alias("n_words"), "score", "said", "text"), F.struct("score", -F.col("_n")))
+    rows = _tried(anchors_, words, keys, size).groupBy(*keys, id, "pos").agg(best.alias("_b"))
+    return rows.select(*keys, id, "pos", "_b.at", "_b.n_words", "_b.score", run_fidelity(F.col("_b.text"), F.col("_b.said")).alias("fidelity"))
+
+
+def best_window(anchors_: DataFrame, words: DataFrame, keys: Sequence[str], id: str, size: float = 30) -> DataFrame:
+    """(keys, id, score, fidelity, heard_at): the run of heard words most like each anchor's text.
+
+    anchors_: keys, id, text, low, high (search span), n_words; words: keys, pos, start, token. Tokens that are empty are
+    not heard. Runs have the anchor's number of words, give or take one, or all words where there are fewer, and begin in
+    its span. Of the best, the shortest wins, then the first. The fidelity, 0 to 1, is the likeness of its sorted words.
+    """
+    best = F.max_by(F.struct("score", F.col("at").alias("heard_at"), "text", "said"), F.struct("score", -F.col("_n"), -F.col("pos")))
+    rows = _tried(anchors_, words, keys, size).groupBy(*keys, id).agg(best.alias("_b"))
+    return rows.select(*keys, id, "_b.score", run_fidelity(F.col("_b.text"), F.col("_b.said")).alias("fidelity"), "_b.heard_at")
+
+
+def run_fidelity(text: Column, said: Column) -> Column:
+    """The likeness of the sorted words of two texts, 0 to 1."""
+    return fuzz_ratio(sorted_words(text), sorted_words(said)) / 100
+
+
+def model(x: np.ndarray, y: np.ndarray, scale: float = 1.0, span: float = 60, tie: float = 0.05) -> tuple[float, float, float]:
+    """(scale, offset, error) of fit for one candidate's pairs so far; without pairs the given scale and nothing else."""
+    if not len(x):
+        return scale, 0.0, 0.0
+    free = len(x) >= 3 and np.ptp(x) >= span
+    scales = np.array([scale, *(r for r in RATIOS if free and r != scale)])
+    rest = y - scales[:, None] * x
+    offsets = np.median(rest, axis=1)
+    errors = np.median(np.abs(rest - offsets[:, None]), axis=1)
+    best = 0
+    for i in range(1, len(scales)):
+        best = i if errors[i] < errors[best] - tie else best
+    return float(scales[best]), float(offsets[best]), float(errors[best])
+
+
+def track(anchors_: DataFrame, runs: DataFrame, key: str, id: str = "cue", threshold: float = 75, shortest: float = 0.5, span: float = 60, tie: float = 0.05) -> DataFrame:
+    """(key, id, start, low, high, score, fidelity, heard_at): each anchor searched where the fit of those before it puts it.
+
+    anchors_: key, id, start, end, radius, duration (null: without end) and scale (the candidate's scale before any fit).
+    runs: key, id, at, n_words, score, fidelity: how like an anchor the words heard from a time on are (scored_runs).
+    Anchors of a candidate are taken in order of start. One is searched from its predicted start to its predicted end,
+    widened by radius and cut to 0..duration. Of the runs that begin there the best counts (then the shortest, then the first). If its
+    score reaches the threshold it is a pair, heard_at is its time, and scale and offset are fitted anew to all pairs so
+    far, as fit does; so a drift that builds up stays in the window. A window shorter than `shortest` isn't searched; its score is 0, as
+    is that of a window without runs.
+
+    A candidate's few anchors and their runs are one group; the runs are scored and cut to anchors before, in tasks of their own.
+    Null keys are one candidate; null starts, ends and scores are left out; an empty table gives an empty one.
     """
-    none = F.lit(None).cast("double")
-    both = anchors_.select(key, "cue", "start", none.alias("at"), none.alias("score")).unionByName(runs.where(F.col("score") >= threshold).select(key, "cue", none.alias("start"), "at", "score"))
-
-    def run(table: pa.Table) -> pa.Table:
-        starts, heard = {}, {}
-        for cue, start, at, score in zip(*(table.column(c).to_pylist() for c in ("cue", "start", "at", "score")), strict=True):
-            if start is None:
-                heard.setdefault(cue, []).append((-score, at))
-            else:
-                starts[cue] = start
-        offset, span, gaps, out = 0.0, reach, [], []
-        for start, cue in sorted((s, c) for c, s in starts.items()):
-            near = min(((s, at) for s, at in heard.get(cue, ()) if abs(at - start - offset) <= span), default=None)
-            if near is not None:
-                out.append((cue, near[1]))
-                gaps.append(near[1] - start)
-                offset, span = median(gaps), tightened
-        return pa.table({key: table.column(key)[:1].combine_chunks().take(pa.array([0] * len(out), pa.int64())), "cue": pa.array([c for c, _ in out], pa.int32()), "heard_at": pa.array([at for _, at in out], pa.float64())})
-
-    kind = anchors_.schema[key].dataType.simpleString()
-    return both.groupBy(key).applyInArrow(run, f"{key} {kind}, cue int, heard_at double")
+    none = lambda kind: F.lit(None).cast(kind)
+    left = anchors_.where(F.col("start").isNotNull() & F.col("end").isNotNull()).select(key, id, "start", "end", "radius", F.col("duration").cast("double").alias("duration"), F.col("scale").cast("double").alias("scale"), *(none(k).alias(c) for c, k in (("at", "double"), ("n_words", "int"), ("score", "double"), ("fidelity", "double"))))
+    right = runs.where(F.col("score").isNotNull()).select(key, id, *(none("double").alias(c) for c in ("start", "end", "radius", "duration", "scale")), F.col("at").cast("double").alias("at"), F.col("n_words").cast("int").alias("n_words"), F.col("score").cast("double").alias("score"), F.col("fidelity").cast("double").alias("fidelity"))
+    kind = lambda c: anchors_.schema[c].dataType.simpleString()
+
+    def follow(table: pa.Table) -> pa.Table:
+        asked = table.column("start").is_valid()
+        heard = table.filter(pc.invert(asked)).sort_by([("score", "descending"), ("n_words", "ascending"), ("at", "ascending")])
+        places, times = {}, heard.column("at").to_numpy()
+        for place, name in enumerate(heard.column(id).to_pylist()):
+            places.setdefault(name, []).append(place)
+        scores, fidelities = heard.column("score").to_numpy(), heard.column("fidelity").to_pylist()
+        x, y, fitted, rows = [], [], None, []
+        for anchor in table.filter(asked).sort_by([("start", "ascending"), (id, "ascending")]).to_pylist():
+            scale, offset, _ = fitted or model(np.zeros(0), np.zeros(0), anchor["scale"] or 1.0)
+            low = max(0.0, scale * anchor["start"] + offset - anchor["radius"])
+            high = scale * anchor["end"] + offset + anchor["radius"]
+            high = high if anchor["duration"] is None else min(anchor["duration"], high)
+            score, fidelity, at = 0.0, None, None
+            if high - low >= shortest:
+                own = np.array(places.get(anchor[id], ()), np.int64)
+                inside = own[(times[own] >= low) & (times[own] <= high)]
+                if len(inside):  # the best stands first
+                    score, fidelity = float(scores[inside[0]]), fidelities[inside[0]]
+                    if score >= threshold:
+                        at = float(times[inside[0]])
+                        x.append(anchor["start"])
+                        y.append(at)
+                        fitted = model(np.array(x), np.array(y), anchor["scale"] or 1.0, span, tie)
+            rows.append({key: anchor[key], id: anchor[id], "start": anchor["start"], "low": low, "high": max(low, high), "score": score, "fidelity": fidelity, "heard_at": at})
+        types = [(c, table.schema.field(c).type) for c in (key, id)] + [(c, pa.float64()) for c in ("start", "low", "high", "score", "fidelity", "heard_at")]
+        return pa.Table.from_pylist(rows, pa.schema(types))
+
+    schema = f"`{key}` {kind(key)}, `{id}` {kind(id)}, start double, low double, high double, score double, fidelity double, heard_at double"
+    both = left.withColumns({c: F.col(c).cast("double") for c in ("start", "end", "radius")}).unionByName(right)
+    return both.groupBy(key).applyInArrow(follow, schema)

@@ -295,8 +295,7 @@ UNION ALL SELECT a.doc_id, a.pos, a.pos + 2, 'of the' FROM k a JOIN k b ON a.doc
 UNION ALL SELECT a.doc_id, a.pos, a.pos + 2, 'that [is]' FROM k a JOIN k b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.token = 'that' AND b.token = 'is'""")
 def jn_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All places of terms, without words that the allow list spares."""
-    words = M.tokens(lines(spark, sf_dir), "doc_id")
-    return M.candidates(words, "doc_id", TERMS[:4], allow=["ti*"]).select("doc_id", "first", "last", "term")
+    return M.find(lines(spark, sf_dir), "doc_id", M.WordList(TERMS[:4], allow=["ti*"])).select("doc_id", "first", "last", "term")
 
 
 @query()
@@ -570,12 +569,29 @@ def m7_normalize_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.normalized(events(spark, sf_dir), ["media"], 50000, 60000)
 
 
-@query("SELECT c_custkey, CASE WHEN c_nationkey % 4 <> 0 THEN CASE WHEN c_nationkey % 5 = 0 THEN 50 WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 100 END + CASE WHEN c_nationkey % 3 = 0 THEN 10 ELSE 0 END + 1 END AS score FROM customer")
-def flt_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+TAGS = ("eng", "en-GB", "GER", "de-AT", "fre", "pt-BR", "xx")
+SCORED = """CASE WHEN c_nationkey % 4 <> 0 THEN CASE c_custkey % 8 WHEN 0 THEN 90 WHEN 1 THEN 90 WHEN 2 THEN 100 WHEN 3 THEN 100 WHEN 5 THEN 80 WHEN 6 THEN 70 WHEN 7 THEN 50 END
+  + CASE WHEN c_nationkey % 3 = 0 THEN 20 ELSE 0 END + c_nationkey % 2 END"""
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as candidates of their nation, in eight languages: German before English, Portuguese and xx, the last of no known language."""
     n = F.col("c_nationkey")
-    language = F.when(n % 5 != 0, F.col("c_mktsegment"))
-    score = D.candidate_score(language, ["BUILDING", "MACHINERY"], n % 4 == 0, n % 3 == 0, True, F.lit(1))
-    return table(spark, sf_dir, "customer").select("c_custkey", score.alias("score"))
+    language = F.get(F.array(*map(F.lit, TAGS)), (F.col("c_custkey") % 8).cast("int"))
+    score = D.candidate_score(language, ["de", "en", "pt", "xx"], n % 4 == 0, n % 3 == 0, True, n % 2)
+    return table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", score.alias("score"))
+
+
+@query(f"SELECT c_custkey, {SCORED} AS score FROM customer")
+def flt_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates(spark, sf_dir).select("c_custkey", "score")
+
+
+@query(f"SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY score DESC, c_custkey)::INT AS rank FROM (SELECT *, {SCORED} AS score FROM customer) WHERE score IS NOT NULL")
+def srt_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates that are not left out, best first; ties stay in the order of discovery."""
+    scored = candidates(spark, sf_dir).where("score IS NOT NULL")
+    return R.ranked(scored, ["c_nationkey"], F.desc("score"), F.col("c_custkey")).select("c_nationkey", "c_custkey", "rank")
 
 
 @query("SELECT p_partkey, (CASE WHEN lower(p_brand) = lower(b) THEN 10 ELSE 0 END + CASE WHEN lower(p_type) = lower(t) THEN 5 ELSE 0 END)::INT AS score FROM (SELECT *, lead(p_brand) OVER (ORDER BY p_partkey) AS b, lead(p_type) OVER (ORDER BY p_partkey) AS t FROM part)")
@@ -623,7 +639,7 @@ def flt_strong(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"WITH {WORDS}, k AS (SELECT doc_id, pos, {NORM} AS token FROM t) SELECT DISTINCT doc_id, pos::INT AS pos FROM k WHERE regexp_matches(token, '^th[\p{{L}}\p{{N}}_'']*$') OR token = 'of'")
 def jn_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.hints(M.tokens(lines(spark, sf_dir), "doc_id"), "doc_id", ["th*", "of"]).select("doc_id", "pos")
+    return M.hints(lines(spark, sf_dir), "doc_id", ["th*", "of"]).select("doc_id", "pos")
 
 
 @query()
@@ -739,9 +755,12 @@ def ag_from_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.from_cache(table(spark, sf_dir, "orders"), ["o_custkey"], F.col("o_orderstatus") == "F")
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey % 10 < 5 THEN 'unmatched' WHEN s_acctbal > 5000 THEN 'timing' WHEN s_nationkey < 6 THEN 'wording' END AS problem FROM supplier")
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN 'no-anchors' WHEN s_suppkey % 10 < 5 THEN 'unmatched' WHEN s_acctbal > 5000 THEN 'error' WHEN s_nationkey < 6 OR s_nationkey % 4 = 3 THEN 'fidelity' END AS problem FROM supplier")
 def dt_sync_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    problem = A.decision(F.col("s_suppkey") % 10, F.lit(10), F.col("s_acctbal") / 10000, F.col("s_nationkey") / 10)
+    """Suppliers as candidates: every seventh has no anchor, and in some nations nothing was heard."""
+    none = F.col("s_suppkey") % 7 == 0
+    heard = F.when(F.col("s_nationkey") % 4 != 3, F.col("s_nationkey") / 10)
+    problem = A.decision(F.when(none, 0).otherwise(F.col("s_suppkey") % 10), F.when(none, 0).otherwise(10), F.col("s_acctbal") / 10000, heard)
     return table(spark, sf_dir, "supplier").select("s_suppkey", problem.alias("problem"))
 
 

@@ -75,7 +75,7 @@ def test_dedupe(spark):
     assert sorted((r.term, r.conf) for r in S.dedupe(df, ["media", "term"], "conf").collect()) == [("hell", 0.8), ("shit", 0.9)]
 
 
-@pytest.mark.parametrize("raw, want", [("Fuuuuck?!", "fuck"), ("shiiit", "shit"), ("1000", "1000"), ("fuckin'", "fuckin"), ("--", ""), ("straße", "strasse"), ("“Hell,”", "hell"), ("f***", "f***")])
+@pytest.mark.parametrize("raw, want", [("Rasssscal?!", "rascal"), ("daaamp", "damp"), ("1000", "1000"), ("fuckin'", "fuckin"), ("--", ""), ("straße", "strasse"), ("“Hell,”", "hell"), ("f***", "f***")])
 def test_normalize(spark, raw, want):
     assert one(spark, X.normalize(F.lit(raw))) == (want,)
 

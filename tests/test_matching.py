@@ -88,7 +88,7 @@ def test_whole_matcher_against_plain_python(spark):
 def test_words_that_are_no_terms():
     for bad in ("", " ", "*", "[*]"):
         with pytest.raises(ValueError):
-            M.Listed.of(0, M.Term(bad, "x"))
+            M.parts(M.Term(bad, "x"))
 
 
 @pytest.mark.parametrize(

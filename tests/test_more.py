@@ -85,11 +85,11 @@ def test_cache(spark):
 
 
 def test_scan(spark):
-    said = [("m", i, w, i * 1.0, i + 0.4, 0.9) for i, w in enumerate("oh Hell no you son of a bitch !".split())]
+    said = [("m", i, w, i * 1.0, i + 0.4, 0.9) for i, w in enumerate("oh Hell no you pack of old liars !".split())]
     words = spark.createDataFrame(said + [("n", 0, "fine", 0.0, 1.0, 1.0)], "media string, pos int, text string, start double, end double, probability double")
-    terms = (M.Term("hell", "mild"), M.Term("son of a bitch", "strong"))
+    terms = (M.Term("hell", "mild"), M.Term("pack of old liars", "strong"))
     heard, spans = scan(words, terms)
-    assert sorted(r.heard for r in heard.collect()) == ["Hell", "son of a bitch"]
+    assert sorted(r.heard for r in heard.collect()) == ["Hell", "pack of old liars"]
     assert sorted((round(r.start, 2), round(r.end, 2)) for r in spans.collect()) == [(0.88, 1.6), (3.88, 7.6)]
     assert [r.media for r in scan_reports(words, terms).collect()] == ["m"]
 
@@ -123,7 +123,7 @@ def test_masked_categories_and_flags(spark):
     assert got == [("Hell", "heck", None), ("damn", None, "no substitute"), ("hell", None, "another word in the span")]
 
 
-def test_anchor_search_and_track(spark):
+def test_anchor_search(spark):
     from loomspan.operators import sync as A
 
     said = "one two three four five six seven".split()
@@ -131,6 +131,3 @@ def test_anchor_search_and_track(spark):
     asked = spark.createDataFrame([("m", 1, "three four five", 0.0, 40.0, 3)], "media string, cue int, text string, low double, high double, n_words int")
     best = A.best_window(asked, words, ["media"], "cue").first()
     assert (best.score, best.heard_at) == (100.0, 12.0)
-    anchors = spark.createDataFrame([("m", 1, 0.0), ("m", 2, 100.0), ("m", 3, 200.0)], "media string, cue int, start double")
-    runs = spark.createDataFrame([("m", 1, 15.0, 90.0), ("m", 2, 114.0, 80.0), ("m", 2, 100.0, 99.0), ("m", 3, 216.0, 70.0)], "media string, cue int, at double, score double")
-    assert sorted((r.cue, r.heard_at) for r in A.track(anchors, runs, "media", 20, 3).collect()) == [(1, 15.0), (2, 114.0)]

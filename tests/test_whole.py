@@ -51,7 +51,7 @@ def test_every_media_beyond_the_first_twenty(spark, tmp_path):
 
 
 def test_runs_of_letters_are_normalized(spark, tmp_path):
-    texts = ["Fuuuuck?! soooo no", "shiiit 1000 --so-- Soooo, no", None, "straße ‘ooh’ äää good"]
+    texts = ["Rasssscal?! soooo no", "daaamp 1000 --so-- Soooo, no", None, "straße ‘ooh’ äää good"]
     folder = save(spark, tmp_path, documents=([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
     want = {w: normal(w) for t in texts for w in split(t)}
     assert {r.raw: r.token for r in QUERIES["fn_normalize_all"](spark, folder).collect()} == want
