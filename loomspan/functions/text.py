@@ -93,6 +93,17 @@ def normalize(token: Column, compose: bool = False) -> Column:
     return collapse(F.trim(bare))
 
 
+def normal(word: str) -> str:
+    """normalized_words for one word in Python: for the distinct words of a batch."""
+    bare = unicodedata.normalize("NFKC", word).translate(_STRAIGHTENED).casefold().strip(_ENDS)
+    return _RUNS.sub(r"\1", bare)
+
+
+_STRAIGHTENED = str.maketrans(QUOTES, STRAIGHT)
+_ENDS = EDGE + " \t\n\x0b\f\r"
+_RUNS = re.compile(r"([^\W\d_])\1\1+")
+
+
 def forms(normalized: Column) -> Column:
     """The spellings under which a token is matched: as it is, and without hyphens."""
     return F.filter(F.array_distinct(F.array(normalized, F.replace(normalized, F.lit("-"), F.lit("")))), lambda x: x != "")

@@ -1,7 +1,7 @@
 """Finding terms of a word list in lines of words.
 
-Lines are normalised by column functions, whole, and walked once by the list's automaton (wordlist.WordList), which names
-every place where a term or a masked word stands. These few places are written, and all that follows works on them:
+Lines are split by column functions and walked once by the list's automaton (wordlist.WordList), which names every place
+where a term or a masked word stands. These few places are written, and all that follows works on them:
 lines without conflicts need no order, and nothing is joined with the words of the texts.
 """
 
@@ -48,10 +48,10 @@ def find(lines: DataFrame, id: str, words: WordList, text: str = "text") -> Data
     """(id, first, last, term_order, term, category, targets): every place of lines where a term or a masked word stands; last is exclusive.
 
     Single words that are allowed are left out; phrases may hold them. Masked words, if the list looks for marks, have no
-    term_order. A text is walked once; only words that something fits are looked at one by one.
+    term_order. Each distinct word of a batch is normalised and looked up once; a line is walked over the words that fit something.
     """
     shared = lines.sparkSession.sparkContext.broadcast(words)
-    rows = lines.select(id, T.normalized_words(T.split_words(F.col(text))).alias("_token"))
+    rows = lines.select(id, T.split_words(F.col(text)).alias("_raw"))
     schema = _schema(rows, id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,12 +62,13 @@ def find(lines: DataFrame, id: str, words: WordList, text: str = "text") -> Data
             begins = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
             distinct = flat.dictionary_encode()
             heard = distinct.dictionary.to_pylist()
-            useful = np.array([own.look(t) is not None for t in heard], bool)
+            known = [own.read(t) for t in heard]
+            useful = np.array([k is not None for k in known], bool)
             codes = distinct.indices.to_numpy(zero_copy_only=False)
             at = np.flatnonzero(useful[codes]) if len(codes) else np.zeros(0, np.int64)
             row = np.searchsorted(begins, at, "right") - 1
-            found = list(own.walk((int(r), int(i - begins[r]), heard[codes[i]]) for r, i in zip(row, at, strict=True)))
-            yield _places(batch.column(0), found, own, lambda r, p: heard[codes[begins[r] + p]], schema.names)
+            found = list(own.walk(zip(row.tolist(), (at - begins[row]).tolist(), [known[c] for c in codes[at].tolist()], strict=True)))
+            yield _places(batch.column(0), found, own, lambda r, p: T.normal(heard[codes[begins[r] + p]]), schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -88,26 +89,16 @@ def find_words(words: DataFrame, id: str, terms: WordList) -> DataFrame:
             yield batch.filter(pa.array(keep[distinct.indices.fill_null(len(keep) - 1).to_numpy(zero_copy_only=False)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, before = shared.value, {}
-
-        def places(of: pa.RecordBatch) -> Iterator[tuple[int, int, str]]:
-            for i, (p, t) in enumerate(zip(of.column(1).to_pylist(), of.column(2).to_pylist(), strict=True)):
-                yield numbers[i], p, t
-
+        own, state, line, now = shared.value, [], 0, None
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            numbers, now, count = [], before.get("key"), before.get("row", 0)
-            for key in keys:
-                if key != now:
-                    now, count = key, count + 1
-                numbers.append(count)
-            before = {"key": now, "row": count}
-            where = {}
-            for i, (n, p) in enumerate(zip(numbers, batch.column(1).to_pylist(), strict=True)):
-                where[n, p] = i
-            found = list(own.walk(places(batch)))
-            by_row = [(where[n, last - 1], first, last, order, category) for n, first, last, order, category in found]
-            heard = batch.column(2).to_pylist()
+            ids, pos, heard = (batch.column(i).to_pylist() for i in range(3))
+            numbers = []
+            for key in ids:
+                line, now = (line, now) if key == now else (line + 1, key)
+                numbers.append(line)
+            at = {place: i for i, place in enumerate(zip(numbers, pos, strict=True))}
+            found = own.walk(zip(numbers, pos, map(own.look, heard), strict=True), state)
+            by_row = [(at[n, last - 1], first, last, order, category) for n, first, last, order, category in found]
             yield _places(batch.column(0), by_row, own, lambda r, p: heard[r], schema.names)
 
     hit = rows.mapInArrow(useful, rows.schema)

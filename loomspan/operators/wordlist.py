@@ -207,6 +207,7 @@ class WordList:
             raise ValueError("the allow list has single words")
         self.allowed = {self._name(part(a), names) for a in allow}
         self._known: dict[str, tuple[tuple[int, ...], bool, str | None] | None] = {}
+        self._read: dict[str, tuple[tuple[int, ...], bool, str | None] | None] = {}
 
     def _name(self, p: Part, names: dict[tuple, int]) -> int:
         key = (p.spellings, p.search)
@@ -223,7 +224,7 @@ class WordList:
         return names[key]
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_known": {}}
+        return self.__dict__ | {"_known": {}, "_read": {}}
 
     def look(self, token: str) -> tuple[tuple[int, ...], bool, str | None] | None:
         """(parts that a token fits, whether it is allowed, the category that it masks); None if it is of no use."""
@@ -234,24 +235,28 @@ class WordList:
             if form:
                 found.update(self.plain.get(form, ()), self.wild.fits(form) if len(self.wild.next) > 1 else (), (n for p, n in self.searched if p.search(form)))
         masked = self.samples.category(token) if self.marks and len(token) >= 2 and self.marks.search(token) and (len(token) >= 3 or any(c.isalpha() for c in token)) else None
-        fits = tuple(sorted(found - self.allowed if not any(self.singles[n] for n in self.allowed) else found))
-        known = (fits, not found.isdisjoint(self.allowed), masked) if fits or masked else None
+        known = (tuple(sorted(found)), not found.isdisjoint(self.allowed), masked) if found or masked else None
         if len(self._known) >= REMEMBERED:
             self._known.clear()
         self._known[token] = known
         return known
 
-    def walk(self, places: Iterable[tuple[int, int, str]]) -> Iterator[tuple[int, int, int, int, str]]:
+    def read(self, word: str) -> tuple[tuple[int, ...], bool, str | None] | None:
+        """look at the normal form of a word as it stands in a text."""
+        if word not in self._read:
+            if len(self._read) >= REMEMBERED:
+                self._read.clear()
+            self._read[word] = self.look(T.normal(word))
+        return self._read[word]
+
+    def walk(self, places: Iterable[tuple[int, int, tuple]], state: list | None = None) -> Iterator[tuple[int, int, int, int, str]]:
         """(row, first, last, order, category) of what stands in lines; last is exclusive, order -1 for a masked token.
 
-        places: (row, pos, token) in order, those of no use may be missing. A phrase's words stand at places that follow each other.
+        places: (row, pos, what look says) in order, without those of no use. state, [] at first, lets a line go on in
+        another call. A phrase's words stand at places that follow each other.
         """
-        before, open_ = (-1, -1), []
-        for row, pos, token in places:
-            known = self.look(token)
-            if known is None:
-                continue
-            fits, allowed, masked = known
+        before, open_ = state or ((-1, -1), [])
+        for row, pos, (fits, allowed, masked) in places:
             if not allowed:
                 for name in fits:
                     for order in self.singles[name]:
@@ -264,3 +269,5 @@ class WordList:
                     yield row, first, pos + 1, order, self.terms[order][1]
             if masked is not None and masked not in self.disabled:
                 yield row, pos, pos + 1, -1, masked
+        if state is not None:
+            state[:] = before, open_

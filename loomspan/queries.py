@@ -24,6 +24,7 @@ from loomspan.operators import spans as S
 from loomspan.operators import sync as A
 from loomspan.plans.scan import scan
 from loomspan.sources import sinks as K
+from loomspan.session import spread
 from loomspan.sources import subtitles as Q
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -250,7 +251,7 @@ NORM = rf"trim(regexp_replace(trim({FOLD}), '^{EDGES}+|{EDGES}+$', '', 'g'))"
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query(f"WITH {WORDS} SELECT doc_id, pos::INT AS pos, raw, {FOLD} AS folded FROM t")

@@ -28,6 +28,16 @@ def local_session(cores: str | int = "*", partitions: int = 8, **conf: str) -> S
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores where it lies in a few files only, for work that takes far longer than reading.
+
+    A file with one row group is one task, however long its rows take. With a quarter as many files as cores, or fewer, rows are
+    dealt out evenly; larger inputs stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 4 * len(df.inputFiles()) <= cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: the cluster's spark.checkpoint.dir.
 
