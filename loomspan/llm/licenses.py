@@ -4,13 +4,16 @@ A text's words are hashed in runs of five. A template of t runs belongs to windo
 of two that is at least 2t, that start at every multiple of w / 2: an occurrence of the template lies inside one of them.
 A window's signature are minima of its hashed runs under fixed permutations, one for each band, so that a window that
 holds 75 % of a template (at least 0.19 of the union of both) shares a band with a probability above 1 - 1e-5. Templates
-are retrieved by these bands alone. Runs that no template has can't be a minimum that a template shares, so places are
-first looked up in a bitmap of the templates' runs (64 bits a run, so one in 64 other places passes too), and windows
-without a place that passes are left out before signatures are made; this loses nothing. For each template that shares a
-band, the share of its runs in the window is counted exactly.
+are retrieved by these bands alone, and for each that shares one, the share of its runs in the window is counted exactly.
 
-All of it are DataFrame functions; texts are not shuffled. Templates are a parameter, or a table (template, license, text),
-of some thousand texts at most: their runs are made on the driver into the bitmap, a literal of eight bytes a run.
+A window that qualifies holds at least 75 % of the runs of the smallest template of its size, so a window with fewer runs of
+any template is left out before a signature is made; this loses nothing. Whether some template has a run is looked up
+in a Bloom filter of 64 bits and four places a run, which lets one other run in some 70,000 pass. So a text costs one hash a word, one
+a run and one look at each run; signatures are made for windows that most often hold a template.
+
+All of it are DataFrame functions in one pass; texts are neither shuffled nor written. Templates are a parameter, or a table
+(template, license, text), of some thousand texts at most: their runs are made on the driver into the filter, a literal of
+eight bytes a run, and a window meets the templates of its own size.
 
 Covered: the notices and headers below, and the short licenses in full (MIT, BSD, ISC, zlib, Unlicense). The long texts of
 the Apache, GNU, Mozilla and Creative Commons licenses are found by their headers; give their texts as a table for more.
@@ -25,12 +28,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.session import durable
-
+SHIFTS = (0, 15, 30, 45)  #: of the four places of a hash in the filter
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: (name, license, text): fixed values, the usual notices of public licenses.
@@ -96,17 +100,22 @@ def templates(spark: SparkSession, texts: Templates, o: LicenseOptions) -> DataF
     return rows.withColumn("window", F.pow(F.lit(2), F.ceil(F.log2(F.col("length") * 2))).cast("int"))
 
 
-def bitmap(values: list[int]) -> Callable[[Column], Column]:
-    """A test that all of some hashes pass, and one in 64 of the others."""
+def bloom(values: list[int]) -> Callable[[Column], Column]:
+    """A test that all of some hashes pass, and about one in 70,000 of the others: four bits of 64 a value."""
     bits = max(16, math.ceil(math.log2(64 * max(1, len(values)))))
     held = [0] * (1 << (bits - 6))
     for v in values:
-        place = (v & (1 << 64) - 1) >> (64 - bits)
-        held[place >> 6] |= 1 << (place & 63)
-    words = F.array(*(F.lit(w - (1 << 64) if w >> 63 else w).cast("long") for w in held))
-    place = lambda h: F.shiftrightunsigned(h, 64 - bits)
-    word = lambda h: F.get(words, F.shiftright(place(h), 6).cast("int"))
-    return lambda h: F.call_function("shiftright", word(h), (place(h) % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+        for shift in SHIFTS:
+            place = ((v & (1 << 64) - 1) >> shift) % (1 << bits)
+            held[place >> 6] |= 1 << (place & 63)
+    words = F.lit(np.array(held, np.uint64).view(np.int64))  # one literal, which all looks share
+
+    def bit(h: Column, shift: int) -> Column:
+        place = F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+        word = F.get(words, F.shiftright(place, 6).cast("int"))
+        return F.call_function("shiftright", word, (place % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+
+    return lambda h: reduce(lambda a, b: a & b, (bit(h, shift) for shift in SHIFTS))
 
 
 def scan(docs: DataFrame, texts: Templates = TEMPLATES, options: LicenseOptions = LicenseOptions()) -> DataFrame:
@@ -115,29 +124,29 @@ def scan(docs: DataFrame, texts: Templates = TEMPLATES, options: LicenseOptions
     known = templates(spark, texts, o)
     held = known.collect()  # a parameter's rows, not data
     bands = math.ceil(math.log(o.missed) / math.log(1 - o.share / (4 + 1 - o.share)))
-    listed = bitmap(sorted({h for r in held for h in r.runs}))
-    sizes = F.array(*(F.lit(w) for w in sorted({r.window for r in held})))
+    listed = bloom(sorted({h for r in held for h in r.runs}))
+    least = {w: min(math.ceil(o.share * len(r.runs)) for r in held if r.window == w) for w in sorted({r.window for r in held})}
 
-    def around(p: Column, w: Column) -> Column:
-        last = F.floor(p * 2 / w).cast("int")
-        return F.transform(F.sequence(F.greatest(F.lit(0), last - 1), last), lambda j: F.struct(w.alias("window"), (j * w / 2).cast("int").alias("first")))
+    def of_size(r: Column, places: Column, w: int) -> Column:
+        """The windows of w runs with enough runs of templates. places: those of such runs."""
+        last = lambda i: F.floor(i * 2 / w).cast("int")
+        around = F.array_distinct(F.flatten(F.transform(places, lambda i: F.sequence(F.greatest(F.lit(0), last(i) - 1), last(i)))))
+        found = F.transform(around, lambda j: F.struct(F.lit(w).alias("window"), (j * w / 2).cast("int").alias("first"), F.slice(r, (j * w / 2).cast("int") + 1, w).alias("part")))
+        return F.filter(found, lambda x: F.size(F.filter(x["part"], listed)) >= least[w])
 
     def windows(r: Column) -> Column:
-        """The windows with some template's run, and the distinct runs in each."""
         places = F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda i: listed(F.get(r, i)))
-        found = let(places, lambda p: F.flatten(F.transform(sizes, lambda w: F.array_distinct(F.flatten(F.transform(p, lambda i: around(i, w)))))))
-        return F.transform(found, lambda x: F.struct(x["window"].alias("window"), x["first"].alias("first"), F.array_distinct(F.slice(r, x["first"] + 1, x["window"])).alias("part")))
+        return let(places, lambda p: F.when(F.size(p) > 0, F.flatten(F.array(*(of_size(r, p, w) for w in least)))))
 
     # no filter on the windows before they are exploded: it would make them twice
-    held_in = let(runs(F.col("text"), o.run), lambda r: F.when(F.size(r) > 0, windows(r)))
+    held_in = let(runs(F.col("text"), o.run), lambda r: F.when(F.size(r) > 0, windows(r))) if held else F.lit(None).cast("array<struct<window:int,first:int,part:array<long>>>")
     rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", F.explode(held_in).alias("w"))
-    cut = durable(rows.select("row", "doc_id", "w.*"), "windows")
-    signed = durable(cut.withColumn("signature", signature(F.col("part"), bands)), "signed")
-    looked = signed.select("row", "window", "first", F.posexplode("signature").alias("band", "low"))
-    of = known.select("template", "window", F.posexplode(signature(F.col("runs"), bands)).alias("band", "low"))
-    pairs = looked.join(F.broadcast(of), ["window", "band", "low"]).select("row", "window", "first", "template").distinct()
-    matched = signed.drop("signature").join(pairs, ["row", "window", "first"]).join(F.broadcast(known.drop("window", "length").withColumnRenamed("runs", "own")), "template")
-    matched = matched.withColumn("found", F.size(F.array_intersect("part", "own"))).withColumn("share", F.col("found") / F.size("own")).where(F.col("share") >= o.share)
+    cut = rows.select("row", "doc_id", "w.window", "w.first", F.array_distinct("w.part").alias("part"))
+    signed = cut.withColumn("signature", signature(F.col("part"), bands))
+    of = known.select("template", "license", "window", F.col("runs").alias("own"), signature(F.col("runs"), bands).alias("bands"))
+    # a band's number is hashed into its minima, so equal values are of one band
+    pairs = signed.join(F.broadcast(of), "window").where(F.arrays_overlap("signature", "bands"))
+    matched = pairs.withColumn("found", F.size(F.array_intersect("part", "own"))).withColumn("share", F.col("found") / F.size("own")).where(F.col("share") >= o.share)
     best = F.max_by(F.struct("found", "share", F.col("first").alias("first_run")), F.struct("found", -F.col("first")))
     return matched.groupBy("row", "doc_id", "template", "license").agg(best.alias("b")).select("row", "doc_id", "template", "license", "b.*")
 

@@ -18,6 +18,7 @@ from loomspan.llm.repair import damaged, repair, with_faults
 from loomspan.llm.sharding import Tree, sharded
 from loomspan.llm.spelling import variants
 from loomspan.llm.top_products import top_products
+from loomspan.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +60,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row")
+    return licenses.scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("row")
 
 
 def piece_model() -> pieces.PieceModel:

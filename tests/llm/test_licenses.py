@@ -11,11 +11,11 @@ def cut(text):
     return [tuple(words[i : i + 5]) for i in range(len(words) - 4)] or ([tuple(words)] if words else [])
 
 
-def brute(docs):
+def brute(docs, templates=TEMPLATES):
     out = []
     for i, text, *_ in docs:
         r = cut(text)
-        for name, _, t in TEMPLATES:
+        for name, _, t in templates:
             own = set(cut(t))
             half = 2 ** math.ceil(math.log2(2 * len(cut(t)))) // 2
             best = max(((len(own & set(r[s : s + 2 * half])), -s) for s in range(0, max(1, len(r)), half)), default=(0, 0))
@@ -40,3 +40,29 @@ def test_against_brute_force(spark):
     got = sorted(((r.doc_id, r.template, r.found, r.first_run) for r in scan(spark.createDataFrame(docs, SCHEMA)).collect()), key=repr)
     assert got == brute(docs) and len(got) > 50
     assert scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_of_two_equal_windows_the_first_is_named(spark):
+    text = TEMPLATES[2][2]
+    docs = [(1, " ".join([*["x"] * 70, text, *["x"] * 70, text, *["x"] * 9]), 1, 1)]
+    got = [(r.doc_id, r.template, r.found, r.first_run) for r in scan(spark.createDataFrame(docs, SCHEMA)).collect()]
+    assert got == brute(docs) and got[0][3] < 72
+
+
+def test_templates_as_a_table(spark):
+    rng = random.Random(9)
+    own = [(f"t{i}", "Own", " ".join(rng.choices([f"v{k}" for k in range(400)], k=rng.choice([2, 5, 30, 90])))) for i in range(40)]
+    table = spark.createDataFrame(own, "template string, license string, text string")
+    docs = []
+    for i in range(40):
+        words = own[i][2].split()
+        docs.append((i, " ".join([*rng.choices([f"v{k}" for k in range(400)], k=rng.randrange(300)), *(w if rng.random() < 0.98 else "new" for w in words), "end"]), 1, 1))
+    got = sorted(((r.doc_id, r.template, r.found, r.first_run) for r in scan(spark.createDataFrame(docs, SCHEMA), table).collect()), key=repr)
+    assert got == brute(docs, own) and len(got) > 20
+    assert scan(spark.createDataFrame(docs, SCHEMA), table.limit(0)).count() == 0
+
+
+def test_many_licenses_in_a_very_long_text(spark):
+    docs = [(1, " ".join(f"{TEMPLATES[i % len(TEMPLATES)][2]} and {i}" for i in range(1500)), 1, 1)]
+    got = sorted(((r.doc_id, r.template, r.found, r.first_run) for r in scan(spark.createDataFrame(docs, SCHEMA)).collect()), key=repr)
+    assert got == brute(docs)
