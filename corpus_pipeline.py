@@ -54,15 +54,31 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, once for each time it takes them, in training order."""
+    """The documents that the mix takes, once for each time it takes them, in training order, which the next stage reads off the files."""
     return training_rows(docs)
 
 
+def written_place(docs: DataFrame) -> tuple[Column, Column]:
+    """(part, line): where each row of a table stands as it was written, so that its order is not lost when files are read in another.
+
+    Files of a table are numbered by the partitions that wrote them. Of rows that lie in no file, the partition and the
+    place in it are taken.
+    """
+    if docs.inputFiles():
+        return F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("long"), F.col("_metadata.row_index")
+    number = F.monotonically_increasing_id()
+    return F.shiftright(number, 33), number.bitwiseAND(F.lit((1 << 33) - 1))
+
+
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row's ids, and digests of the ids and of the text that they decode to."""
+    """Each row's ids, and digests of the ids and of the text that they decode to; (part, line) is the order of training.
+
+    docs: a table as mix_sources' rows were written. part and line are null for files that are not named as Spark names them.
+    """
     model = piece_model()
-    coded = pieces.encode(docs.select("doc_id", "source", "text"), model, decoded="decoded")
-    return pieces.digests(coded).select("doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    part, line = written_place(docs)
+    coded = pieces.encode(docs.select(part.alias("part"), line.alias("line"), "doc_id", "source", "text"), model, decoded="decoded")
+    return pieces.digests(coded).select("part", "line", "doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [

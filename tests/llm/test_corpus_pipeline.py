@@ -7,12 +7,16 @@ import public_tokenizers
 import sentencepiece
 
 import corpus_pipeline as C
-from loomspan.llm.mixing import mix
+from loomspan.llm.mixing import MixOptions, mix
 from loomspan.llm.near_duplicates import near_duplicates
 from loomspan.llm.queries import op5_toxicity
+from loomspan.session import durable
 
 sys.path.insert(0, str(Path(__file__).parent))
+from test_mixing import corpus as mix_corpus  # noqa: E402
+from test_mixing import wanted  # noqa: E402
 from test_near_duplicates import brute  # noqa: E402
+from test_toxicity import corpus as toxic_corpus  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -33,7 +37,50 @@ def test_stages_follow_their_operators(spark):
     want = sorted((r.doc_id, p.words) for r in mix(docs).collect() for p in r.placements)
     assert sorted((r.doc_id, len(r.text.split())) for r in mixed) == want
     out = C.run(spark, FOLDER)
-    assert out.columns == ["doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256"] and out.count() > 0
+    assert out.columns == ["part", "line", "doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256"] and out.count() > 0
+
+
+def test_the_order_of_training_reaches_the_end(spark):
+    """Files are read in another order than they were written in; part and line tell that of the mix."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    mixed = C.mix_sources(spark, docs, FOLDER)
+    want = [(r.doc_id, len(r.text)) for r in mixed.collect()]
+    stored = durable(mixed, "mixed")
+    texts = {}
+    coded = C.encode_pieces(spark, stored, FOLDER).select("part", "line", "doc_id", "decoded_sha256").collect()
+    for r in stored.collect():
+        texts.setdefault(r.doc_id, set()).add(len(r.text))
+    order = [r.doc_id for r in sorted(coded, key=lambda r: (r.part, r.line))]
+    assert order == [d for d, _ in want] and len({(r.part, r.line) for r in coded}) == len(want)
+    positions = {}
+    for r in mix(docs).collect():
+        for p in r.placements:
+            positions.setdefault(r.doc_id, []).append(p.position)
+    seen = {d: iter(sorted(p)) for d, p in positions.items()}
+    at = [next(seen[d]) for d in order]
+    assert at == sorted(at)
+
+
+def test_toxic_documents_go_and_clean_ones_stay(spark, tmp_path):
+    """Against the planted words; documents of the held-out part are not learned from."""
+    docs = toxic_corpus(800)
+    spark.createDataFrame([(i, y) for i, _, y in docs], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t, _ in docs], SCHEMA)
+    kept = C.reject_toxic(spark, rows, str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i, _, y in docs if not y]
+
+
+def test_the_mix_meets_its_targets(spark):
+    """Words by source against targets worked out in plain Python."""
+    docs = [(i, t, "en", s, n) for i, t, s, _, n in mix_corpus()]
+    sizes, taken = {}, {}
+    for _, t, _, s, _ in docs:
+        sizes[s] = sizes.get(s, 0) + len((t or "").split())
+    for r in C.mix_sources(spark, spark.createDataFrame(docs, SCHEMA), FOLDER).collect():
+        taken[r.source] = taken.get(r.source, 0) + len(r.text.split())
+        assert r.n_chars == 9 or r.n_chars == len(r.text)
+    want = wanted(sizes, MixOptions())
+    assert all(abs(taken.get(s, 0) - want[s]) <= 1 for s in want)
 
 
 def test_nulls_copies_and_empty_tables(spark):
