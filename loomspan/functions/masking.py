@@ -5,11 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
 from loomspan.functions import text as T
 from loomspan.operators.matching import Term, match
@@ -34,56 +31,77 @@ def visible(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, SKIPPED, ""), r"\\[Nnh]", " ")
 
 
-_SEEN = re.compile(f"({SKIPPED})|(\\\\[Nnh])")
+UNIT = rf"(?s)(?:{SKIPPED})*+(?:\\[Nnh]|.)|(?:{SKIPPED})++\z"  #: one visible character with the markup before it; or the markup at the end
+WORDLIKE = r"[\p{L}\p{N}]"
 
 
-def mask_spans(text: str, spans: list[tuple[int, int]], mode: str) -> str:
-    """A text whose visible characters in the spans are masked; markup and breaks stay, a removed word takes a space along.
+def mask_text(text: Column, spans: Column, mode: str) -> Column:
+    """A text with spans (array<struct<first,last>> of visible characters, in order, not overlapping) masked; markup and breaks stay.
 
-    Letters and digits become asterisks, all of them or all but the first of each word.
+    asterisks: letters and digits become stars; first_letter: all but the first of each word do; remove: the span goes, but
+    for its line ends. Of the two spaces around what was removed one goes too: the one behind it where it stood at the
+    beginning or behind white space, else the one before it if no word follows directly. Null spans leave the text.
     """
-    seen, at = [], 0  # of each visible character: its place, and whether it is a break
-    for found in _SEEN.finditer(text):
-        seen += [(i, False) for i in range(at, found.start())] + ([(found.start(), True)] if found.group(2) else [])
-        at = found.end()
-    seen += [(i, False) for i in range(at, len(text))]
-    shown = [" " if broken else text[i] for i, broken in seen]
-    out = list(text)
-    for a, b in ((max(a, 0), min(b, len(seen))) for a, b in spans):
-        if mode != "remove":
-            first = True
-            for k in range(a, b):
-                if shown[k].isalnum():
-                    out[seen[k][0]] = out[seen[k][0]] if first and mode == "first_letter" else "*"
-                    first = False
-                elif shown[k].isspace():
-                    first = True
-            continue
-        for k in range(a, b):
-            if not seen[k][1] and shown[k] not in "\r\n":
-                out[seen[k][0]] = ""
-        before, after = shown[a - 1] if a else "", shown[b] if b < len(seen) else ""
-        if after == " " and not seen[b][1] and (not before or before.isspace()):
-            out[seen[b][0]] = ""
-        elif before == " " and not seen[a - 1][1] and not after.isalnum():
-            out[seen[a - 1][0]] = ""
-    return "".join(out)
-
-
-@pandas_udf(StringType())
-def mask_text(text: pd.Series, spans: pd.Series, mode: pd.Series) -> pd.Series:
-    """Texts with spans (array<struct<first,last>> of visible characters) masked."""
-
-    def one(t: str | None, s: object, m: str) -> str | None:
-        return None if t is None else mask_spans(t, [(int(x["first"]), int(x["last"])) for x in s], m) if s is not None else t
-
-    return pd.Series([one(t, s, m) for t, s, m in zip(text, spans, mode, strict=True)], dtype=object)
+    units = F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
+    size = F.size(F.regexp_extract_all(visible(text), F.lit("(?s)."), F.lit(0)))
+    inside = F.transform(spans, lambda s: F.struct(F.greatest(s["first"], F.lit(0)).cast("int").alias("first"), F.least(s["last"], size).cast("int").alias("last")))
+    inside = F.filter(inside, lambda s: s["first"] < s["last"])
+    whole = T.let(units, lambda u: T.let(inside, lambda s: _rejoined(u, s, mode)))
+    return F.when(spans.isNull(), text).otherwise(whole)
+
+
+def _letter(unit: Column) -> Column:
+    """The visible part of a unit; a break of two characters is one."""
+    return F.regexp_extract(unit, r"(?s)(\\[Nnh]|.)\z", 1)
+
+
+def _markup(unit: Column) -> Column:
+    return F.left(unit, F.length(unit) - F.length(_letter(unit)))
+
+
+def _rejoined(units: Column, spans: Column, mode: str) -> Column:
+    """The text before each span and the span as masked, in turns, and the text behind the last."""
+    at = lambda i: F.coalesce(_letter(F.get(units, i)), F.lit(""))
+    real = lambda i: at(i) == " "
+    blank = lambda c: (c == "") | F.rlike(c, F.lit(r"(?U)^(?:\s|\\[Nnh])$"))
+    begin = lambda k: F.when(k == 0, 0).otherwise(F.get(spans, k - 1)["last"])
+    end = lambda k: F.coalesce(F.get(spans, k)["first"], F.size(units))
+    if mode == "remove":
+        behind = lambda k: F.coalesce(real(F.get(spans, k)["last"]) & ((F.get(spans, k)["first"] == 0) | blank(at(F.get(spans, k)["first"] - 1))), F.lit(False))
+        before = lambda k: F.coalesce(~behind(k) & (F.get(spans, k)["first"] > 0) & real(F.get(spans, k)["first"] - 1) & ~F.rlike(at(F.get(spans, k)["last"]), F.lit(f"^{WORDLIKE}$")), F.lit(False))
+        drop_first = lambda k: F.when((k > 0) & behind(F.greatest(k - 1, F.lit(0))), 1).otherwise(0)
+        drop_last = lambda k: F.when((k < F.size(spans)) & before(k), 1).otherwise(0)
+
+        def between(k: Column) -> Column:
+            own = F.slice(units, begin(k) + 1, F.greatest(end(k) - begin(k), F.lit(0)))
+            kept = lambda u, i: F.when((i < drop_first(k)) | (i >= F.size(own) - drop_last(k)), _markup(u)).otherwise(u)
+            edge = (drop_first(k) + drop_last(k)) > 0
+            return F.array_join(F.when(edge, F.transform(own, kept)).otherwise(own), "")
+
+        masked = lambda u: F.when(F.rlike(_letter(u), F.lit(r"^(?:[\r\n]|\\[Nnh])$")), u).otherwise(_markup(u))
+        span = lambda k: F.array_join(F.transform(F.slice(units, F.get(spans, k)["first"] + 1, F.get(spans, k)["last"] - F.get(spans, k)["first"]), masked), "")
+    else:
+        between = lambda k: F.array_join(F.slice(units, begin(k) + 1, F.greatest(end(k) - begin(k), F.lit(0))), "")
+
+        def span(k: Column) -> Column:
+            own = F.slice(units, F.get(spans, k)["first"] + 1, F.get(spans, k)["last"] - F.get(spans, k)["first"])
+
+            def star(u: Column, i: Column) -> Column:
+                word = F.rlike(_letter(u), F.lit(f"^{WORDLIKE}$"))
+                if mode == "first_letter":  # a letter or digit stands before it in its word
+                    word = word & F.rlike(F.array_join(F.transform(F.slice(own, F.lit(1), i), lambda x: F.when(F.length(_letter(x)) > 1, " ").otherwise(_letter(x))), ""), F.lit(rf"(?U){WORDLIKE}\S*\z"))
+                return F.when(word, F.concat(_markup(u), F.lit("*"))).otherwise(u)
+
+            return F.array_join(F.transform(own, star), "")
+
+    each = lambda k: F.concat(between(k), F.when(k < F.size(spans), span(k)).otherwise(""))
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.size(spans)), each), "")
 
 
 def mask_lines(lines: DataFrame, spans: DataFrame, keys: list[str], mode: str) -> DataFrame:
     """lines (keys, text) with the spans of each (keys, first, last) masked; lines left empty are dropped."""
     found = spans.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_s"))
-    rows = lines.join(found, keys, "left").withColumn("text", mask_text("text", "_s", F.lit(mode))).drop("_s")
+    rows = lines.join(found, keys, "left").withColumn("text", mask_text(F.col("text"), F.col("_s"), mode)).drop("_s")
     return rows.where(F.trim("text") != "")
 
 
@@ -115,7 +133,7 @@ def censor(texts: DataFrame, keys: list[str], terms: Sequence[Term], mode: str,
     rows = rows.withColumn("_cores", F.filter(words, lambda c: F.size(c) > 0))
     whole = F.transform("_cores", lambda c: F.struct(F.get(c, F.lit(0))["first"].alias("first"), F.element_at(c, -1)["last"].alias("last")))
     rows = rows.withColumn("_spans", whole if mode == "remove" else F.flatten("_cores"))
-    rows = rows.withColumns({text: mask_text(text, "_spans", F.lit(mode)), "masked": F.size(F.flatten("_cores"))})
+    rows = rows.withColumns({text: mask_text(F.col(text), F.col("_spans"), mode), "masked": F.size(F.flatten("_cores"))})
     return rows.drop("_id", "_seen", "_runs", "_words", "_cores", "_spans")
 
 

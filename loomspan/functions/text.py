@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType
 
 #: fixed values: quote characters that are straightened, and what they become
 QUOTES = "‘’‚‛′´`“”„″"
@@ -131,12 +131,23 @@ def normalized_words(words: Column, compose: bool = True) -> Column:
     return F.when(F.size(words) > 0, F.split(collapse(bare), _BREAK, -1)).otherwise(F.array().cast("array<string>"))
 
 
-@pandas_udf(ArrayType(StructType([StructField("first", IntegerType()), StructField("last", IntegerType())])))
-def word_spans(texts: pd.Series) -> pd.Series:
-    """Where the words of split_words stand in a text: first character, and the one after the last."""
-    divider = re.compile(r"--+|\.\.\.+|[—–…]")
-    plain = texts.map(lambda t: divider.sub(lambda m: " " * len(m.group()), t), na_action="ignore")
-    return plain.map(lambda t: [{"first": m.start(), "last": m.end()} for m in re.finditer(r"\S+", t)], na_action="ignore")
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once; in a lambda, a plain expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def word_spans(text: Column) -> Column:
+    """Where the words of split_words stand in a text: array<struct<first,last>>, the first character and the one after the last."""
+    # every character of a divider becomes a space, so that all others keep their places
+    plain = F.regexp_replace(text, r"(?U)\s|[–—…]|-(?=-)|(?<=-)-|\.(?=\.\.)|(?<=\.)\.(?=\.)|(?<=\.\.)\.", " ")
+    letters = F.regexp_extract_all(plain, F.lit("(?s)."), F.lit(0))
+
+    def edges(c: Column) -> Column:
+        # a word begins or ends at each place that is a space on one side only
+        at = F.filter(F.sequence(F.lit(0), F.size(c)), lambda i: (F.coalesce(F.get(c, i), F.lit(" ")) == " ") != (F.coalesce(F.get(c, i - 1), F.lit(" ")) == " "))
+        return let(at, lambda a: F.transform(F.filter(a, lambda x, i: i % 2 == 0), lambda x, i: F.struct(x.alias("first"), F.get(a, 2 * i + 1).alias("last"))))
+
+    return let(letters, edges)
 
 
 def is_masked(token: Column, marks: str = "[*#]") -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import masking as W
 from loomspan.functions import text as X
+from loomspan.functions.charset import decode_text
 from loomspan.operators import context as C
 from loomspan.operators import guided as N
 from loomspan.operators import lines as L
@@ -16,7 +17,7 @@ from loomspan.operators import ranking as R
 from loomspan.operators import signals as G
 from loomspan.operators import spans as S
 from loomspan.operators import sync as A
-from loomspan.queries import BIN, CUES, EV, NORM, SECOND, SIDES, TERMS, WORDS, cue_rows, cue_seconds, events, lines, merged_sql, query, table, two_sides
+from loomspan.queries import BIN, CUES, EV, NORM, SECOND, SIDES, TERMS, WORDS, cue_rows, cue_seconds, events, lines, merged_sql, query, table
 from loomspan.session import scratch
 from loomspan.sources import sinks as K
 from loomspan.sources import subtitles as Q
@@ -348,9 +349,11 @@ def src_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, text FROM documents")
 def src_subs_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts as UTF-16 with its mark or as UTF-8, decoded again."""
-    data = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-16")).otherwise(F.encode("text", "UTF-8"))
-    return lines(spark, sf_dir).select("doc_id", Q.decode_text(data, F.lit("en")).alias("text"))
+    """Texts as UTF-16 with its mark or without, as UTF-8, or in one byte a character where they are long enough and have such
+    letters only, decoded again without being told which."""
+    turn, latin = F.col("doc_id") % 4, (F.length("text") >= 200) & ~F.rlike("text", F.lit(r"[^\x00-\x7F\xA0-\xFF]"))
+    data = F.when(turn == 0, F.encode("text", "UTF-16")).when((turn == 1) & (F.length("text") >= 20), F.encode("text", "UTF-16LE")).when((turn == 2) & latin, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+    return lines(spark, sf_dir).select("doc_id", decode_text(data, F.lit(None).cast("string")).alias("text"))
 
 
 # ---- matching and masking --------------------------------------------------------------------------------------------

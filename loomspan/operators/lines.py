@@ -75,8 +75,8 @@ def sentences(words: DataFrame, keys: Sequence[str], pause: float, tie: str, end
     last, said = F.lag("end").over(order), F.lag("text").over(order)
     new = last.isNull() | (F.col("start") - last >= pause) | F.rlike(said, F.lit(ends))
     rows = words.withColumn("_new", new.cast("int")).withColumn("_s", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "end", tie, "text"))), lambda w: w["text"]), " ")
-    return rows.groupBy(*keys, "_s").agg(F.min("start").alias("start"), F.max_by("end", F.struct("start", "end", tie)).alias("end"), text.alias("text"), F.count(F.lit(1)).alias("n")).drop("_s")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "end", F.col(tie).alias("_tie"), "text"))), lambda w: w["text"]), " ")
+    return rows.groupBy(*keys, "_s").agg(F.min("start").alias("start"), F.max_by("end", F.struct("start", "end", F.col(tie).alias("_tie"))).alias("end"), text.alias("text"), F.count(F.lit(1)).alias("n")).drop("_s")
 
 
 def inner_words(words: DataFrame, start: str, end: str, margin: float, clean_start: Column, clean_end: Column) -> DataFrame:

@@ -704,19 +704,20 @@ def src_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def jn_anchor_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beginnings of benchmark items, five words each, searched in whole documents, a word each 0.3 s.
+    """Whole benchmark items as anchors, in the documents that share five words in a row with them, a word each 0.3 s.
 
-    The items take turns by doc_id. Null doc_ids are searched for nothing.
+    An item is searched around these words, as far as its own length either way. Words are those that are left when
+    normalised. Null doc_ids are searched for nothing.
     """
-    words = M.tokens(lines(spark, sf_dir).where("doc_id is not null"), "doc_id").select("doc_id", "pos", (F.col("pos") * 0.3).alias("start"), "token")
-    items = table(spark, sf_dir, "benchmark")
-    first = F.array_join(F.transform(F.slice(X.split_words(F.col("text")), 1, 5), lambda w: X.normalize(w)), " ")
-    items = items.select((F.row_number().over(Window.orderBy("item_id")) - 1).alias("turn"), F.count(F.lit(1)).over(Window.partitionBy()).alias("of"), first.alias("text"))
-    reach = words.groupBy("doc_id").agg(F.max("start").alias("high"))
-    count = items.select("of").limit(1)
-    asked = reach.crossJoin(F.broadcast(count)).withColumn("turn", F.pmod("doc_id", "of")).join(F.broadcast(items.drop("of")), "turn")
-    asked = asked.select("doc_id", F.lit(1).alias("cue"), "text", F.lit(0.0).alias("low"), "high", F.size(F.split("text", " ")).alias("n_words"))
-    return A.best_window(asked, words, ["doc_id"], "cue").select("doc_id", "score", "fidelity", "heard_at")
+    heard = lambda rows, id: rows.where(F.col(id).isNotNull()).select(id, F.filter(X.normalized_words(X.split_words(F.col("text"))), lambda w: w != "").alias("w"))
+    five = F.transform(F.sequence(F.lit(0), F.size("w") - 5), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, 5), " ")))
+    runs = lambda rows, id: rows.where(F.size("w") >= 5).select(id, F.posexplode(five).alias("pos", "run"))
+    said, items = heard(lines(spark, sf_dir), "doc_id"), heard(table(spark, sf_dir, "benchmark"), "item_id")
+    shared = runs(said, "doc_id").join(runs(items, "item_id").select("item_id", "run").distinct(), "run").groupBy("doc_id", "item_id").agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
+    asked = shared.join(items.select("item_id", F.array_join("w", " ").alias("text"), F.size("w").alias("n_words")), "item_id")
+    asked = asked.select("doc_id", F.col("item_id").alias("cue"), "text", "n_words", ((F.col("a") - F.col("n_words")) * 0.3).alias("low"), ((F.col("b") + F.col("n_words")) * 0.3).alias("high"))
+    words = said.join(shared.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.posexplode("w").alias("pos", "token")).withColumn("start", F.col("pos") * 0.3)
+    return A.best_window(asked, words, ["doc_id"], "cue").select("doc_id", F.col("cue").alias("item_id"), "score", "fidelity", "heard_at")
 
 
 @query()

@@ -20,6 +20,7 @@ def local_session(cores: str | int = "*", partitions: int = 8, **conf: str) -> S
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -76,6 +77,22 @@ def _own(spark: SparkSession) -> str:
     return f"loomspan/{spark.sparkContext.applicationId}"
 
 
+def listed(spark: SparkSession, pattern: str) -> list[str]:
+    """The files and folders that a pattern names, in whatever store it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(where)
+    return [f.getPath().toString() for f in found or []]
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    return bool(listed(spark, path))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder and what is in it."""
+    _delete(spark, path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)

@@ -36,3 +36,29 @@ def reports(spans: DataFrame, version: int = 1) -> DataFrame:
     """(media, json): one report for each media."""
     rows = F.array_sort(F.collect_list(F.struct(F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))))
     return spans.groupBy("media").agg(F.to_json(F.struct(F.lit(version).alias("schema_version"), rows.alias("intervals"))).alias("json"))
+
+
+def full_reports(files: DataFrame, spans: DataFrame, detections: DataFrame, settings: dict[str, str] | None = None, version: int = 1) -> DataFrame:
+    """(media, json): a report for each row of files, with what identifies it, its sound, settings, detections and intervals.
+
+    files: media (unique), path, size, oshash, duration, index, codec, channels, language; spans: media, start, end;
+    detections: media, start, end, text, term, category, confidence. Lists are in order of time, empty where there is
+    nothing; times have three decimals; null fields stay out. read_reports reads it back.
+    """
+    sec = lambda c: F.round(F.col(c).cast("double"), 3).alias(c)
+    own = F.struct(sec("start"), sec("end"))
+    found = F.struct(sec("start"), sec("end"), "text", "term", "category", F.round(F.col("confidence").cast("double"), 4).alias("confidence"))
+    intervals = spans.groupBy("media").agg(F.array_sort(F.collect_list(own)).alias("intervals"))
+    heard = detections.groupBy("media").agg(F.array_sort(F.collect_list(found)).alias("detections"))
+    rows = files.join(intervals, "media", "left").join(heard, "media", "left")
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    fixed = F.create_map(*(F.lit(x) for pair in (settings or {}).items() for x in pair)) if settings else F.create_map().cast("map<string,string>")
+    whole = F.struct(
+        F.lit(version).alias("schema_version"),
+        F.struct("path", "size", "oshash", sec("duration")).alias("input"),
+        F.struct("index", "codec", "channels", "language").alias("audio_stream"),
+        fixed.alias("settings"),
+        empty("detections", "array<struct<start:double,end:double,text:string,term:string,category:string,confidence:double>>"),
+        empty("intervals", "array<struct<start:double,end:double>>"),
+    )
+    return rows.select("media", F.to_json(whole).alias("json"))

@@ -2,56 +2,13 @@
 
 from __future__ import annotations
 
-import codecs
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
+from loomspan.functions.charset import decode_text
 from loomspan.functions.text import clean_text, descriptions, is_sung
 
 LARGEST = 20 << 20  #: bytes of a subtitle file at most
-#: fixed values: code pages of languages; others take 1252
-CODE_PAGES = {"cs": "cp1250", "hu": "cp1250", "pl": "cp1250", "ro": "cp1250", "ru": "cp1251", "uk": "cp1251", "el": "cp1253", "tr": "cp1254", "he": "cp1255", "ar": "cp1256", "vi": "cp1258"}
-
-
-def _likely(text: str) -> int:
-    """How much a text looks like words: letters between letters count for it, capitals after small letters and signs against."""
-    pairs = list(zip(text, text[1:], strict=False))
-    return sum(a.isalpha() and b.islower() for a, b in pairs) - 2 * sum(a.islower() and b.isupper() or a.isalpha() and ord(b) > 0x7F and not b.isalpha() for a, b in pairs)
-
-
-@pandas_udf(StringType())
-def decode_text(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Bytes of a file as text: by its mark, else as UTF-8, else by its language's code page, else as Latin-1.
-
-    Without a language, the code pages above are tried, and the text with most letters and fewest odd signs is taken.
-    """
-
-    def one(data: bytes | None, language: str | None) -> str | None:
-        if data is None:
-            return None
-        if data.startswith((codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE)):
-            return data.decode("utf-16", "replace")
-        names = ["utf-8-sig", CODE_PAGES.get(language.lower().split("-")[0], "cp1252")] if language else ["utf-8-sig"]
-        for name in names:
-            try:
-                return data.decode(name)
-            except UnicodeDecodeError:
-                continue
-        guesses = []
-        for name in () if language else ("cp1252", *dict.fromkeys(CODE_PAGES.values())):
-            try:
-                guesses.append(data.decode(name))
-            except UnicodeDecodeError:
-                continue
-        return max(guesses, key=_likely) if guesses else data.decode("latin-1")
-
-    for data, language in parts:
-        yield pd.Series([one(d, s) for d, s in zip(data, language, strict=True)], dtype=object)
 
 
 def read_files(spark: SparkSession, path: str, language: str = "en", most: int = LARGEST) -> DataFrame:
@@ -175,3 +132,19 @@ def report_intervals(reports: DataFrame) -> DataFrame:
     """(media, start, end) of reports (media, json): finite, not empty, from 0 on. Reports that are no JSON have none."""
     rows = reports.select("media", F.explode(F.from_json("json", REPORT)["intervals"]).alias("i")).select("media", F.greatest(F.lit(0.0), "i.start").alias("start"), F.col("i.end").alias("end"))
     return rows.where(~F.isnan("start") & ~F.isnan("end") & (F.abs("start") < float("inf")) & (F.abs("end") < float("inf")) & (F.col("end") > F.col("start")))
+
+
+FULL = "schema_version int, input struct<path:string,size:long,oshash:string,duration:double>, audio_stream struct<index:int,codec:string,channels:int,language:string>, settings map<string,string>, intervals array<struct<start:double,end:double>>"
+
+
+def read_reports(reports: DataFrame, version: int = 1) -> DataFrame:
+    """(media, path, size, oshash, duration, index, settings, n_intervals, problem) of reports (media, json), also edited ones.
+
+    problem says why a report can't be used: it is no JSON object, of another version, or lacks its input or sound. Intervals are read by
+    report_intervals, which leaves out those that are no spans; n_intervals counts those listed.
+    """
+    r = F.from_json("json", FULL)
+    rows = reports.select("media", r.alias("r"))
+    empty = F.col("r").isNull() | F.coalesce(*(F.col(f"r.{c}").cast("string") for c in ("schema_version", "input", "audio_stream", "settings", "intervals"))).isNull()
+    problem = F.when(empty, "no report").when(~F.col("r.schema_version").eqNullSafe(F.lit(version)), "another version").when(F.col("r.input.path").isNull() | F.col("r.audio_stream.index").isNull(), "incomplete")
+    return rows.select("media", "r.input.path", "r.input.size", "r.input.oshash", "r.input.duration", "r.audio_stream.index", "r.settings", F.coalesce(F.size("r.intervals"), F.lit(0)).alias("n_intervals"), problem.alias("problem"))

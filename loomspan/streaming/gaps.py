@@ -5,59 +5,33 @@ The batch operators define the results; these keep them up to date as rows arriv
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-SPANS = "media string, start double, end double, n long"
+from loomspan.session import exists
+from loomspan.streaming.sessions import merged
 
 
 def merge_stream(spans: DataFrame, gap: float, late: str = "10 minutes") -> DataFrame:
-    """Merged spans of a stream (media, start, end in seconds, at: timestamp), each given out once it can't grow any more.
+    """Merged spans (media, start, end, n) of a stream (media, start, end in seconds), each given out once it can't grow any more.
 
-    A media's open span is its state. Rows have to come in order of start within the watermark's delay; a span is closed
-    by a row that starts `gap` or more after its end, or when the watermark passes its end by the gap.
+    Spans may come in any order within the watermark's delay; see sessions.merged.
     """
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        open_ = list(state.get) if state.exists else None
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([[key[0], *open_]], columns=["media", "start", "end", "n"])
-            return
-        rows = pd.concat(list(batches)).sort_values(["start", "end"])  # one media's rows of one micro-batch
-        done = []
-        for start, end in rows[["start", "end"]].itertuples(index=False):
-            if open_ and start - open_[1] < gap:
-                open_ = [open_[0], max(open_[1], end), open_[2] + 1]
-            else:
-                if open_:
-                    done.append([key[0], *open_])
-                open_ = [start, end, 1]
-        state.update(tuple(open_))
-        state.setTimeoutTimestamp(max(int((open_[1] + gap) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(done, columns=["media", "start", "end", "n"])
-
-    rows = spans.withWatermark("at", late)
-    return rows.groupBy("media").applyInPandasWithState(fold, SPANS, "start double, end double, n long", "append", GroupStateTimeout.EventTimeTimeout)
+    return merged(spans, gap, late)
 
 
 def append_missing(answers: DataFrame, table: str, key: str, checkpoint: str) -> StreamingQuery:
-    """Append a stream's rows whose key the table (a Parquet folder) lacks: an incremental cache of answers."""
+    """Append a stream's rows whose key the table (a Parquet folder) lacks: an incremental cache of answers.
+
+    It reads the keys of the whole folder for each batch; sources.caches.Cache reads nothing to append.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates([key])
-        try:
-            known = spark.read.parquet(table).select(key)
-        except Exception as missing:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            known = fresh.select(key).limit(0)
-        fresh.join(known, key, "left_anti").withColumn("batch", F.lit(number)).write.mode("append").parquet(table)
+        if exists(spark, table):
+            fresh = fresh.join(spark.read.parquet(table).select(key), key, "left_anti")
+        fresh.withColumn("batch", F.lit(number)).write.mode("append").parquet(table)
 
     return answers.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

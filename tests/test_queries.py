@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from loomspan import more_queries  # noqa: F401  registers its queries
+from loomspan import long_queries, more_queries  # noqa: F401  they register their queries
 from loomspan.queries import ORACLES, QUERIES
 from verify import TABLES, plain
 

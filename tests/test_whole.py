@@ -58,18 +58,27 @@ def test_runs_of_letters_are_normalized(spark, tmp_path):
     assert want["soooo"] == want["Soooo,"] == "so" and want["1000"] == "1000" and want["äää"] == "ä"
 
 
-def test_anchors_are_searched_in_all_of_all_documents(spark, tmp_path):
+def test_whole_items_are_searched_where_documents_share_five_words(spark, tmp_path):
     filler = [f"w{i % 7} x{i % 11}" for i in range(150)]
-    items = [(7, "One two, three four five six"), (9, "red green blue white black")]
-    docs = [(i, " ".join(filler[:i] + ["one two tree four five", "red green"] + filler[:9])) for i in (0, 39, 40, 77, 130)]
+    items = [(7, "One two, three four five six seven"), (9, "red green blue white black"), (11, "too short"), (12, None)]
+    docs = [(i, " ".join([*filler[:i], "one two ' three four five sax seven", "red green blue - white black" if i % 2 else "red green", *filler[:9]])) for i in (0, 39, 40, 77, 130)]
+    docs += [(200, None), (None, items[0][1]), (201, "one two three four other five"), (202, "One two, three four five")]
     folder = save(spark, tmp_path, documents=(docs, "doc_id long, text string"), benchmark=(items, "item_id long, text string"))
-    got = {r.doc_id: (r.score, r.heard_at) for r in QUERIES["jn_anchor_best"](spark, folder).collect()}
-    assert sorted(got) == [i for i, _ in docs]
+    got = {(r.doc_id, r.item_id): (r.score, r.heard_at) for r in QUERIES["jn_anchor_best"](spark, folder).collect()}
+    want = {}
+    words = lambda t: [w for w in map(normal, split(t or "")) if w]
     for i, t in docs:
-        text, heard, best = ["one two three four five", "red green blue white black"][i % 2], [normal(w) for w in split(t)], (-1.0, None)
-        for n in (4, 5, 6):
-            for k in range(len(heard) - n + 1):
-                said = " ".join(heard[k : k + n])
-                score = 200 * common_length(text, said) / (len(text) + len(said))
-                best = (score, k * 0.3) if score > best[0] else best
-        assert got[i] == pytest.approx(best)
+        for item, u in items:
+            heard, asked, best = words(t), words(u), (-1.0, None)
+            runs = {tuple(asked[k : k + 5]) for k in range(len(asked) - 4)}
+            hits = [k for k in range(len(heard) - 4) if tuple(heard[k : k + 5]) in runs]
+            if i is None or not hits:
+                continue
+            text = " ".join(asked)
+            for n in sorted({max(1, min(len(heard), len(asked) + d)) for d in (-1, 0, 1)}):
+                for k in range(max(0, hits[0] - len(asked)), min(len(heard) - n, hits[-1] + len(asked)) + 1):
+                    said = " ".join(heard[k : k + n])
+                    score = 200 * common_length(text, said) / (len(text) + len(said))
+                    best = (score, k * 0.3) if score > best[0] else best
+            want[i, item] = pytest.approx(best)
+    assert got == want and len(want) == 8
