@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm import language_model, licenses, pieces, toxicity
@@ -81,6 +81,15 @@ def op9_chat_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
 
+def chat_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9's operator on conversations whose turns each quote the one before, wrapped anew at 60 characters: whom each answers."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    quote = F.rtrim(F.regexp_replace(F.trim(before), r"(?s)\s*(\S.{0,59})(?=\s|\z)", "> $1\n"))
+    made = rows.withColumn("text", F.concat_ws("\n", F.regexp_replace(quote, r"\n(?!> )", "\n> "), "text"))
+    return conversations(made).select("conv_id", "turn", "reply_to")
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
@@ -163,6 +172,44 @@ o AS (SELECT word, word AS root FROM f WHERE form IS NULL UNION ALL SELECT f.wor
 SELECT f.word, form, root, n, n_near, form_n FROM f JOIN o ON o.word = f.word
 """
 
+def _way(of: str, cost: str, letter: str, line: str = "") -> str:
+    """SQL for a way of op12 that goes on from another: its cost, audit and lines."""
+    lines = f"list_append({of}.t, {line})" if line else f"{of}.t"
+    return f"{{'c': {of}.c + {cost}, 'a': {of}.a || '{letter}', 't': {lines}}}"
+
+
+def _kept(of: str, initial: str) -> str:
+    name = {"u": "user", "a": "assistant"}.get(initial)
+    rerole = f", CASE WHEN ok THEN {_way(of, '1 + m', 'R', f"'{name}:' || text")} END" if name else ""
+    return f"CASE WHEN ok AND i1 = '{initial}' THEN {_way(of, 'm', 'K', "role || ':' || text")} END{rerole}"
+
+
+OP12_SQL = rf"""
+WITH RECURSIVE crc AS (SELECT {CRC_TABLE} AS t),
+b AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k FROM conversations, crc),
+d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN k = 3 THEN [1, 2] ELSE [1] END) AS n FROM b WHERE k <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, n) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, n) AS seen,
+  regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) AS last FROM d),
+f AS (SELECT conv_id, turn, role, text, i, left(role, 1) AS i1, CASE WHEN last = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM o),
+r AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]}} AS e, {{'c': 1000000000::BIGINT, 'a': '', 't': []::VARCHAR[]}} AS s,
+    {{'c': 5::BIGINT, 'a': 'I', 't': ['user:']}} AS u, {{'c': 10::BIGINT, 'a': 'II', 't': ['user:', 'assistant:']}} AS a FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, e1, s1, u2, list_min([a1, {_way('u2', '5', 'I', "'assistant:'")}]) FROM (
+    SELECT *, list_min([u1, {', '.join(_way(x, '5', 'I', "'user:'") for x in ('e1', 's1', 'a1'))}]) AS u2 FROM (
+      SELECT conv_id, i, {_way('e', '2', 'D')} AS e1, list_min([{_way('s', '2', 'D')}, {_kept('e', 's')}]) AS s1,
+        list_min([{_way('u', '2', 'D')}, {', '.join(_kept(x, 'u') for x in 'esa')}]) AS u1, list_min([{_way('a', '2', 'D')}, {_kept('u', 'a')}]) AS a1
+      FROM (SELECT r.conv_id, f.i, e, s, u, a, role, text, i1, fault NOT IN ('blank', 'duplicate') AS ok, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS m FROM r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.i = r.i + 1)))),
+g AS (SELECT conv_id, i, fault, turn, lag(i1) OVER (PARTITION BY conv_id ORDER BY i) || i1 AS two FROM f),
+c AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id),
+z AS (SELECT r.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, list_min([e, a]) AS best
+  FROM r LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM r.conv_id WHERE r.i = coalesce(c.n, 0))
+SELECT conv_id, gaps, blank, duplicate, truncated, illegal, best.c AS cost, best.a AS audit, sha256(coalesce(array_to_string(best.t, chr(10)), '')) AS repaired_sha256 FROM z
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_sharding": op2_sharding,
@@ -173,6 +220,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sentencepiece": op7_sentencepiece,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_chat_quotations": op9_chat_quotations,
+    "chat_replies": chat_replies,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
     "op11_html_extraction": op11_html_extraction,
     "op12_conversation_repair": op12_conversation_repair,
@@ -180,9 +228,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "chat_replies": "SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS reply_to FROM conversations",
     "op4_minhash_near_dedup": OP4_SQL,
     "op6_license_scan": licenses.scan_sql(),
     "op8_exact_top_k": OP8_SQL,
     "op10_embedding_near_dedup": OP10_SQL,
+    "op12_conversation_repair": OP12_SQL,
     "op13_spelling_variants": OP13_SQL,
 }
