@@ -14,7 +14,7 @@ LARGEST = 20 << 20  #: bytes of a subtitle file at most
 def read_files(spark: SparkSession, path: str, language: str = "en", most: int = LARGEST) -> DataFrame:
     """(media, content) of the subtitle files in a folder and its subfolders that are not too large."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.where(F.col("length") <= most).select(F.col("path").alias("media"), decode_text("content", F.lit(language)).alias("content"))
+    return files.where(F.col("length") <= most).select(F.col("path").alias("media"), decode_text(F.col("content"), F.lit(language)).alias("content"))
 
 
 def _seconds(stamp: Column) -> Column:
