@@ -10,6 +10,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
+SMALL = 32 << 20  #: bytes a core of an input that spread deals out
+
+
 def local_session(cores: str | int = "*", partitions: int = 8, **conf: str) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     builder = (
@@ -30,13 +33,21 @@ def local_session(cores: str | int = "*", partitions: int = 8, **conf: str) -> S
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt to all cores where it lies in a few files only, for work that takes far longer than reading.
+    """df dealt to all cores where it lies in a few small files only, for work that takes far longer than reading.
 
-    A file with one row group is one task, however long its rows take. With a quarter as many files as cores, or fewer, rows are
-    dealt out evenly; larger inputs stay as they are.
+    A file with one row group is one task, however long its rows take. With a quarter as many files as cores, or fewer, and
+    no more than SMALL bytes a core in them, rows are dealt out evenly; larger inputs, and rows that lie in no files, stay as they are.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 4 * len(df.inputFiles()) <= cores else df
+    spark, files = df.sparkSession, df.inputFiles()
+    cores = spark.sparkContext.defaultParallelism
+    few = 0 < 4 * len(files) <= cores
+    return df.repartition(cores) if few and _size(spark, files) <= cores * SMALL else df
+
+
+def _size(spark: SparkSession, files: list[str]) -> int:
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(f)) for f in files]
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    return sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
 
 
 def shared_folder(spark: SparkSession) -> str:

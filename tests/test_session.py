@@ -2,7 +2,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from loomspan.session import clear, discard, durable, scratch, shared_folder, small_batches
+from loomspan.session import clear, discard, durable, scratch, shared_folder, small_batches, spread
 
 
 def test_tables_are_kept_until_they_are_deleted(spark):
@@ -32,3 +32,16 @@ def test_a_cluster_needs_a_shared_folder():
     for master in ("yarn", "spark://x:7077", "local-cluster[2,1,1024]"):
         with pytest.raises(ValueError):
             shared_folder(cluster(master))
+
+
+def test_small_inputs_of_few_files_are_spread(spark, tmp_path):
+    path = str(tmp_path / "one file")
+    spark.range(100).coalesce(1).write.parquet(path)
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(df).rdd.getNumPartitions() == cores and spread(df).count() == 100
+    made = spark.range(100).coalesce(1)
+    assert spread(made).rdd.getNumPartitions() == 1
+    spark.range(100).repartition(8).write.parquet(path + "s")
+    many = spark.read.parquet(path + "s")
+    assert spread(many).sameSemantics(many)
