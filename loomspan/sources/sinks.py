@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions.text import srt_time
@@ -32,10 +32,42 @@ def mute_commands(spans: DataFrame, fade: float = 0.01) -> DataFrame:
     return spans.withColumns({"previous": F.lag("end", 1, 0.0).over(order), "fade": F.least(F.lit(fade), (F.col("end") - F.col("start")) / 3)})
 
 
+def _number(x: Column) -> Column:
+    """A double as JSON without an exponent, as to_json writes those of 10 million and more; to_json's own from 1e15 on."""
+    plain = F.regexp_replace(F.when(F.abs(x) < 1e15, x).try_cast("decimal(38,6)").cast("string"), r"(\.\d+?)0+$", "$1")
+    own = F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.concat(F.lit('"'), x.cast("string"), F.lit('"'))).otherwise(x.cast("string"))
+    return F.coalesce(plain, own)
+
+
+def _field(name: str, value: Column) -> Column:
+    """"name":value for a value that is JSON; null for null."""
+    return F.concat(F.lit(f'"{name}":'), value)
+
+
+def _text(name: str, value: Column) -> Column:
+    """"name":value for any value that to_json writes; null for null."""
+    json = F.to_json(F.struct(value.alias(name)))
+    return F.when(value.isNotNull(), F.substr(json, F.lit(2), F.length(json) - 2))
+
+
+def _object(*fields: Column) -> Column:
+    return F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
+
+
+def _list(items: Column) -> Column:
+    return F.concat(F.lit("["), F.coalesce(F.array_join(items, ","), F.lit("")), F.lit("]"))
+
+
+def _span(s: Column) -> list[Column]:
+    return [_field(c, _number(s[c])) for c in ("start", "end")]
+
+
 def reports(spans: DataFrame, version: int = 1) -> DataFrame:
     """(media, json): one report for each media."""
-    rows = F.array_sort(F.collect_list(F.struct(F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))))
-    return spans.groupBy("media").agg(F.to_json(F.struct(F.lit(version).alias("schema_version"), rows.alias("intervals"))).alias("json"))
+    sec = lambda c: F.round(F.col(c).cast("double"), 3).alias(c)
+    rows = F.array_sort(F.collect_list(F.struct(sec("start"), sec("end"))))
+    whole = _object(_text("schema_version", F.lit(version)), _field("intervals", _list(F.transform(rows, lambda s: _object(*_span(s))))))
+    return spans.groupBy("media").agg(whole.alias("json"))
 
 
 def full_reports(files: DataFrame, spans: DataFrame, detections: DataFrame, settings: dict[str, str] | None = None, version: int = 1) -> DataFrame:
@@ -51,14 +83,14 @@ def full_reports(files: DataFrame, spans: DataFrame, detections: DataFrame, sett
     intervals = spans.groupBy("media").agg(F.array_sort(F.collect_list(own)).alias("intervals"))
     heard = detections.groupBy("media").agg(F.array_sort(F.collect_list(found)).alias("detections"))
     rows = files.join(intervals, "media", "left").join(heard, "media", "left")
-    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
     fixed = F.create_map(*(F.lit(x) for pair in (settings or {}).items() for x in pair)) if settings else F.create_map().cast("map<string,string>")
-    whole = F.struct(
-        F.lit(version).alias("schema_version"),
-        F.struct("path", "size", "oshash", sec("duration")).alias("input"),
-        F.struct("index", "codec", "channels", "language").alias("audio_stream"),
-        fixed.alias("settings"),
-        empty("detections", "array<struct<start:double,end:double,text:string,term:string,category:string,confidence:double>>"),
-        empty("intervals", "array<struct<start:double,end:double>>"),
+    detection = lambda d: _object(*_span(d), *(_text(c, d[c]) for c in ("text", "term", "category")), _field("confidence", _number(d["confidence"])))
+    whole = _object(
+        _text("schema_version", F.lit(version)),
+        _field("input", _object(*(_text(c, F.col(c)) for c in ("path", "size", "oshash")), _field("duration", _number(sec("duration"))))),
+        _field("audio_stream", _object(*(_text(c, F.col(c)) for c in ("index", "codec", "channels", "language")))),
+        _text("settings", fixed),
+        _field("detections", _list(F.transform("detections", detection))),
+        _field("intervals", _list(F.transform("intervals", lambda s: _object(*_span(s))))),
     )
-    return rows.select("media", F.to_json(whole).alias("json"))
+    return rows.select("media", whole.alias("json"))
