@@ -255,41 +255,31 @@ def parse_answer(text: Column, field: str, allowed: list[str]) -> Column:
 def fuzz_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """200 * common subsequence / total length; 100 for two empty texts. Null if either is.
 
-    Pairs are worked on together, those of about one length at once: a row of the table of each pair is a row of one
-    array, and every step takes one character of all the second texts.
+    A text's places of each character are the bits of one number, so a character of the other text is a few operations.
     """
     known = a.notna() & b.notna()
-    x, y = a[known].tolist(), b[known].tolist()
-    out = np.full(len(x), 100.0)
-    size = np.array([max(len(p), len(q)) for p, q in zip(x, y, strict=True)], np.int64)
-    order = np.argsort(size, kind="stable")
-    low = 0
-    while low < len(order):
-        high = low + 1
-        while high < len(order) and (high - low + 1) * size[order[high]] <= 1 << 20 and size[order[high]] <= 2 * size[order[low]] + 8:
-            high += 1
-        rows = order[low:high]
-        out[rows] = _ratios([x[i] for i in rows], [y[i] for i in rows])
-        low = high
     result = pd.Series(np.nan, index=a.index)
-    result[known] = out
+    result[known] = _ratios(a[known].tolist(), b[known].tolist())
     return result.astype(object).where(known, None).astype("float64")
 
 
 def _ratios(x: list[str], y: list[str]) -> np.ndarray:
-    """200 * length of the longest common subsequence / both lengths, of each pair."""
-    codes = [np.zeros((len(z), max(map(len, z), default=0)), np.uint32) for z in (x, y)]
-    for table, texts, none in zip(codes, (x, y), (0xFFFFFFFE, 0xFFFFFFFF), strict=True):
-        table[:] = none
-        for i, t in enumerate(texts):
-            table[i, : len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
-    first, second = codes
-    best = np.zeros((len(x), first.shape[1] + 1), np.int32)
-    for column in second.T:
-        grown = np.where(first == column[:, None], best[:, :-1] + 1, best[:, 1:])
-        best[:, 1:] = np.maximum.accumulate(np.maximum(grown, 0), 1)
-    total = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)])
-    return np.where(total > 0, 200 * best[:, -1] / np.maximum(total, 1), 100.0)
+    """200 * length of the longest common subsequence / both lengths, of each pair. Equal first texts best stand together."""
+    out = np.full(len(x), 100.0)
+    last, places, whole = None, {}, 0
+    for i, (first, second) in enumerate(zip(x, y, strict=True)):
+        if not first and not second:
+            continue
+        if first != last:
+            last, places, whole = first, {}, (1 << len(first)) - 1
+            for place, c in enumerate(first):
+                places[c] = places.get(c, 0) | 1 << place
+        rest = whole  # bits that are 0 are places where the subsequence grows by one
+        for c in second:
+            if hit := rest & places.get(c, 0):
+                rest = (rest + hit | rest - hit) & whole
+        out[i] = 200 * (len(first) - rest.bit_count()) / (len(first) + len(second))
+    return out
 
 
 def sorted_words(text: Column) -> Column:

@@ -24,10 +24,13 @@ __all__ = ["MASKED", "SEARCH", "Part", "Term", "WordList", "listed", "part", "pa
 
 
 def tokens(lines: DataFrame, id: str, text: str = "text") -> DataFrame:
-    """(id, pos, raw, token): the words of each line."""
+    """(id, pos, raw, token): the words of each line.
+
+    An outer explode, as for a plain one Spark first filters by the array's size, and works all words out twice for it.
+    """
     rows = lines.select(id, T.split_words(F.col(text)).alias("_raw"))
     rows = rows.select(id, "_raw", T.normalized_words(F.col("_raw")).alias("_token"))
-    return rows.select(id, F.posexplode(F.arrays_zip("_raw", "_token")).alias("pos", "_w")).select(id, "pos", F.col("_w._raw").alias("raw"), F.col("_w._token").alias("token"))
+    return rows.select(id, F.posexplode_outer(F.arrays_zip("_raw", "_token")).alias("pos", "_w")).where("pos IS NOT NULL").select(id, "pos", F.col("_w._raw").alias("raw"), F.col("_w._token").alias("token"))
 
 
 def _schema(df: DataFrame, id: str) -> StructType:

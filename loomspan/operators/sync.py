@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -86,6 +87,31 @@ def decision(matched: Column, tried: Column, error: Column, fidelity: Column, le
     return F.when(tried == 0, "no-anchors").when(matched < least * tried, "unmatched").when(error > most, "error").when(fidelity.isNull() | (fidelity < faithful), "fidelity")
 
 
+def word_runs(rows: DataFrame, id: str, words: str, size: int = 5) -> DataFrame:
+    """(id, pos, run): a 64-bit hash of each run of so many neighbouring words of an array; pos is its first word's place."""
+    rows = rows.select(id, words)  # shorter arrays give nothing; a filter here would make Spark work the words out twice
+    kind = rows.schema[id].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            distinct = lists.flatten().dictionary_encode()
+            own = pd.util.hash_array(np.array(distinct.dictionary.to_pylist(), object), categorize=False)[distinct.indices.to_numpy(zero_copy_only=False)]
+            ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
+            row = np.repeat(np.arange(len(lists)), np.diff(ends, prepend=0))
+            pos = np.arange(len(own)) - (ends - np.diff(ends, prepend=0))[row]
+            n = max(0, len(own) - size + 1)
+            hashed = np.zeros(n, np.uint64)
+            for k in range(size):
+                hashed = (hashed ^ own[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+                hashed ^= hashed >> np.uint64(29)
+            whole = np.flatnonzero(row[:n] == row[size - 1 :])
+            for some in (whole[i : i + (1 << 17)] for i in range(0, len(whole), 1 << 17)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[some])), pa.array(pos[some].astype(np.int32)), pa.array(hashed[some].view(np.int64))], [id, "pos", "run"])
+
+    return rows.mapInArrow(run, f"`{id}` {kind}, pos int, run long")
+
+
 def _tried(anchors_: DataFrame, words: DataFrame, keys: Sequence[str], size: float) -> DataFrame:
     """Every run that best_window and scored_runs compare, with its score."""
     most = (anchors_.agg(F.max("n_words")).first()[0] or 0) + 1
@@ -97,7 +123,10 @@ def _tried(anchors_: DataFrame, words: DataFrame, keys: Sequence[str], size: flo
     pairs = left.join(right, [*keys, "_bin"]).where((F.col("at") >= F.col("low")) & (F.col("at") <= F.col("high")))
     sizes = F.array_distinct(F.array(*(F.greatest(F.least(F.col("n_words") + k, F.col("_heard")), F.lit(1)) for k in (-1, 0, 1))))
     pairs = pairs.withColumn("_n", F.explode(sizes)).where(F.size("_run") >= F.col("_n"))
-    return pairs.withColumn("said", F.array_join(F.slice("_run", 1, F.col("_n")), " ")).withColumn("score", fuzz_ratio(F.col("text"), F.col("said")))
+    pairs = pairs.withColumn("said", F.array_join(F.slice("_run", 1, F.col("_n")), " ")).drop("_run")
+    # few bytes, but long work: as many tasks as a shuffle has, which adaptive execution would take for small ones and join
+    tasks = max(int(anchors_.sparkSession.conf.get("spark.sql.shuffle.partitions")), anchors_.sparkSession.sparkContext.defaultParallelism)
+    return pairs.repartition(tasks, *keys, "pos").withColumn("score", fuzz_ratio(F.col("text"), F.col("said")))
 
 
 def scored_runs(anchors_: DataFrame, words: DataFrame, keys: Sequence[str], id: str, size: float = 30) -> DataFrame:

@@ -24,7 +24,7 @@ from loomspan.operators import spans as S
 from loomspan.operators import sync as A
 from loomspan.plans.scan import scan
 from loomspan.sources import sinks as K
-from loomspan.session import spread
+from loomspan.session import durable, spread
 from loomspan.sources import subtitles as Q
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -710,13 +710,14 @@ def jn_anchor_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     normalised. Null doc_ids are searched for nothing.
     """
     heard = lambda rows, id: rows.where(F.col(id).isNotNull()).select(id, F.filter(X.normalized_words(X.split_words(F.col("text"))), lambda w: w != "").alias("w"))
-    five = F.transform(F.sequence(F.lit(0), F.size("w") - 5), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, 5), " ")))
-    runs = lambda rows, id: rows.where(F.size("w") >= 5).select(id, F.posexplode(five).alias("pos", "run"))
     said, items = heard(lines(spark, sf_dir), "doc_id"), heard(table(spark, sf_dir, "benchmark"), "item_id")
-    shared = runs(said, "doc_id").join(runs(items, "item_id").select("item_id", "run").distinct(), "run").groupBy("doc_id", "item_id").agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
+    listed = durable(A.word_runs(items, "item_id", "w").select("item_id", "run").distinct(), "listed")  # its size is known, so a small one is broadcast
+    shared = A.word_runs(said, "doc_id", "w").join(listed, "run").groupBy("doc_id", "item_id").agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
+    shared = durable(shared, "shared")  # read for the anchors, their largest and the documents that they are searched in
     asked = shared.join(items.select("item_id", F.array_join("w", " ").alias("text"), F.size("w").alias("n_words")), "item_id")
     asked = asked.select("doc_id", F.col("item_id").alias("cue"), "text", "n_words", ((F.col("a") - F.col("n_words")) * 0.3).alias("low"), ((F.col("b") + F.col("n_words")) * 0.3).alias("high"))
-    words = said.join(shared.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.posexplode("w").alias("pos", "token")).withColumn("start", F.col("pos") * 0.3)
+    words = heard(lines(spark, sf_dir).join(shared.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
+    words = words.select("doc_id", F.posexplode_outer("w").alias("pos", "token")).where("pos IS NOT NULL").withColumn("start", F.col("pos") * 0.3)
     return A.best_window(asked, words, ["doc_id"], "cue").select("doc_id", F.col("cue").alias("item_id"), "score", "fidelity", "heard_at")
 
 
@@ -742,7 +743,7 @@ def fn_quietest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def plan_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole scan of documents, a word each 0.3 s."""
-    rows = lines(spark, sf_dir).select(F.col("doc_id").cast("string").alias("media"), F.posexplode(X.split_words(F.col("text"))).alias("pos", "text"))
+    rows = lines(spark, sf_dir).select(F.col("doc_id").cast("string").alias("media"), F.posexplode_outer(X.split_words(F.col("text"))).alias("pos", "text")).where("pos IS NOT NULL")
     words = rows.select("media", "pos", "text", (F.col("pos") * 0.3).alias("start"), (F.col("pos") * 0.3 + 0.25).alias("end"), F.lit(1.0).alias("probability"))
     return scan(words, TERMS[:3])[1]
 
