@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,19 +156,56 @@ def run_fidelity(text: Column, said: Column) -> Column:
     return fuzz_ratio(sorted_words(text), sorted_words(said)) / 100
 
 
-def model(x: np.ndarray, y: np.ndarray, scale: float = 1.0, span: float = 60, tie: float = 0.05) -> tuple[float, float, float]:
-    """(scale, offset, error) of fit for one candidate's pairs so far; without pairs the given scale and nothing else."""
-    if not len(x):
-        return scale, 0.0, 0.0
-    free = len(x) >= 3 and np.ptp(x) >= span
-    scales = np.array([scale, *(r for r in RATIOS if free and r != scale)])
-    rest = y - scales[:, None] * x
-    offsets = np.median(rest, axis=1)
-    errors = np.median(np.abs(rest - offsets[:, None]), axis=1)
-    best = 0
-    for i in range(1, len(scales)):
-        best = i if errors[i] < errors[best] - tie else best
-    return float(scales[best]), float(offsets[best]), float(errors[best])
+class Model:
+    """fit for the pairs of one candidate as they come: each scale's residuals stay in order, so a pair costs a few looks."""
+
+    def __init__(self, scale: float = 1.0, span: float = 60, tie: float = 0.05) -> None:
+        self.scales = [scale, *(r for r in RATIOS if r != scale)]
+        self.rests: list[list[float]] = [[] for _ in self.scales]
+        self.pairs: list[tuple[float, float]] = []
+        self.span, self.tie, self.low, self.high = span, tie, float("inf"), float("-inf")
+
+    def add(self, x: float, y: float) -> None:
+        self.pairs.append((x, y))
+        self.low, self.high = min(self.low, x), max(self.high, x)
+        for scale, rest in zip(self.scales, self.rests, strict=True):
+            insort(rest, y - scale * x)
+
+    def of(self, scale: float) -> Model:
+        """The same pairs with another scale before any fit."""
+        other = Model(scale, self.span, self.tie)
+        for x, y in self.pairs:
+            other.add(x, y)
+        return other
+
+    def best(self) -> tuple[float, float, float]:
+        """(scale, offset, error); without pairs the given scale and nothing else."""
+        n = len(self.rests[0])
+        if not n:
+            return self.scales[0], 0.0, 0.0
+        found = None
+        for scale, rest in zip(self.scales, self.rests, strict=True):
+            offset = rest[n // 2] if n % 2 else (rest[n // 2 - 1] + rest[n // 2]) / 2
+            error = _distance(rest, offset, n // 2) if n % 2 else (_distance(rest, offset, n // 2 - 1) + _distance(rest, offset, n // 2)) / 2
+            if found is None or error < found[2] - self.tie:
+                found = scale, offset, error
+            if n < 3 or self.high - self.low < self.span:
+                break
+        return found
+
+
+def _distance(rest: list[float], middle: float, k: int) -> float:
+    """Of the distances of sorted numbers from one amid them the k-th, from 0: those below and above are in order already."""
+    m = bisect_left(rest, middle)
+    low, high = max(0, k + 1 - len(rest) + m), min(m, k + 1)
+    while low < high:  # how many of the first k + 1 are below the middle
+        i = (low + high) // 2
+        if rest[m + k - i] - middle <= middle - rest[m - 1 - i]:
+            high = i
+        else:
+            low = i + 1
+    below = middle - rest[m - low] if low else 0.0
+    return max(below, rest[m + k - low] - middle) if k >= low else below
 
 
 def track(anchors_: DataFrame, runs: DataFrame, key: str, id: str = "cue", threshold: float = 75, shortest: float = 0.5, span: float = 60, tie: float = 0.05) -> DataFrame:
@@ -182,7 +219,8 @@ def track(anchors_: DataFrame, runs: DataFrame, key: str, id: str = "cue", thres
     far, as fit does; so a drift that builds up stays in the window. A window shorter than `shortest` isn't searched; its score is 0, as
     is that of a window without runs.
 
-    A candidate's few anchors and their runs are one group; the runs are scored and cut to anchors before, in tasks of their own.
+    A candidate's runs come before its anchors, in order, and stream through a task, which holds the runs and pairs of one
+    candidate; the runs are scored and cut to anchors before, in tasks of their own.
     Null keys are one candidate; null starts, ends and scores are left out; an empty table gives an empty one.
     """
     none = lambda kind: F.lit(None).cast(kind)
@@ -190,34 +228,39 @@ def track(anchors_: DataFrame, runs: DataFrame, key: str, id: str = "cue", thres
     right = runs.where(F.col("score").isNotNull()).select(key, id, *(none("double").alias(c) for c in ("start", "end", "radius", "duration", "scale")), F.col("at").cast("double").alias("at"), F.col("n_words").cast("int").alias("n_words"), F.col("score").cast("double").alias("score"), F.col("fidelity").cast("double").alias("fidelity"))
     kind = lambda c: anchors_.schema[c].dataType.simpleString()
 
-    def follow(table: pa.Table) -> pa.Table:
-        asked = table.column("start").is_valid()
-        heard = table.filter(pc.invert(asked)).sort_by([("score", "descending"), ("n_words", "ascending"), ("at", "ascending")])
-        places, times = {}, heard.column("at").to_numpy()
-        for place, name in enumerate(heard.column(id).to_pylist()):
-            places.setdefault(name, []).append(place)
-        scores, fidelities = heard.column("score").to_numpy(), heard.column("fidelity").to_pylist()
-        x, y, fitted, rows = [], [], None, []
-        for anchor in table.filter(asked).sort_by([("start", "ascending"), (id, "ascending")]).to_pylist():
-            scale, offset, _ = fitted or model(np.zeros(0), np.zeros(0), anchor["scale"] or 1.0)
-            low = max(0.0, scale * anchor["start"] + offset - anchor["radius"])
-            high = scale * anchor["end"] + offset + anchor["radius"]
-            high = high if anchor["duration"] is None else min(anchor["duration"], high)
-            score, fidelity, at = 0.0, None, None
-            if high - low >= shortest:
-                own = np.array(places.get(anchor[id], ()), np.int64)
-                inside = own[(times[own] >= low) & (times[own] <= high)]
-                if len(inside):  # the best stands first
-                    score, fidelity = float(scores[inside[0]]), fidelities[inside[0]]
-                    if score >= threshold:
-                        at = float(times[inside[0]])
-                        x.append(anchor["start"])
-                        y.append(at)
-                        fitted = model(np.array(x), np.array(y), anchor["scale"] or 1.0, span, tie)
-            rows.append({key: anchor[key], id: anchor[id], "start": anchor["start"], "low": low, "high": max(low, high), "score": score, "fidelity": fidelity, "heard_at": at})
-        types = [(c, table.schema.field(c).type) for c in (key, id)] + [(c, pa.float64()) for c in ("start", "low", "high", "score", "fidelity", "heard_at")]
-        return pa.Table.from_pylist(rows, pa.schema(types))
-
     schema = f"`{key}` {kind(key)}, `{id}` {kind(id)}, start double, low double, high double, score double, fidelity double, heard_at double"
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, places, fitted, line = (), {}, None, None
+        for batch in batches:
+            rows: list[tuple] = []
+            for own, name, start, end, radius, duration, scale, at, n_words, score, fidelity in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != (own,):
+                    now, places, fitted, line = (own,), {}, None, None
+                if start is None:  # a run; the best of an anchor stands first
+                    places.setdefault(name, []).append((at, score, fidelity))
+                    continue
+                factor, offset = (line or (scale or 1.0, 0.0, 0.0))[:2]
+                low = max(0.0, factor * start + offset - radius)
+                high = factor * end + offset + radius
+                high = high if duration is None else min(duration, high)
+                best, like, heard = 0.0, None, None
+                if high - low >= shortest:
+                    found = next((r for r in places.get(name, ()) if r[0] is not None and low <= r[0] <= high), None)
+                    if found:
+                        best, like = found[1:]
+                        if best >= threshold:
+                            heard = found[0]
+                            fitted = fitted or Model(scale or 1.0, span, tie)
+                            if fitted.scales[0] != (scale or 1.0):  # another anchor names another scale
+                                fitted = fitted.of(scale or 1.0)
+                            fitted.add(start, heard)
+                            line = fitted.best()
+                rows.append((own, name, start, low, max(low, high), best, like, heard))
+            if rows:
+                types = [batch.schema.field(0).type, batch.schema.field(1).type, *[pa.float64()] * 6]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [key, id, "start", "low", "high", "score", "fidelity", "heard_at"])
+
     both = left.withColumns({c: F.col(c).cast("double") for c in ("start", "end", "radius")}).unionByName(right)
-    return both.groupBy(key).applyInArrow(follow, schema)
+    order = [F.col(key), F.col("start").isNotNull(), F.isnan("score"), F.desc("score"), F.col("n_words").asc_nulls_last(), F.col("at").asc_nulls_last(), F.col("start"), F.col(id).asc_nulls_last()]
+    return both.repartition(key).sortWithinPartitions(*order).mapInArrow(follow, schema)
