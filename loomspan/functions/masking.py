@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from loomspan.functions import text as T
 from loomspan.operators.matching import Term, match
+from loomspan.session import durable
 from loomspan.sources.subtitles import subtitle_format
 
-EDGE_CLASS = "[" + "".join("\\" + c for c in T.EDGE + T.QUOTES) + "]"
-
 #: markup, which a viewer does not see: override blocks, tags and times
 SKIPPED = r"\{[^{}]*\}|</?[a-zA-Z][^<>]*>|<\d[\d:.]*>"
 
@@ -31,8 +33,10 @@ def visible(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, SKIPPED, ""), r"\\[Nnh]", " ")
 
 
-UNIT = rf"(?s)(?:{SKIPPED})*+(?:\\[Nnh]|.)|(?:{SKIPPED})++\z"  #: one visible character with the markup before it; or the markup at the end
-WORDLIKE = r"[\p{L}\p{N}]"
+_SKIPPED = re.compile(SKIPPED, re.ASCII)
+_UNIT = re.compile(rf"(?:{SKIPPED})*+(?:\\[Nnh]|.)|(?:{SKIPPED})++\Z", re.ASCII | re.DOTALL)  #: one visible character with the markup before it; or the markup at the end
+_LETTER = re.compile(r"(?:\\[Nnh]|.)\Z", re.DOTALL)  #: the visible part of a unit; a break of two characters is one
+_WHITE = re.compile(f"[{T.WHITE}]")
 
 
 def mask_text(text: Column, spans: Column, mode: str) -> Column:
@@ -42,60 +46,67 @@ def mask_text(text: Column, spans: Column, mode: str) -> Column:
     for its line ends. Of the two spaces around what was removed one goes too: the one behind it where it stood at the
     beginning or behind white space, else the one before it if no word follows directly. Null spans leave the text.
     """
-    units = F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
-    size = F.size(F.regexp_extract_all(visible(text), F.lit("(?s)."), F.lit(0)))
-    inside = F.transform(spans, lambda s: F.struct(F.greatest(s["first"], F.lit(0)).cast("int").alias("first"), F.least(s["last"], size).cast("int").alias("last")))
-    inside = F.filter(inside, lambda s: s["first"] < s["last"])
-    whole = T.let(units, lambda u: T.let(inside, lambda s: _rejoined(u, s, mode)))
-    return F.when(spans.isNull(), text).otherwise(whole)
-
-
-def _letter(unit: Column) -> Column:
-    """The visible part of a unit; a break of two characters is one."""
-    return F.regexp_extract(unit, r"(?s)(\\[Nnh]|.)\z", 1)
-
-
-def _markup(unit: Column) -> Column:
-    return F.left(unit, F.length(unit) - F.length(_letter(unit)))
-
 
-def _rejoined(units: Column, spans: Column, mode: str) -> Column:
-    """The text before each span and the span as masked, in turns, and the text behind the last."""
-    at = lambda i: F.coalesce(_letter(F.get(units, i)), F.lit(""))
-    real = lambda i: at(i) == " "
-    blank = lambda c: (c == "") | F.rlike(c, F.lit(r"(?U)^(?:\s|\\[Nnh])$"))
-    begin = lambda k: F.when(k == 0, 0).otherwise(F.get(spans, k - 1)["last"])
-    end = lambda k: F.coalesce(F.get(spans, k)["first"], F.size(units))
-    if mode == "remove":
-        behind = lambda k: F.coalesce(real(F.get(spans, k)["last"]) & ((F.get(spans, k)["first"] == 0) | blank(at(F.get(spans, k)["first"] - 1))), F.lit(False))
-        before = lambda k: F.coalesce(~behind(k) & (F.get(spans, k)["first"] > 0) & real(F.get(spans, k)["first"] - 1) & ~F.rlike(at(F.get(spans, k)["last"]), F.lit(f"^{WORDLIKE}$")), F.lit(False))
-        drop_first = lambda k: F.when((k > 0) & behind(F.greatest(k - 1, F.lit(0))), 1).otherwise(0)
-        drop_last = lambda k: F.when((k < F.size(spans)) & before(k), 1).otherwise(0)
+    @F.arrow_udf("string")
+    def masked(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        rows = zip(texts.to_pylist(), spans.to_pylist(), strict=True)
+        return pa.array([t if t is None or s is None else _masked(t, [(x["first"], x["last"]) for x in s], mode) for t, s in rows], pa.string())
 
-        def between(k: Column) -> Column:
-            own = F.slice(units, begin(k) + 1, F.greatest(end(k) - begin(k), F.lit(0)))
-            kept = lambda u, i: F.when((i < drop_first(k)) | (i >= F.size(own) - drop_last(k)), _markup(u)).otherwise(u)
-            edge = (drop_first(k) + drop_last(k)) > 0
-            return F.array_join(F.when(edge, F.transform(own, kept)).otherwise(own), "")
+    return masked(text, spans)
 
-        masked = lambda u: F.when(F.rlike(_letter(u), F.lit(r"^(?:[\r\n]|\\[Nnh])$")), u).otherwise(_markup(u))
-        span = lambda k: F.array_join(F.transform(F.slice(units, F.get(spans, k)["first"] + 1, F.get(spans, k)["last"] - F.get(spans, k)["first"]), masked), "")
-    else:
-        between = lambda k: F.array_join(F.slice(units, begin(k) + 1, F.greatest(end(k) - begin(k), F.lit(0))), "")
 
-        def span(k: Column) -> Column:
-            own = F.slice(units, F.get(spans, k)["first"] + 1, F.get(spans, k)["last"] - F.get(spans, k)["first"])
-
-            def star(u: Column, i: Column) -> Column:
-                word = F.rlike(_letter(u), F.lit(f"^{WORDLIKE}$"))
-                if mode == "first_letter":  # a letter or digit stands before it in its word
-                    word = word & F.rlike(F.array_join(F.transform(F.slice(own, F.lit(1), i), lambda x: F.when(F.length(_letter(x)) > 1, " ").otherwise(_letter(x))), ""), F.lit(rf"(?U){WORDLIKE}\S*\z"))
-                return F.when(word, F.concat(_markup(u), F.lit("*"))).otherwise(u)
-
-            return F.array_join(F.transform(own, star), "")
-
-    each = lambda k: F.concat(between(k), F.when(k < F.size(spans), span(k)).otherwise(""))
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.size(spans)), each), "")
+def _masked(text: str, spans: list[tuple[int, int]], mode: str) -> str:
+    """mask_text for one text: what stands before each span and the span as masked, in turns, and what stands behind the last."""
+    if not spans:
+        return text
+    units = _UNIT.findall(text)
+    letters = [_LETTER.search(u)[0] for u in units]
+    size = len(_seen(text))
+    inside = [(max(a, 0), min(b, size)) for a, b in spans]
+    inside = [(a, b) for a, b in inside if a < b]
+    out, at, behind = [], 0, False
+    for first, last in inside:
+        before = False
+        between = units[at:first]
+        if mode == "remove":
+            drop = behind
+            space = letters[last : last + 1] == [" "]
+            behind = space and (first == 0 or letters[first - 1] in ("\\N", "\\n", "\\h") or _WHITE.fullmatch(letters[first - 1]) is not None)
+            before = not behind and first > 0 and letters[first - 1] == " " and not (last < len(letters) and _wordlike(letters[last]))
+            between = _without_edges(between, drop, before)
+            hidden = [u if c in ("\r", "\n", "\\N", "\\n", "\\h") else u[: len(u) - len(c)] for u, c in zip(units[first:last], letters[first:last], strict=True)]
+        else:
+            hidden = _stars(units[first:last], letters[first:last], mode == "first_letter")
+        out += between
+        out += hidden
+        at = last
+    out += _without_edges(units[at:], behind, False)
+    return "".join(out)
+
+
+def _wordlike(letter: str) -> bool:
+    """Whether a visible part is a letter or a digit."""
+    return len(letter) == 1 and unicodedata.category(letter)[0] in "LN"
+
+
+def _without_edges(units: list[str], first: bool, last: bool) -> list[str]:
+    """Units without the visible parts of the first or the last."""
+    n = len(units)
+    return [u[: len(u) - len(_LETTER.search(u)[0])] if (first and i == 0) or (last and i == n - 1) else u for i, u in enumerate(units)]
+
+
+def _stars(units: list[str], letters: list[str], first_stays: bool) -> list[str]:
+    out, inside = [], False  # inside: a letter or digit stands before in this word
+    for u, c in zip(units, letters, strict=True):
+        word = _wordlike(c)
+        out.append(u[: len(u) - len(c)] + "*" if word and (inside or not first_stays) else u)
+        inside = word or (inside and len(c) == 1 and _WHITE.fullmatch(c) is None)
+    return out
+
+
+def _seen(text: str) -> str:
+    """visible for one text in Python."""
+    return re.sub(r"\\[Nnh]", " ", _SKIPPED.sub("", text))
 
 
 def mask_lines(lines: DataFrame, spans: DataFrame, keys: list[str], mode: str) -> DataFrame:
@@ -105,17 +116,23 @@ def mask_lines(lines: DataFrame, spans: DataFrame, keys: list[str], mode: str) -
     return rows.where(F.trim("text") != "")
 
 
-def core_spans(words: Column, text: Column) -> Column:
-    """Spans of words (array<struct<first,last>>) in a text without the punctuation at their ends."""
-    edge = EDGE_CLASS
+def _cores(text: str, words: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of words in a text without the punctuation at their ends; words of punctuation only are left out."""
+    found = []
+    for first, last in words:
+        word = text[first:last].lstrip(T.EDGE + T.QUOTES)
+        if word:
+            found.append((last - len(word), last - len(word) + len(word.rstrip(T.EDGE + T.QUOTES))))
+    return found
 
-    def cut(w: Column) -> Column:
-        word = F.substr(text, w["first"] + 1, w["last"] - w["first"])
-        lead = F.length(F.regexp_extract(word, f"^{edge}*", 0))
-        trail = F.length(F.regexp_extract(word, f"{edge}*$", 0))
-        return F.struct((w["first"] + lead).alias("first"), (w["last"] - F.when(lead < F.length(word), trail).otherwise(0)).alias("last"))
 
-    return F.filter(F.transform(words, cut), lambda w: w["first"] < w["last"])
+def _censored(text: str, runs: list[tuple[int, int]], mode: str) -> tuple[str, int]:
+    """A text with runs of words (the first, the last) masked, and how many words these are."""
+    seen = _seen(text)
+    words = T.word_places(seen)
+    cores = [c for c in (_cores(seen, words[a : b + 1]) for a, b in runs) if c]
+    spans = [(c[0][0], c[-1][1]) for c in cores] if mode == "remove" else [x for c in cores for x in c]
+    return _masked(text, spans, mode), sum(map(len, cores))
 
 
 def censor(texts: DataFrame, keys: list[str], terms: Sequence[Term], mode: str, allow: Sequence[str] = (), text: str = "text") -> DataFrame:
@@ -128,13 +145,16 @@ def censor(texts: DataFrame, keys: list[str], terms: Sequence[Term], mode: str,
     runs = found.select("_id", "first", "term", F.posexplode("targets").alias("_k", "_t"))
     runs = runs.groupBy("_id", "first", "term", (F.col("_t") - F.col("_k")).alias("_r")).agg(F.min(F.col("first") + F.col("_t")).alias("_a"), F.max(F.col("first") + F.col("_t")).alias("_b"))
     runs = runs.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_a", "_b"))).alias("_runs"))
-    rows = rows.join(runs, "_id", "left").withColumn("_words", T.word_spans(F.col("_seen")))
-    words = F.transform(F.coalesce("_runs", F.array().cast("array<struct<_a:int,_b:int>>")), lambda r: core_spans(F.slice("_words", r["_a"] + 1, r["_b"] - r["_a"] + 1), F.col("_seen")))
-    rows = rows.withColumn("_cores", F.filter(words, lambda c: F.size(c) > 0))
-    whole = F.transform("_cores", lambda c: F.struct(F.get(c, F.lit(0))["first"].alias("first"), F.element_at(c, -1)["last"].alias("last")))
-    rows = rows.withColumn("_spans", whole if mode == "remove" else F.flatten("_cores"))
-    rows = rows.withColumns({text: mask_text(F.col(text), F.col("_spans"), mode), "masked": F.size(F.flatten("_cores"))})
-    return rows.drop("_id", "_seen", "_runs", "_words", "_cores", "_spans")
+    kind = StructType([StructField("text", StringType()), StructField("masked", IntegerType())])
+
+    @F.arrow_udf(kind)
+    def censored(whole: pa.Array, runs: pa.Array) -> pa.Array:
+        rows = zip(whole.to_pylist(), runs.to_pylist(), strict=True)
+        done = [(t, 0) if t is None or not r else _censored(t, [(x["_a"], x["_b"]) for x in r], mode) for t, r in rows]
+        return pa.StructArray.from_arrays([pa.array([t for t, _ in done], pa.string()), pa.array([n for _, n in done], pa.int32())], ["text", "masked"])
+
+    rows = rows.join(runs, "_id", "left").withColumn("_done", censored(F.col(text), F.col("_runs")))
+    return rows.withColumns({text: F.col("_done.text"), "masked": F.col("_done.masked")}).drop("_id", "_seen", "_runs", "_done")
 
 
 def mask_files(files: DataFrame, terms: Sequence[Term], mode: str, allow: Sequence[str] = ()) -> DataFrame:
@@ -151,16 +171,17 @@ def mask_files(files: DataFrame, terms: Sequence[Term], mode: str, allow: Sequen
     head = F.regexp_extract("_b", r"(?s)^(?:(?!(?:^|(?<=\n))\s*(?:\d+:)?\d+:\d+[,.]\d+\s*-->).)*?(?<![^\n])[ \t]*(?:\d+:)?\d+:\d+[,.]\d+[ \t]*-->[^\n]*\n?", 0)
     cue = cue.select("media", "n", head.alias("head"), F.substr("_b", F.length(head) + 1).alias("text"), (head != "").alias("_cue"), F.col("_b"))
     # ASS: a line; the text is the last field of a dialogue line
-    line = known.where("_kind = 'ass'").select("media", "content", F.posexplode(F.regexp_extract_all("content", F.lit(r"[^\n]*\n|[^\n]+\z"), F.lit(0))).alias("n", "_b"))
     fields = F.size(F.split(F.regexp_extract("content", r"(?ims)^\s*\[events\]\s*$.*?^\s*format:([^\r\n]*)", 1), ",", -1))
-    line = line.withColumn("_f", F.when(F.rlike("content", F.lit(r"(?ims)^\s*\[events\]\s*$.*?^\s*format:")), fields).otherwise(10))
+    count = F.when(F.rlike("content", F.lit(r"(?ims)^\s*\[events\]\s*$.*?^\s*format:")), fields).otherwise(10)
+    parts = F.struct(count.alias("_f"), F.regexp_extract_all("content", F.lit(r"[^\n]*\n|[^\n]+\z"), F.lit(0)).alias("_l"))
+    line = known.where("_kind = 'ass'").select("media", parts.alias("_p")).select("media", F.col("_p._f").alias("_f"), F.posexplode("_p._l").alias("n", "_b"))
     commas = F.concat(F.lit(r"(?i)^\s*dialogue:(?:[^,]*,){"), (F.col("_f") - 1).cast("string"), F.lit("}"))
     begin = F.call_function("regexp_extract", F.col("_b"), commas, F.lit(0))
     line = line.withColumn("head", F.coalesce(begin, F.lit("")))
     line = line.select("media", "n", "head", F.substr("_b", F.length("head") + 1).alias("text"), F.lit(False).alias("_cue"), "_b", (F.col("head") != "").alias("_say"))
     rows = cue.withColumn("_say", F.col("_cue")).unionByName(line)
-    said = censor(rows.where("_say").select("media", "n", "text"), ["media", "n"], terms, mode, allow)
-    rows = rows.join(said.select("media", "n", F.col("text").alias("_new"), "masked"), ["media", "n"], "left")
+    rows = durable(rows.withColumn("_new", F.when(F.col("_say"), F.col("text"))), "cues")  # read for the search and for the masking
+    rows = censor(rows, ["media", "n"], terms, mode, allow, "_new")
     lines = lambda c: F.regexp_extract_all(c, F.lit(r"[^\n]*\n|[^\n]+\z"), F.lit(0))
     shown = lambda x: F.trim(F.regexp_replace(visible(x), r"\s+", " ")) != ""
     both = F.arrays_zip(lines(F.col("text")).alias("old"), lines(F.col("_new")).alias("new"))

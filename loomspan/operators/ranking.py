@@ -53,3 +53,14 @@ def shared_times(left: DataFrame, right: DataFrame, keys: Sequence[str], value:
 def unknown(names: DataFrame, known: DataFrame) -> DataFrame:
     """The distinct rows that are not among the known ones."""
     return names.subtract(known)
+
+
+def rare_values(rows: DataFrame, id: str, values: Column, any_value: Column) -> DataFrame:
+    """(id, rare): of each row's distinct values (an array) how many stand in two rows at most; rows without any value (any_value) are left out.
+
+    The rows of a rare value are the smallest and the largest id that it has, so an aggregate finds them and no row is joined.
+    """
+    each = rows.select(F.struct(id).alias("_id"), F.explode_outer(values).alias("_v")).where("_v IS NOT NULL")
+    rare = each.groupBy("_v").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_a"), F.max("_id").alias("_b")).where("_n <= 2")
+    rare = rare.select(F.explode(F.when(F.col("_n") == 1, F.array("_a")).otherwise(F.array("_a", "_b"))).alias("_id")).select(f"_id.{id}", F.lit(1).alias("_k"))
+    return rows.where(any_value).select(id, F.lit(0).alias("_k")).unionAll(rare).groupBy(id).agg(F.sum("_k").alias("rare"))
