@@ -10,9 +10,11 @@ import math
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 Keys = Sequence[str]
 
@@ -93,6 +95,27 @@ def runs(df: DataFrame, keys: Keys, pos: str) -> DataFrame:
     return rows.groupBy(*keys, "_run").agg(F.min(pos).alias("first"), (F.max(pos) + 1).alias("last"), F.count(F.lit(1)).alias("n")).drop("_run")
 
 
+def runs_within(holds: Column) -> Column:
+    """runs of one row's places, array<struct<first,last,n>>: of the places of an array of booleans those that hold. No row leaves its task."""
+
+    @F.arrow_udf(ArrayType(StructType([StructField("first", IntegerType()), StructField("last", IntegerType()), StructField("n", LongType())])))
+    def found(lists: pa.Array) -> pa.Array:
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        begins = np.concatenate([[0], np.cumsum(sizes)])
+        flat = np.zeros(begins[-1] + len(sizes), np.int8)  # a place that does not hold stands behind each row
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        flat[np.arange(begins[-1]) + row] = lists.flatten().fill_null(False).to_numpy(zero_copy_only=False)
+        step = np.diff(flat, prepend=np.int8(0))
+        first, last = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        of = np.searchsorted(begins[1:] + np.arange(1, len(sizes) + 1), first, "right")
+        base = (begins[:-1] + np.arange(len(sizes)))[of]
+        fields = [pa.array(first - base, pa.int32()), pa.array(last - base, pa.int32()), pa.array(last - first, pa.int64())]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(sizes)))])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, ["first", "last", "n"]))
+
+    return found(holds)
+
+
 def running_reach(df: DataFrame, keys: Keys, tie: Keys = (), start: str = "start", end: str = "end", bucket: float | None = None) -> DataFrame:
     """df with the largest end so far (reach) and a number from 1, in order of time. bucket: as in islands."""
     rows = _bucketed(df, keys, start, bucket) if bucket else df

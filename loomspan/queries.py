@@ -125,8 +125,8 @@ k AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS ru
 SELECT doc_id, min(pos)::INT AS first, (max(pos) + 1)::INT AS last, count(*) AS n FROM k GROUP BY doc_id, run""")
 def m14_token_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of neighbouring tokens of five letters or more."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^ \n\r\t]+"), F.lit(0))).alias("pos", "word"))
-    return S.runs(rows.where(F.length("word") >= 5), ["doc_id"], "pos")
+    long = F.transform(F.regexp_extract_all("text", F.lit(r"[^ \n\r\t]+"), F.lit(0)), lambda w: F.length(w) >= 5)
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(S.runs_within(long)).alias("r")).select("doc_id", "r.*")
 
 
 @query(f"""WITH {EV}, p AS (SELECT id, a - 120000000 AS lo, greatest(b, a) + 200000000 AS hi FROM e),
@@ -850,10 +850,7 @@ def an_running_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {WORDS}, f AS (SELECT DISTINCT doc_id, {FOLD} AS token FROM t), n AS (SELECT token, count(*) AS n FROM f GROUP BY token) SELECT doc_id, count(*) FILTER (n <= 2) AS rare FROM f JOIN n USING (token) GROUP BY doc_id")
 def ag_rare_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct tokens of a document that stand in two documents at most."""
-    words = lines(spark, sf_dir).select("doc_id", X.split_words(F.col("text")).alias("w"))
-    rows = words.select("doc_id", F.explode(F.array_distinct(X.folded_words(F.col("w")))).alias("token"))
-    often = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    return rows.join(often, "token").groupBy("doc_id").agg(F.count_if(F.col("n") <= 2).alias("rare"))
+    return R.rare_values(lines(spark, sf_dir), "doc_id", F.array_distinct(X.folded_words(X.split_words(F.col("text")))), X.has_words(F.col("text")))
 
 
 @query("SELECT source, count(*) AS files, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY source")
