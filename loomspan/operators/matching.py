@@ -47,19 +47,37 @@ def _places(ids: pa.Array, found: list[tuple[int, int, int, int, str]], words: W
     return pa.RecordBatch.from_arrays([*columns, pa.array(category, pa.string()), pa.array([words.targets[o] if o >= 0 else [0] for o in order], pa.list_(pa.int32()))], names)
 
 
-def find(lines: DataFrame, id: str, words: WordList, text: str = "text") -> DataFrame:
+SLICE = 1 << 16  #: words of lines that are worked on at once; a longer line stays whole
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of SLICE words in all, so that what a task holds does not grow with the batch."""
+    ends = np.cumsum(batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    row = 0
+    while row < batch.num_rows:
+        done = ends[row - 1] if row else 0
+        after = max(row + 1, int(np.searchsorted(ends, done + SLICE, "right")))
+        yield batch.slice(row, after - row)
+        row = after
+
+
+def find(lines: DataFrame, id: str, words: WordList, text: str = "text", characters: bool = False) -> DataFrame:
     """(id, first, last, term_order, term, category, targets): every place of lines where a term or a masked word stands; last is exclusive.
 
     Single words that are allowed are left out; phrases may hold them. Masked words, if the list looks for marks, have no
     term_order. Each distinct word of a batch is normalised and looked up once; a line is walked over the words that fit something.
+    characters: with begin and end, the characters of the line where a place begins and ends.
     """
     shared = lines.sparkSession.sparkContext.broadcast(words)
-    rows = lines.select(id, T.split_words(F.col(text)).alias("_raw"))
+    rows = lines.select(id, T.split_words(F.col(text)).alias("_raw"), *([F.col(text).alias("_text")] if characters else []))
     schema = _schema(rows, id)
+    names = list(schema.names)
+    if characters:
+        schema = schema.add("begin", IntegerType()).add("end", IntegerType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             lists = batch.column(1)
             flat = lists.flatten()
             begins = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
@@ -71,7 +89,12 @@ def find(lines: DataFrame, id: str, words: WordList, text: str = "text") -> Data
             at = np.flatnonzero(useful[codes]) if len(codes) else np.zeros(0, np.int64)
             row = np.searchsorted(begins, at, "right") - 1
             found = list(own.walk(zip(row.tolist(), (at - begins[row]).tolist(), [known[c] for c in codes[at].tolist()], strict=True)))
-            yield _places(batch.column(0), found, own, lambda r, p: T.normal(heard[codes[begins[r] + p]]), schema.names)
+            places = _places(batch.column(0), found, own, lambda r, p: T.normal(heard[codes[begins[r] + p]]), names)
+            if characters:
+                stand = {r: T.word_places(batch.column(2)[r].as_py()) for r in {f[0] for f in found}}
+                at_text = [pa.array([stand[r][first][0] for r, first, *_ in found], pa.int32()), pa.array([stand[r][last - 1][1] for r, _, last, *_ in found], pa.int32())]
+                places = pa.RecordBatch.from_arrays([*places.columns, *at_text], [*names, "begin", "end"])
+            yield places
 
     return rows.mapInArrow(run, schema)
 
@@ -140,7 +163,10 @@ def greedy(found: DataFrame, id: str) -> DataFrame:
 
 def settle(found: DataFrame, id: str) -> DataFrame:
     """The matches among places: of terms the greedy choice, and masked words at places that it leaves free."""
-    found = durable(found, "places")
+    return _settled(durable(found, "places"), id)
+
+
+def _settled(found: DataFrame, id: str) -> DataFrame:
     kept = greedy(found.where("term_order IS NOT NULL"), id)
     used = kept.select(id, F.explode(F.sequence("first", F.col("last") - 1)).alias("first"))
     return kept.unionByName(found.where("term_order IS NULL").join(used, [id, "first"], "left_anti").select(*kept.columns))
@@ -206,13 +232,12 @@ def flag_cues(lines: DataFrame, id: str, terms: Sequence[Term], hint_words: Sequ
 
     words: (first, last, term) of listed and masked words in order, by the line's characters.
     """
-    found = match(lines, id, terms, text=text)
-    placed = found.select(id, F.when(F.col("term_order").isNull(), "masked").otherwise("lexicon").alias("reason"), "first", "last", "term")
-    hinted = hints(lines, id, hint_words, text).select(id, F.lit("hint").alias("reason"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"), F.lit(None).cast("string").alias("term"))
-    flags = placed.union(hinted).groupBy(id).agg(F.array_sort(F.collect_set("reason")).alias("reasons"), F.array_sort(F.collect_list(F.when(F.col("first").isNotNull(), F.struct("first", "last", "term")))).alias("_m"))
-    spans = lines.join(flags, id).withColumn("_s", T.word_spans(F.col(text)))
-    words = F.transform("_m", lambda m: F.struct(F.get("_s", m["first"])["first"].alias("first"), F.get("_s", m["last"] - 1)["last"].alias("last"), m["term"].alias("term")))
-    return spans.select(id, "reasons", words.alias("words"))
+    both = WordList([*terms, *(Term(h, "hint") for h in hint_words)], marks="[*#]", samples=terms)
+    found = durable(find(lines, id, both, text, characters=True), "places")  # one walk for terms, masked words and hints
+    hint = F.coalesce(F.col("term_order") >= len(terms), F.lit(False))
+    placed = _settled(found.where(~hint), id).select(id, F.when(F.col("term_order").isNull(), "masked").otherwise("lexicon").alias("reason"), F.struct(F.col("begin").alias("first"), F.col("end").alias("last"), "term").alias("_w"))
+    flags = placed.unionByName(found.where(hint).select(id, F.lit("hint").alias("reason")).distinct(), allowMissingColumns=True)
+    return flags.groupBy(id).agg(F.array_sort(F.collect_set("reason")).alias("reasons"), F.array_sort(F.collect_list("_w")).alias("words"))
 
 
 def flag_counts(flags: DataFrame, keys: Sequence[str], reasons: Sequence[str] = ("lexicon", "masked", "hint")) -> DataFrame:

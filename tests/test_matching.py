@@ -4,6 +4,7 @@ import random
 import re
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,3 +179,41 @@ def test_utterances_and_edges(spark):
     spans = spark.createDataFrame([("m", 0.6, 0.9, 0.0, samples)], "media string, start double, end double, origin double, samples array<double>")
     row = G.refine_edges(spans, ["media"], 100, F.lit(2.0), 0.25, 0.05).first()
     assert (round(row.start, 3), round(row.end, 3)) == (0.45, 1.05)
+
+
+def test_masking_is_linear_in_a_line_and_stays_as_defined():
+    """Masking the first letters of one long word, by rows: it took a copy of the word's beginning for each letter."""
+    from time import perf_counter
+
+    from loomspan.functions.masking import _censored, _masked
+
+    long = "a" * 200_000
+    begun = perf_counter()
+    assert _masked(f"x {long}", [(2, len(long) + 2)], "first_letter") == "x a" + "*" * (len(long) - 1)
+    assert perf_counter() - begun < 5
+    assert _censored("<i>Oh, \"darn\"</i>\\Nit  darn", [(1, 1), (3, 3)], "remove") == ("<i>Oh, \"\"</i>\\Nit ", 2)
+
+
+def test_runs_and_rare_values_without_moving_rows(spark):
+    """Runs within a row, and values of two rows at most, need no window and no join; null ids and null lists count as they did."""
+    from loomspan.operators import ranking as R
+    from loomspan.operators import spans as S
+
+    rows = [(1, [True, True, False, None, True]), (2, None), (None, [False]), (3, []), (4, [True])]
+    got = spark.createDataFrame(rows, "id int, h array<boolean>").select("id", S.runs_within(F.col("h")).alias("r"))
+    assert {r.id: [tuple(x) for x in r.r or []] for r in got.collect()} == {1: [(0, 2, 2), (4, 5, 1)], 2: [], None: [], 3: [], 4: [(0, 1, 1)]}
+    texts = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "c"]), (None, ["a", "b", "d"]), (3, [])], "id int, v array<string>")
+    rare = R.rare_values(texts, "id", F.col("v"), F.size("v") > 0)
+    assert {r.id: r.rare for r in rare.collect()} == {1: 1, 2: 1, None: 2}
+    assert "Join" not in rare._jdf.queryExecution().executedPlan().toString()
+
+
+def test_flags_take_one_walk_and_slices_change_nothing(spark, monkeypatch):
+    walks, plain = [], M.find
+    monkeypatch.setattr(M, "find", lambda *a, **k: walks.append(1) or plain(*a, **k))
+    lines = spark.createDataFrame([(1, "Oh--hell, what the h*ll...hell"), (2, "a freaky  day"), (3, None), (4, "nothing")], "id int, text string")
+    got = {r.id: (list(r.reasons), [tuple(w) for w in r.words]) for r in M.flag_cues(lines, "id", [M.Term("hell", "mild")], ["freak*"]).collect()}
+    assert got == {1: (["lexicon", "masked"], [(4, 9, "hell"), (19, 23, "masked:h*ll"), (26, 30, "hell")]), 2: (["hint"], [])}
+    assert len(walks) == 1
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2, 3, 4], "w": [["a"] * 40, None, ["b"] * (2 * M.SLICE), ["c"]]})
+    assert [s.column(0).to_pylist() for s in M._slices(batch)] == [[1, 2], [3], [4]]
