@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.functions.text import rate
+from loomspan.functions.text import let, rate
 
 PROBE = "streams array<struct<index:int,codec_type:string,codec_name:string,channels:int,r_frame_rate:string,duration:string,tags:map<string,string>,disposition:map<string,int>>>, format struct<duration:string,format_name:string>"
 
@@ -37,10 +37,11 @@ def probe(rows: DataFrame) -> DataFrame:
 
     Unknown languages are null; the duration is the container's, else the longest stream's; rows without any are left out.
     """
-    parsed = rows.select("media", F.from_json("json", PROBE).alias("p"))
-    longest = F.array_max(F.transform("p.streams", lambda s: s["duration"].try_cast("double")))
-    parsed = parsed.withColumn("duration", F.coalesce(F.col("p.format.duration").try_cast("double"), longest)).where("duration > 0")
-    s = parsed.select("media", "duration", F.explode("p.streams").alias("s"))
+    longest = lambda p: F.array_max(F.transform(p["streams"], lambda s: s["duration"].try_cast("double")))
+    duration = lambda p: F.coalesce(p["format"]["duration"].try_cast("double"), longest(p))
+    each = lambda p: let(duration(p), lambda d: F.transform(p["streams"], lambda s: F.struct(d.alias("duration"), s.alias("s"))))
+    # outer, and filtered behind it: a filter before it would read the JSON again for each of its terms
+    s = rows.select("media", F.explode_outer(let(F.from_json("json", PROBE), each)).alias("_s")).where("_s.duration > 0").select("media", "_s.duration", "_s.s")
     tag = lambda name: F.lower(F.get(F.map_values(F.map_filter("s.tags", lambda k, v: F.lower(k) == name)), F.lit(0)))
     language = F.when(tag("language") != "und", tag("language"))
     return s.select("media", "duration", F.col("s.index").alias("index"), F.col("s.codec_type").alias("kind"), F.col("s.codec_name").alias("codec"), language.alias("language"), tag("title").alias("title"), F.col("s.channels").alias("channels"), rate(F.col("s.r_frame_rate")).alias("fps"), F.col("s.disposition").alias("disposition"))

@@ -217,3 +217,12 @@ def test_flags_take_one_walk_and_slices_change_nothing(spark, monkeypatch):
     assert len(walks) == 1
     batch = pa.RecordBatch.from_pydict({"id": [1, 2, 3, 4], "w": [["a"] * 40, None, ["b"] * (2 * M.SLICE), ["c"]]})
     assert [s.column(0).to_pylist() for s in M._slices(batch)] == [[1, 2], [3], [4]]
+
+
+def test_probe_reads_json_once(spark):
+    """Filters on what a probe holds stand behind its parsing, which would be repeated for each of them."""
+    good = '{"format": {"duration": "x"}, "streams": [{"index": 0, "duration": "2.5", "tags": {"LANGUAGE": "ger"}}, {"index": 1, "duration": "4"}]}'
+    rows = spark.createDataFrame([("a", good), ("b", "no"), ("c", '{"streams": []}'), ("d", None), ("e", '{"streams": [{"index": 3}]}')], "media string, json string")
+    got = D.probe(rows)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert sorted((r.media, r["index"], r.duration, r.language) for r in got.collect()) == [("a", 0, 4.0, "ger"), ("a", 1, 4.0, None)]
