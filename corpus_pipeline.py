@@ -16,6 +16,7 @@ from loomspan.llm import pieces, toxicity
 from loomspan.llm.mixing import training_rows
 from loomspan.llm.near_duplicates import near_duplicates
 from loomspan.llm.queries import piece_model, table
+from loomspan.llm.sieve import bitmap, sieved
 from loomspan.session import durable
 
 
@@ -44,13 +45,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     without doc_id stay as they are.
     """
     rows, columns = numbered(docs, "doc_id", "text")
-    marked = durable(near_duplicates(docs).where("kept").select("doc_id").distinct(), "marked")
-    known = rows.where("doc_id is not null").join(marked, "doc_id", "left_semi")
-    held = known.withColumn("_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    twice = durable(held.groupBy("doc_id", "_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"), "twice")
+    known = rows.where("doc_id is not null")
+    dropped = durable(near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct(), "dropped")
+    keyed = known.withColumn("_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    twice = durable(keyed.groupBy("doc_id", "_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"), "twice")
+    # most rows are neither dropped nor there twice, and are told so by a bitmap: their texts are not shuffled
+    bits = bitmap(dropped.union(twice.select("doc_id")), "doc_id")
+    clear = sieved(known, "doc_id", bits).where("not _met").select(*rows.columns)
+    held = sieved(keyed, "doc_id", bits).where("_met").drop("_met").join(dropped, "doc_id", "left_anti")
     once = held.join(twice, ["doc_id", "_key"], "left_anti").select(*rows.columns)
     again = held.join(twice, ["doc_id", "_key"], "left_semi").groupBy("doc_id", "_key").agg(F.min(F.struct(*rows.columns)).alias("_r"))
-    return once.union(again.select("_r.*")).select(*columns).union(docs.where("doc_id is null"))
+    return clear.union(once).union(again.select("_r.*")).select(*columns).union(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

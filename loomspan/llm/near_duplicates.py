@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from loomspan.llm import text as T
 from loomspan.llm.graph import components
+from loomspan.llm.sieve import bitmap, sieved
 from loomspan.session import discard, durable, small_batches
 
 
@@ -116,8 +117,8 @@ def sketch(docs: DataFrame, options: NearDuplicateOptions) -> DataFrame:
 def sets_of(docs: DataFrame, ids: DataFrame, options: NearDuplicateOptions) -> DataFrame:
     """(doc_id, shingles, size) of the given documents, written once: what follows shuffles these, not the corpus.
 
-    The ids are the built side of a hashed join, so the corpus is not sorted. Nothing is broadcast, at any size.
-    shingles: sorted distinct 64-bit hashes, as bytes.
+    A bitmap of the ids keeps most other texts out of the shuffle. The ids are the built side of a hashed join, so texts
+    are not sorted. shingles: sorted distinct 64-bit hashes, as bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,9 +126,12 @@ def sets_of(docs: DataFrame, ids: DataFrame, options: NearDuplicateOptions) -> D
             sets, _ = shingle_sets(batch.column("text"), options.shingle_words)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "shingles", "size"])
 
-    texts = docs.join(ids.distinct().hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", "text")
+    bits = bitmap(ids, "doc_id")
+    texts = sieved(docs, "doc_id", bits).where("_met").join(ids.distinct().hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", "text")
     with small_batches(docs.sparkSession):
-        return durable(texts.mapInArrow(run, "doc_id long, shingles binary, size long"), "sets")
+        sets = durable(texts.mapInArrow(run, "doc_id long, shingles binary, size long"), "sets")
+    discard(bits)
+    return sets
 
 
 def alike(x: np.ndarray, y: np.ndarray, similar: int) -> bool:
