@@ -281,14 +281,13 @@ def jn_outputs_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def subtitle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(media, content): conversations as files of all formats, by their number."""
     rows = cue_seconds(spark, sf_dir)
-    srt = K.subtitles(rows)
-    frames = rows.withColumn("_x", F.format_string("{%d}{%d}%s\n", F.round(F.col("start") * 10).cast("long"), F.round(F.col("end") * 10).cast("long"), "text"))
-    micro = K._joined(frames, "_x", "")
-    stamp = lambda c: F.format_string("%d:%02d:%02d.%02d", F.floor(F.col(c) / 3600), F.floor(F.col(c) / 60) % 60, F.floor(F.col(c)) % 60, F.round(F.col(c) * 100).cast("long") % 100)
-    events_ = rows.withColumn("_x", F.concat(F.lit("Dialogue: 0,"), stamp("start"), F.lit(","), stamp("end"), F.lit(",,"), "text", F.lit("\n")))
-    ass = K._joined(events_, "_x", "").withColumn("content", F.concat(F.lit("[Script Info]\nTitle: x\n\n[Events]\nFormat: Layer, Start, End, Style, Text\n"), "content"))
     number = F.col("media").cast("long") % 3
-    return srt.where(number == 0).union(ass.where(number == 1)).union(micro.where(number == 2))
+    stamp = lambda c: F.format_string("%d:%02d:%02d.%02d", F.floor(F.col(c) / 3600), F.floor(F.col(c) / 60) % 60, F.floor(F.col(c)) % 60, F.round(F.col(c) * 100).cast("long") % 100)
+    event = F.concat(F.lit("Dialogue: 0,"), stamp("start"), F.lit(","), stamp("end"), F.lit(",,"), "text", F.lit("\n"))
+    frame = F.format_string("{%d}{%d}%s\n", F.round(F.col("start") * 10).cast("long"), F.round(F.col("end") * 10).cast("long"), "text")
+    rest = K._joined(rows.where(number > 0).withColumn("_x", F.when(number == 1, event).otherwise(frame)), "_x", "")
+    head = F.when(number == 1, "[Script Info]\nTitle: x\n\n[Events]\nFormat: Layer, Start, End, Style, Text\n").otherwise("")
+    return K.subtitles(rows.where(number == 0)).union(rest.withColumn("content", F.concat(head, "content")))
 
 
 @query(f"WITH {CUES} SELECT DISTINCT media::VARCHAR AS media, CASE media % 3 WHEN 0 THEN 'srt' WHEN 1 THEN 'ass' ELSE 'microdvd' END AS format FROM c WHERE text <> ''")

@@ -39,42 +39,57 @@ def blocks(files: DataFrame, fps: float | None = None) -> DataFrame:
     Spans without length, comments and drawings are dropped; text has line ends where a viewer sees them.
     """
     body = F.regexp_replace(F.regexp_replace("content", "\r\n?", "\n"), r"^\x{FEFF}+", "")
-    known = files.select("media", body.alias("content"), subtitle_format(F.col("content")).alias("_kind"))
-    of = lambda *kinds: known.where(F.col("_kind").isin(*kinds)).select("media", "content")
-    rows = _timed(of("srt", "vtt")).union(_events(of("ass")))
-    rows = rows.union(_frames(of("microdvd"), fps)) if fps else rows
-    return rows.where("end > start")
+    # each step's columns are made once: a list of one, taken apart, keeps them from being put into every use of them
+    once = lambda rows, kept, **columns: rows.select(*kept, F.explode_outer(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_r")).select(*kept, "_r.*")
+    known = once(files, ["media"], content=body, _kind=subtitle_format(F.col("content")))
+    known = known.where(F.col("_kind").isin("srt", "vtt", "ass", *(["microdvd"] if fps else [])))
+    # one pass for all formats: a union of theirs would read each file once for each format, and may run in one task
+    by = lambda timed, events, frames: F.when(F.col("_kind") == "ass", events).when(F.col("_kind") == "microdvd", frames).otherwise(timed)
+    names, lines = _lines()
+    parts = by(_paragraphs(), lines, F.split("content", "\n"))
+    rows = known.select("media", "_kind", F.when(F.col("_kind") == "ass", names).alias("_names"), F.posexplode_outer(parts).alias("block", "part"))
+    rows = rows.where(by(F.rlike("part", F.lit(TIMES)), F.rlike("part", F.lit(r"(?i)^\s*dialogue:")), F.rlike("part", F.lit(FRAMES))))
+    rows = once(rows, ["media", "block", "_kind", "_names", "part"], _parts=F.when(F.col("_kind") == "ass", F.split(F.regexp_replace("part", r"(?i)^\s*dialogue:\s*", ""), ",", -1)))
+    made = zip(("start", "end", "text", "_shown"), (*_timed(), F.lit(True)), _events(), (*_frames(fps), F.lit(True)), strict=True)
+    rows = once(rows, ["media", "block"], **{name: by(*x) for name, *x in made})
+    return rows.where("_shown and end > start").drop("_shown")
+
+
+TIMES = r"((?:\d+:)?\d+:\d+[.,]\d{1,3})\s*-->\s*((?:\d+:)?\d+:\d+[.,]\d{1,3})"  #: of a block of SRT or WebVTT
+FRAMES = r"^\{(\d+)\}\{(\d+)\}(.*)$"  #: a line of MicroDVD
+
+
+def _paragraphs() -> Column:
+    """Blocks of SRT and WebVTT contents."""
+    content = F.regexp_replace("content", r"(?s)^WEBVTT.*?(\n[ \t]*\n|\z)|(?m)^(NOTE|STYLE|REGION)\b(?s:.*?)(\n[ \t]*\n|\z)", "")
+    return F.split(content, r"\n[ \t]*\n")
 
 
-def _timed(files: DataFrame) -> DataFrame:
-    content = F.regexp_replace("content", r"(?s)^WEBVTT.*?(\n[ \t]*\n|\z)|(?m)^(NOTE|STYLE|REGION)\b(?s:.*?)(\n[ \t]*\n|\z)", "")
-    rows = files.select("media", F.posexplode(F.split(content, r"\n[ \t]*\n")).alias("block", "part"))
-    time = r"((?:\d+:)?\d+:\d+[.,]\d{1,3})\s*-->\s*((?:\d+:)?\d+:\d+[.,]\d{1,3})"
-    rows = rows.where(F.rlike("part", F.lit(time)))
-    text = F.regexp_replace("part", r"(?s)^.*?-->[^\n]*\n?", "")
-    return rows.select("media", "block", _seconds(F.regexp_extract("part", time, 1)).alias("start"), _seconds(F.regexp_extract("part", time, 2)).alias("end"), text.alias("text"))
+def _timed() -> tuple[Column, Column, Column]:
+    """(start, end, text) of a block."""
+    return _seconds(F.regexp_extract("part", TIMES, 1)), _seconds(F.regexp_extract("part", TIMES, 2)), F.regexp_replace("part", r"(?s)^.*?-->[^\n]*\n?", "")
 
 
-def _events(files: DataFrame) -> DataFrame:
-    """Dialogue lines of ASS and SSA: fields as the format line of the events names them; the last one is the text."""
+def _lines() -> tuple[Column, Column]:
+    """(names of fields, lines) of the events of ASS and SSA, as their format line names them."""
     section = F.regexp_extract("content", r"(?ims)^\s*\[events\]\s*$(.*?)(?=^\s*\[|\z)", 1)
-    rows = files.select("media", section.alias("_e"))
-    names = F.transform(F.split(F.lower(F.regexp_extract("_e", r"(?im)^\s*format:(.*)$", 1)), ","), lambda x: F.trim(x))
-    rows = rows.select("media", names.alias("_names"), F.posexplode(F.split("_e", "\n")).alias("block", "_line")).where(F.rlike("_line", F.lit(r"(?i)^\s*dialogue:")))
-    rows = rows.withColumn("_parts", F.split(F.regexp_replace("_line", r"(?i)^\s*dialogue:\s*", ""), ",", -1))
+    return F.transform(F.split(F.lower(F.regexp_extract(section, r"(?im)^\s*format:(.*)$", 1)), ","), lambda x: F.trim(x)), F.split(section, "\n")
+
+
+def _events() -> tuple[Column, Column, Column, Column]:
+    """(start, end, text, whether it is shown) of a dialogue line's fields; the last field is the text."""
     field = lambda name: F.try_element_at("_parts", F.nullif(F.array_position("_names", name), F.lit(0)).cast("int"))
     text = F.array_join(F.slice("_parts", F.size("_names"), F.greatest(F.size("_parts") - F.size("_names") + 1, F.lit(0))), ",")
     drawing = F.rlike(text, F.lit(r"\{[^}]*\\p[1-9][^}]*\}"))
     shown = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\{[^{}]*\}", ""), r"\\[Nn]", "\n"), r"\\h", " ")
-    return rows.where((F.size("_parts") >= F.size("_names")) & ~drawing).select("media", "block", _seconds(field("start")).alias("start"), _seconds(field("end")).alias("end"), shown.alias("text"))
+    return _seconds(field("start")), _seconds(field("end")), shown, (F.size("_parts") >= F.size("_names")) & ~drawing
 
 
-def _frames(files: DataFrame, fps: float) -> DataFrame:
-    rows = files.select("media", F.posexplode(F.split("content", "\n")).alias("block", "_line"))
-    part = lambda i: F.regexp_extract("_line", r"^\{(\d+)\}\{(\d+)\}(.*)$", i)
-    rows = rows.where(F.rlike("_line", F.lit(r"^\{\d+\}\{\d+\}")))
-    text = F.replace(F.regexp_replace(part(3), r"\{[^{}]*\}", ""), F.lit("|"), F.lit("\n"))
-    return rows.select("media", "block", (part(1).cast("double") / fps).alias("start"), (part(2).cast("double") / fps).alias("end"), text.alias("text"))
+def _frames(fps: float | None) -> tuple[Column, Column, Column]:
+    """(start, end, text) of a line of MicroDVD."""
+    part = lambda i: F.regexp_extract("part", FRAMES, i)
+    second = lambda i: F.nullif(part(i), F.lit("")).cast("double") / (fps or 1.0)
+    return second(1), second(2), F.replace(F.regexp_replace(part(3), r"\{[^{}]*\}", ""), F.lit("|"), F.lit("\n"))
 
 
 def cues(files: DataFrame, fps: float | None = None) -> DataFrame:
