@@ -100,11 +100,17 @@ def embedded(streams: DataFrame) -> DataFrame:
     )
 
 
+def above(path: Column) -> tuple[Column, Column]:
+    """(folder, name): what stands before and behind the last slash."""
+    name = F.substring_index(path, "/", -1)
+    return F.left(path, F.length(path) - F.length(name) - 1), name
+
+
 def path_parts(path: Column) -> tuple[Column, Column, Column]:
     """(folder, stem, suffix) of a path with slashes; the suffix is without its dot, in small letters."""
-    name = F.regexp_extract(path, r"[^/]*$", 0)
+    folder, name = above(path)
     stem = F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
-    return F.regexp_replace(path, r"/?[^/]*$", ""), stem, F.lower(F.regexp_extract(name, r"(?<=.)\.([^.]*)$", 1))
+    return folder, stem, F.lower(F.regexp_extract(name, r"(?<=.)\.([^.]*)$", 1))
 
 
 def sidecars(files: DataFrame, videos: DataFrame) -> DataFrame:
@@ -115,23 +121,26 @@ def sidecars(files: DataFrame, videos: DataFrame) -> DataFrame:
     to the only video beside it. Joins are on folder and stem: each name is cut at every mark, so no folder's files meet
     all its videos.
     """
+    # a path's parts are made once: a list of one, taken apart, keeps them from being put into every use of them
+    once = lambda rows, *new: rows.select("*", F.explode_outer(F.array(F.struct(*new))).alias("_r")).select(*rows.columns, "_r.*")
     folder, stem, suffix = path_parts(F.col("path"))
-    subs = files.select("path", folder.alias("_f"), stem.alias("_s"), suffix.alias("_x")).where(F.col("_x").isin(*SUFFIXES) & ~F.endswith(F.lower("path"), F.lit(REVIEW)))
-    parent, name, _ = (F.regexp_replace("_f", r"/?[^/]*$", ""), F.lower(F.regexp_extract("_f", r"[^/]*$", 0)), None)
-    subs = subs.withColumns({"_up": parent, "_in": name}).withColumn("_aside", F.col("_in").isin(*FOLDERS))
+    subs = once(files.select("path"), folder.alias("_f"), stem.alias("_s"), suffix.alias("_x")).where(F.col("_x").isin(*SUFFIXES) & ~F.endswith(F.lower("path"), F.lit(REVIEW)))
+    parent, name = above(F.col("_f"))
+    subs = once(subs, parent.alias("_up"), F.lower(name).alias("_in")).withColumn("_aside", F.col("_in").isin(*FOLDERS))
     marks = F.filter(F.sequence(F.lit(1), F.length("_s")), lambda i: (i == F.length("_s")) | F.substr("_s", i + 1, F.lit(1)).isin(".", "_", "-"))
     named = subs.where("_s <> ''").withColumn("_n", F.explode(marks)).withColumns({"_key": F.lower(F.substr("_s", F.lit(1), F.col("_n"))), "_rest": F.substr("_s", F.col("_n") + 1)})
     homes = F.explode(F.array_compact(F.array(F.col("_f"), F.when(F.col("_aside"), F.col("_up")))))
     named = named.withColumn("_home", homes).select("path", "_home", "_key", "_rest", (F.col("_home") == F.col("_f")).alias("_beside"))
-    grand = F.regexp_replace("_up", r"/?[^/]*$", "")
-    packs = subs.where(F.lower(F.regexp_extract("_up", r"[^/]*$", 0)).isin(*FOLDERS)).select("path", grand.alias("_home"), F.col("_in").alias("_key"), F.col("_s").alias("_rest"), F.lit(False).alias("_beside"))
+    grand, outer = above(F.col("_up"))
+    packs = subs.where(F.lower(outer).isin(*FOLDERS)).select("path", grand.alias("_home"), F.col("_in").alias("_key"), F.col("_s").alias("_rest"), F.lit(False).alias("_beside"))
     vf, vs, _ = path_parts(F.col("path"))
     known = videos.select(F.col("path").alias("media"), vf.alias("_home"), F.lower(vs).alias("_key"))
     found = named.unionByName(packs).join(known, ["_home", "_key"]).drop("_key")
-    only = known.groupBy("_home").agg(F.count(F.lit(1)).alias("_v"), F.first("media").alias("media")).where("_v = 1").drop("_v")
-    loose = subs.where("_aside").select("path", F.col("_up").alias("_home"), F.col("_s").alias("_rest"), F.lit(False).alias("_beside")).join(only, "_home")
-    taken = found.select("path", "media")
-    found = found.unionByName(loose.join(taken, ["path", "media"], "left_anti"))
+    only = known.groupBy("_home").agg(F.count(F.lit(1)).alias("_v"), F.first("media").alias("media"), F.first("_key").alias("_key")).where("_v = 1").drop("_v")
+    # a loose file is found by its name already where the only video's stem is one of its cuts
+    again = (F.col("_s") != "") & F.exists(marks, lambda i: F.lower(F.substr("_s", F.lit(1), i)) == F.col("_key"))
+    loose = subs.where("_aside").select("path", F.col("_up").alias("_home"), "_s").join(only, "_home").where(~again)
+    found = found.unionByName(loose.select("path", "_home", F.col("_s").alias("_rest"), F.lit(False).alias("_beside"), "media"))
     flags = name_flags(name_tokens(F.col("_rest")))
     return found.select("media", F.lit("sidecar").alias("source"), "path", flags.alias("_l"), F.when(F.col("_beside"), 5.0).otherwise(0.0).alias("bonus")).select("media", "source", "path", "_l.*", "bonus")
 
