@@ -49,13 +49,19 @@ class Sessions(StatefulProcessor):
         self.waiting = handle.getListState("waiting", self.fold.rows)
         self.session = handle.getValueState("session", self.fold.session)
 
-    def _settle(self, key: Any, new: list[Row], watermark: int) -> pd.DataFrame:
+    def _settle(self, key: Any, new: list[Row], watermark: int, fired: bool) -> Iterator[pd.DataFrame]:
+        """Each look at the state is a message to the JVM, which costs more than the fold: only those that are needed are sent.
+
+        A key with state has one timer, a key without none. One that has fired is deleted by the engine.
+        """
         fold = self.fold
-        rows = sorted([*(tuple(r) for r in self.waiting.get()), *new], key=lambda r: tuple((v is not None, v) for v in r))
+        waits, open_ = fired or self.waiting.exists(), self.session.exists()
+        before = [tuple(r) for r in self.waiting.get()] if waits else []
+        rows = sorted([*before, *new], key=lambda r: tuple((v is not None, v) for v in r))
         now = watermark / 1000
         settled = [r for r in rows if r[0] < now]
         rest = rows[len(settled) :]
-        session, done = (tuple(self.session.get()) if self.session.exists() else None), []
+        session, done = (tuple(self.session.get()) if open_ else None), []
         for row in settled:
             if session is not None and fold.joins(session, row):
                 session = fold.add(session, row)
@@ -66,25 +72,29 @@ class Sessions(StatefulProcessor):
         if session is not None and fold.until(session) <= now:
             done.append(fold.result(session))
             session = None
-        self.waiting.clear()
-        if rest:
+        if rest and rest != before:
             self.waiting.put(rest)
-        self.session.clear()
-        if session is not None:
+        elif before and not rest:
+            self.waiting.clear()
+        if session is not None and (settled or not open_):
             self.session.update(session)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
+        elif session is None and open_:
+            self.session.clear()
+        if not fired and (before or open_):
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
         due = min([r[0] for r in rest[:1]] + ([fold.until(session)] if session is not None else []), default=None)
         if due is not None:
             self.handle.registerTimer(max(int(due * 1000) + 1, watermark + 1))
-        return pd.DataFrame([(key, *d) for d in done], columns=self.given)
+        if done:
+            yield pd.DataFrame([(key, *d) for d in done], columns=self.given)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        new = [tuple(None if pd.isna(v) else v for v in r) for part in rows for r in part[self.columns].itertuples(index=False)]
-        yield self._settle(key[0], new, timerValues.getCurrentWatermarkInMs())
+        new = [tuple(None if v != v else v for v in r) for part in rows for r in zip(*(part[c].tolist() for c in self.columns), strict=True)]
+        yield from self._settle(key[0], new, timerValues.getCurrentWatermarkInMs(), False)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        yield self._settle(key[0], [], timerValues.getCurrentWatermarkInMs())
+        yield from self._settle(key[0], [], timerValues.getCurrentWatermarkInMs(), True)
 
     def close(self) -> None:
         pass
