@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 SMALL = 32 << 20  #: bytes a core of an input that spread deals out
+ROW_GROUP = 4 << 20  #: bytes of a row group of durable's tables, about: tasks hold one when they write or read
 
 
 def local_session(cores: str | int = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -74,12 +75,14 @@ def scratch(spark: SparkSession, name: str = "files") -> str:
 def durable(df: DataFrame, name: str = "table", codec: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and return it as read from there.
 
-    The rows survive lost executors, and what follows starts from files instead of a long lineage. discard deletes the
+    The rows survive lost executors, and what follows starts from files instead of a long lineage. Row groups are small,
+    as a task holds one of them, and the reader's batches end with them, however long the texts are. discard deletes the
     table; tables of returned, lazy results stay until clear.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    (df.write.option("compression", codec) if codec else df.write).parquet(path)
+    write = df.write.option("parquet.block.size", ROW_GROUP)
+    (write.option("compression", codec) if codec else write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
