@@ -10,7 +10,9 @@ Arrays of a step are made once and used again (Buffers): fresh memory for each w
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 
@@ -53,7 +55,7 @@ def split(flat: np.ndarray, shape: Shape) -> dict[str, np.ndarray]:
     """Views of one array of parameters."""
     out, at = {}, 0
     for name, size in shape.parts().items():
-        n = int(np.prod(size))
+        n = math.prod(size)
         out[name] = flat[at : at + n].reshape(size)
         at += n
     return out
@@ -74,16 +76,25 @@ def initial(shape: Shape, counts: np.ndarray | None = None, seed: int = 5) -> np
         share = (counts.reshape(shape.groups, shape.members) + 0.5) / (counts.sum() + 0.5 * shape.units)
         p["group"][-1] = np.log(share.sum(1))
         p["member"][:, -1] = np.log(share / share.sum(1, keepdims=True))
-    limit(p, shape)
+    limit(flat, shape)
     return flat
 
 
-def limit(p: dict[str, np.ndarray], shape: Shape) -> None:
-    """Hold the output's weights where logits of a hidden layer between -1 and 1 stay below MOST_LOGIT."""
-    most = (MOST_LOGIT - MOST_SHIFT) / np.float32(shape.hidden)
+@cache
+def _most(shape: Shape) -> np.ndarray:
+    """The limit of each parameter."""
+    flat = np.full(sum(map(math.prod, shape.parts().values())), np.inf, np.float32)
+    p = split(flat, shape)
     for part in (p["group"], p["member"]):
-        np.clip(part[..., :-1, :], -most, most, out=part[..., :-1, :])
-        np.clip(part[..., -1, :], -MOST_SHIFT, MOST_SHIFT, out=part[..., -1, :])
+        part[..., :-1, :] = (MOST_LOGIT - MOST_SHIFT) / np.float32(shape.hidden)
+        part[..., -1, :] = MOST_SHIFT
+    return flat
+
+
+def limit(flat: np.ndarray, shape: Shape) -> None:
+    """Hold the output's weights where logits of a hidden layer between -1 and 1 stay below MOST_LOGIT."""
+    np.minimum(flat, _most(shape), out=flat)
+    np.maximum(flat, -_most(shape), out=flat)
 
 
 class Buffers:
@@ -93,10 +104,10 @@ class Buffers:
         self.held: dict[str, np.ndarray] = {}
 
     def get(self, name: str, *size: int, kind: type = np.float32) -> np.ndarray:
-        n = int(np.prod(size))
-        if name not in self.held or len(self.held[name]) < n or self.held[name].dtype != kind:
-            self.held[name] = np.zeros(n, kind)
-        return self.held[name][:n].reshape(size)
+        n, held = math.prod(size), self.held.get(name)
+        if held is None or len(held) < n or held.dtype != kind:
+            held = self.held[name] = np.zeros(n, kind)
+        return held[:n].reshape(size)
 
 
 def attend(weights: np.ndarray, factor: np.ndarray) -> None:
@@ -106,9 +117,15 @@ def attend(weights: np.ndarray, factor: np.ndarray) -> None:
     weights *= factor
 
 
+@cache
+def _far(first: int, window: int) -> np.ndarray:
+    """How far each place of a window lies before each of its places first..window - 1; below 0 where behind."""
+    return np.arange(first, window)[:, None] - np.arange(window)[None, :]
+
+
 def factors(distance: np.ndarray, first: int, window: int) -> np.ndarray:
     """For places first..window - 1 of a window and all its places: 0 where masked, else e to the distance's bias."""
-    far = np.arange(first, window)[:, None] - np.arange(window)[None, :]
+    far = _far(first, window)
     return np.where(far >= 0, np.exp(np.clip(distance, -MOST_SHIFT, MOST_SHIFT))[far.clip(0)], 0).astype(distance.dtype)
 
 
@@ -215,23 +232,21 @@ def gradient(flat: np.ndarray, shape: Shape, inputs: np.ndarray, targets: np.nda
     d[:] = 0
     g = split(d, shape)
     (n, w), h, width = inputs.shape, shape.hidden, shape.width
-    names, cuts_of = ("query", "key", "value", "own"), shape.cuts()
+    ids, columns = inputs.reshape(-1), shape.cuts()
     scale = kind.type(width**-0.5)
-    ids = inputs.reshape(-1)
-    x = p["embed"].take(ids, 0, out=get("x", n * w, width), mode="clip")
-    # narrow arrays of their own are faster to work on than columns of a wide one
-    q, k, v, own = (np.matmul(x, p["linear"][:-1, c] * (scale if c.start == 0 else 1), out=get(name, n * w, c.stop - c.start)) for name, c in zip(names, cuts_of, strict=True))
-    shifts = [p["linear"][-1, c] * (scale if c.start == 0 else 1) for c in cuts_of]
-    for part, shift in zip((q, k, v, own), shifts, strict=True):
-        wide = part.reshape(n, -1)  # a window's rows in one, so that the shift is added along a long axis
-        wide += np.tile(shift, w)
-    q, k, v, own = (part.reshape(n, w, -1) for part in (q, k, v, own))
+    # one product for all four parts and their shifts; queries are scaled on the way
+    linear = p["linear"].copy()
+    linear[:, columns[0]] *= scale
+    table = np.append(p["embed"], np.ones((len(p["embed"]), 1), kind), 1)
+    x = table.take(ids, 0, out=get("x", n * w, width + 1), mode="clip")
+    wide = np.matmul(x, linear, out=get("wide", n * w, linear.shape[1])).reshape(n, w, -1)
+    q, k, v, own = (wide[..., c] for c in columns)
     a = np.matmul(q, k.transpose(0, 2, 1), out=get("weights", n, w, w))
     attend(a, factors(p["distance"], 0, w))
     a *= (1 / (a @ np.ones(w, kind)))[..., None]
     seen = np.matmul(a, v, out=get("seen", n, w, h))
-    own += seen
-    top = np.tanh(own, out=own).reshape(n * w, h)
+    top = np.add(own, seen, out=get("top", n, w, h)).reshape(n * w, h)
+    np.tanh(top, out=top)
     real = np.flatnonzero(targets.reshape(-1) >= 0)
     hidden = get("hidden", len(real), h + 1)
     hidden[:, :-1] = top if len(real) == n * w else top.take(real, 0)
@@ -242,13 +257,13 @@ def gradient(flat: np.ndarray, shape: Shape, inputs: np.ndarray, targets: np.nda
         e *= (1 / sums)[:, None]
         e.reshape(-1)[np.arange(len(real)) * e.shape[1] + column] -= 1
     dg, dm = levels[0][0], levels[1][0]
-    g["group"][:] = hidden.T @ dg
+    np.matmul(hidden.T, dg, out=g["group"])
     back = np.matmul(dg, p["group"][:-1].T, out=get("back", len(real), h))
     more = get("more", len(real), h)
     for c in range(shape.groups):
         low, high = cuts[c], cuts[c + 1]
         if low < high:
-            g["member"][c] = hidden[low:high].T @ dm[low:high]
+            np.matmul(hidden[low:high].T, dm[low:high], out=g["member"][c])
             np.matmul(dm[low:high], p["member"][c, :-1].T, out=more[low:high])
     back += more
     dh = get("dh", n * w, h)
@@ -257,31 +272,27 @@ def gradient(flat: np.ndarray, shape: Shape, inputs: np.ndarray, targets: np.nda
     dh[real.take(order)] = back
     np.multiply(top, top, out=top)
     np.subtract(1, top, out=top)
+    back_wide = get("back wide", n, w, linear.shape[1])
+    dq, dk, dv, down = (back_wide[..., c] for c in columns)
     dh *= top
     dh = dh.reshape(n, w, h)
-    dv = np.matmul(a.transpose(0, 2, 1), dh, out=get("dv", n, w, h))
+    down[:] = dh
+    np.matmul(a.transpose(0, 2, 1), dh, out=dv)
     ds = np.matmul(dh, v.transpose(0, 2, 1), out=get("ds", n, w, w))
     seen *= dh
     ds -= (seen.reshape(n * w, h) @ np.ones(h, kind)).reshape(n, w, 1)
     ds *= a
-    sums = ds.reshape(n, w * w).sum(0).reshape(w, w)
-    g["distance"][:] = [np.trace(sums, -i) for i in range(w)] + [0] * (shape.window - w)
-    dq = np.matmul(ds, k, out=get("dq", n, w, width))
-    dq *= scale
-    dk = np.matmul(ds.transpose(0, 2, 1), q, out=get("dk", n, w, width))
-    dx = None
-    for part, c in zip((dq, dk, dv, dh), cuts_of, strict=True):
-        g["linear"][-1, c] = part.reshape(n, -1).sum(0).reshape(w, -1).sum(0)
-        part = part.reshape(n * w, -1)
-        g["linear"][:-1, c] = x.T @ part
-        if dx is None:
-            dx = np.matmul(part, p["linear"][:-1, c].T, out=get("dx", n * w, width))
-        else:
-            dx += np.matmul(part, p["linear"][:-1, c].T, out=get("more", n * w, width))
+    g["distance"][:] = np.bincount(_far(0, w).clip(0).reshape(-1), ds.reshape(n, w * w).sum(0), shape.window)
+    np.matmul(ds, k, out=dq)
+    np.matmul(ds.transpose(0, 2, 1), q, out=dk)
+    back_wide = back_wide.reshape(n * w, -1)
+    np.matmul(x.T, back_wide, out=g["linear"])
+    g["linear"][:, columns[0]] *= scale
+    dx = np.matmul(back_wide, linear[:-1].T, out=get("dx", n * w, width))
     order = np.argsort(ids.astype(np.uint16) if shape.units < 1 << 16 else ids, kind="stable")
     ids = ids.take(order)
     first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-    g["embed"][ids[first]] = np.add.reduceat(dx.take(order, 0, out=x, mode="clip"), first)
+    g["embed"][ids[first]] = np.add.reduceat(dx.take(order, 0, out=get("sorted dx", n * w, width), mode="clip"), first)
     d /= total
     return -float(logs.sum()) / total, d
 
@@ -289,7 +300,6 @@ def gradient(flat: np.ndarray, shape: Shape, inputs: np.ndarray, targets: np.nda
 def descend(flat: np.ndarray, shape: Shape, inputs: np.ndarray, targets: np.ndarray, batch: int, steps: int, rates: tuple[float, float], seed: int) -> np.ndarray:
     """Adam over shuffled batches of windows; the rate goes from the first of rates to the second."""
     flat, rng, buffers = flat.astype(np.float32).copy(), np.random.default_rng(seed), Buffers()
-    p = split(flat, shape)
     m, v, now = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
     order, at = rng.permutation(len(inputs)), 0
     for step in range(1, steps + 1):
@@ -308,5 +318,5 @@ def descend(flat: np.ndarray, shape: Shape, inputs: np.ndarray, targets: np.ndar
         np.divide(m, now, out=now)
         now *= np.float32((rates[0] + (rates[1] - rates[0]) * step / steps) * np.sqrt(1 - 0.99**step) / (1 - 0.9**step))
         flat -= now
-        limit(p, shape)
+        limit(flat, shape)
     return flat

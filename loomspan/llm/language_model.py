@@ -128,6 +128,45 @@ def cut(tokens: np.ndarray, text_at: np.ndarray, size: int) -> np.ndarray:
     return rows
 
 
+class Looked:
+    """Subword ids of words: those of words that a task has met are remembered and looked up."""
+
+    def __init__(self, model: LanguageModel | None, subwords: Subwords, most: int = 1 << 19) -> None:
+        self.model, self.subwords, self.most = model, subwords, most
+        self.known = np.zeros(0, np.uint64)  # sorted hashes of words whose ids are remembered
+        self.ids, self.places = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def tokens(self, w: Words, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """As Words.tokens, of all words or of those that wanted marks. New ones are remembered, up to a fixed number, and then the
+        memory starts again."""
+        own = w.hashes[:-1]
+        at = np.searchsorted(self.known, own).clip(0, max(0, len(self.known) - 1))
+        met = self.known[at] == own if len(self.known) else np.zeros(len(own), bool)
+        if wanted is not None:
+            met &= wanted
+        new = np.flatnonzero(~met if wanted is None else ~met & wanted)
+        ids, places = w.tokens(self.subwords, new)
+        length = np.diff(places)
+        length[np.flatnonzero(met)] = np.diff(self.places)[at[met]]
+        out_places = np.append(0, np.cumsum(length))
+        out = np.empty(int(out_places[-1]), np.int32)
+        old, _ = spread(at[met], self.ids, self.places)
+        from_old = np.repeat(np.append(met, False), length)
+        out[from_old] = old
+        out[~from_old] = ids
+        if len(new):
+            if len(self.known) + len(new) > self.most:
+                self.known, self.ids, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(1, np.int64)
+            size = np.append(np.diff(self.places), np.diff(places)[new])
+            every = np.append(self.ids, ids[:-1])
+            begins = np.cumsum(size) - size
+            hashes = np.append(self.known, own[new])
+            order = np.argsort(hashes)
+            self.ids, _ = spread(order, every, np.append(begins, len(every)))
+            self.known, self.places = hashes[order], np.append(0, np.cumsum(size[order]))
+        return out, out_places
+
+
 def gather(docs: DataFrame, training: Column, proto: bytes, o: LanguageModelOptions) -> DataFrame:
     """(h, n, m, t, windows, place): counts of words by hash in training documents (n) and in all (m); counts n of subword
     ids t in training documents; or bundles of these documents' windows as bytes of number_type with a number of their own.
@@ -142,6 +181,7 @@ def gather(docs: DataFrame, training: Column, proto: bytes, o: LanguageModelOpti
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords = Subwords(proto)
+        looked = Looked(None, subwords)
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         seen = np.zeros(subwords.library.get_piece_size(), np.int64)
         kind = number_type(len(seen))
@@ -162,7 +202,7 @@ def gather(docs: DataFrame, training: Column, proto: bytes, o: LanguageModelOpti
                 settle()
             if not len(number):
                 continue
-            ids, places = w.tokens(subwords, np.flatnonzero(count))
+            ids, places = looked.tokens(w, count[:-1] > 0)
             np.add.at(seen, ids, np.repeat(count, np.diff(places)))
             tokens, word_at = spread(number, ids, places)
             text_at = np.cumsum(np.append(0, np.diff(w.places)[learnt]))
@@ -274,7 +314,7 @@ def train(docs: DataFrame, training: Column, proto: bytes, options: LanguageMode
     size = np.dtype(kind).itemsize * (shape.window + 1)
     many = windows.agg(F.coalesce(F.sum(F.length("windows")), F.lit(0))).first()[0] // size
     if many:
-        dealt = durable(deal(windows, max(1, round(many / o.trainer)), shape, kind), "dealt", "zstd")
+        dealt = durable(deal(windows, max(1, round(many / o.trainer)), shape, kind), "dealt", "zstd", "trainer")
         for turn in range(o.rounds):
             shared = docs.sparkSession.sparkContext.broadcast(flat)
             made = durable(dealt.select("rows").mapInArrow(learner(shared, unit, o, turn, kind), "flat array<float>, weight double"), "trained")
@@ -286,42 +326,6 @@ def train(docs: DataFrame, training: Column, proto: bytes, options: LanguageMode
     return LanguageModel(flat, unit, hashes[order], often[order], int(total), int(distinct), o), counts
 
 
-class Looked:
-    """Subword units of words: those of frequent words are made once in a task and looked up."""
-
-    def __init__(self, model: LanguageModel, subwords: Subwords, most: int = 1 << 19) -> None:
-        self.model, self.subwords, self.most = model, subwords, most
-        self.known = np.zeros(0, np.uint64)  # sorted hashes of words whose ids are remembered
-        self.ids, self.places = np.zeros(0, np.int32), np.zeros(1, np.int64)
-
-    def tokens(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """As Words.tokens of all words. New ones are remembered, up to a fixed number, and then the memory starts again."""
-        own = w.hashes[:-1]
-        at = np.searchsorted(self.known, own).clip(0, max(0, len(self.known) - 1))
-        met = self.known[at] == own if len(self.known) else np.zeros(len(own), bool)
-        new = np.flatnonzero(~met)
-        ids, places = w.tokens(self.subwords, new)
-        length = np.diff(places)
-        length[np.flatnonzero(met)] = np.diff(self.places)[at[met]]
-        out_places = np.append(0, np.cumsum(length))
-        out = np.empty(int(out_places[-1]), np.int32)
-        old, _ = spread(at[met], self.ids, self.places)
-        from_old = np.repeat(np.append(met, False), length)
-        out[from_old] = old
-        out[~from_old] = ids
-        if len(new):
-            if len(self.known) + len(new) > self.most:
-                self.known, self.ids, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(1, np.int64)
-            size = np.append(np.diff(self.places), np.diff(places)[new])
-            every = np.append(self.ids, ids[:-1])
-            begins = np.cumsum(size) - size
-            hashes = np.append(self.known, own[new])
-            order = np.argsort(hashes)
-            self.ids, _ = spread(order, every, np.append(begins, len(every)))
-            self.known, self.places = hashes[order], np.append(0, np.cumsum(size[order]))
-        return out, out_places
-
-
 def score(docs: DataFrame, model: LanguageModel, counts: DataFrame, proto: bytes) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row; logarithms to base 10."""
     o = model.options

@@ -72,16 +72,18 @@ def scratch(spark: SparkSession, name: str = "files") -> str:
     return f"{shared_folder(spark)}/{_own(spark)}/{uuid.uuid4().hex}/{name}"
 
 
-def durable(df: DataFrame, name: str = "table", codec: str | None = None) -> DataFrame:
+def durable(df: DataFrame, name: str = "table", codec: str | None = None, by: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and return it as read from there.
 
     The rows survive lost executors, and what follows starts from files instead of a long lineage. Row groups are small,
-    as a task holds one of them, and the reader's batches end with them, however long the texts are. discard deletes the
-    table; tables of returned, lazy results stay until clear.
+    as a task holds one of them, and the reader's batches end with them, however long the texts are. by: a column whose
+    values have files of their own, so that tasks are made of few long rows each. discard deletes the table; tables of
+    returned, lazy results stay until clear.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
     write = df.write.option("parquet.block.size", ROW_GROUP)
+    write = write.partitionBy(by) if by else write
     (write.option("compression", codec) if codec else write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
