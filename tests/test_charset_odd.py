@@ -18,6 +18,13 @@ def test_few_words_of_high_letters(words):
     assert data.decode(detect(data)) == data.decode("latin-1"), detect(data)
 
 
+@pytest.mark.parametrize("word", ["geü", "öerzu", "Öß.", "È", "enüstbe", "geteü"])
+def test_one_word_again_and_again_is_no_sixteen(word):
+    """Words of an odd length have their spaces at every second byte."""
+    for text in (f"{word} " * 80, PLAIN + f"{word} " * 80):
+        assert text.encode("latin-1").decode(detect(text.encode("latin-1"))) == text, detect(text.encode("latin-1"))
+
+
 @pytest.mark.parametrize("text", SIXTEEN)
 def test_sixteen_of_few_characters(text):
     for name in ("utf-16-le", "utf-16-be"):
@@ -25,7 +32,7 @@ def test_sixteen_of_few_characters(text):
 
 
 def test_query(spark, tmp_path):
-    texts = [f"{PLAIN}{w} {PLAIN}" for w in FEW] + SIXTEEN + ["\ufeffa mark, and more than twenty characters", "", None, f"{PLAIN}Ã©tÃ©", "a" * 300]
+    texts = [f"{PLAIN}{w} {PLAIN}" for w in FEW] + ["geü " * 80, "È " * 120] + SIXTEEN + ["\ufeffa mark, and more than twenty characters", "", None, f"{PLAIN}Ã©tÃ©", "a" * 300]
     rows = [(4 * i + k, t) for i, t in enumerate(texts) for k in range(4)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = dict(tuple(r) for r in src_subs_decode(spark, str(tmp_path)).collect())
